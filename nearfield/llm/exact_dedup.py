@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, shared_dir
+from .common import cut, drop_path, scratch, shared_dir
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -143,7 +143,7 @@ def exact_dedup(
     state.ingest(spark.readStream.schema(narrow.schema).parquet(feed))
     held = cut(state.snapshot())
 
-    clash = cut(_unequal_under_one_digest(rows, held))
+    clash = _unequal_under_one_digest(rows, held)
     decided = narrow.join(held, "digest", "left")
     if not clash.isEmpty():
         ours = rows.join(clash, "digest", "left_semi")
@@ -176,13 +176,18 @@ def _unequal_under_one_digest(rows: DataFrame, held: DataFrame) -> DataFrame:
     groups = held.filter("group_size > 1").select(
         "digest", "keep_locator", F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int").alias("salts")
     )
-    hits = rows.join(groups, "digest")
+    spark = rows.sparkSession
+    path = scratch(spark, "hits")  # whole texts move once; only members of groups are written
+    rows.join(groups, "digest").write.parquet(path)
+    hits = spark.read.parquet(path)
     first = F.col("locator") == F.col("keep_locator")
     there = hits.filter(first).select(
         F.col("digest"), F.col("body").alias("held_body"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
     new = hits.filter(~first).select("digest", "body", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int").alias("salt"))
-    return new.join(there, ["digest", "salt"]).filter("body != held_body").select("digest").distinct()
+    clash = cut(new.join(there, ["digest", "salt"]).filter("body != held_body").select("digest").distinct())
+    drop_path(spark, path)
+    return clash
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
