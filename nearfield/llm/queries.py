@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, mixing, order_minhash, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,38 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN pos ON dw.doc_id = pos.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
 """
 
-QUERIES = {"op2_stream_exact_dedup": op2_stream_exact_dedup, "op10_decontaminate": op10_decontaminate}
-SQL = {"op2_stream_exact_dedup": OP2_SQL, "op10_decontaminate": OP10_SQL}
+def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE n AS (SELECT coalesce(source, '') AS s, count(*) AS n, round(pow(count(*), 0.5), 6) AS w FROM documents GROUP BY 1),
+r AS (SELECT s, round(w * CAST((SELECT sum(n) FROM n) AS DOUBLE) / (SELECT sum(w) FROM n) / n, 9) AS rate FROM n),
+q AS (SELECT s, rate, greatest(CAST(ceil(rate / 16.0) AS INT), 1) AS pieces FROM r),
+c AS (SELECT s, 0 AS j, rate / pieces AS lam, exp(-rate / pieces) AS p, exp(-rate / pieces) AS c FROM q
+      UNION ALL SELECT s, j + 1, lam, p * lam / (j + 1), c + p * lam / (j + 1) FROM c WHERE j < 80),
+u AS (SELECT d.*, q.rate, i, CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || i), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+      FROM (SELECT d.*, unnest(range(1, pieces + 1)) AS i FROM documents d JOIN q ON coalesce(d.source, '') = q.s) d
+      JOIN q ON coalesce(d.source, '') = q.s),
+k AS (SELECT u.doc_id, any_value(u.rate) AS rate, count(c.j) AS n_copies
+      FROM u LEFT JOIN c ON coalesce(u.source, '') = c.s AND c.c <= u.u GROUP BY u.doc_id)
+SELECT d.*, k.rate, k.n_copies, t.copy, md5('17:' || d.doc_id || ':' || t.copy) AS shuffle_key
+FROM documents d JOIN k ON d.doc_id = k.doc_id, LATERAL (SELECT unnest(range(1, k.n_copies + 1)) AS copy) t
+"""
+
+QUERIES = {
+    "op1_quality_bayes": op1_quality_bayes,
+    "op2_stream_exact_dedup": op2_stream_exact_dedup,
+    "op3_poisson_mix": op3_poisson_mix,
+    "op7_order_minhash": op7_order_minhash,
+    "op10_decontaminate": op10_decontaminate,
+}
+SQL = {"op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
