@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, order_minhash, quality
+from . import decontaminate, exact_dedup, language, mixing, order_minhash, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,17 @@ SELECT d.*, k.rate, k.n_copies, t.copy, md5('17:' || d.doc_id || ':' || t.copy)
 FROM documents d JOIN k ON d.doc_id = k.doc_id, LATERAL (SELECT unnest(range(1, k.n_copies + 1)) AS copy) t
 """
 
+def op6_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_pii_weak_supervision": op6_pii_weak_supervision,
+    "op8_language_mixture": op8_language_mixture,
     "op1_quality_bayes": op1_quality_bayes,
     "op2_stream_exact_dedup": op2_stream_exact_dedup,
     "op3_poisson_mix": op3_poisson_mix,
