@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, order_minhash, pii, quality
+from . import decontaminate, exact_dedup, language, mixing, order_minhash, pii, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +83,59 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _plain_sql(x: str) -> str:
+    for name, char in warc.NAMED:
+        x = f"replace({x}, {_q(name)}, {_q(char)})"
+    return rf"trim(regexp_replace(regexp_replace({x}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+def _uuid_sql(x: str) -> str:
+    return f"'urn:uuid:' || regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+_N = "chr(13) || chr(10)"
+OP4_SQL = f"""
+WITH r AS (SELECT page_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date, coalesce(html, '') AS html,
+  {_uuid_sql("'response|' || coalesce(CAST(page_id AS VARCHAR), 'null') || '|' || coalesce(url, 'null')")} AS refers_to,
+  'HTTP/1.1 200 OK' || {_N} || 'Content-Type: text/html; charset=utf-8' || {_N} || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) AS source_headers
+  FROM pages),
+b AS (SELECT *, 'sha256:' || sha256(html) AS source_digest,
+  {_plain_sql(f"regexp_replace(regexp_replace(regexp_replace(html, {_q(warc.HIDDEN)}, '', 'g'), {_q(warc.BREAKS)}, chr(10), 'g'), {_q(warc.TAGS)}, '', 'g')")} AS text,
+  trim(regexp_replace({_plain_sql(f"regexp_extract(html, {_q(warc.TITLE)}, 1)")}, '\\s+', ' ', 'g')) AS title,
+  lower(regexp_extract(html, {_q(warc.LANGUAGE)}, 1)) AS lang,
+  list_transform(regexp_extract_all(html, {_q(warc.LINKS)}, 1), lambda x: 'outlink: ' || regexp_replace(replace(x, '&amp;', '&'), '\\s+', '%20', 'g') || ' L a/@href') AS links,
+  {_uuid_sql("'conversion|' || refers_to")} AS conversion_id, {_uuid_sql("'metadata|' || refers_to")} AS metadata_id FROM r),
+m AS (SELECT *, 'metadata' AS record_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
+  array_to_string(list_concat(['source-status: HTTP/1.1 200 OK', 'source-header: Content-Type: text/html; charset=utf-8',
+    'source-header: Content-Length: ' || octet_length(encode(html)), 'source-payload-digest: ' || source_digest,
+    'conversion: <' || conversion_id || '>', 'title: ' || title, 'language: ' || lang], links), {_N}) || {_N} AS block FROM b
+  UNION ALL SELECT *, 'conversion', conversion_id, 'text/plain', text FROM b),
+d AS (SELECT page_id, record_type, record_id, refers_to, target_uri, date, source_headers, source_digest, content_type,
+  CAST(octet_length(encode(block)) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM m)
+SELECT *, array_to_string(['WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: <' || record_id || '>', 'WARC-Refers-To: <' || refers_to || '>',
+  'WARC-Target-URI: ' || regexp_replace(target_uri, '[\r\n]+', ' ', 'g'), 'WARC-Date: ' || date, 'WARC-Block-Digest: ' || block_digest,
+  'Content-Type: ' || content_type, 'Content-Length: ' || content_length], {_N}) || {_N} || {_N} || block AS record FROM d
+"""
+
+#: Vocabulary file; its path is a parameter of the operator.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES = {
+    "op4_warc_derivatives": op4_warc_derivatives,
+    "op5_unigram_counts": op5_unigram_counts,
     "op6_pii_weak_supervision": op6_pii_weak_supervision,
     "op8_language_mixture": op8_language_mixture,
     "op1_quality_bayes": op1_quality_bayes,
@@ -92,4 +144,4 @@ QUERIES = {
     "op7_order_minhash": op7_order_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
