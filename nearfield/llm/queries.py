@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, order_minhash, pii, quality, tokens, warc
+from . import decontaminate, exact_dedup, language, licenses, mixing, order_minhash, pii, quality, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +133,12 @@ def op5_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {
+    "op9_license_index": op9_license_index,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_unigram_counts": op5_unigram_counts,
     "op6_pii_weak_supervision": op6_pii_weak_supervision,
