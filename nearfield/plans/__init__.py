@@ -1 +1 @@
-
+"""Plans over results: evaluation, tuning, fusion, serving policies, storage."""

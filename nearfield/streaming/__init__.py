@@ -1 +1 @@
-
+"""Query streams: batches and caches."""
