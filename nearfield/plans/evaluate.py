@@ -210,13 +210,10 @@ def checked_ranking(ranking: DataFrame) -> DataFrame:
     return ranking
 
 
-_LIST = Window.partitionBy("source", "qid")
-
-
 def normaliser(name: str) -> Column:
     """Scores (smaller is better) on a common scale: max, range, best or global."""
-    s = F.col("score")
-    low, high = F.min(s).over(_LIST), F.max(s).over(_LIST)
+    s, w = F.col("score"), Window.partitionBy("source", "qid")
+    low, high = F.min(s).over(w), F.max(s).over(w)
     kinds = {
         "max": s / F.greatest(high, F.lit(1e-12)),
         "range": (s - low) / F.greatest(high - low, F.lit(1e-12)),

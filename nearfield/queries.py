@@ -211,28 +211,30 @@ def queries_to_detect(s, d):
 
 # -- filters -----------------------------------------------------------------------------------
 
-_MATCH = F.col("label") == 3
+def _match():
+    return F.col("label") == 3
+
 
 
 @query("SELECT sum(CASE WHEN label = 3 THEN 1 ELSE 0 END)::BIGINT AS matching, count(*) AS rows, round(avg(CASE WHEN label = 3 THEN 1 ELSE 0 END), 6) AS selectivity FROM corpus")
 def filter_selectivity(s, d):
-    return filtered.selectivity(corpus(s, d), _MATCH).select("matching", "rows", F.round("selectivity", 6).alias("selectivity"))
+    return filtered.selectivity(corpus(s, d), _match()).select("matching", "rows", F.round("selectivity", 6).alias("selectivity"))
 
 
 @query(_OUT + "(" + _top("(SELECT * FROM pairs WHERE label = 3)") + ")")
 def filter_pre(s, d):
-    return out(filtered.filter_then_search(asked(s, d), corpus(s, d), _MATCH, K))
+    return out(filtered.filter_then_search(asked(s, d), corpus(s, d), _match(), K))
 
 
 @query(f"wide AS ({_top('pairs', 50)}) " + _OUT + "(" + _top("(SELECT w.* FROM wide w JOIN corpus c USING (id) WHERE label = 3)") + ")")
 def filter_post_overfetch(s, d):
-    return out(filtered.search_then_filter(asked(s, d), corpus(s, d), _MATCH, K, 5))
+    return out(filtered.search_then_filter(asked(s, d), corpus(s, d), _match(), K, 5))
 
 
 @query(_OUT + "(" + _top("(SELECT qid, p.id, p.score FROM pairs p JOIN probes USING (qid) JOIN lists l ON l.id = p.id AND l.part = probes.part WHERE nth <= 3 AND p.label = 3)") + ")")
 def filter_in_lists(s, d):
     labelled = lists(s, d).join(corpus(s, d).select("id", "label"), "id")
-    return out(filtered.filter_in_lists(asked(s, d), labelled, centres(s, d), _MATCH, K, 3))
+    return out(filtered.filter_in_lists(asked(s, d), labelled, centres(s, d), _match(), K, 3))
 
 
 # -- lists -------------------------------------------------------------------------------------
