@@ -16,7 +16,9 @@ length) is trained on these soft labels and decides on the candidates.  Base spa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +109,11 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     """(kind, start, end, is base) of all spans to judge; loose ones never touch a base span."""
     out = [(k, a, z, True) for k in KINDS[:4] for a, z in base[k]]
     taken = sorted((a, z) for _, a, z, _ in out)
+    starts, reach = [a for a, _ in taken], list(accumulate((z for _, z in taken), max))
 
     def put(kind: str, a: int, z: int) -> None:
-        if all(z <= x or y <= a for x, y in taken):
+        before = bisect_left(starts, z)  # base spans that start before this one ends
+        if not before or reach[before - 1] <= a:
             out.append((kind, a, z, False))
 
     if "at" in text and ("[" in text or "(" in text):
