@@ -10,6 +10,7 @@ from ..errors import require
 from ..functions.vector import squared_l2, top
 from .exact import search
 from .ivf import probes, scan_lists
+from .kmeans import uniform_sample
 
 
 def selectivity(corpus: DataFrame, keep: Column) -> DataFrame:
@@ -22,7 +23,7 @@ def random_predicate(corpus: DataFrame, share: float = 0.1, seed: int = 0) -> Da
     """(id) of max(1, round(n * share)) rows, by hash of seed and id."""
     require(0 < share <= 1, f"selectivity {share}")
     m = max(1, round(corpus.count() * share))
-    return corpus.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(m).select("id")
+    return uniform_sample(corpus.select("id"), m, seed)
 
 
 def clustered_predicate(corpus: DataFrame, share: float = 0.1, pivot: int = 0) -> DataFrame:

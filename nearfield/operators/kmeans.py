@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BuildError, ConfigError, DataError, require
@@ -135,10 +135,26 @@ def _round(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sums, counts, inertia, far
 
 
+def near_hashes(rows: DataFrame, count: int, seed: int, ids: str = "id") -> tuple[DataFrame, Column]:
+    """(rows that hold the ``count`` smallest hashes of seed and id, the hash).
+
+    A limit after a sort takes ``count`` rows from every task; here a threshold on the hash
+    leaves little more than ``count`` rows in all, which is checked by a count.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(ids))
+    n = rows.count()
+    share = (count + 6 * count**0.5 + 10) / max(n, 1)
+    if share < 0.5:
+        few = rows.filter(h <= F.lit(-(2**63) + int(share * 2**64)))
+        if few.count() >= count:
+            return few, h
+    return rows, h
+
+
 def random_init(vectors: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     """k distinct rows, those of the smallest hashes of seed and id."""
     require(k >= 1, f"k must be at least 1, not {k}")
-    rows = vectors.filter(F.col("v").isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(k).select("v").collect()
+    rows = uniform_sample(vectors.filter(F.col("v").isNotNull()), k, seed).select("v").collect()
     require(len(rows) == k, f"k is {k}, but there are {len(rows)} rows")
     return np.array([r.v for r in rows], dtype=np.float64)
 
@@ -221,7 +237,8 @@ class Fit:
 def uniform_sample(vectors: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """Exactly ``count`` rows without replacement: the smallest hashes of seed and id."""
     require(count >= 1, f"count must be at least 1, not {count}")
-    return vectors.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(count)
+    few, h = near_hashes(vectors, count, seed)
+    return few.orderBy(h, "id").limit(count)
 
 
 def dense_sample(vectors: DataFrame, count: int, sharpness: float = 1.0, seed: int = 0) -> DataFrame:

@@ -84,8 +84,10 @@ def copied(corpus: DataFrame, copies: int = 4) -> DataFrame:
 
 def held_out(corpus: DataFrame, count: int = 128, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(corpus without them, queries): the rows of the smallest hashes of seed and id."""
-    h = F.xxhash64(F.lit(seed), F.col("id"))
-    edge = corpus.select(h.alias("h")).orderBy("h").limit(count).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    from ..operators.kmeans import near_hashes
+
+    few, h = near_hashes(corpus, count, seed)
+    edge = few.select(h.alias("h")).orderBy("h").limit(count).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
     require(1 <= count and edge.n == count, f"{count} queries from {edge.n} rows")
     return corpus.filter(h > edge.h), corpus.filter(h <= edge.h).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
