@@ -139,6 +139,11 @@ def spill_adaptively(vectors: DataFrame, centres: np.ndarray, share: float = 0.3
     return once.unionAll(twice)
 
 
+def spill_growth(lists: DataFrame) -> DataFrame:
+    """One row: rows, entries, and entries a row of spilled lists."""
+    return lists.agg(F.countDistinct("id").alias("rows"), F.count("*").alias("entries")).withColumn("growth", F.col("entries") / F.col("rows"))
+
+
 class SpillIndex(IVFIndex):
     """Lists with rows in several of them, the union of opened lists scored once."""
 

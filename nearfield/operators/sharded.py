@@ -148,6 +148,26 @@ class GraphIndex(ShardedIndex):
         return lambda v: BeamGraph(v, *how)
 
 
+    def visited(self, queries: DataFrame, ef: int | None = None) -> DataFrame:
+        """(qid, id) of every vertex that a walk touches; pages of a layout are counted from it."""
+        self.require_built()
+        out = None
+        for qids, q in query_blocks(queries):
+            shared = queries.sparkSession.sparkContext.broadcast((qids, q))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for payload in b.column(0).to_pylist():
+                        ids, made = pickle.loads(payload)
+                        for qid, x in zip(*shared.value, strict=True):
+                            rows = made.visited(x, ef)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(ids[rows])], names=["qid", "id"])
+
+            part = self.structures.select("payload").mapInArrow(run, "qid long, id long")
+            out = part if out is None else out.unionAll(part)
+        return out
+
+
 class HNSWIndex(ShardedIndex):
     name = "hnsw"
     fills = False

@@ -142,6 +142,19 @@ def beam(v: np.ndarray, links, start: list[int], q: np.ndarray, width: int) -> t
     return sorted((-d, -r) for d, r in kept), cost
 
 
+def touched(v: np.ndarray, links, entry: int, q: np.ndarray, width: int) -> np.ndarray:
+    """Every vertex that a walk scores."""
+    seen: set[int] = set()
+
+    class Watch:
+        def __getitem__(self, r):
+            seen.update(links[r])
+            return links[r]
+
+    beam(v, Watch(), [entry], q, width)
+    return np.array(sorted(seen | {entry}))
+
+
 class BeamGraph:
     """Symmetrised exact neighbour graph, pruned for diversity, walked from one entry."""
 
@@ -161,6 +174,9 @@ class BeamGraph:
         self.links = [diverse(v, i, np.array(sorted(s), dtype=int), degree, alpha) if s else [] for i, s in enumerate(near)]
         self.entry = {"first": 0, "random": int(np.random.default_rng(seed).integers(n)), "medoid": int(((v - v.mean(0)) ** 2).sum(1).argmin())}[entry]
 
+    def visited(self, q: np.ndarray, ef: int | None = None) -> np.ndarray:
+        return touched(self.v, self.links, self.entry, q, ef or self.ef)
+
     def search(self, q: np.ndarray, k: int, ef: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         kept, cost = beam(self.v, self.links, [self.entry], q, max(k, ef or self.ef))
         return np.array([r for _, r in kept[:k]], dtype=int), np.array([d for d, _ in kept[:k]]), cost

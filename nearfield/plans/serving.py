@@ -217,6 +217,74 @@ def centrality(queries: DataFrame, centres: DataFrame) -> DataFrame:
     return d.groupBy("qid").agg(F.min("d").alias("signal"))
 
 
+def boundary_closeness(queries: DataFrame, centres: DataFrame) -> DataFrame:
+    """(qid, signal): distance to the second centre less that to the first; small is near a border."""
+    d = queries.crossJoin(F.broadcast(centres)).select("qid", F.sqrt(squared_l2("q", "c")).alias("d"))
+    two = d.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d"))).filter("r <= 2")
+    return two.groupBy("qid").agg((F.max("d") - F.min("d")).alias("signal"))
+
+
+def result_spread(found: DataFrame) -> DataFrame:
+    """(qid, signal): the last score less the first."""
+    return found.groupBy("qid").agg((F.max_by("score", "rank") - F.min_by("score", "rank")).alias("signal"))
+
+
+def best_score(found: DataFrame) -> DataFrame:
+    return found.groupBy("qid").agg(F.min_by("score", "rank").alias("signal"))
+
+
+@dataclass
+class Tier:
+    """A named index and what a query costs there."""
+
+    name: str
+    index: object
+    cost: float
+
+
+@dataclass
+class Routed:
+    """A merged result, which tier answered each query, and the mean cost."""
+
+    found: DataFrame
+    escalation_rate: float
+    distances_per_query: float
+
+
+def always(tier: Tier, queries: DataFrame, k: int) -> Routed:
+    return Routed(tier.index.search(queries, k).result.withColumn("tier", F.lit(tier.name)), 0.0, tier.cost)
+
+
+def escalate(cheap: Tier, dear: Tier, queries: DataFrame, k: int, signal, share: float = 0.2) -> Routed:
+    """All to the cheap tier; the ``share`` whose answers look worst again to the dear one.
+
+    ``signal`` makes (qid, signal) of the cheap result; the largest go on.
+    """
+    from .lineage import materialise
+
+    first = materialise(cheap.index.search(queries, k).result)
+    chosen = materialise(escalated(signal(first), share))
+    n, m = queries.count(), chosen.count()
+    second = dear.index.search(queries.join(chosen, "qid", "left_semi"), k).result if m else first.limit(0)
+    return Routed(route(first, second, chosen), m / n, cheap.cost + dear.cost * m / n)
+
+
+def choose_up_front(cheap: Tier, dear: Tier, queries: DataFrame, k: int, signal: DataFrame, share: float = 0.2) -> Routed:
+    """Each query to one tier only, by a signal of the query itself."""
+    from .lineage import materialise
+
+    chosen = materialise(escalated(signal, share))
+    n, m = queries.count(), chosen.count()
+    parts = [(cheap, queries.join(chosen, "qid", "left_anti"), n - m), (dear, queries.join(chosen, "qid", "left_semi"), m)]
+    out = None
+    for tier, own, count in parts:
+        if count:
+            row = tier.index.search(own, k).result.withColumn("tier", F.lit("cheap" if tier is cheap else "dear"))
+            out = row if out is None else out.unionByName(row)
+    require(out is not None, "no queries")
+    return Routed(out, m / n, (cheap.cost * (n - m) + dear.cost * m) / n)
+
+
 def margin(found: DataFrame) -> DataFrame:
     """(qid, signal): the second score over the first of a cheap answer; small means unsure."""
     two = found.filter("rank <= 2").groupBy("qid").agg(F.min("score").alias("a"), F.max("score").alias("b"))

@@ -875,3 +875,101 @@ def invariant_violations(s, d):
 def flat_index_stats(s, d):
     c = corpus(s, d).filter("id < 500").select("id", "v")
     return index.FlatIndex(64).build(c).search(asked(s, d), K).stats.select("candidates", "queries")
+
+
+# -- more of the same families -----------------------------------------------------------------
+
+
+@query("SELECT round(b - a, 6) AS signal, qid FROM (SELECT qid, min(sqrt(d)) AS a, max(sqrt(d)) AS b FROM probes WHERE nth <= 2 GROUP BY qid)")
+def boundary_closeness(s, d):
+    return serving.boundary_closeness(asked(s, d), label_centres(s, d)).select("qid", F.round("signal", 6).alias("signal"))
+
+
+@query("SELECT qid, round(max(score) - min(score), 6) AS spread, round(min(score), 6) AS best FROM rough GROUP BY qid")
+def result_signals(s, d):
+    r = rough(s, d)
+    both = serving.result_spread(r).withColumnRenamed("signal", "spread").join(serving.best_score(r).withColumnRenamed("signal", "best"), "qid")
+    return both.select("qid", F.round("spread", 6).alias("spread"), F.round("best", 6).alias("best"))
+
+
+@query("sg AS (SELECT qid, min(sqrt(d)) AS signal FROM probes GROUP BY qid), ch AS (SELECT qid FROM sg QUALIFY row_number() OVER (ORDER BY signal DESC, qid) <= 5) SELECT qid, rank, id, round(score, 6) AS score FROM (SELECT * FROM rough WHERE qid NOT IN (SELECT qid FROM ch) UNION ALL SELECT * FROM truth WHERE qid IN (SELECT qid FROM ch))")
+def router_up_front(s, d):
+    c = centres(s, d)
+    cheap = serving.Tier("ivf", ivf.IVFIndex(64, len(c), "l2", 2).build(corpus(s, d).select("id", "v"), c), 100.0)
+    dear = serving.Tier("flat", index.FlatIndex(64).build(corpus(s, d).select("id", "v")), 480.0)
+    return out(serving.choose_up_front(cheap, dear, asked(s, d), K, serving.centrality(asked(s, d), label_centres(s, d)), 0.25).found)
+
+
+@query("SELECT count(DISTINCT id) AS rows, count(*) AS entries, round(count(*) / count(DISTINCT id), 6) AS growth FROM filed WHERE nth <= 3")
+def spill_growth(s, d):
+    r = ivf.spill_growth(ivf.spill_uniformly(corpus(s, d), centres(s, d), 3))
+    return r.select("rows", "entries", F.round("growth", 6).alias("growth"))
+
+
+@query("SELECT qid, rank, id, round(score, 6) AS score FROM truth")
+def scores_for(s, d):
+    return out(exact.scores_for(asked(s, d), corpus(s, d), truth(s, d)))
+
+
+@query("wide AS (" + _top("pairs", 20) + ") SELECT qid, CAST(rank - 10 AS INTEGER) AS rank, id, round(score, 6) AS score FROM wide WHERE rank > 10")
+def near_misses(s, d):
+    return out(evaluate.near_misses(truth(s, d, 20), K, 10))
+
+
+@query("a AS (SELECT qid, round(score, 5) AS s, row_number() OVER (PARTITION BY qid, round(score, 5) ORDER BY rank) AS n FROM truth), b AS (SELECT qid, round(score, 5) AS s, row_number() OVER (PARTITION BY qid, round(score, 5) ORDER BY rank) AS n FROM rough) SELECT round(count(b.qid) / 200.0, 6) AS recall FROM a LEFT JOIN b USING (qid, s, n)")
+def recall_by_distance(s, d):
+    return drift.recall_by_distance(truth(s, d), rough(s, d), K).select(F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT round(avg(CASE WHEN t.id = r.id THEN 1 ELSE 0 END), 6) AS stable FROM truth t JOIN rough r USING (qid) WHERE t.rank = 1 AND r.rank = 1")
+def nearest_stability(s, d):
+    return datasets.nearest_neighbour_stability(truth(s, d), rough(s, d)).select(F.round("stable", 6).alias("stable"))
+
+
+@query("SELECT round(min(v) / max(v), 6) AS balance FROM (SELECT floor((dim - 1) / 8) AS sub, sum(var) AS v FROM (SELECT dim, var_pop(x) AS var FROM dims GROUP BY dim) GROUP BY 1)")
+def variance_balance(s, d):
+    return codes.variance_balance(corpus(s, d), 8).select(F.round("balance", 6).alias("balance"))
+
+
+@query("low AS (SELECT qid, id, list_inner_product(q[1:8] , q[1:8]) + list_inner_product(v[1:8], v[1:8]) - 2 * list_inner_product(q[1:8], v[1:8]) AS score FROM queries, corpus) " + _OUT + "(" + _top("low", 30) + ")")
+def projected_shortlist(s, d):
+    return out(serving.projected_shortlist(asked(s, d), corpus(s, d), 30, 480, np.eye(64)[:8]).rows)
+
+
+_ROWS3 = "m AS (SELECT * FROM (VALUES ('a', 'g', 0.3), ('a', 'h', 0.75), ('b', 'g', 0.7)) t(i, c, r))"
+
+
+@query(_ROWS3 + " SELECT i AS index, c AS corpus, round(avg(r)::DOUBLE, 6) AS recall FROM m GROUP BY GROUPING SETS ((i), (c))")
+def report_means(s, d):
+    rows = s.createDataFrame([("a", "g", "x", 0.3, 100.0, 8, 10), ("a", "h", "x", 0.75, 100.0, 8, 10), ("b", "g", "y", 0.7, 300.0, 8, 10)], evaluate.ROW)
+    return evaluate.Report(rows).means().select("index", "corpus", F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT sum(CASE WHEN over THEN 0 ELSE 1 END)::BIGINT AS completed, sum(CASE WHEN over THEN 1 ELSE 0 END)::BIGINT AS truncated, round(avg(CASE WHEN over THEN 1 ELSE 0 END), 6) AS truncated_share FROM (SELECT qid, 90 < 480 AS over FROM queries)")
+def budget_served(s, d):
+    r = serving.served(serving.bounded_search(*_served(s, d), 10, K, 100)[1])
+    return r.select("completed", "truncated", F.round("truncated_share", 6).alias("truncated_share"))
+
+
+@query("SELECT id, round(list_distance(v, c), 6) AS distance, round(list_distance(v, c) / 64 * pi(), 6) AS angle FROM lists JOIN centres USING (part)")
+def centre_distances(s, d):
+    rows = lists(s, d).join(F.broadcast(label_centres(s, d)), "part").withColumn("x", F.sqrt(V.squared_l2("v", "c")))
+    return rows.select("id", F.round("x", 6).alias("distance"), F.round(codes.angle_from_hamming(F.col("x"), 64), 6).alias("angle"))
+
+
+@query()
+def graph_pages(s, d):
+    g = sharded.GraphIndex(64, shards=1).build(corpus(s, d).select("id", "v"))
+    return storage.page_counts(g.visited(asked(s, d)), storage.sequential_layout(corpus(s, d), 64))
+
+
+@query()
+def exact_duplicates(s, d):
+    return drift.exact_duplicates(corpus(s, d).select("id", "v"), 0.3).select("id", "original")
+
+
+@query()
+def escalated_answers(s, d):
+    c = corpus(s, d).select("id", "v")
+    cheap, dear = serving.Tier("ivf", _index(s, d), 100.0), serving.Tier("flat", index.FlatIndex(64).build(c), 480.0)
+    return out(serving.escalate(cheap, dear, asked(s, d), K, serving.result_spread, 0.25).found)
