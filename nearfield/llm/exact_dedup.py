@@ -98,16 +98,15 @@ def with_locator(docs: DataFrame, name: str = "__locator") -> DataFrame:
     A frame that reads no files has no such metadata; there the locator is the row's place in
     the frame, which is stable as long as the frame itself is.
     """
-    if docs.inputFiles():
-        try:
-            return docs.select(
-                "*",
-                F.struct(
-                    F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-                ).alias(name),
-            )
-        except AnalysisException:  # files are read, but not by a plain scan
-            pass
+    try:
+        return docs.select(
+            "*",
+            F.struct(
+                F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+            ).alias(name),
+        )
+    except AnalysisException:  # no read of files
+        pass
     return docs.withColumn(
         name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
     )

@@ -137,6 +137,44 @@ def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def _op9_sql(rare: int = 8, least: float = 0.6) -> str:
+    templates = ", ".join(
+        f"({t}, '{label}', '{notice}', '{key}', {licenses._place(notice, key)})" for t, (label, notice, key) in enumerate(licenses.TEMPLATES)
+    )
+    stop = ", ".join(f"'{x}'" for x in sorted(licenses.STOP))
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, i, '{label}' AS label FROM pos WHERE "
+        + " AND ".join(f"w[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split()))
+        for phrase, label in licenses.BASE.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+base AS ({base}),
+t AS (SELECT * FROM (VALUES {templates}) t(t, label, notice, key, place)),
+posted AS (SELECT t, x, p FROM (SELECT t, unnest(string_split(notice, ' ')) AS x, unnest(range(len(string_split(notice, ' ')))) AS p FROM t) WHERE x NOT IN ({stop})),
+spots AS (SELECT doc_id, i, w[i + 1] AS x FROM pos WHERE w[i + 1] IN (SELECT x FROM posted)),
+idf AS (SELECT x, round(ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 9) AS idf
+        FROM (SELECT DISTINCT x FROM posted) LEFT JOIN spots USING (x) GROUP BY x),
+top AS (SELECT doc_id, x FROM (SELECT DISTINCT doc_id, x FROM spots) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, x) <= {rare}),
+whole AS (SELECT t, sum(idf) AS whole FROM posted JOIN idf USING (x) JOIN
+          (SELECT t, x FROM (SELECT DISTINCT t, x FROM posted) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, x) <= {rare}) USING (t, x) GROUP BY t),
+met AS (SELECT doc_id, t, i - p AS o, sum(idf) AS mass FROM spots JOIN top USING (doc_id, x) JOIN posted USING (x) JOIN idf USING (x) GROUP BY ALL),
+hold AS (SELECT doc_id, t, o + place AS f, key, label, least(1.0, mass / whole) AS coverage FROM met JOIN whole USING (t) JOIN t USING (t)),
+found AS (SELECT h.doc_id, h.label, round(coverage, 6) AS coverage FROM hold h JOIN d USING (doc_id)
+          WHERE coverage >= {least} AND f >= 0 AND array_to_string(w[f + 1:f + len(string_split(key, ' '))], ' ') = key),
+every AS (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM found),
+l AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS z FROM base GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id),
+s AS (SELECT doc_id, max(coverage) AS score FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, b.f AS first_word, b.z AS last_word,
+       coalesce(bl.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(s.score, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 QUERIES = {
     "op9_license_index": op9_license_index,
     "op4_warc_derivatives": op4_warc_derivatives,
@@ -149,4 +187,4 @@ QUERIES = {
     "op7_order_minhash": op7_order_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op9_license_index": _op9_sql(), "op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
