@@ -164,6 +164,17 @@ def test_banded_alignment_is_the_longest_common_subsequence():
         assert order_minhash.ordered_similarity(a, b, 0.5) == pytest.approx(want if want >= 0.5 else 0.0)
 
 
+def test_copies_that_are_like_their_original_only_are_linked_to_it(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [r.choice(words) for _ in range(300)]
+    texts = [" ".join(base)] + [" ".join(f"e{r.random()}" if r.random() < 0.02 else w for w in base) for _ in range(250)]
+    out = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(docs(spark, texts)).collect()}
+    first = order_minhash.shingles(texts[0])[1]
+    near = [i for i, t in enumerate(texts) if order_minhash.ordered_similarity(first, order_minhash.shingles(t)[1]) >= 0.8]
+    assert len(near) > 100 and {out[i] for i in near} == {0}
+
+
 def test_near_duplicates_of_an_empty_table_and_odd_ids(spark):
     d = docs(spark, ["x"])
     assert order_minhash.near_duplicates(d.limit(0)).count() == 0
