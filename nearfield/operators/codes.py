@@ -6,15 +6,18 @@ Encoding and decoding are expressions, so a code scan reads the code column only
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ConfigError, require
 from ..functions.vector import dot, doubles, score, squared_l2, subtract, top, total
-from .exact import pair_scores, search, top_up
+from .exact import BLOCK_NUMBERS, RESULT, in_blocks, matrix, pair_scores, query_blocks, scan_top, search, top_up
 from .index import Found, Index, stats_row
 from .kmeans import _sample, local_lloyd, mean_vector
 
@@ -28,10 +31,38 @@ def rerank(queries: DataFrame, corpus: DataFrame, shortlist: DataFrame, k: int,
     return top(pair_scores(shortlist.select("qid", "id"), queries, corpus, metric), k, metric)
 
 
-def cross_top(queries: DataFrame, codes: DataFrame, value: Column, k: int, metric: str = "l2") -> DataFrame:
-    """Top k by an expression over broadcast queries and a scanned code table."""
-    scored = codes.crossJoin(F.broadcast(queries)).select("qid", "id", value.alias("score"))
-    return top(scored, k, metric)
+def code_column(rows: DataFrame, shared, encode) -> DataFrame:
+    """(id, codes) of rows (id, v): ``encode(shared.value, matrix)`` gives a row of ints each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                made = encode(shared.value, matrix(b.column(1))).astype(np.int32)
+                ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(made.reshape(-1)))], names=["id", "codes"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "v").filter(F.col("v").isNotNull()).mapInArrow(run, "id long, codes array<int>")
+
+
+def decoded_column(codes: DataFrame, shared, decode) -> DataFrame:
+    """(id, v) of codes (id, codes): ``decode(shared.value, codes)`` gives the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                made = decode(shared.value, matrix(b.column(1)).astype(np.int64))
+                ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(made.reshape(-1)))], names=["id", "v"])
+
+    return codes.select(F.col("id").cast("long").alias("id"), "codes").mapInArrow(run, "id long, v array<double>")
+
+
+def _closest(v: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The nearest entry of each row, ties to the smaller code; differences, not norms, decide."""
+    step, out = max(1, 2_000_000 // max(1, book.size)), np.empty(len(v), dtype=np.int64)
+    for at in range(0, len(v), step):
+        out[at : at + step] = ((v[at : at + step, None, :] - book[None]) ** 2).sum(2).argmin(1)
+    return out
 
 
 # -- scalar ------------------------------------------------------------------------------------
@@ -82,16 +113,6 @@ def scalar_search(queries: DataFrame, codes: ScalarCodes, k: int = 10, symmetric
 # -- product -----------------------------------------------------------------------------------
 
 
-def pieces(v: Column | str, subspaces: int, dimension: int) -> Column:
-    """A vector as its contiguous slices."""
-    w = dimension // subspaces
-    return F.array(*[F.slice(v if isinstance(v, Column) else F.col(v), s * w + 1, w) for s in range(subspaces)])
-
-
-def _distance_to(part: Column):
-    return lambda e: F.struct(squared_l2(part, e["c"]).alias("d"), e["code"].alias("code"))
-
-
 @dataclass
 class ProductBooks:
     """books[subspace, code] of width w."""
@@ -113,32 +134,61 @@ class ProductBooks:
     def code_bytes(self) -> int:
         return self.subspaces
 
+    def _shared(self, frame: DataFrame):
+        return frame.sparkSession.sparkContext.broadcast(self.books)
+
     def encode(self, vectors: DataFrame) -> DataFrame:
         """(id, codes): the nearest entry of each slice, ties to the smaller code."""
-        cells = []
-        for s, piece in enumerate(self.books):
-            book = F.array(*[F.struct(F.lit(c).alias("code"), literal(x).alias("c")) for c, x in enumerate(piece)])
-            part = F.slice(F.col("v"), s * piece.shape[1] + 1, piece.shape[1])
-            cells.append(F.array_min(F.transform(book, _distance_to(part)))["code"])
-        return vectors.select("id", F.array(*cells).alias("codes"))
+
+        def encode(books: np.ndarray, v: np.ndarray) -> np.ndarray:
+            w = books.shape[2]
+            return np.stack([_closest(v[:, s * w : (s + 1) * w], book) for s, book in enumerate(books)], axis=1)
+
+        return code_column(vectors, self._shared(vectors), encode)
 
     def decode(self, codes: DataFrame) -> DataFrame:
         """(id, v): the entries of the codes, joined."""
-        books = [F.array(*[literal(x) for x in piece]) for piece in self.books]
-        return codes.select("id", F.flatten(F.array(*[F.get(b, F.get("codes", F.lit(s))) for s, b in enumerate(books)])).alias("v"))
+        return decoded_column(codes, self._shared(codes), lambda books, c: np.concatenate([book[c[:, s]] for s, book in enumerate(books)], axis=1))
 
-    def table(self, queries: DataFrame) -> DataFrame:
-        """(qid, t): squared distances of each query's slices to all entries, by slice."""
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """[query, slice, code]: squared distances of queries' slices to all entries."""
         w = self.books.shape[2]
-        rows = [
-            F.array(*[squared_l2(F.slice(F.col("q"), s * w + 1, w), literal(x)) for x in piece]) for s, piece in enumerate(self.books)
-        ]
-        return queries.select("qid", F.array(*rows).alias("t"))
+        return np.stack([((q[:, None, s * w : (s + 1) * w] - book[None]) ** 2).sum(2) for s, book in enumerate(self.books)], axis=1)
+
+    def table(self, queries: DataFrame) -> DataFrame:
+        """(qid, t): the same as a column of arrays, for joins with lists of codes."""
+        shared = self._shared(queries)
+        s, c, w = self.books.shape
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = ProductBooks(shared.value)
+            for b in batches:
+                if b.num_rows:
+                    t = own.tables(matrix(b.column(1))).reshape(-1)
+                    inner = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows * s + 1, dtype=np.int32) * c), pa.array(t))
+                    outer = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * s), inner)
+                    yield pa.RecordBatch.from_arrays([b.column(0), outer], names=["qid", "t"])
+
+        kind = T.StructType([queries.select("qid").schema[0], T.StructField("t", T.ArrayType(T.ArrayType(T.DoubleType())))])
+        return queries.select("qid", "q").mapInArrow(run, kind)
 
     def search(self, queries: DataFrame, codes: DataFrame, k: int = 10) -> DataFrame:
-        """Top k by sums of table entries (asymmetric distances)."""
-        value = total(F.transform("codes", lambda c, s: F.get(F.get("t", s), c)))
-        return cross_top(self.table(queries), codes, value, k)
+        """Top k by sums of table entries (asymmetric distances), queries in broadcast blocks."""
+
+        def scores(tables: np.ndarray, column: pa.Array) -> np.ndarray:
+            c = matrix(column).astype(np.int64)
+            out = np.zeros((len(tables), len(c)))
+            for s in range(tables.shape[1]):
+                out += tables[:, s, :][:, c[:, s]]
+            return np.round(out, 9)  # sums of like terms tie, whatever their order
+
+        found, spark = None, codes.sparkSession
+        numbers = max(1, BLOCK_NUMBERS // max(1, self.subspaces * self.centroids // max(1, self.dimension)))
+        for qids, q in query_blocks(queries, numbers):
+            shared = spark.sparkContext.broadcast((qids, self.tables(q)))
+            part = scan_top(codes.select(F.col("id").cast("long"), "codes"), shared, k, scores)
+            found = part if found is None else found.unionAll(part)
+        return top(found if found is not None else spark.createDataFrame([], RESULT), k)
 
 
 def product_train(vectors: DataFrame, subspaces: int = 8, centroids: int = 256, sample: int = 20_000, rounds: int = 15, seed: int = 0) -> ProductBooks:
@@ -164,9 +214,6 @@ def random_rotation(dimension: int, seed: int = 0) -> np.ndarray:
 
 def covariance(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, covariance (population) and rows; tasks send sums of products, width^2 numbers."""
-    import pyarrow as pa
-
-    from .kmeans import matrix
 
     def run(batches):
         n, s, ss = 0, 0.0, 0.0
@@ -242,21 +289,24 @@ class ResidualBooks:
 
     books: np.ndarray
 
+    def _shared(self, frame: DataFrame):
+        return frame.sparkSession.sparkContext.broadcast(self.books)
+
     def encode(self, vectors: DataFrame) -> DataFrame:
         """(id, codes): the nearest entry to what earlier stages left, ties to the smaller code."""
-        out = vectors.select("id", doubles("v").alias("left"), F.array().cast("array<int>").alias("codes"))
-        for book in self.books:
-            entries = F.array(*[F.struct(F.lit(c).alias("code"), literal(x).alias("c")) for c, x in enumerate(book)])
-            best = F.array_min(F.transform(entries, lambda e: F.struct(squared_l2("left", e["c"]).alias("d"), e["code"].alias("code"), e["c"].alias("c"))))
-            out = out.withColumn("best", best).select("id", subtract("left", F.col("best.c")).alias("left"), F.concat("codes", F.array("best.code")).alias("codes"))
-        return out.select("id", "codes")
+
+        def encode(books: np.ndarray, left: np.ndarray) -> np.ndarray:
+            out = []
+            for book in books:
+                out.append(_closest(left, book))
+                left = left - book[out[-1]]
+            return np.stack(out, axis=1)
+
+        return code_column(vectors, self._shared(vectors), encode)
 
     def decode(self, codes: DataFrame) -> DataFrame:
-        chosen = [F.get(F.array(*[literal(x) for x in book]), F.get("codes", F.lit(s))) for s, book in enumerate(self.books)]
-        value = chosen[0]
-        for c in chosen[1:]:
-            value = F.zip_with(value, c, lambda x, y: x + y)
-        return codes.select("id", value.alias("v"))
+        """(id, v): the sum of the chosen entries."""
+        return decoded_column(codes, self._shared(codes), lambda books, c: sum(book[c[:, s]] for s, book in enumerate(books[: c.shape[1]])))
 
     def bytes_per_vector(self) -> float:
         return len(self.books) * np.ceil(np.log2(max(2, self.books.shape[1]))) / 8
@@ -343,9 +393,20 @@ class SignCodes:
         return rows.select(ids, pack(self._bits(F.col(column)), self.dimension).alias("words"))
 
     def search(self, queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-        """Top k by Hamming distance, ties by id."""
-        asked = self.encode(queries, "qid", "q").withColumnRenamed("words", "asked")
-        return cross_top(asked, codes, hamming("words", "asked").cast("double"), k)
+        """Top k by Hamming distance, ties by id; coded queries are broadcast in blocks."""
+
+        def scores(asked: np.ndarray, column: pa.Array) -> np.ndarray:
+            words = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).view(np.uint64)
+            asked = asked.view(np.uint64)  # counts of signed numbers are of their magnitudes
+            return sum(np.bitwise_count(asked[:, None, w] ^ words[None, :, w]).astype(np.float64) for w in range(words.shape[1]))
+
+        coded = self.encode(queries, "qid", "q").withColumnRenamed("words", "q")
+        found, spark = None, codes.sparkSession
+        for qids, words in query_blocks(coded, kind=np.int64):
+            shared = spark.sparkContext.broadcast((qids, words))
+            part = scan_top(codes.select(F.col("id").cast("long"), "words"), shared, k, scores)
+            found = part if found is None else found.unionAll(part)
+        return top(found if found is not None else spark.createDataFrame([], RESULT), k)
 
 
 def sign_fit(vectors: DataFrame, centre: bool = True, rotate_by: str = "none", seed: int = 0) -> SignCodes:
@@ -499,4 +560,4 @@ class CompositeIndex(Index):
 
 def mean_code_score(queries: DataFrame, decoded: DataFrame, metric: str = "l2") -> DataFrame:
     """All pair scores of a small decoded table: (qid, id, score)."""
-    return decoded.crossJoin(F.broadcast(queries)).select("qid", "id", score("q", "v", metric).alias("score"))
+    return in_blocks(queries, lambda q: decoded.crossJoin(F.broadcast(q)).select("qid", "id", score("q", "v", metric).alias("score")))

@@ -5,7 +5,7 @@ Corpora are (id, v), queries (qid, q), results (qid, rank, id, score), closest f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ BLOCK_NUMBERS = 8_000_000
 RESULT = "qid long, id long, score double"
 
 
-def query_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS, kind=np.float64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Queries as (ids, matrix) blocks of bounded size, streamed to the driver one at a time."""
     ids: list[int] = []
     rows: list[list[float]] = []
@@ -33,10 +33,28 @@ def query_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS) -> Iterator[t
         rows.append(r[1])
         size += len(r[1])
         if size >= numbers:
-            yield np.array(ids), np.array(rows, dtype=np.float64)
+            yield np.array(ids), np.array(rows, dtype=kind)
             ids, rows, size = [], [], 0
     if ids:
-        yield np.array(ids), np.array(rows, dtype=np.float64)
+        yield np.array(ids), np.array(rows, dtype=kind)
+
+
+def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], width: Column | None = None) -> DataFrame:
+    """answer(block) of blocks of queries that are small enough to broadcast, united.
+
+    ``width`` is the numbers of a row (those of its vector q unless stated); their sum is
+    counted first, and blocks are taken by hash of the qid.
+    """
+    width = F.size("q") if width is None else width
+    numbers = queries.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    parts = max(1, -(-numbers // BLOCK_NUMBERS))
+    if parts == 1:
+        return answer(queries)
+    out = None
+    for i in range(parts):
+        part = answer(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def score_matrix(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -65,40 +83,59 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2
     spark, found = corpus.sparkSession, None
     for ids, q in query_blocks(queries):
         shared = spark.sparkContext.broadcast((ids, q))
-        part = corpus.select(F.col("id").cast("long"), "v").mapInArrow(_local_top(shared, k, metric), RESULT)
+        part = scan_top(corpus.select(F.col("id").cast("long"), "v"), shared, k, _vector_scores(metric), 1.0 if metric == "l2" else -1.0)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], RESULT)
     return top(found, k, metric)
 
 
-def _local_top(shared, k: int, metric: str):
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column without nulls as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _vector_scores(metric: str):
+    sign = 1.0 if metric == "l2" else -1.0
+
+    def scores(q: np.ndarray, column: pa.Array) -> np.ndarray:
+        v = matrix(column)
+        if v.shape[1] != q.shape[1]:
+            raise ValueError(f"queries are {q.shape[1]} wide and vectors {v.shape[1]}")
+        return sign * score_matrix(q, v, metric)
+
+    return scores
+
+
+def scan_top(rows: DataFrame, shared, k: int, scores, sign: float = 1.0) -> DataFrame:
+    """(qid, id, score): each task's k best of rows (id, payload) for a broadcast block of queries.
+
+    ``shared`` holds (qids, payload of the queries); ``scores(payload, column)`` gives a matrix
+    of queries by rows, smaller is better, of which sign times is returned.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        sign = 1.0 if metric == "l2" else -1.0
-        best_ids = np.empty((len(q), 0), dtype=np.int64)
-        best_scores = np.empty((len(q), 0))
-        step = max(1, 4_000_000 // len(q))
+        qids, asked = shared.value
+        best_ids = np.empty((len(qids), 0), dtype=np.int64)
+        best_scores = np.empty((len(qids), 0))
+        step = max(1, 4_000_000 // len(qids))
         for b in batches:
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                if v.shape[1] != q.shape[1]:
-                    raise ValueError(f"queries are {q.shape[1]} wide and vectors {v.shape[1]}")
-                scores = np.concatenate((best_scores, sign * score_matrix(q, v, metric)), axis=1)
-                every = np.concatenate((best_ids, np.broadcast_to(ids, (len(q), len(ids)))), axis=1)
+                found = np.concatenate((best_scores, scores(asked, part.column(1))), axis=1)
+                every = np.concatenate((best_ids, np.broadcast_to(ids, (len(qids), len(ids)))), axis=1)
                 if every.shape[1] > k:
-                    order = np.lexsort((every, scores), axis=1)[:, :k] if every.shape[1] <= 4 * k else _smallest(scores, every, k)
-                    scores, every = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
-                best_scores, best_ids = scores, every
+                    order = np.lexsort((every, found), axis=1)[:, :k] if every.shape[1] <= 4 * k else _smallest(found, every, k)
+                    found, every = np.take_along_axis(found, order, 1), np.take_along_axis(every, order, 1)
+                best_scores, best_ids = found, every
         if best_ids.shape[1]:
             n = best_ids.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(qids, n)), pa.array(best_ids.reshape(-1)), pa.array(sign * best_scores.reshape(-1))], names=["qid", "id", "score"]
             )
 
-    return run
+    return rows.mapInArrow(run, RESULT)
 
 
 def _smallest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

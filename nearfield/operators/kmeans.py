@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BuildError, ConfigError, DataError, require
 from ..functions.vector import checked
-from .exact import score_matrix
+from .exact import matrix, score_matrix
 
 
 @dataclass
@@ -53,11 +53,6 @@ def centres_of(frame: DataFrame) -> np.ndarray:
     return np.array([r[1] for r in rows], dtype=np.float64)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as rows of doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def assign(vectors: DataFrame, centres: np.ndarray, nearest: int = 1, metric: str = "l2") -> DataFrame:
     """vectors' (id, v) with part, nth (from 1) and score of the ``nearest`` centres of each row."""
     require(1 <= nearest <= len(centres), f"{nearest} of {len(centres)} centres")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
 from ..functions.vector import top
-from ..operators.exact import score_matrix  # noqa: F401  used by callers of shards
+from ..operators.exact import in_blocks
 from ..operators.ivf import probes, scan_lists
 from ..operators.kmeans import assign
 
@@ -54,8 +54,12 @@ def scatter_gather(queries: DataFrame, shards: DataFrame, k: int = 10, fetch: in
     from ..functions.vector import score
 
     fetch = k if fetch is None else fetch
-    scored = shards.crossJoin(F.broadcast(queries)).select("qid", "shard", "id", score("q", "v", metric).alias("score"))
-    local = top(scored, fetch, metric, ("qid", "shard"))
+
+    def answer(block: DataFrame) -> DataFrame:
+        scored = shards.crossJoin(F.broadcast(block)).select("qid", "shard", "id", score("q", "v", metric).alias("score"))
+        return top(scored, fetch, metric, ("qid", "shard"))
+
+    local = in_blocks(queries, answer)
     return merge(local.drop("rank"), k, metric)
 
 

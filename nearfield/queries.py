@@ -492,8 +492,7 @@ def pq_encode(s, d):
 @query(_BOOKS + " " + _OUT + "(" + _top("(SELECT qid, id, sum(pow(list_distance(q[s * 8 + 1 : s * 8 + 8], c), 2)) AS score FROM queries, enc JOIN books USING (s, code) GROUP BY qid, id)", order="round(score, 9), id") + ")")
 def pq_adc_search(s, d):
     b = _books(s, d)
-    value = F.round(V.total(F.transform("codes", lambda c, i: F.get(F.get("t", i), c))), 9)
-    return out(codes.cross_top(b.table(asked(s, d)), b.encode(corpus(s, d)), value, K))
+    return out(b.search(asked(s, d), b.encode(corpus(s, d)), K))
 
 
 @query(_BOOKS + ", dec AS (SELECT id, flatten(list(c ORDER BY s)) AS r FROM enc JOIN books USING (s, code) GROUP BY id) SELECT round(avg(pow(list_distance(v, r), 2)), 6) AS error FROM corpus JOIN dec USING (id)")

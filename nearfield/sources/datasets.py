@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.vector import add, normalise, squared_l2, times
 from ..operators.codes import literal
-from ..operators.exact import search
+from ..operators.exact import in_blocks, search
 
 
 def corpus_table(spark: SparkSession, sf_dir: str, name: str = "embeddings", ids: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -113,7 +113,7 @@ def perturbed_queries(corpus: DataFrame, count: int = 128, nudge: float = 0.25,
 
 def relative_contrast(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: contrast, the mean over queries of mean distance over nearest distance."""
-    d = corpus.crossJoin(F.broadcast(queries)).select("qid", F.sqrt(squared_l2("q", "v")).alias("d"))
+    d = in_blocks(queries, lambda q: corpus.crossJoin(F.broadcast(q)).select("qid", F.sqrt(squared_l2("q", "v")).alias("d")))
     return d.groupBy("qid").agg((F.avg("d") / F.greatest(F.min("d"), F.lit(1e-9))).alias("c")).agg(F.avg("c").alias("contrast"))
 
 

@@ -59,10 +59,10 @@ def test_search_is_exact_in_blocks_and_under_predicates(spark, data, corpus, ask
     assert ids(exact.search(asked, corpus, 5, metric)) == brute(data, 5, metric=metric)
     exact_block = exact.BLOCK_NUMBERS
     try:
-        exact.query_blocks.__defaults__ = (3 * D,)
+        exact.query_blocks.__defaults__ = (3 * D, np.float64)
         assert ids(exact.search(asked, corpus, 5, metric)) == brute(data, 5, metric=metric)
     finally:
-        exact.query_blocks.__defaults__ = (exact_block,)
+        exact.query_blocks.__defaults__ = (exact_block, np.float64)
     even = [i for i in range(N) if i % 2 == 0]
     assert ids(exact.search(asked, corpus, 5, metric, F.col("id") % 2 == 0)) == brute(data, 5, even, metric)
     plan = exact.search(asked, corpus, 5)._jdf.queryExecution().executedPlan().toString()
