@@ -29,7 +29,7 @@ from .common import cut
 FEATURES = [
     "upper", "symbol", "digit", "space", "marks_a_word", "word_length", "log_words", "distinct", "run", "packed", "lines",
 ]
-#: Labelled documents that the classifier is fitted on, at most; the smallest hashes of ids.
+#: Labelled documents that the classifier is fitted on: about so many, by hash of the id.
 FIT_ROWS = 20_000
 #: Prior odds of a site never go beyond this in log units: evidence can always overturn it.
 MOST_LOGIT = 4.0
@@ -162,10 +162,10 @@ def quality(
     made = cut(measured(docs, host, path, id_col, text_col))
     truth = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("q"))
     truth = truth.dropna().groupBy("id").agg(F.avg("q").alias("q"))
-    sample = (
-        made.filter(F.element_at("x", 7) > 0).join(truth, F.col("doc_id") == F.col("id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "q").collect()
-    )
+    labelled = cut(made.filter(F.element_at("x", 7) > 0).join(truth, F.col("doc_id") == F.col("id")).select("doc_id", "x", "q"))
+    share = min(1.0, fit_rows / max(1, labelled.count()))
+    drawn = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)  # the driver gets no more
+    sample = sorted(labelled.filter(drawn).collect())
     model = Logistic(np.array([r.x for r in sample]).reshape(-1, len(FEATURES)), np.array([float(r.q >= 0.5) for r in sample]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
