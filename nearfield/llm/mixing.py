@@ -35,6 +35,11 @@ def uniform(*key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
+def _quantile(u: Column) -> Column:
+    """Entries of __sums up to u; u is bound once, not worked out for each entry."""
+    return F.get(F.transform(F.array(u), lambda x: F.size(F.filter("__sums", lambda c: c <= x))), F.lit(0))
+
+
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, power: float, budget: float, source_col: str) -> DataFrame:
     """source, n, rate.  Named weights are shares in proportion; without any, n ** power are."""
     n = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
@@ -89,8 +94,7 @@ def mix(
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("__pieces")),
         F.lit(0),
-        lambda acc, i: acc
-        + F.size(F.filter("__sums", lambda c: c <= uniform(str(seed), name, i.cast("string")))),
+        lambda acc, i: acc + _quantile(uniform(str(seed), name, i.cast("string"))),
     )
     own = [c for c in docs.columns if c not in ("rate", "n_copies", "copy", "shuffle_key")]
     counted = docs.join(table, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("__source"))
