@@ -175,6 +175,39 @@ def test_copies_that_are_like_their_original_only_are_linked_to_it(spark):
     assert len(near) > 100 and {out[i] for i in near} == {0}
 
 
+def test_every_similar_pair_of_a_large_bucket_without_an_original_is_joined(spark):
+    base = prose(77, 300)
+    texts = [edited(base, 1000 + i, 0.035) for i in range(700)]
+    texts += [edited(texts[i], 5000 + i, 0.01) for i in range(0, 700, 14)]
+    sketcher = order_minhash.OrderSketch(2, 1)
+    grams = [order_minhash.shingles(t)[1] for t in texts]
+    sketch = [sketcher.of(g) for g in grams]
+    assert max(np.unique([s[0] for s in sketch], return_counts=True)[1]) > 100
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in itertools.combinations(range(len(texts)), 2):
+        if (sketch[x] == sketch[y]).any() and order_minhash.ordered_similarity(grams[x], grams[y], 0.8):
+            a, b = sorted((root(x), root(y)))
+            parent[b] = a
+    out = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs(spark, texts), sketches=2, picked=1).collect()}
+    assert 20 < sum(root(i) != i for i in out) < 200
+    assert out == {i: root(i) for i in out}
+
+
+def test_parity_bitmaps_never_differ_in_more_bits_than_shingles():
+    r = np.random.default_rng(3)
+    for n in (0, 5, 300, 9000):
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate((a[n // 4 :], r.integers(0, 2**63, n // 3).astype(np.uint64)))
+        x, y = (np.frombuffer(order_minhash.parity(g), dtype=np.uint64) for g in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_of_an_empty_table_and_odd_ids(spark):
     d = docs(spark, ["x"])
     assert order_minhash.near_duplicates(d.limit(0)).count() == 0
