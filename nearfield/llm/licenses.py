@@ -2,10 +2,11 @@
 
 Templates are short licence notices; the index posts each of their words, stop words left out,
 with template and position.  One scan of the texts finds each file's words and the places of
-index words in them; document frequencies of index words over all files give their IDF.  For
-each file the ``rare`` index words of highest IDF are looked up; postings of one template meet
-where file position minus template position agree, and the IDF found at the best such offset
-against the template's own gives coverage.  A template holds if coverage is at least ``least``
+index words in them; document frequencies of index words over all files give their IDF.  Each
+template keeps the postings of its own ``rare`` words of highest IDF, and all places of them in
+a file are looked up, so one notice cannot crowd out another; postings of one template meet
+where file position minus template position agree, and the IDF found at such an offset against
+the template's own gives coverage.  A template holds if coverage is at least ``least``
 and its mandatory key phrase stands word for word at its place from that offset.
 
 Only DataFrame functions run.  What is broadcast or collected is bounded by the templates:
@@ -110,16 +111,12 @@ def scan(docs: DataFrame, rare: int = 8, least: float = 0.6, id_col: str = "doc_
         for r in kept.select(F.explode(F.array_distinct("spots.w")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()
     }
     idf = {x: round(math.log((total + 1) / (df.get(x, 0) + 1)) + 1, 9) for x in vocabulary}
-    postings = F.broadcast(spark.createDataFrame([(w, t, i, idf[w]) for w, t, i in posted], "word string, template int, tpos int, idf double"))
-    weight = F.create_map(*[F.lit(v) for x in vocabulary for v in (x, idf[x])])
-    best = F.slice(F.sort_array(F.transform(F.array_distinct("spots.w"), lambda x: F.struct((-weight[x]).alias("k"), x.alias("x")))), 1, rare)
-    looked = (
-        kept.filter(F.size("spots") > 0)
-        .withColumn("top", F.transform(best, lambda s: s["x"]))
-        .select("row", "top", F.explode(F.filter("spots", lambda s: F.array_contains("top", s["w"]))).alias("s"))
+    own = {(w, t) for t in range(len(TEMPLATES)) for w in rarest(t, posted, idf, rare)}
+    postings = F.broadcast(
+        spark.createDataFrame([(w, t, i, idf[w]) for w, t, i in posted if (w, t) in own], "word string, template int, tpos int, idf double")
     )
-    # what of a template the file could reach: its words among the file's looked-up ones
-    met = looked.join(postings, F.col("s.w") == F.col("word")).select("row", "template", (F.col("s.i") - F.col("tpos")).alias("offset"), "tpos", "idf")
+    looked = kept.filter(F.size("spots") > 0).select("row", F.explode(F.filter("spots", lambda s: s["w"].isin(sorted({w for w, _ in own})))).alias("s"))
+    met = looked.join(postings, F.col("s.w") == F.col("word")).select("row", "template", (F.col("s.i") - F.col("tpos")).alias("offset"), "idf")
     at = met.groupBy("row", "template", "offset").agg(F.sum("idf").alias("mass"))
     whole = F.create_map(*[F.lit(v) for t in range(len(TEMPLATES)) for v in (t, self_mass(t, posted, idf, rare))])
     hold = at.withColumn("coverage", F.least(F.lit(1.0), F.col("mass") / whole[F.col("template")])).filter(F.col("coverage") >= least)
@@ -151,11 +148,15 @@ def scan(docs: DataFrame, rare: int = 8, least: float = 0.6, id_col: str = "doc_
     )
 
 
+def rarest(template: int, posted: list[tuple[str, int, int]], idf: dict[str, float], rare: int) -> list[str]:
+    """A template's own ``rare`` words of highest IDF."""
+    return sorted({w for w, t, _ in posted if t == template}, key=lambda w: (-idf[w], w))[:rare]
+
+
 def self_mass(template: int, posted: list[tuple[str, int, int]], idf: dict[str, float], rare: int) -> float:
     """IDF of a template's own ``rare`` best words, all their places: what a full match finds."""
-    own = [(w, i) for w, t, i in posted if t == template]
-    top = sorted({w for w, _ in own}, key=lambda w: (-idf[w], w))[:rare]
-    return sum(idf[w] for w, _ in own if w in top)
+    top = rarest(template, posted, idf, rare)
+    return sum(idf[w] for w, t, _ in posted if t == template and w in top)
 
 
 def _place(notice: str, key: str) -> int:

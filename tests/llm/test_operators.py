@@ -454,3 +454,17 @@ def test_licences_against_brute_force(spark):
     assert out[6].labels == "gpl,gpl-3.0" and out[3].labels == "apache,apache-2.0" and out[10].labels == "mit"
     assert out[11].labels == "" and out[9].score == 0
     assert licenses.scan(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+# -- several notices, loose spans ------------------------------------------------------------
+
+
+def test_a_notice_is_found_beside_others_of_rarer_words(spark):
+    notice = {label: text for label, text, _ in licenses.TEMPLATES}
+    bsd = next(text for label, text, _ in licenses.TEMPLATES if label == "bsd")
+    texts = [" ".join((bsd, "x", notice["mpl-2.0"], "y", notice["gpl-2.0"]))]
+    texts += ["licensed words of a gnu general public license version"] * 30
+    rows = {r.doc_id: r for r in licenses.scan(docs(spark, texts)).collect()}
+    assert rows[0].labels == "bsd,gpl,gpl-2.0,mpl-2.0"
+    assert {f.label: f.coverage for f in rows[0].found} == {"bsd": 1.0, "gpl-2.0": 1.0, "mpl-2.0": 1.0}
+    assert all(rows[i].labels == "gpl" for i in range(1, 31))
