@@ -58,6 +58,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_MAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63})+", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![\w+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
+_AT = re.compile(r"[\[(]at[\])]", re.I)
+_NAME = re.compile(rf"\b(?:{'|'.join(sorted(FIRST_NAMES))}) [A-Z][a-z]+\b")
 _SECRET = re.compile(r"""(?i:token|password|passwd|api_?key|secret)["']?\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_+/=-]{8,})""")
 _SECRET_WORD = re.compile(r"[=:]")
 
@@ -116,7 +118,7 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
         if not before or reach[before - 1] <= a:
             out.append((kind, a, z, False))
 
-    if "at" in text and ("[" in text or "(" in text):
+    if _AT.search(text):
         for m in _LOOSE_MAIL.finditer(text):
             put("email", *m.span())
     if _DIGIT.search(text):
@@ -128,10 +130,8 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     if _SECRET_WORD.search(text):
         for m in _SECRET.finditer(text):
             put("secret", *m.span(1))
-    if not FIRST_NAMES.isdisjoint(text.split()):
-        for m in re.finditer(r"\b([A-Z][a-z]+) [A-Z][a-z]+\b", text):
-            if m[1] in FIRST_NAMES:
-                put("name", *m.span())
+    for m in _NAME.finditer(text):
+        put("name", *m.span())
     return out
 
 

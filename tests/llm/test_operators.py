@@ -468,3 +468,11 @@ def test_a_notice_is_found_beside_others_of_rarer_words(spark):
     assert rows[0].labels == "bsd,gpl,gpl-2.0,mpl-2.0"
     assert {f.label: f.coverage for f in rows[0].found} == {"bsd": 1.0, "gpl-2.0": 1.0, "mpl-2.0": 1.0}
     assert all(rows[i].labels == "gpl" for i in range(1, 31))
+
+
+@pytest.mark.parametrize(
+    "text, span",
+    [("(Mary Jones)", "Mary Jones"), ('"John Smith" said', "John Smith"), ("Dear John Smith,", "John Smith"), ("Mr John Smith", "John Smith"), ("Mail JOE [AT] SITE [DOT] COM", "JOE [AT] SITE [DOT] COM")],
+)
+def test_loose_spans_are_proposed(text, span):
+    assert [text[a:z] for _, a, z, base in pii.candidates(text, pii.base_spans(text)) if not base] == [span]
