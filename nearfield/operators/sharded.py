@@ -64,18 +64,22 @@ class ShardedIndex(Index):
         self.structures = materialise(self.structures.unionByName(self._built(vectors.select("id", "v"), vectors.count())))
 
     def walk(self, queries: DataFrame, k: int, **how) -> DataFrame:
-        """(qid, id, score, cost): each shard's answers; the first row of a walk bears its cost."""
+        """(qid, id, score, cost): each shard's answers; the first row of a walk bears its cost.
+
+        Ids of removed rows go to every walk, eight bytes each."""
         spark, out = queries.sparkSession, None
+        gone = None if self.dead is None else self.dead.select(F.col("id").cast("long")).toPandas()["id"].to_numpy()
         for qids, q in query_blocks(queries):
-            shared = spark.sparkContext.broadcast((qids, q))
+            shared = spark.sparkContext.broadcast((qids, q, gone))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                qids, q = shared.value
+                qids, q, gone = shared.value
                 for b in batches:
                     for payload in b.column(0).to_pylist():
                         ids, made = pickle.loads(payload)
+                        dead = None if gone is None else np.isin(ids, gone)
                         for i in range(len(q)):
-                            rows, scores, cost = made.search(q[i], k, **how)
+                            rows, scores, cost = made.search(q[i], k, dead=dead, **how)
                             costs = np.zeros(len(rows))
                             costs[:1] = cost
                             yield pa.RecordBatch.from_arrays(
@@ -88,10 +92,8 @@ class ShardedIndex(Index):
 
     def search(self, queries: DataFrame, k: int = 10, **how) -> Found:
         n = self.check_queries(queries, k)
-        dead = 0 if self.dead is None else self.dead.count()
-        walked = materialise(self.walk(queries, k + dead if dead <= k else 2 * k, **how))
-        live = walked if self.dead is None else walked.join(self.dead, "id", "left_anti")
-        found = top(live.select("qid", "id", "score"), k)
+        walked = materialise(self.walk(queries, k, **how))
+        found = top(walked.select("qid", "id", "score"), k)
         if self.fills:
             found = top_up(found, queries, self.live(), k)
         cost = walked.agg(F.sum("cost").alias("distances"), F.sum("cost").cast("long").alias("candidates")).select(

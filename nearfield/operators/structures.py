@@ -2,7 +2,7 @@
 
 Their walks are sequential by nature.  Each shard of a table gets a structure of its own, of
 bounded size; a search asks every shard and merges (see sharded.py).  Results are (positions,
-scores, cost) with squared L2 scores.
+scores, cost) with squared L2 scores; rows flagged in ``dead`` are walked and charged, not returned.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class KdTree:
         self.low = np.stack([v[r].min(0) for r in self.leaves])
         self.high = np.stack([v[r].max(0) for r in self.leaves])
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, q: np.ndarray, k: int, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0.0)
         bound = (gap * gap).sum(1)
         rows, scores, cost = np.empty(0, dtype=int), np.empty(0), 0
@@ -47,7 +47,8 @@ class KdTree:
             if len(rows) == k and bound[i] > scores[-1]:
                 break
             cost += len(self.leaves[i])
-            rows, scores = _nearest(self.v, np.concatenate((rows, self.leaves[i])), q, k)
+            leaf = self.leaves[i] if dead is None else self.leaves[i][~dead[self.leaves[i]]]
+            rows, scores = _nearest(self.v, np.concatenate((rows, leaf)), q, k)
         return rows, scores, cost
 
 
@@ -96,9 +97,9 @@ class Forest:
     def candidates(self, q: np.ndarray, trees: int | None = None) -> np.ndarray:
         return np.unique(np.concatenate([t.descend(q) for t in self.trees[:trees]]))
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, q: np.ndarray, k: int, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         rows = self.candidates(q)
-        return *_nearest(self.v, rows, q, k), len(rows)
+        return *_nearest(self.v, rows if dead is None else rows[~dead[rows]], q, k), len(rows)
 
 
 def diverse(v: np.ndarray, at: int, near: np.ndarray, degree: int, alpha: float) -> list[int]:
@@ -114,13 +115,13 @@ def diverse(v: np.ndarray, at: int, near: np.ndarray, degree: int, alpha: float)
     return kept
 
 
-def beam(v: np.ndarray, links, start: list[int], q: np.ndarray, width: int) -> tuple[list[tuple[float, int]], int]:
-    """Best-first walk: ends when the best of the frontier is worse than the worst kept."""
+def beam(v: np.ndarray, links, start: list[int], q: np.ndarray, width: int, dead: np.ndarray | None = None) -> tuple[list[tuple[float, int]], int]:
+    """Best-first walk: ends when the best of the frontier is worse than the worst kept; dead rows lead on but aren't kept."""
     score = lambda rows: ((v[rows] - q) ** 2).sum(1)
     seen = set(start)
     first = score(start)
     frontier = [(d, r) for d, r in zip(first.tolist(), start, strict=True)]
-    kept = [(-d, -r) for d, r in frontier]
+    kept = [(-d, -r) for d, r in frontier if dead is None or not dead[r]]
     heapq.heapify(frontier)
     heapq.heapify(kept)
     cost = len(start)
@@ -136,7 +137,8 @@ def beam(v: np.ndarray, links, start: list[int], q: np.ndarray, width: int) -> t
         for s, x in zip(score(new).tolist(), new, strict=True):
             if len(kept) < width or s < -kept[0][0]:
                 heapq.heappush(frontier, (s, x))
-                heapq.heappush(kept, (-s, -x))
+                if dead is None or not dead[x]:
+                    heapq.heappush(kept, (-s, -x))
                 if len(kept) > width:
                     heapq.heappop(kept)
     return sorted((-d, -r) for d, r in kept), cost
@@ -177,8 +179,8 @@ class BeamGraph:
     def visited(self, q: np.ndarray, ef: int | None = None) -> np.ndarray:
         return touched(self.v, self.links, self.entry, q, ef or self.ef)
 
-    def search(self, q: np.ndarray, k: int, ef: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        kept, cost = beam(self.v, self.links, [self.entry], q, max(k, ef or self.ef))
+    def search(self, q: np.ndarray, k: int, ef: int | None = None, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        kept, cost = beam(self.v, self.links, [self.entry], q, max(k, ef or self.ef), dead)
         return np.array([r for _, r in kept[:k]], dtype=int), np.array([d for d, _ in kept[:k]]), cost
 
 
@@ -233,10 +235,10 @@ class Hnsw:
                 return at, cost
             best, at = float(d.min()), near[int(d.argmin())]
 
-    def search(self, q: np.ndarray, k: int, ef: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, q: np.ndarray, k: int, ef: int | None = None, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         at, cost = self.entry, 0
         for layer in range(len(self.layers) - 1, 0, -1):
             at, c = self._climb(q, layer, at)
             cost += c
-        kept, c = beam(self.v, self.layers[0], [at], q, max(k, ef or self.ef))
+        kept, c = beam(self.v, self.layers[0], [at], q, max(k, ef or self.ef), dead)
         return np.array([r for _, r in kept[:k]], dtype=int), np.array([d for d, _ in kept[:k]]), cost + c

@@ -348,3 +348,26 @@ def test_command_line(spark, tmp_path):
     assert json.loads(cli.dispatch(["shortlist", *small], spark).output)["depths"]
     bad = cli.dispatch(["measure", "--index", "nothing", *small], spark)
     assert bad.code == 1 and "unknown index" in bad.error
+
+
+def test_structures_skip_a_removed_cluster_inside_the_walk():
+    v = np.random.default_rng(4).standard_normal((300, 6))
+    q = v[0]
+    d = ((v - q) ** 2).sum(1)
+    order = np.lexsort((np.arange(300), d))
+    dead = np.zeros(300, dtype=bool)
+    dead[order[:60]] = True
+    want = order[60:65].tolist()
+    assert structures.KdTree(v, 8).search(q, 5, dead=dead)[0].tolist() == want
+    for made in (structures.BeamGraph(v), structures.Hnsw(v), structures.Forest(v, leaf_size=300)):
+        assert made.search(q, 5, dead=dead)[0].tolist() == want
+
+
+def test_a_tree_stays_exact_after_a_cluster_is_removed(spark):
+    v = np.random.default_rng(6).standard_normal((200, 4))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    order = np.argsort(((v - v[0]) ** 2).sum(1)).tolist()
+    made = sharded.TreeIndex(4, shards=1).build(table)
+    made.remove(spark.createDataFrame([(i,) for i in order[:50]], "id long"))
+    found = made.search(spark.createDataFrame([(0, v[0].tolist())], "qid long, q array<double>"), 5).result
+    assert [r.id for r in sorted(found.collect(), key=lambda r: r["rank"])] == order[50:55]
