@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 that are part of a word once A-Z are lower: digits, a-z and all of 0x80-0xFF.
 WORD_BYTES = bytes(
@@ -23,7 +22,7 @@ def words_of(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, is a folder made.
+    Only where the session names none and runs on one machine, as in tests, is a folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that its machines share")
         current = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")
@@ -57,6 +58,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id stands in kept(kept_id); columns and repeated rows as they were."""
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem

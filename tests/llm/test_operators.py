@@ -476,3 +476,38 @@ def test_a_notice_is_found_beside_others_of_rarer_words(spark):
 )
 def test_loose_spans_are_proposed(text, span):
     assert [text[a:z] for _, a, z, base in pii.candidates(text, pii.base_spans(text)) if not base] == [span]
+
+
+def test_near_duplicate_classes_do_not_depend_on_the_partitions(spark):
+    base = prose(5, 200)
+    rows = [(i, edited(base, i, 0.02)) for i in range(120)] + [(500, "x y " * 30_000), (501, "x y " * 30_000 + "z"), (501, base), (502, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_OTHER", F.lit(1)).withColumn("other", F.lit(1))
+    few = set(order_minhash.near_duplicates(d).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert set(order_minhash.near_duplicates(d.repartition(9)).collect()) == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.class_id for r in few if r.doc_id in (500, 501)} == {min(r.class_id for r in few if r.doc_id == 501)}
+    assert order_minhash.keep_one_each(d).columns == d.columns
+
+
+def test_spanning_forest_joins_what_its_edges_join():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        n, m = r.integers(2, 30), r.integers(0, 80)
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        cost = r.integers(0, 5, m)
+
+        def joined(edges):
+            root = list(range(n))
+            for e in edges:
+                x, y = root[a[e]], root[b[e]]
+                root = [x if z == y else z for z in root]
+            return root
+
+        kept = order_minhash.spanning(a, b, cost)
+        one, two = joined(range(m)), joined(kept)
+        assert all((one[x] == one[y]) == (two[x] == two[y]) for x in range(n) for y in range(n))
+        assert len(kept) == n - len(set(one))
