@@ -489,7 +489,7 @@ def test_near_duplicate_classes_do_not_depend_on_the_partitions(spark):
         assert set(order_minhash.near_duplicates(d.repartition(9)).collect()) == few
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert {r.class_id for r in few if r.doc_id in (500, 501)} == {min(r.class_id for r in few if r.doc_id == 501)}
+    assert {r.doc_id: r.class_id for r in few if r.doc_id > 120} == {500: 500, 501: 0, 502: 502}
     assert order_minhash.keep_one_each(d).columns == d.columns
 
 
