@@ -2,10 +2,11 @@
 
 A Structured Streaming aggregation keeps one state row per digest in RocksDB.  No watermark
 is set, so no key ever expires.  The row holds the digest, the stable identifier of the
-document that stays, its content locator (file and row position) and a count.  New input
-continues from the stream's checkpoint.  A row whose digest is already held is a *hit*: the
-full text at the locator is compared with it, byte for byte, so digests never decide alone.
-Where bytes differ under one digest, that digest's rows are grouped by their whole text.
+document that stays, its content locator (file and row position) and a count.  Every run
+feeds its digests to the same stream, which goes on from its checkpoint.  A row whose digest
+is already held is a *hit*: the text at the held locator, of this run or of an earlier one, is
+fetched and compared with it byte for byte, so digests never decide alone.  Where bytes differ
+under one digest, all rows of that digest, of all runs, are grouped by their whole text.
 
 The main path has DataFrame operations only.  Before the shuffle the aggregation is partial,
 the locator join is split by AQE, and the byte check is salted by the size of the group.
@@ -13,11 +14,14 @@ the locator join is split by AQE, and the byte check is salted by the size of th
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, scratch, shared_dir
+from .common import cut, drop_path, fresh, scratch, shared_dir
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -37,13 +41,41 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+LOCATOR = "struct<file: string, row: bigint>"
+FEED = f"digest string, doc_id bigint, locator {LOCATOR}, run string"
+
+
 class DigestState:
-    """Keyed state of a digest stream.  ``home`` holds the stream's checkpoint and its updates."""
+    """Keyed state of a digest stream below ``home``: the feed of all runs, the stream's checkpoint, its updates."""
 
     def __init__(self, spark: SparkSession, home: str | None = None):
         self.spark = spark
         self.home = home or scratch(spark, "digest-state")
 
+    def fed(self, run: str | None = None) -> DataFrame:
+        """digest, doc_id, locator, run of one run, or of all."""
+        rows = self.spark.read.schema(FEED).parquet(f"{self.home}/feed")
+        return rows if run is None else rows.filter(F.col("run") == run)
+
+    def clashes(self) -> DataFrame:
+        """Digests of which any run found unequal texts."""
+        try:
+            return self.spark.read.schema("digest string").parquet(f"{self.home}/clashes").distinct()
+        except AnalysisException:  # none so far
+            return self.spark.createDataFrame([], "digest string")
+
+    def has(self, run: str) -> bool:
+        try:
+            return not self.fed(run).isEmpty()
+        except AnalysisException:  # no feed yet
+            return False
+
+    def take(self, rows: DataFrame, run: str) -> None:
+        """Feeds (digest, doc_id, locator) of a run; a run that was fed before isn't counted twice."""
+        if not self.has(run):
+            rows.select("digest", "doc_id", "locator", F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(f"{self.home}/feed")
+        self.ingest(self.spark.readStream.schema(FEED).parquet(f"{self.home}/feed"))
+
     def ingest(self, stream: DataFrame) -> None:
         """Takes what ``stream`` (digest, doc_id, locator) holds now; may be called again.
 
@@ -78,11 +110,11 @@ class DigestState:
 
     def snapshot(self) -> DataFrame:
         """digest, keep_id, keep_locator, group_size as of the last ingest; one row a digest."""
-        schema = (
-            "digest string, keeper struct<doc_id: bigint, locator: struct<file: string, row: bigint>>,"
-            " group_size bigint, batch bigint"
-        )
-        rows = self.spark.read.schema(schema).parquet(f"{self.home}/updates/b=*")
+        schema = f"digest string, keeper struct<doc_id: bigint, locator: {LOCATOR}>, group_size bigint, batch bigint"
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.home}/updates/b=*")
+        except AnalysisException:  # nothing was taken yet
+            rows = self.spark.createDataFrame([], schema)
         last = rows.groupBy("digest").agg(F.max_by(F.struct("keeper", "group_size"), "batch").alias("s"))
         return last.select(
             "digest",
@@ -92,24 +124,41 @@ class DigestState:
         )
 
 
-def with_locator(docs: DataFrame, name: str = "__locator") -> DataFrame:
-    """docs with a column that tells its rows apart: a row's file and its position in it.
+def _place(docs: DataFrame) -> Column:
+    source = docs.metadataColumn("_metadata")
+    return F.struct(source["file_path"].alias("file"), source["row_index"].alias("row"))
 
-    A frame that reads no files has no such metadata; there the locator is the row's place in
-    the frame, which is stable as long as the frame itself is.
+
+def in_files(docs: DataFrame, path: str, written: bool = False) -> DataFrame:
+    """docs itself where each of its rows is a row of a Parquet file; else docs written at ``path``.
+
+    A join or an explode repeats rows of files, which then share a place; such a frame is
+    written too, unless ``written`` says that it stands there already.
     """
     try:
-        return docs.select(
-            "*",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-            ).alias(name),
-        )
-    except AnalysisException:  # no read of files
+        places = docs.select(_place(docs).alias("p"))
+        if places.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return docs
+    except AnalysisException:  # no read of Parquet files
         pass
-    return docs.withColumn(
-        name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
-    )
+    if not written:
+        docs.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def with_locator(docs: DataFrame, name: str) -> DataFrame:
+    """docs (see in_files) with a column that tells its rows apart: a row's file and its position in it."""
+    return docs.select("*", _place(docs).alias(name))
+
+
+def texts_at(spark: SparkSession, places: DataFrame, text_col: str) -> DataFrame:
+    """locator, body of the rows at ``places`` (locator), read from their files; missing files are an error."""
+    files = [unquote(r[0]) for r in places.select("locator.file").distinct().collect()]  # names of files, no rows
+    if not files:
+        return spark.createDataFrame([], f"locator {LOCATOR}, body string")
+    there = spark.read.parquet(*files)
+    rows = there.select(_place(there).alias("locator"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    return rows.join(places.select("locator").distinct(), "locator", "left_semi")
 
 
 def exact_dedup(
@@ -118,6 +167,7 @@ def exact_dedup(
     text_col: str = "text",
     digest=sha256_of,
     state: DigestState | None = None,
+    run: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator.
 
@@ -125,32 +175,48 @@ def exact_dedup(
     texts the row with the largest id stays (a null id is below all others); of rows that
     share that id too, the one with the last locator, so repeated rows are dropped as well.
     An empty table gives an empty result.  Other columns of ``docs`` are not read.
+
+    With ``state`` the rows of earlier runs count too: keep_id may be of one of them, and then
+    no row of this run stays.  What earlier runs returned is not called back.  ``run`` names a
+    run, so that one that is tried again is not counted twice; the files that a state's rows
+    came from must stay where they were, with their texts under ``text_col``.
     """
+    lasting, state = state is not None, state or DigestState(docs.sparkSession)
+    run = run or uuid.uuid4().hex
+    two = in_files(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)), f"{state.home}/content/{run}", lasting and state.has(run))
+    return _dedup(two, "doc_id", text_col, digest, state, run, lasting)
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, digest, state: DigestState, run: str, lasting: bool) -> DataFrame:
+    """exact_dedup of a frame whose rows are in files; a state that isn't lasting is deleted."""
     spark = docs.sparkSession
-    rows = with_locator(docs).select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("body"),
-        F.col("__locator").alias("locator"),
-    )
-    rows = rows.withColumn("digest", digest(F.col("body")))
-    if state is None:
-        state = DigestState(spark)
     shared_dir(spark)
-    feed = scratch(spark, "digests")
-    rows.select("digest", "doc_id", "locator").write.parquet(feed)
-    narrow = spark.read.parquet(feed)
-    state.ingest(spark.readStream.schema(narrow.schema).parquet(feed))
-    held = cut(state.snapshot())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), _place(docs).alias("locator"))
+    rows = rows.withColumn("digest", digest(F.col("body")))
+    state.take(rows, run)
+    narrow, held, far = state.fed(run).drop("run"), state.snapshot(), None
+    if lasting:
+        ours = narrow.select("digest").distinct()
+        others = state.fed().filter(F.col("run") != run).join(ours, "digest", "left_semi").groupBy("digest", "run").agg(F.max("locator").alias("locator"))
+        far = cut(others.drop("run"))
+        far = far.join(texts_at(spark, far, text_col), "locator")
+        held = held.join(ours, "digest", "left_semi")
+    held = cut(held)
 
-    clash = _unequal_under_one_digest(rows, held)
+    clash = _unequal_under_one_digest(rows, narrow, held, far)
+    if lasting and not clash.isEmpty():
+        clash.write.mode("append").parquet(f"{state.home}/clashes")
+    clash = clash.union(state.clashes()).distinct() if lasting else clash
     decided = narrow.join(held, "digest", "left")
     if not clash.isEmpty():
-        ours = rows.join(clash, "digest", "left_semi")
-        groups = ours.groupBy("digest", "body").agg(
+        every = state.fed().join(clash, "digest", "left_semi")
+        every = every.join(texts_at(spark, every, text_col), "locator")
+        groups = every.groupBy("digest", "body").agg(
             F.max(F.struct("doc_id", "locator")).alias("k"), F.count("*").alias("group_size")
         )
         again = (
-            ours.join(groups, ["digest", "body"])
+            rows.join(clash, "digest", "left_semi")
+            .join(groups, ["digest", "body"])
             .withColumn("keep_id", F.col("k.doc_id"))
             .withColumn("keep_locator", F.col("k.locator"))
         )
@@ -160,7 +226,7 @@ def exact_dedup(
     if sha is None:
         decided = decided.join(rows.select("locator", sha256_of(F.col("body")).alias("sha")), "locator")
         sha = F.col("sha")
-    return decided.select(
+    out = decided.select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -168,22 +234,34 @@ def exact_dedup(
         sha.alias("text_sha256"),
         "locator",
     )
+    if not lasting:
+        out = cut(out)
+        drop_path(spark, state.home)
+    return out
 
 
-def _unequal_under_one_digest(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """Digests of which some row's bytes differ from the text at the held locator."""
-    groups = held.filter("group_size > 1").select(
-        "digest", "keep_locator", F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int").alias("salts")
-    )
+def _unequal_under_one_digest(rows: DataFrame, narrow: DataFrame, held: DataFrame, far: DataFrame | None) -> DataFrame:
+    """Digests under which some row's bytes differ from those of the last row of this run.
+
+    far (digest, body) holds a fetched text of each earlier run, whose own rows were compared
+    when it ran; without it this run is all there is, and its last row is the held one.
+    """
+    groups = held.filter("group_size > 1").select("digest", F.col("keep_locator").alias("last"), "group_size")
+    if far is not None:
+        last = narrow.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("k")).select("digest", F.col("k.locator").alias("last"))
+        groups = groups.drop("last").join(last, "digest")
+    groups = groups.select("digest", "last", F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int").alias("salts"))
     spark = rows.sparkSession
     path = scratch(spark, "hits")  # whole texts move once; only members of groups are written
     rows.join(groups, "digest").write.parquet(path)
     hits = spark.read.parquet(path)
-    first = F.col("locator") == F.col("keep_locator")
+    first = F.col("locator") == F.col("last")
     there = hits.filter(first).select(
-        F.col("digest"), F.col("body").alias("held_body"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        "digest", F.col("body").alias("held_body"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
     new = hits.filter(~first).select("digest", "body", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int").alias("salt"))
+    if far is not None:
+        new = new.unionByName(far.select("digest", "body", F.lit(0).alias("salt")))
     clash = cut(new.join(there, ["digest", "salt"]).filter("body != held_body").select("digest").distinct())
     drop_path(spark, path)
     return clash
@@ -191,6 +269,8 @@ def _unequal_under_one_digest(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns; they are found by their locators."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("locator").alias("__kept"))
-    own = with_locator(docs)
-    return own.join(kept, F.col("__locator") == F.col("__kept"), "left_semi").drop("__locator")
+    docs, state = in_files(docs, scratch(docs.sparkSession, "copies")), DigestState(docs.sparkSession)
+    kept = _dedup(docs, id_col, text_col, sha256_of, state, "all", False).filter("kept")
+    place = fresh(docs, "place")
+    own, kept = with_locator(docs, place), kept.select(F.col("locator").alias(fresh(docs, "kept_place")))
+    return own.join(kept, F.col(place) == F.col(kept.columns[0]), "left_semi").drop(place)
