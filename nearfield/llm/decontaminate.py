@@ -2,13 +2,13 @@
 
 Words are lower-cased (A-Z) runs of digits, letters and everything beyond ASCII.  A window is
 ``n`` consecutive words of a benchmark item; an item with fewer words is one window itself.
-Each task turns its documents' words into numbers of the benchmark's vocabulary, hashes the
-word windows that hold such words only, looks the hashes up in the broadcast sorted set, and
-verifies each hit by the words themselves.
+Each task hashes its documents' words and their windows, looks these up in the broadcast
+sorted hashes, and verifies each hit by the words themselves.
 
 What is broadcast is bounded: items are taken in blocks of at most ``block_words`` words
-(read from the driver one block at a time), and more blocks mean more scans, never a larger
-broadcast.  Documents are not shuffled with one block.
+(read from the driver one block at a time), flat arrays of some 30 bytes a word; more blocks
+mean more scans, never a larger broadcast.  An item longer than a block is dealt to several,
+which overlap by a window.  Documents are not shuffled with one block.
 """
 
 from __future__ import annotations
@@ -22,61 +22,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, words_of
-from .exact_dedup import with_locator
+from .common import cut, hashed_words, windows, words_of
 
-#: Words of benchmark items in one broadcast block: below 100 MB as Python objects.
-BLOCK_WORDS = 500_000
-_COEF = np.array([pow(0x9E3779B97F4A7C15, j + 1, 2**64) | 1 for j in range(64)], dtype=np.uint64)
+#: Words of benchmark items in one broadcast block: about 60 MB of arrays.
+BLOCK_WORDS = 2_000_000
 
 
 class WindowIndex:
-    """Windows of some items: vocabulary, and for each window length sorted hashes and words."""
+    """Windows of some items: their words, and for each window length sorted hashes with places and items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
-        self.vocab: dict[bytes, int] = {}
-        self.items: list[str] = []
-        self.at: dict[int, dict[bytes, list[int]]] = {}
-        for name, words in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], dtype=np.int64)
-            self.items.append(name)
-            k = min(n, len(ids))
-            windows = self.at.setdefault(k, {})
-            for i in range(len(ids) - k + 1):
-                own = windows.setdefault(ids[i : i + k].tobytes(), [])
-                if not own or own[-1] != len(self.items) - 1:
-                    own.append(len(self.items) - 1)
-        self.hashes = {
-            k: np.unique(_hash(np.frombuffer(b"".join(w), dtype=np.int64).reshape(-1, k)))
-            for k, w in self.at.items()
-        }
-
-    def scan(self, ids: np.ndarray) -> tuple[list[int], list[int], list[set[int]]]:
-        """Starts and ends (exclusive) of windows that occur in ids, and each one's items."""
-        starts, ends, items = [], [], []
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        for k, table in self.at.items():
-            if len(ids) < k:
+        self.items = [name for name, _ in items]
+        self.words = b" ".join(w for _, words in items for w in words)
+        _, first, last, hashes = hashed_words(self.words.decode())
+        self.first, self.last = first.astype(np.uint32), last.astype(np.uint32)
+        made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        at = 0
+        for i, (_, words) in enumerate(items):
+            k = min(n, len(words))
+            h = windows(hashes[at : at + len(words)], k)
+            made.setdefault(k, []).append((h, np.arange(at, at + len(h), dtype=np.uint32), np.full(len(h), i, dtype=np.uint32)))
+            at += len(words)
+        self.tables = {}
+        for k, parts in made.items():
+            h, place, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, h))
+            self.tables[k] = h[order], place[order], item[order]
+
+    def words_at(self, place: int, k: int) -> list[bytes]:
+        return self.words[self.first[place] : self.last[place + k - 1]].split()
+
+    def _may_hold(self, k: int) -> np.ndarray:
+        """A table of flags by the upper bits of a hash, made once in a task: most windows end here."""
+        flags = self.__dict__.setdefault("_flags", {})
+        if k not in flags:
+            h = self.tables[k][0]
+            flags[k] = np.zeros(1 << max(10, (8 * len(h)).bit_length()), dtype=bool)
+            flags[k][h >> np.uint64(65 - len(flags[k]).bit_length())] = True
+        return flags[k]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_flags"}
+
+    def scan(self, text: str | None) -> tuple[int, list[int], list[int], set[int], bytes, np.ndarray, np.ndarray]:
+        """Words, starts and ends (exclusive) of windows that occur, their items; and where words are."""
+        raw, first, last, hashes = hashed_words(text)
+        starts, ends, items = [], [], set()
+        for k, (table, places, owners) in self.tables.items():
+            if len(hashes) < k:
                 continue
-            at = np.flatnonzero(known[k:] - known[:-k] == k)
-            if not len(at):
-                continue
-            h = _hash(np.lib.stride_tricks.sliding_window_view(ids, k)[at])
-            sorted_hashes = self.hashes[k]
-            place = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
-            for i in at[sorted_hashes[place] == h].tolist():
-                if (own := table.get(ids[i : i + k].tobytes())) is not None:
+            h = windows(hashes, k)
+            flags = self._may_hold(k)
+            at = np.flatnonzero(flags[h >> np.uint64(65 - len(flags).bit_length())])
+            low, high = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
+            for i, a, z in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                own = raw[first[i] : last[i + k - 1]].split()
+                true = [j for j in range(a, z) if self.words_at(places[j], k) == own]
+                if true:
                     starts.append(i)
                     ends.append(i + k)
-                    items.append(own)
-        return starts, ends, items
-
-
-def _hash(windows: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(windows), dtype=np.uint64)
-    for j in range(windows.shape[1]):
-        h = (h ^ windows[:, j].astype(np.uint64)) * _COEF[j % 64]
-    return h
+                    items.update(owners[true].tolist())
+        return len(hashes), starts, ends, items, raw, first, last
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -95,30 +101,27 @@ def blocks(benchmark: DataFrame, n: int, block_words: int = BLOCK_WORDS, id_col=
     size = 0
     for name, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         words = words_of(text)
-        if not words:
-            continue
-        if own and size + len(words) > block_words:
-            yield WindowIndex(own, n)
-            own, size = [], 0
-        own.append(("null" if name is None else name, words))
-        size += len(words)
+        step = max(1, max(block_words, n) - n + 1)  # pieces overlap, so no window is cut
+        for at in range(0, max(1, len(words) - n + 1) if words else 0, step):
+            piece = words[at : at + step + n - 1]
+            if own and size + len(piece) > block_words:
+                yield WindowIndex(own, n)
+                own, size = [], 0
+            own.append(("null" if name is None else name, piece))
+            size += len(piece)
     if own:
         yield WindowIndex(own, n)
 
 
 def _scan_text(index: WindowIndex, text: str | None):
-    words = words_of(text)
-    get = index.vocab.get
-    ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-    starts, ends, items = index.scan(ids)
-    names = sorted({index.items[x] for x in chain.from_iterable(items)})
-    return len(words), _merged(starts, ends), names
+    n, starts, ends, items, *_ = index.scan(text)
+    return n, _merged(starts, ends), sorted({index.items[x] for x in items})
 
 
 SCAN = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
-        T.StructField("locator", T.StringType()),
+        T.StructField("row", T.LongType()),
         T.StructField("n_words", T.LongType()),
         T.StructField(
             "spans",
@@ -130,7 +133,7 @@ SCAN = T.StructType(
 _SCAN_ARROW = pa.schema(
     [
         ("doc_id", pa.int64()),
-        ("locator", pa.string()),
+        ("row", pa.int64()),
         ("n_words", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ("items", pa.list_(pa.string())),
@@ -153,12 +156,11 @@ def scan(
     is listed as "null".  An empty benchmark hits nothing; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = with_locator(docs).select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.to_json("__locator").alias("locator"),
-        F.col(text_col).cast("string").alias("text"),
-    )
-
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    indexes = blocks(benchmark, n, block_words)
+    first, second = next(indexes, WindowIndex([], n)), next(indexes, None)
+    if second is not None:  # a number for each row, the same in every scan
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     def scanned(index: WindowIndex) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
 
@@ -180,12 +182,11 @@ def scan(
 
         return rows.mapInArrow(run, SCAN)
 
-    found = [scanned(index) for index in blocks(benchmark, n, block_words)] or [scanned(WindowIndex([], n))]
-    out = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("locator").agg(
+    out = scanned(first)
+    if second is not None:
+        for more in chain((second,), indexes):
+            out = out.unionByName(scanned(more))
+        out = out.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"),
             F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -263,14 +264,11 @@ def remove_spans(
 
 
 def _without(index: WindowIndex, text: str | None) -> str | None:
-    if not text or not (spans := _scan_text(index, text)[1]):
+    _, starts, ends, _, _, first, last = index.scan(text)
+    if not starts:
         return text
-    raw = text.encode("utf-8", "replace")
-    inside = np.frombuffer(raw.translate(WORD_BYTES), dtype=np.uint8) != 32
-    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out, pos = [], 0
-    for a, z in spans:
+    raw, out, pos = text.encode("utf-8", "replace"), [], 0
+    for a, z in _merged(starts, ends):
         out.append(raw[pos : first[a]])
         pos = last[z - 1]
     return b"".join([*out, raw[pos:]]).decode("utf-8")
