@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Mean of one Poisson piece at most.
 PIECE = 16.0
@@ -35,9 +35,9 @@ def uniform(*key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def _quantile(u: Column) -> Column:
-    """Entries of __sums up to u; u is bound once, not worked out for each entry."""
-    return F.get(F.transform(F.array(u), lambda x: F.size(F.filter("__sums", lambda c: c <= x))), F.lit(0))
+def _quantile(sums: str, u: Column) -> Column:
+    """Entries of the column ``sums`` up to u; u is bound once, not worked out for each entry."""
+    return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(sums, lambda c: c <= x))), F.lit(0))
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, power: float, budget: float, source_col: str) -> DataFrame:
@@ -86,19 +86,20 @@ def mix(
         ),
         lambda acc: acc["c"],
     )
-    table = cut(table.withColumn("pieces", pieces).withColumn("__sums", sums).select(
-        F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("pieces").alias("__pieces"), "__sums"))
+    key, of, piece, up = (fresh(docs, x) for x in ("of_source", "of_rate", "of_pieces", "of_sums"))
+    table = table.withColumn("pieces", pieces).withColumn("sums", sums)
+    table = cut(table.select(F.col("source").alias(key), F.col("rate").alias(of), F.col("pieces").alias(piece), F.col("sums").alias(up)))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__pieces")),
+        F.sequence(F.lit(1), F.col(piece)),
         F.lit(0),
-        lambda acc, i: acc + _quantile(uniform(str(seed), name, i.cast("string"))),
+        lambda acc, i: acc + _quantile(up, uniform(str(seed), name, i.cast("string"))),
     )
-    own = [c for c in docs.columns if c not in ("rate", "n_copies", "copy", "shuffle_key")]
-    counted = docs.join(table, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("__source"))
-    counted = counted.select(*own, F.col("__rate").alias("rate"), drawn.cast("long").alias("n_copies")).filter("n_copies > 0")
+    own = [c for c in docs.columns if c.lower() not in ("rate", "n_copies", "copy", "shuffle_key")]
+    counted = docs.join(table, F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col(key))
+    counted = counted.select(*own, F.col(of).alias("rate"), drawn.cast("long").alias("n_copies")).filter("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    deal = F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy").cast("string")))
+    return copies.withColumn("shuffle_key", deal).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
