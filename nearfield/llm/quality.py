@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 FEATURES = [
     "upper", "symbol", "digit", "space", "marks_a_word", "word_length", "log_words", "distinct", "run", "packed", "lines",
@@ -50,7 +50,6 @@ def features(text: str | None) -> list[float]:
     n, ink = len(raw), len(raw) - int(counts[_SPACE])
     same = sum(map(bytes.__eq__, words, words[1:]))
     lines = [x for x in re.split(rb"\n+", raw) if x]
-    packed = len(zlib.compress(raw, 1)) / n if n < 1 << 16 else _packed(raw)
     return [
         counts[_UPPER] / ink,
         counts[_OTHER] / ink,
@@ -61,15 +60,15 @@ def features(text: str | None) -> list[float]:
         np.log1p(len(words)),
         np.log(len(set(words)) + 1) / np.log(len(words) + 1),
         same / len(words),
-        packed * np.log(n + 16) / np.log(4096),
+        _packed(raw),
         len(set(lines)) / max(1, len(lines)),
     ]
 
 
-def _packed(raw: bytes) -> float:
-    """Mean share that blocks of a long text pack to, as one block of that size would."""
-    blocks = [raw[i : i + (1 << 16)] for i in range(0, len(raw), 1 << 16)]
-    return sum(len(zlib.compress(b, 1)) for b in blocks) / len(raw)
+def _packed(raw: bytes, block: int = 1 << 16) -> float:
+    """Mean share that the blocks of a text pack to, each by its own length; one rule for all lengths."""
+    blocks = [raw[i : i + block] for i in range(0, len(raw), block)]
+    return sum(len(zlib.compress(b, 1)) * np.log(len(b) + 16) for b in blocks) / len(raw) / np.log(4096)
 
 
 class Logistic:
@@ -184,12 +183,16 @@ def quality(
     whole = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     mean = F.lit(0.5 if whole is None else min(max(whole, 1e-3), 1 - 1e-3))
     k_host = F.lit(_strength(hosts, mean))
-    hosts = hosts.select(F.col("host").alias("h"), ((k_host * mean + F.col("s")) / (k_host + F.col("n"))).alias("host_mean"))
-    sites = cut(paths.join(hosts, F.col("host") == F.col("h")).drop("h"))
+    shrunk = (k_host * mean + F.col("host_s")) / (k_host + F.col("host_n"))
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    sites = cut(paths.join(hosts, F.col("host") == F.col("h")).drop("h").withColumn("host_mean", shrunk))
     k_path = F.lit(_strength(sites, F.col("host_mean")))
-    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("t"), "host_mean", "n", "s")
+    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("t"), "host_n", "host_s", "n", "s")
     of = judged.join(sites, (F.col("host") == F.col("h")) & (F.col("path") == F.col("t")))
-    others = (k_path * F.col("host_mean") + F.greatest(F.col("s") - p, F.lit(0.0))) / (k_path + F.col("n") - 1)
+    # a document is no witness for itself, neither at its path nor at its host
+    left = lambda s: F.greatest(F.col(s) - p, F.lit(0.0))
+    of = of.withColumn("host_mean", (k_host * mean + left("host_s")) / (k_host + F.col("host_n") - 1))
+    others = (k_path * F.col("host_mean") + left("s")) / (k_path + F.col("n") - 1)
     odds = F.greatest(F.lit(-MOST_LOGIT), F.least(F.lit(MOST_LOGIT), F.log(F.col("path_mean") / (1 - F.col("path_mean")))))
     evidence = F.when(F.lit(bool(sample)), F.col("logit") - F.lit(model.prior)).otherwise(F.lit(0.0))
     out = of.withColumn("path_mean", F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))).withColumn("evidence", evidence)
@@ -205,4 +208,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how)
     Rows that share an id share the decision: they go only if all of them are rejected.
     """
     bad = quality(docs, labels, id_col=id_col, **how).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept"))
-    return docs.join(bad.select(F.col("doc_id").alias("__bad")), F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    own = fresh(docs, "bad")
+    return docs.join(bad.select(F.col("doc_id").alias(own)), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
