@@ -17,6 +17,7 @@ index words at all; nothing is gathered beyond a file.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def _index() -> tuple[list[tuple[str, int, int, float]], list[str]]:
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), PARTS), "")
+    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), PARTS), "")
 
 
 def starts_of(phrase: str) -> Column:

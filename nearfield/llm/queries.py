@@ -156,10 +156,10 @@ posted AS (SELECT t, x, p FROM (SELECT t, unnest(string_split(notice, ' ')) AS x
 spots AS (SELECT doc_id, i, w[i + 1] AS x FROM pos WHERE w[i + 1] IN (SELECT x FROM posted)),
 idf AS (SELECT x, round(ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 9) AS idf
         FROM (SELECT DISTINCT x FROM posted) LEFT JOIN spots USING (x) GROUP BY x),
-top AS (SELECT doc_id, x FROM (SELECT DISTINCT doc_id, x FROM spots) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, x) <= {rare}),
-whole AS (SELECT t, sum(idf) AS whole FROM posted JOIN idf USING (x) JOIN
-          (SELECT t, x FROM (SELECT DISTINCT t, x FROM posted) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, x) <= {rare}) USING (t, x) GROUP BY t),
-met AS (SELECT doc_id, t, i - p AS o, sum(idf) AS mass FROM spots JOIN top USING (doc_id, x) JOIN posted USING (x) JOIN idf USING (x) GROUP BY ALL),
+own AS (SELECT t, x FROM (SELECT DISTINCT t, x FROM posted) JOIN idf USING (x) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, x) <= {rare}),
+kept AS (SELECT t, x, p, idf FROM posted JOIN own USING (t, x) JOIN idf USING (x)),
+whole AS (SELECT t, sum(idf) AS whole FROM kept GROUP BY t),
+met AS (SELECT doc_id, t, i - p AS o, sum(idf) AS mass FROM spots JOIN kept USING (x) GROUP BY ALL),
 hold AS (SELECT doc_id, t, o + place AS f, key, label, least(1.0, mass / whole) AS coverage FROM met JOIN whole USING (t) JOIN t USING (t)),
 found AS (SELECT h.doc_id, h.label, round(coverage, 6) AS coverage FROM hold h JOIN d USING (doc_id)
           WHERE coverage >= {least} AND f >= 0 AND array_to_string(w[f + 1:f + len(string_split(key, ' '))], ' ') = key),
