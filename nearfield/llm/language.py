@@ -8,8 +8,8 @@ growing where another language gains less than the penalty.
 
 The model is fitted on a bounded sample of labelled documents: about ``fit_docs`` of each
 language, by hash of the id.  Sequence counts are summed within tasks before they shuffle.
-What is broadcast is the table of log probabilities, languages x 2^15 numbers; more than
-``MOST_LANGUAGES`` labels are refused.
+What is broadcast is the table of log probabilities, languages x 2^15 numbers of four bytes
+(131 MB at ``MOST_LANGUAGES``); more labels than that are refused.
 """
 
 from __future__ import annotations
@@ -52,8 +52,7 @@ class Mixture:
 
     def __init__(self, names: list[str], counts: np.ndarray, docs: np.ndarray, smooth: float = 0.2):
         self.names = names
-        self.log_p = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * BINS)).T.copy()
-        self.p = np.exp(self.log_p)
+        self.log_p = np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * BINS)).T.astype(np.float32)
         self.log_prior = np.log((docs + 1.0) / (docs.sum() + len(docs)))
 
     def _em(self, p: np.ndarray, c: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
@@ -72,12 +71,13 @@ class Mixture:
         if not self.names or not has_letter(text):
             return "und", 0.0, []
         at, c = sequences(text)
-        alone = (c @ self.log_p[at]) / OVERLAP + self.log_prior
+        log_p = self.log_p[at].astype(np.float64)
+        alone = (c @ log_p) / OVERLAP + self.log_prior
         best = int(alone.argmax())
         odds = np.exp(alone - alone[best])
         if len(self.names) == 1 or len(c) == 0:
             return self.names[best], float(1 / odds.sum()), [(self.names[best], 1.0)]
-        p = self.p[at]
+        p = np.exp(log_p)
         pi, _ = self._em(p, c, np.full(len(self.names), 1 / len(self.names)), steps)
         order = [best] + [int(x) for x in np.argsort(-pi) if x != best]
         chosen, share, value = [best], np.ones(1), alone[best]
