@@ -511,3 +511,235 @@ def test_spanning_forest_joins_what_its_edges_join():
         one, two = joined(range(m)), joined(kept)
         assert all((one[x] == one[y]) == (two[x] == two[y]) for x in range(n) for y in range(n))
         assert len(kept) == n - len(set(one))
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_of, lambda c: F.substring(F.md5(c), 1, 1)])
+@pytest.mark.parametrize("files", [True, False])
+def test_exact_dedup_goes_on_over_runs_and_fetches_held_texts(spark, tmp_path, digest, files):
+    runs = [[(i, f"t{i % 30}") for i in range(60)], [(100 + i, f"t{i}") for i in range(20, 45)] + [(7, "t3"), (None, None)], [(7, "t3"), (200, "t44"), (None, "")]]
+    state, seen = exact_dedup.DigestState(spark, f"file://{tmp_path}/state"), []
+    for n, rows in enumerate(runs):
+        seen += rows
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        if files:
+            d.write.parquet(str(tmp_path / f"d {n}%"))
+            d = spark.read.parquet(str(tmp_path / f"d {n}%"))
+        out = exact_dedup.exact_dedup(d, digest=digest, state=state, run=f"r{n}").collect()
+        want = brute_groups(seen)
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in out} <= want and len(out) == len(rows)
+        assert all(r.kept for r in out if n == 0 and r.doc_id == r.keep_id)
+        again = exact_dedup.exact_dedup(d, digest=digest, state=state, run=f"r{n}").collect()  # a run that is tried again
+        assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_rows_that_share_a_place_in_a_file_stay_apart(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "a d")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d")).select("doc_id", F.explode(F.split("text", " ")).alias("text")).withColumn("_metadata_", F.lit(1))
+    kept = exact_dedup.drop_exact_copies(d.withColumn("Place", F.lit(1)).withColumn("kept_place", F.lit(2)))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(3, "a"), (1, "b"), (2, "c"), (3, "d")}
+    assert kept.columns == ["doc_id", "text", "_metadata_", "Place", "kept_place"]
+
+
+def test_mix_keeps_columns_that_bear_its_own_names(spark):
+    d = docs(spark, [prose(i, 5) for i in range(40)] + [None])
+    for name in ("of_source", "of_rate", "OF_SUMS", "of_pieces", "__source", "__rate", "__sums", "__pieces", "sums", "Copy", "w", "n"):
+        d = d.withColumn(name, F.lit("x"))
+    out = mixing.mix(d.unionByName(d.limit(1)).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id"))), {"s0": 3.0, "s1": 1.0})
+    assert set(d.columns) - {"Copy"} <= set(out.columns) and out.filter("doc_id is null and of_rate = 'x'").count() >= 0
+    assert out.count() == out.filter("of_sums = 'x' and __sums = 'x'").count() > 0
+
+
+def test_decontamination_of_repeated_rows_over_blocks_and_long_items(spark):
+    item = prose(1, 95)
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "only three words"), (2, "")], "item_id long, text string")
+    texts = [prose(2, 30) + " " + " ".join(item.split()[40:70]) + " " + prose(3, 30), "said: Only  THREE, words!", None, "only three"]
+    d = spark.createDataFrame([(i % 3, t, "x") for i, t in enumerate(texts * 2)], "doc_id long, text string, row string")
+    brute = sorted(brute_hits(t, [(1, item), ("null", "only three words")]) for t in texts * 2)
+    for block in (40, 10**6):
+        out = decontaminate.hit_report(decontaminate.scan(d, bench, block_words=block)).collect()
+        assert sorted((r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in out) == brute, block
+        assert decontaminate.drop_contaminated(d, bench, block_words=block).count() == 4
+
+
+# -- brute force of the models ---------------------------------------------------------------
+
+
+def test_quality_posteriors_against_plain_sums(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(160):
+        bad = r.random() < (0.7 if i % 7 == 0 else 0.2)
+        text = " ".join(r.choice("XYZ") * 4 + "!!" for _ in range(40)) if bad else prose(i, r.randint(20, 90))
+        rows.append((i if i % 50 else None, text, ["en", "de", None][i % 3], ["h0", "h1", "h2", f"solo{i}"][i % 4], None))
+    rows += rows[:5] + [(700, "", "en", "h0", None)]
+    labels = [(i, int("!!" not in rows[i][1]), 0) for i in range(0, 160, 2) if i % 50]
+    d = spark.createDataFrame(rows, DOCS).withColumn("Bad", F.lit(1)).withColumn("x", F.lit(2))
+    got = quality.quality(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    x = np.array([quality.features(t) for _, t, *_ in rows])
+    truth = dict((i, q) for i, q, _ in labels)
+    of = sorted((i, x[n].tolist(), float(truth[i])) for n, (i, *_) in enumerate(rows) if i in truth and x[n, 6] > 0)
+    model = quality.Logistic(np.array([o[1] for o in of]), np.array([o[2] for o in of]))
+    logit = model.logit(x)
+    p = 1 / (1 + np.exp(-logit))
+    host = [h or "" for *_, h, _ in rows]
+    path = ["/".join(y for y in (h, lang) if y) for _, _, lang, h, _ in rows]
+    m = p.mean()
+
+    def strength(groups, means):
+        big = [(g, mu) for g, mu in zip(groups, means, strict=True) if len(g) > 1]
+        n = sum(len(g) for g, _ in big)
+        between = sum(len(g) * (p[g].mean() - mu) ** 2 for g, mu in big)
+        noise, binomial = sum(mu * (1 - mu) for _, mu in big), sum(len(g) * mu * (1 - mu) for g, mu in big)
+        return float(np.clip(binomial / n / max(max(between - noise, 0) / n, 1e-9) - 1, 1, 10_000))
+
+    hosts = {h: [i for i in range(len(rows)) if host[i] == h] for h in host}
+    kh = strength(list(hosts.values()), [m] * len(hosts))
+    hm = {h: (kh * m + p[g].sum()) / (kh + len(g)) for h, g in hosts.items()}
+    paths = {k: [i for i in range(len(rows)) if (host[i], path[i]) == k] for k in zip(host, path, strict=True)}
+    kp = strength(list(paths.values()), [hm[h] for h, _ in paths])
+    want = []
+    for i in range(len(rows)):
+        g, t = hosts[host[i]], paths[host[i], path[i]]
+        host_mean = (kh * m + p[g].sum() - p[i]) / (kh + len(g) - 1)
+        path_mean = (kp * host_mean + p[t].sum() - p[i]) / (kp + len(t) - 1)
+        score = 1 / (1 + np.exp(-(logit[i] - model.prior + np.clip(np.log(path_mean / (1 - path_mean)), -4, 4)))) if x[i, 6] > 0 else 0.0
+        want.append((rows[i][0], host[i], path[i], f"{host_mean:.6f} {path_mean:.6f} {score:.6f}", bool(score >= 0.5)))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.host, r.path, f"{r.host_mean:.6f} {r.path_mean:.6f} {r.score:.6f}", r.kept)) for r in got)
+
+
+def test_quality_features_have_no_edge_in_length():
+    r = random.Random(2)
+    words = [prose(i, 1) for i in range(3000)]
+    text = " ".join(r.choice(words) for _ in range(40_000))
+    a, b = (quality.features(text[:n])[quality.FEATURES.index("packed")] for n in ((1 << 16) - 1, (1 << 16) + 2000))
+    assert abs(a - b) < 0.02
+
+
+def test_language_mixture_against_plain_expectation_maximisation():
+    r = random.Random(4)
+    names, docs_of = ["a", "b", "c"], np.array([40.0, 20.0, 10.0])
+    counts = np.zeros((3, language.BINS))
+    vocab = {n: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)] for n, letters in zip(names, ("abcdefgh", "efghijkl", "klmnopqr"), strict=True)}
+    say = lambda n, k: " ".join(r.choice(vocab[n]) for _ in range(k))
+    for i, n in enumerate(names):
+        for _ in range(30):
+            at, c = language.sequences(say(n, 40))
+            counts[i, at] += c
+    model = language.Mixture(names, counts, docs_of)
+    logs = [[float(np.float32(np.log((counts[i, b] + 0.2) / (counts[i].sum() + 0.2 * language.BINS)))) for b in range(language.BINS)] for i in range(3)]
+    prior = [np.log((x + 1) / (docs_of.sum() + 3)) for x in docs_of]
+
+    def em(grams, pi, langs):
+        for _ in range(12):
+            new = [0.0] * len(pi)
+            for b, c in grams:
+                mass = [pi[j] * np.exp(logs[langs[j]][b]) for j in range(len(pi))]
+                for j in range(len(pi)):
+                    new[j] += c * mass[j] / sum(mass)
+            total = sum(c for _, c in grams)
+            new = [x / total for x in new]
+            moved = max(abs(x - y) for x, y in zip(new, pi, strict=True))
+            pi = new
+            if moved < 1e-3:
+                break
+        return pi, sum(c * np.log(sum(pi[j] * np.exp(logs[langs[j]][b]) for j in range(len(pi)))) for b, c in grams)
+
+    def plain(text):
+        grams = [(int(b), float(c)) for b, c in zip(*language.sequences(text), strict=True)]
+        alone = [sum(c * logs[i][b] for b, c in grams) / 3 + prior[i] for i in range(3)]
+        best = int(np.argmax(alone))
+        pi, _ = em(grams, [1 / 3] * 3, [0, 1, 2])
+        chosen, share, value = [best], [1.0], alone[best]
+        for x in [int(x) for x in np.argsort(-np.array(pi)) if x != best]:
+            if pi[x] < 0.02:
+                break
+            new, log = em(grams, [s * (1 - max(pi[x], 0.05)) for s in share] + [max(pi[x], 0.05)], chosen + [x])
+            gain = log / 3 + prior[best] - value
+            if gain <= 2 + 0.5 * np.log(sum(c for _, c in grams)):
+                break
+            chosen, share, value = chosen + [x], new, value + gain
+        main = int(np.argmax(share))
+        score = share[main] if len(chosen) > 1 else 1 / sum(np.exp(a - max(alone)) for a in alone)
+        return names[chosen[main]], score, sorted(names[c] for c in chosen)
+
+    texts = [say("a", 30), say("b", 5), say("c", 1), say("a", 40) + " " + say("c", 40), say("b", 60) + " " + say("a", 20), say("a", 30) + say("b", 30) + say("c", 30), "x", "q!"]
+    sets = set()
+    for t in texts:
+        lang, score, shares = model.infer(t)
+        want = plain(t)
+        assert (lang, sorted(n for n, _ in shares)) == (want[0], want[2]) and score == pytest.approx(min(1.0, want[1]), abs=2e-3)
+        sets.add(len(shares))
+    assert sets >= {1, 2} and model.infer("12 34!") == ("und", 0.0, [])
+
+
+def test_language_repeated_rows_long_texts_and_empty_tables(spark):
+    long = " ".join(f"wort{i % 977}" for i in range(60_000))
+    rows = [(i, "the cat and the dog " * 5, "en", "s", None) for i in range(40)] + [(100 + i, "der hund und die katze " * 5, "de", "s", None) for i in range(40)]
+    rows += [(None, "der hund", "de", "s", None), (900, long, None, None, None), (900, long, None, None, None), (901, None, "en", "s", None), (902, "", "en", "s", None), (903, "123", "en", "s", None)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("id", F.lit("x")).withColumn("score", F.lit("y"))
+    out = language.identify(d).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert {r.lang_pred for r in out if r.doc_id in (901, 902, 903)} == {"und"}
+    assert all(r.lang_pred == ("en" if r.doc_id < 100 else "de") for r in out if r.doc_id is not None and r.doc_id < 200)
+    assert [r.held_out for r in out if r.doc_id is None] == [True]
+    assert language.identify(d.limit(0)).count() == 0
+    assert {r.lang_pred for r in language.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_reliabilities_against_plain_expectation_maximisation():
+    r = random.Random(6)
+    spans = []
+    for _ in range(400):
+        kind, true = r.choice(pii.KINDS[:3]), r.random() < 0.6
+        votes = "".join("-" if r.random() < 0.2 else "10"[(r.random() < e) == true] for e in (0.1, 0.2, 0.25, 0.3, 0.4))
+        spans.append(f"{kind}|{votes}|{r.choice('sml')}")
+    counts = {p: spans.count(p) for p in spans}
+    soft, rel = pii.reliabilities(counts, steps=20)
+    q = {p: min(0.98, max(0.02, (p.split("|")[1].count("1") + 0.5) / (5 - p.split("|")[1].count("-") + 1))) for p in counts}
+    for _ in range(20):
+        prior = {k: (sum(q[p] for p in spans if p.startswith(k)) + 1) / (sum(p.startswith(k) for p in spans) + 2) for k in pii.KINDS[:3]}
+        sens, spec = [], []
+        for j in range(5):
+            cast = [(p, p.split("|")[1][j]) for p in spans if p.split("|")[1][j] != "-"]
+            sens.append((sum(q[p] for p, v in cast if v == "1") + 3.2) / (sum(q[p] for p, _ in cast) + 4))
+            spec.append((sum(1 - q[p] for p, v in cast if v == "0") + 3.2) / (sum(1 - q[p] for p, _ in cast) + 4))
+        new = {}
+        for p in counts:
+            kind, votes, _ = p.split("|")
+            yes, no = prior[kind], 1 - prior[kind]
+            for j, v in enumerate(votes):
+                if v != "-":
+                    yes *= sens[j] if v == "1" else 1 - sens[j]
+                    no *= 1 - spec[j] if v == "1" else spec[j]
+            new[p] = yes / (yes + no)
+        moved = max(abs(new[p] - q[p]) for p in q)
+        q = new
+        if moved < 1e-6:
+            break
+    assert soft == pytest.approx(q, abs=1e-6) and rel[:, 0] == pytest.approx(sens, abs=1e-6)
+
+
+def test_personal_data_spans_against_the_model_run_over_all_texts(spark):
+    r = random.Random(3)
+    texts = [None, "", "+1 (555) 123-4567 " * 400]
+    for i in range(120):
+        extra = ["mail bob.x@mail.example.com now", f"token = \"{r.randrange(16**20):020x}\"", "pay 4111 1111 1111 1111 soon", "Dear John Smith,", "order 1234567890123 page", "key: secretword", "call (555) 123-4567", "joe [AT] site [dot] com", "version 10.0.0.1"][i % 9]
+        texts.append(f"{prose(i, 12)} {extra} {prose(i + 500, 9)}")
+    rows = [(i if i % 11 else None, t) for i, t in enumerate(texts)] + [(4, texts[4])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("s", F.lit(1))
+    known = pii.Gazetteers(first_names=pii.FIRST_NAMES | {"Zebulon"})
+    every = []
+    for i, t in rows:
+        spans = pii.candidates(t or "", pii.base_spans(t or ""), known)
+        every.append((i, t or "", [(k, a, z, b, pii.pattern(t, k, a, z, b, known), *pii.marks(t, a, z)) for k, a, z, b in sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))]))
+    sample = sorted((s[4], s[5], s[6], s[7]) for *_, spans in every for s in spans)
+    counts = {p: sum(s[0] == p for s in sample) for p in {s[0] for s in sample}}
+    soft, _ = pii.reliabilities(counts)
+    model = pii.span_classifier(sorted(counts), soft, sample)
+    odds = lambda s: model.patterns[s[4]] + float(np.dot(model.marks, s[5])) + model.before[s[6]] + model.after[s[7]]
+    want = sorted(str((i, ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans if s[3] or odds(s) >= 0))) for i, _, spans in every)
+    got = pii.personal_data(d, known=known).collect()
+    assert sorted(str((r.doc_id, r.spans)) for r in got) == want
+    taught = np.mean([(odds(s) >= 0) == (soft[s[4]] >= 0.5) for *_, spans in every for s in spans])
+    assert taught > 0.9 and sum(r.n_added for r in got) > 0
+    assert [r.spans for r in pii.personal_data(d.filter("text is null or text = ''")).collect()] == ["", ""]
