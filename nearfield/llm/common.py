@@ -117,6 +117,8 @@ def cut(df: DataFrame) -> DataFrame:
     Spark's cleaner removes the files when the last plan that reads them is gone.
     """
     shared_dir(df.sparkSession)
+    # Spark 4.1 joins partitions of a union end to end, but takes them for dealt like its parts
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return df.checkpoint(eager=True)
 
 
