@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
@@ -105,12 +105,22 @@ def best(metric: str, by: Column | str = "score") -> Column:
     return _c(by).asc() if metric_named(metric).smaller_is_closer else _c(by).desc()
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Has unions dealt anew where they are grouped, for the session.
+
+    Spark 4.1 takes a union of frames that are dealt alike for dealt like them, but joins their
+    partitions end to end; groupings and joins of the union then miss rows of one another.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def top(scored: DataFrame, k: int, metric: str = "l2", by: tuple[str, ...] = ("qid",), ids: str = "id") -> DataFrame:
     """(by..., rank, id, score) of the k best rows of each group; ties go to the smaller id.
 
     Spark plans a partial limit before the shuffle, so a task sends k rows a group at most.
     """
     require(k >= 1, f"k must be at least 1, not {k}")
+    sound_unions(scored.sparkSession)
     w = Window.partitionBy(*by).orderBy(best(metric), F.col(ids))
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select(*by, "rank", ids, "score")
@@ -118,6 +128,7 @@ def top(scored: DataFrame, k: int, metric: str = "l2", by: tuple[str, ...] = ("q
 
 def checked(vectors: DataFrame, column: str = "v") -> tuple[int, int]:
     """(rows, width) of a vector column, by one aggregation; refuses what is not a vector set."""
+    sound_unions(vectors.sparkSession)
     kind = dict(vectors.dtypes).get(column)
     require(kind in ("array<float>", "array<double>"), f"{column} is {kind}, not an array of floats", DataError)
     r = vectors.agg(F.count("*").alias("n"), F.count(column).alias("there"), F.min(F.size(column)).alias("a"), F.max(F.size(column)).alias("b")).first()

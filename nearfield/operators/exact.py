@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
@@ -64,7 +64,10 @@ def score_matrix(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPSILON)
     dots = q @ v.T
     if metric == "l2":
-        return np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * dots, 0.0)
+        both = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :]
+        out = both - 2 * dots
+        out[out < 1e-13 * both] = 0.0  # what is left of equal vectors
+        return out
     return dots
 
 
@@ -138,6 +141,78 @@ def scan_top(rows: DataFrame, shared, k: int, scores, sign: float = 1.0) -> Data
     return rows.mapInArrow(run, RESULT)
 
 
+def scan_keyed(rows: DataFrame, shared, k: int, metric: str, by_key: bool) -> DataFrame:
+    """(qid, key, id, score): each task's k best of rows (key, id, v) for a broadcast block of queries.
+
+    ``shared`` holds (qids, matrix of queries, places of the queries that look into each key, or
+    None where all look into all).  With ``by_key`` k rows a query and key are kept, else k rows a query.
+    """
+    sign = 1.0 if metric == "l2" else -1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, asked, opened = shared.value
+        every = np.arange(len(qids))
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            for key in np.unique(keys).tolist():
+                at = every if opened is None else opened.get(key)
+                if at is None or not len(at):
+                    continue
+                own = b.filter(pa.array(keys == key))
+                ids = own.column(1).to_numpy(zero_copy_only=False)
+                step = max(1, 4_000_000 // len(at))
+                slot = key if by_key else -1
+                if slot not in best:
+                    best[slot] = np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max), np.full((len(qids), k), key)
+                scores, held, of = best[slot]
+                for start in range(0, len(ids), step):
+                    part = ids[start : start + step]
+                    new = sign * score_matrix(asked[at], matrix(own.column(2).slice(start, step)), metric)
+                    both = np.concatenate((scores[at], new), axis=1)
+                    names = np.concatenate((held[at], np.broadcast_to(part, new.shape)), axis=1)
+                    places = np.concatenate((of[at], np.full(new.shape, key)), axis=1)
+                    order = np.lexsort((names, both), axis=1)[:, :k] if both.shape[1] <= 4 * k else _smallest(both, names, k)
+                    scores[at], held[at], of[at] = (np.take_along_axis(x, order, 1) for x in (both, names, places))
+        for scores, held, of in best.values():
+            i, j = np.nonzero(np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[i]), pa.array(of[i, j].astype(np.int64)), pa.array(held[i, j]), pa.array(sign * scores[i, j])], names=["qid", "key", "id", "score"]
+            )
+
+    return rows.mapInArrow(run, "qid long, key long, id long, score double")
+
+
+def distance_sums(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, n, total, least): rows other than the query's own, the sum of their distances, the smallest one.
+
+    Tasks return one row a query of the broadcast block; pairs are never rows.
+    """
+    spark, out = corpus.sparkSession, None
+    rows = corpus.filter(F.col("v").isNotNull()).select(F.col("id").cast("long"), "v")
+    for ids, q in query_blocks(queries):
+        shared = spark.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, asked = shared.value
+            n, total, least = np.zeros(len(qids), dtype=np.int64), np.zeros(len(qids)), np.full(len(qids), np.inf)
+            step = max(1, 4_000_000 // len(qids))
+            for b in batches:
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    d = np.sqrt(score_matrix(asked, matrix(part.column(1)), "l2"))
+                    other = qids[:, None] != part.column(0).to_numpy(zero_copy_only=False)[None]
+                    n += other.sum(1)
+                    total += (d * other).sum(1)
+                    least = np.minimum(least, np.where(other, d, np.inf).min(1))
+            yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(n), pa.array(total), pa.array(least)], names=["qid", "n", "total", "least"])
+
+        part = rows.mapInArrow(run, "qid long, n long, total double, least double")
+        out = part if out is None else out.unionAll(part)
+    out = spark.createDataFrame([], "qid long, n long, total double, least double") if out is None else out
+    return out.groupBy("qid").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least")).filter("n > 0")
+
+
 def _smallest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k smallest (score, id) of each row; rows with a tie at the edge are sorted whole."""
     part = np.argpartition(scores, k - 1, axis=1)[:, :k]
@@ -177,8 +252,6 @@ def top_up(found: DataFrame, queries: DataFrame, live: DataFrame, k: int, metric
         .filter(F.col("n") < k)
     )
     spare = short.crossJoin(F.broadcast(first)).filter(~F.coalesce(F.array_contains("have", F.col("id")), F.lit(False)))
-    from pyspark.sql import Window
-
     spare = spare.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).filter(F.col("nth") <= k - F.col("n"))
     filled = spare.select("qid", "id", score("q", "v", metric).alias("score"))
     return top(found.select("qid", "id", "score").unionAll(filled), k, metric)
@@ -206,6 +279,13 @@ def orderings_agree(queries: DataFrame, corpus: DataFrame, left: str, right: str
     return a.join(b, "qid").agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("agree"))
 
 
+def without_own(found: DataFrame, k: int) -> DataFrame:
+    """A result without each query's own row (id = qid), ranked anew, k at most."""
+    w = Window.partitionBy("qid").orderBy("rank")
+    again = found.filter("id <> qid").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    return again.select("qid", F.col("r").alias("rank"), "id", "score")
+
+
 def nearest_first(found: DataFrame, k: int) -> DataFrame:
     """The first k slots of a longer result."""
     return found.filter(F.col("rank") <= k)

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
-from ..functions.vector import squared_l2, top
+from ..functions.vector import squared_l2
 from .exact import search
-from .ivf import probes, scan_lists
+from .ivf import ivf_search
 from .kmeans import uniform_sample
 
 
@@ -53,7 +53,7 @@ def search_then_filter(queries: DataFrame, corpus: DataFrame, keep: Column, k: i
 
 def filter_in_lists(queries: DataFrame, lists: DataFrame, centres: np.ndarray, keep: Column, k: int = 10, probe: int = 8, metric: str = "l2") -> DataFrame:
     """Opened lists, of which only matching rows are scored."""
-    return top(scan_lists(probes(queries, centres, probe, metric), lists.filter(keep), metric), k, metric)
+    return ivf_search(queries, lists.filter(keep), centres, k, probe, metric)
 
 
 def filter_walk(found: DataFrame, matching: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.vector import score, top
 from ..plans.lineage import materialise
-from .exact import top_up
+from .exact import RESULT, query_blocks, scan_keyed, score_matrix, top_up
 from .index import Found, Index, stats_row
 from .kmeans import Clustering, assign, guard_partitions, lloyd
 
@@ -29,8 +29,38 @@ def scan_lists(opened: DataFrame, lists: DataFrame, metric: str = "l2") -> DataF
     return pairs.select("qid", "id", score("q", "v", metric).alias("score")).dropDuplicates(["qid", "id"])
 
 
-def ivf_search(queries: DataFrame, lists: DataFrame, centres: np.ndarray, k: int, probe: int, metric: str = "l2") -> DataFrame:
-    return top(scan_lists(probes(queries, centres, probe, metric), lists, metric), k, metric)
+def ivf_search(queries: DataFrame, lists: DataFrame, centres: np.ndarray, k: int, probe: int, metric: str = "l2", copies: int = 1) -> DataFrame:
+    """Top k of the rows (part, id, v) in each query's ``probe`` nearest lists.
+
+    Queries are broadcast in blocks with the lists that each opens; a task scores its rows of
+    opened lists and keeps its own best, so scored pairs are never shuffled.  Lists that no
+    query of a block opens are pruned from the scan.  A row may stand in up to ``copies`` lists.
+    """
+    require(1 <= probe <= len(centres), f"probe {probe} of {len(centres)}")
+    spark, found = lists.sparkSession, None
+    rows = lists.filter(F.col("v").isNotNull()).select(F.col("part").cast("int").alias("part"), F.col("id").cast("long").alias("id"), "v")
+    for qids, q in query_blocks(queries):
+        scores = score_matrix(q, centres, metric)
+        near = np.argsort(scores if metric == "l2" else -scores, axis=1, kind="stable")[:, :probe]
+        opened = {int(p): np.flatnonzero((near == p).any(1)) for p in np.unique(near)}
+        shared = spark.sparkContext.broadcast((qids, q, opened))
+        part = scan_keyed(rows.filter(F.col("part").isin(sorted(opened))), shared, k * copies, metric, False).select("qid", "id", "score")
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = spark.createDataFrame([], RESULT)
+    if copies > 1:
+        found = found.groupBy("qid", "id").agg(F.first("score").alias("score"))
+    return top(found, k, metric)
+
+
+def opened_rows(opened: DataFrame, lists: DataFrame, copies: int = 1) -> DataFrame:
+    """One row: n, the rows in the lists that each query opens, a row in several of them once; no vector is read."""
+    if copies > 1:
+        pairs = opened.select("qid", "part").join(lists.select("part", "id"), "part").select("qid", "id").distinct()
+        return pairs.agg(F.count("*").alias("n"))
+    asked = opened.groupBy("part").agg(F.count("*").alias("asked"))
+    sizes = lists.groupBy("part").agg(F.count("*").alias("size"))
+    return asked.join(sizes, "part").agg(F.coalesce(F.sum(F.col("asked") * F.col("size")), F.lit(0)).alias("n"))
 
 
 def cheapest_partition_count(count: int, probe: int = 1) -> dict:
@@ -55,6 +85,7 @@ class IVFIndex(Index):
     """k-means centres and the rows filed under the nearest.  Inserts keep the centres."""
 
     name = "ivf"
+    filed_times = 1
 
     def __init__(self, dimension: int, partitions: int = 64, metric: str = "l2", probe: int = 1, seed: int = 0):
         super().__init__(dimension, metric)
@@ -81,8 +112,9 @@ class IVFIndex(Index):
 
     def _append(self, vectors: DataFrame) -> None:
         super()._append(vectors)
-        self.lists = self.lists.unionByName(self._filed(vectors))
-        self.inserted += 1
+        filed = materialise(self._filed(vectors))
+        self.lists = self.lists.unionByName(filed)
+        self.inserted += vectors.count()
 
     def live_lists(self) -> DataFrame:
         return self.lists if self.dead is None else self.lists.join(self.dead, "id", "left_anti")
@@ -91,12 +123,11 @@ class IVFIndex(Index):
         n = self.check_queries(queries, k)
         probe = self.probe if probe is None else probe
         require(1 <= probe <= self.partitions, f"probe {probe} of {self.partitions}")
-        opened = probes(queries, self.centres, probe, self.metric.name)
-        scored = scan_lists(opened, self.live_lists(), self.metric.name)
-        cost = scored.agg(F.count("*").alias("n")).select(
+        live = self.live_lists()
+        cost = opened_rows(probes(queries, self.centres, probe, self.metric.name), live, self.filed_times).select(
             (F.col("n") + float(self.partitions * n)).alias("distances"), F.col("n").alias("candidates"), F.lit(n * probe).cast("long").alias("hops"), F.lit(n).cast("long").alias("queries")
         )
-        return Found(top(scored, k, self.metric.name), cost)
+        return Found(ivf_search(queries, live, self.centres, k, probe, self.metric.name, self.filed_times), cost)
 
     def sizes(self) -> DataFrame:
         self.require_built()
@@ -125,18 +156,18 @@ def spill_ratio(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def spill_adaptively(vectors: DataFrame, centres: np.ndarray, share: float = 0.3, rows: int | None = None) -> DataFrame:
     """(part, id, v): the ``share`` of rows with the highest ratio (ties by id) filed twice."""
+    from ..plans.storage import numbered
+
     require(0 <= share <= 1, f"share {share}")
     both = materialise(spill_ratio(vectors, centres))
     n = both.count() if rows is None else rows
     m = round(n * share)
-    cut = both.orderBy(F.col("ratio").desc(), "id").limit(m).agg(F.min("ratio").alias("r")).first().r if m else None
     once = both.select("part", "id", "v")
-    if cut is None:
+    if not m:
         return once
-    above = both.filter(F.col("ratio") > cut)
-    at = both.filter(F.col("ratio") == cut).orderBy("id").limit(m - above.count())
-    twice = above.unionAll(at).select(F.col("second").alias("part"), "id", "v")
-    return once.unionAll(twice)
+    # (ratio, id) in falling order are numbered over all tasks, so no task sorts more than its range
+    ranked = numbered(both.select("id", (-F.col("ratio")).alias("r")), "r", "id").filter(F.col("number") < m)
+    return once.unionAll(both.join(ranked.select("id"), "id", "left_semi").select(F.col("second").alias("part"), "id", "v"))
 
 
 def spill_growth(lists: DataFrame) -> DataFrame:
@@ -153,6 +184,7 @@ class SpillIndex(IVFIndex):
         super().__init__(dimension, partitions, "l2", probe, seed)
         require(1 <= copies <= partitions, f"copies {copies} of {partitions}")
         self.copies, self.adaptive = copies, adaptive
+        self.filed_times = copies if adaptive is None else 2
 
     def _filed(self, vectors: DataFrame) -> DataFrame:
         if self.adaptive is None:

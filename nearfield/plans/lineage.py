@@ -1,16 +1,27 @@
-"""Keeping intermediate results where all executors can read them."""
+"""Where iterations cut their lineage: the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.vector import sound_unions
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Runs df once into the folder of spark.checkpoint.dir; set here only if it is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session on one machine that names none gets its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="nearfield-"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that its machines share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="nearfield-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Runs df once and keeps its rows in the shared folder, so no executor's loss loses them."""
+    sound_unions(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

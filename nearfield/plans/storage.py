@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
 from ..functions.vector import top
-from ..operators.exact import in_blocks
-from ..operators.ivf import probes, scan_lists
+from ..operators.exact import query_blocks, scan_keyed
+from ..operators.ivf import ivf_search
 from ..operators.kmeans import assign
 
 PAGE_BYTES = 4096
 
 
-def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """rows with number 0, 1, ... in the order of a distinct long column, without one big task.
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with number 0, 1, ... in the order of columns that tell rows apart, without one big task.
 
     Rows are range partitioned and sorted; counts of the partitions give each its offset.
     """
     from .lineage import materialise
 
-    ranged = materialise(rows.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    ranged = materialise(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
     counts = sorted((r["__p"], r["n"], r["first"]) for r in ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first")).collect())
     offsets, seen = [], 0
     for p, n, first in counts:
@@ -50,27 +50,27 @@ def clustered_shards(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def scatter_gather(queries: DataFrame, shards: DataFrame, k: int = 10, fetch: int | None = None, metric: str = "l2") -> DataFrame:
-    """Each shard's ``fetch`` (k unless stated) best, merged to k."""
-    from ..functions.vector import score
-
+    """Each shard's ``fetch`` (k unless stated) best, merged to k; a task sends no more than these."""
     fetch = k if fetch is None else fetch
-
-    def answer(block: DataFrame) -> DataFrame:
-        scored = shards.crossJoin(F.broadcast(block)).select("qid", "shard", "id", score("q", "v", metric).alias("score"))
-        return top(scored, fetch, metric, ("qid", "shard"))
-
-    local = in_blocks(queries, answer)
-    return merge(local.drop("rank"), k, metric)
+    require(fetch >= 1 and k >= 1, "k and fetch must be at least 1")
+    spark, local = shards.sparkSession, None
+    rows = shards.filter(F.col("v").isNotNull()).select(F.col("shard").cast("int").alias("key"), F.col("id").cast("long").alias("id"), "v")
+    for qids, q in query_blocks(queries):
+        part = scan_keyed(rows, spark.sparkContext.broadcast((qids, q, None)), fetch, metric, True)
+        local = part if local is None else local.unionAll(part)
+    if local is None:
+        local = spark.createDataFrame([], "qid long, key long, id long, score double")
+    return merge(top(local, fetch, metric, ("qid", "key")).drop("rank"), k, metric)
 
 
 def merge(partials: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
-    return top(partials, k, metric)
+    return top(partials.select("qid", "id", "score"), k, metric)
 
 
 def routed(queries: DataFrame, shards: DataFrame, centres: np.ndarray, k: int = 10, visit: int = 2, metric: str = "l2") -> DataFrame:
     """The ``visit`` nearest shards of each query only; an empty shard just adds nothing."""
     lists = shards.select(F.col("shard").alias("part"), "id", "v")
-    return top(scan_lists(probes(queries, centres, visit), lists, metric), k, metric)
+    return ivf_search(queries, lists, centres, k, visit, metric)
 
 
 # -- pages -------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Registered queries of the retrieval engine, and the same in DuckDB SQL.
 
-Fixtures come from ``embeddings``: queries are the ids below 20, the corpus all others,
-centres the mean vectors of the labels, scaled vectors ``v * (1 + id % 8)``.
+Fixtures come from ``embeddings``: the corpus is all of its rows, queries are those whose id
+is divisible by 20, centres the mean vectors of the labels, scaled vectors ``v * (1 + id % 8)``.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ def table(s: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d).filter("id >= 20")
+    return table(s, d)
 
 
 def asked(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d).filter("id < 20").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return table(s, d).filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
 def scaled(s: SparkSession, d: str) -> DataFrame:
@@ -68,6 +68,15 @@ def truth(s: SparkSession, d: str, k: int = K) -> DataFrame:
     return exact.search(asked(s, d), corpus(s, d), k)
 
 
+def others(s: SparkSession, d: str, k: int = K) -> DataFrame:
+    """Exact neighbours of the queries among other rows than their own."""
+    return exact.without_own(exact.search(asked(s, d), corpus(s, d), k + 1), k)
+
+
+def size(s: SparkSession, d: str) -> int:
+    return corpus(s, d).count()
+
+
 def rough(s: SparkSession, d: str, probe: int = 2, k: int = K) -> DataFrame:
     return ivf.ivf_search(asked(s, d), lists(s, d), centres(s, d), k, probe)
 
@@ -84,8 +93,10 @@ def _top(source: str, k: int = K, order: str = "score, id", by: str = "qid") ->
 
 
 BASE = f"""
-corpus AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id >= 20),
-queries AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 20),
+corpus AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+queries AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
+nq AS (SELECT count(*)::DOUBLE AS nq FROM queries),
+nc AS (SELECT count(*)::DOUBLE AS nc FROM corpus),
 scaled AS (SELECT id, list_transform(v, lambda x: x * (1 + id % 8)) AS v FROM corpus),
 pairs AS (SELECT qid, id, label, pow(list_distance(q, v), 2) AS score FROM queries, corpus),
 truth AS ({_top('pairs')}),
@@ -267,8 +278,8 @@ def ivf_inertia(s, d):
 
 @query(
     "p AS (SELECT unnest([1, 2, 4, 8]) AS value), f AS (SELECT value, qid, id, row_number() OVER (PARTITION BY value, qid ORDER BY score, id) AS rank FROM (SELECT value, qid, p.id, p.score FROM p v(value), pairs p JOIN probes USING (qid) JOIN lists l ON l.id = p.id AND l.part = probes.part WHERE nth <= value)), "
-    "c AS (SELECT value, count(*) / 20.0 + 10 AS distances FROM p v(value), probes JOIN lists USING (part) WHERE nth <= value GROUP BY value) "
-    "SELECT CAST(value AS INTEGER) AS value, round(sum(CASE WHEN t.id IS NULL THEN 0 ELSE 1 END) / 200.0, 6) AS recall, round(any_value(distances), 6) AS distances FROM f LEFT JOIN truth t USING (qid, id) JOIN c USING (value) WHERE f.rank <= 10 GROUP BY value"
+    "c AS (SELECT value, count(*) / (SELECT nq FROM nq) + 10 AS distances FROM p v(value), probes JOIN lists USING (part) WHERE nth <= value GROUP BY value) "
+    "SELECT CAST(value AS INTEGER) AS value, round(sum(CASE WHEN t.id IS NULL THEN 0 ELSE 1 END) / (10 * (SELECT nq FROM nq)), 6) AS recall, round(any_value(distances), 6) AS distances FROM f LEFT JOIN truth t USING (qid, id) JOIN c USING (value) WHERE f.rank <= 10 GROUP BY value"
 )
 def ivf_probe_sweep(s, d):
     return _sweep(s, d).select("value", F.round("recall", 6).alias("recall"), F.round("distances", 6).alias("distances"))
@@ -297,14 +308,14 @@ def ivf_after_remove(s, d):
     return out(i.search(asked(s, d), K).result)
 
 
-_MOVED = "moved AS (SELECT id + 1000000 AS id, list_transform(v, lambda x: -x) AS v FROM corpus WHERE id < 60), "
+_MOVED = "moved AS (SELECT id + 1000000 AS id, list_transform(v, lambda x: -x) AS v FROM corpus WHERE id % 10 = 3), "
 _MLISTS = "ml AS (SELECT part, id, v FROM lists UNION ALL SELECT part, id, v FROM (SELECT part, m.id, m.v, row_number() OVER (PARTITION BY m.id ORDER BY pow(list_distance(m.v, c), 2), part) AS nth FROM moved m, centres) WHERE nth = 1), "
 
 
 @query(_MOVED + _MLISTS.rstrip(", ") + " " + _OUT + "(" + _top("(SELECT q.qid, ml.id, pow(list_distance(q, ml.v), 2) AS score FROM queries q JOIN probes p ON p.qid = q.qid AND p.nth <= 2 JOIN ml ON ml.part = p.part)") + ")")
 def ivf_insert(s, d):
     i = _index(s, d)
-    i.insert(corpus(s, d).filter("id < 60").select((F.col("id") + 1_000_000).alias("id"), V.times("v", -1.0).cast("array<float>").alias("v")))
+    i.insert(corpus(s, d).filter("id % 10 = 3").select((F.col("id") + 1_000_000).alias("id"), V.times("v", -1.0).cast("array<float>").alias("v")))
     return out(i.search(asked(s, d), K).result)
 
 
@@ -324,7 +335,7 @@ def spill_adaptive(s, d):
 @query(_OUT + "(" + _top("(SELECT DISTINCT qid, p.id, p.score FROM pairs p JOIN probes USING (qid) JOIN filed f ON f.id = p.id AND f.part = probes.part AND f.nth <= 2 WHERE probes.nth <= 2)") + ")")
 def spill_search(s, d):
     spilled = ivf.spill_uniformly(corpus(s, d), centres(s, d), 2)
-    return out(V.top(ivf.scan_lists(ivf.probes(asked(s, d), centres(s, d), 2), spilled), K))
+    return out(ivf.ivf_search(asked(s, d), spilled, centres(s, d), K, 2, copies=2))
 
 
 # -- shards and replicas -----------------------------------------------------------------------
@@ -423,18 +434,18 @@ _SHORT = f"short AS ({_top(f'(SELECT qid, id, {_SIGN} AS score FROM queries, cor
 
 @query(_SHORT + " " + _OUT + "short")
 def sign_shortlist(s, d):
-    return out(serving.sign_shortlist(asked(s, d), corpus(s, d), 50, 480, 64).rows)
+    return out(serving.sign_shortlist(asked(s, d), corpus(s, d), 50, size(s, d), 64).rows)
 
 
 @query(_SHORT + " " + _OUT + "(" + _top("(SELECT p.qid, p.id, p.score FROM pairs p JOIN short USING (qid, id))") + ")")
 def staged_rerank(s, d):
-    short = serving.sign_shortlist(asked(s, d), corpus(s, d), 50, 480, 64)
+    short = serving.sign_shortlist(asked(s, d), corpus(s, d), 50, size(s, d), 64)
     return out(codes.rerank(asked(s, d), corpus(s, d), short.rows, K))
 
 
-@query(_SHORT.replace("<= 50", "<= 400") + ", z AS (SELECT unnest([10, 20, 50, 100, 200, 400]) AS depth) SELECT CAST(depth AS INTEGER) AS depth, round(sum(CASE WHEN s.rank <= depth THEN 1 ELSE 0 END) / 200.0, 6) AS recall FROM z, truth t LEFT JOIN short s USING (qid, id) GROUP BY depth")
+@query(_SHORT.replace("<= 50", "<= 400") + ", z AS (SELECT unnest([10, 20, 50, 100, 200, 400]) AS depth) SELECT CAST(depth AS INTEGER) AS depth, round(sum(CASE WHEN s.rank <= depth THEN 1 ELSE 0 END) / (10 * (SELECT nq FROM nq)), 6) AS recall FROM z, truth t LEFT JOIN short s USING (qid, id) GROUP BY depth")
 def shortlist_depth_sweep(s, d):
-    wide = serving.sign_shortlist(asked(s, d), corpus(s, d), 400, 480, 64).rows
+    wide = serving.sign_shortlist(asked(s, d), corpus(s, d), 400, size(s, d), 64).rows
     return serving.depth_sweep(truth(s, d), wide, (10, 20, 50, 100, 200, 400)).select("depth", F.round("recall", 6).alias("recall"))
 
 
@@ -683,19 +694,19 @@ def page_counts_clustered(s, d):
 # -- diagnostics -------------------------------------------------------------------------------
 
 
-@query("SELECT round(avg(c), 6) AS contrast FROM (SELECT qid, avg(sqrt(score)) / greatest(min(sqrt(score)), 1e-9) AS c FROM pairs GROUP BY qid)")
+@query("SELECT round(avg(c), 6) AS contrast FROM (SELECT qid, avg(sqrt(score)) / greatest(min(sqrt(score)), 1e-9) AS c FROM pairs WHERE id <> qid GROUP BY qid)")
 def contrast(s, d):
     return datasets.relative_contrast(asked(s, d), corpus(s, d)).select(F.round("contrast", 6).alias("contrast"))
 
 
-@query("SELECT round(avg((b - a) / greatest(a, 1e-9)), 6) AS margin FROM (SELECT sqrt(min(score)) AS a, sqrt(max(score)) AS b FROM truth WHERE rank <= 2 GROUP BY qid)")
+@query("SELECT round(avg((b - a) / greatest(a, 1e-9)), 6) AS margin FROM (SELECT sqrt(min(score)) AS a, sqrt(max(score)) AS b FROM truth WHERE rank IN (2, 3) GROUP BY qid)")
 def margin(s, d):
-    return datasets.neighbour_margin(truth(s, d)).select(F.round("margin", 6).alias("margin"))
+    return datasets.neighbour_margin(others(s, d)).select(F.round("margin", 6).alias("margin"))
 
 
-@query("SELECT round(avg(list_distance(a.v, b.v)), 6) AS typical_distance FROM corpus a, corpus b WHERE a.id < b.id AND a.id < 276 AND b.id < 276")
+@query("SELECT round(avg(list_distance(a.v, b.v)), 6) AS typical_distance FROM corpus a, corpus b WHERE a.id < b.id")
 def typical_distance(s, d):
-    return datasets.typical_distance(corpus(s, d).filter("id < 276"), 256).select(F.round("typical_distance", 6).alias("typical_distance"))
+    return datasets.typical_distance(corpus(s, d), size(s, d)).select(F.round("typical_distance", 6).alias("typical_distance"))
 
 
 _COPIES = "copies AS (SELECT id * 3 + i AS id, v, id AS original FROM corpus, range(3) r(i)), cp AS (SELECT qid, id, pow(list_distance(q, v), 2) AS score FROM queries, copies)"
@@ -730,7 +741,7 @@ def centring(s, d):
 # -- routing, calibration, reports -------------------------------------------------------------
 
 
-@query("sg AS (SELECT qid, min(sqrt(d)) AS signal FROM probes GROUP BY qid), ch AS (SELECT qid FROM sg QUALIFY row_number() OVER (ORDER BY signal DESC, qid) <= 5) SELECT qid, rank, id, round(score, 6) AS score, CASE WHEN qid IN (SELECT qid FROM ch) THEN 'dear' ELSE 'cheap' END AS tier FROM (SELECT * FROM rough WHERE qid NOT IN (SELECT qid FROM ch) UNION ALL SELECT * FROM truth WHERE qid IN (SELECT qid FROM ch))")
+@query("sg AS (SELECT qid, min(sqrt(d)) AS signal FROM probes GROUP BY qid), ch AS (SELECT qid FROM sg QUALIFY row_number() OVER (ORDER BY signal DESC, qid) <= round_even((SELECT nq FROM nq) * 0.25, 0)) SELECT qid, rank, id, round(score, 6) AS score, CASE WHEN qid IN (SELECT qid FROM ch) THEN 'dear' ELSE 'cheap' END AS tier FROM (SELECT * FROM rough WHERE qid NOT IN (SELECT qid FROM ch) UNION ALL SELECT * FROM truth WHERE qid IN (SELECT qid FROM ch))")
 def router_escalate(s, d):
     chosen = materialise(serving.escalated(serving.centrality(asked(s, d), label_centres(s, d)), 0.25))
     r = serving.route(rough(s, d), truth(s, d), chosen)
@@ -752,7 +763,7 @@ def calibration_correlation(s, d):
 
 
 @query(
-    _SIGNALS + ", f AS (SELECT row_number() OVER (ORDER BY gap DESC, qid) <= 4 AS f, recall < 0.5 AS bad FROM vals), c AS (SELECT count(*) FILTER (f) AS flagged, count(*) FILTER (f AND bad) AS caught, count(*) FILTER (NOT f AND bad) AS missed, count(*) FILTER (f AND NOT bad) AS false_alarms FROM f) "
+    _SIGNALS + ", f AS (SELECT row_number() OVER (ORDER BY gap DESC, qid) <= greatest(1, round_even((SELECT nq FROM nq) * 0.2, 0)) AS f, recall < 0.5 AS bad FROM vals), c AS (SELECT count(*) FILTER (f) AS flagged, count(*) FILTER (f AND bad) AS caught, count(*) FILTER (NOT f AND bad) AS missed, count(*) FILTER (f AND NOT bad) AS false_alarms FROM f) "
     "SELECT *, round(caught / flagged, 6) AS precision, round(CASE WHEN caught + missed = 0 THEN 0 ELSE caught / (caught + missed) END, 6) AS sensitivity FROM c"
 )
 def flag_worst(s, d):
@@ -807,7 +818,7 @@ def exact_cache_run(s, d):
 
 @query()
 def near_cache_run(s, d):
-    return batches.run_cache(_stream(s, d).filter("qid < 2000"), 0.8, 64).select("qid", "served_by", "hit", "lookup_distances")
+    return batches.run_cache(_stream(s, d), 0.8, 64, 32).select("qid", "served_by", "hit", "lookup_distances")
 
 
 @query(_OUT + "truth")
@@ -870,10 +881,9 @@ def invariant_violations(s, d):
     return verify.violations(truth(s, d), corpus(s, d).select("id", "v"), asked(s, d), K)
 
 
-@query("SELECT CAST(460 + 20 AS BIGINT) * 20 AS candidates, CAST(20 AS BIGINT) AS queries")
+@query("SELECT CAST(nc * nq AS BIGINT) AS candidates, CAST(nq AS BIGINT) AS queries FROM nc, nq")
 def flat_index_stats(s, d):
-    c = corpus(s, d).filter("id < 500").select("id", "v")
-    return index.FlatIndex(64).build(c).search(asked(s, d), K).stats.select("candidates", "queries")
+    return index.FlatIndex(64).build(corpus(s, d).select("id", "v")).search(asked(s, d), K).stats.select("candidates", "queries")
 
 
 # -- more of the same families -----------------------------------------------------------------
@@ -891,11 +901,11 @@ def result_signals(s, d):
     return both.select("qid", F.round("spread", 6).alias("spread"), F.round("best", 6).alias("best"))
 
 
-@query("sg AS (SELECT qid, min(sqrt(d)) AS signal FROM probes GROUP BY qid), ch AS (SELECT qid FROM sg QUALIFY row_number() OVER (ORDER BY signal DESC, qid) <= 5) SELECT qid, rank, id, round(score, 6) AS score FROM (SELECT * FROM rough WHERE qid NOT IN (SELECT qid FROM ch) UNION ALL SELECT * FROM truth WHERE qid IN (SELECT qid FROM ch))")
+@query("sg AS (SELECT qid, min(sqrt(d)) AS signal FROM probes GROUP BY qid), ch AS (SELECT qid FROM sg QUALIFY row_number() OVER (ORDER BY signal DESC, qid) <= round_even((SELECT nq FROM nq) * 0.25, 0)) SELECT qid, rank, id, round(score, 6) AS score FROM (SELECT * FROM rough WHERE qid NOT IN (SELECT qid FROM ch) UNION ALL SELECT * FROM truth WHERE qid IN (SELECT qid FROM ch))")
 def router_up_front(s, d):
     c = centres(s, d)
     cheap = serving.Tier("ivf", ivf.IVFIndex(64, len(c), "l2", 2).build(corpus(s, d).select("id", "v"), c), 100.0)
-    dear = serving.Tier("flat", index.FlatIndex(64).build(corpus(s, d).select("id", "v")), 480.0)
+    dear = serving.Tier("flat", index.FlatIndex(64).build(corpus(s, d).select("id", "v")), float(size(s, d)))
     return out(serving.choose_up_front(cheap, dear, asked(s, d), K, serving.centrality(asked(s, d), label_centres(s, d)), 0.25).found)
 
 
@@ -915,14 +925,14 @@ def near_misses(s, d):
     return out(evaluate.near_misses(truth(s, d, 20), K, 10))
 
 
-@query("a AS (SELECT qid, round(score, 5) AS s, row_number() OVER (PARTITION BY qid, round(score, 5) ORDER BY rank) AS n FROM truth), b AS (SELECT qid, round(score, 5) AS s, row_number() OVER (PARTITION BY qid, round(score, 5) ORDER BY rank) AS n FROM rough) SELECT round(count(b.qid) / 200.0, 6) AS recall FROM a LEFT JOIN b USING (qid, s, n)")
+@query("a AS (SELECT qid, round(score, 5) AS s, row_number() OVER (PARTITION BY qid, round(score, 5) ORDER BY rank) AS n FROM truth), b AS (SELECT qid, round(score, 5) AS s, row_number() OVER (PARTITION BY qid, round(score, 5) ORDER BY rank) AS n FROM rough) SELECT round(count(b.qid) / (10 * (SELECT nq FROM nq)), 6) AS recall FROM a LEFT JOIN b USING (qid, s, n)")
 def recall_by_distance(s, d):
     return drift.recall_by_distance(truth(s, d), rough(s, d), K).select(F.round("recall", 6).alias("recall"))
 
 
-@query("SELECT round(avg(CASE WHEN t.id = r.id THEN 1 ELSE 0 END), 6) AS stable FROM truth t JOIN rough r USING (qid) WHERE t.rank = 1 AND r.rank = 1")
+@query("SELECT round(avg(CASE WHEN t.id = r.id THEN 1 ELSE 0 END), 6) AS stable FROM truth t JOIN rough r USING (qid) WHERE t.rank = 2 AND r.rank = 2")
 def nearest_stability(s, d):
-    return datasets.nearest_neighbour_stability(truth(s, d), rough(s, d)).select(F.round("stable", 6).alias("stable"))
+    return datasets.nearest_neighbour_stability(exact.without_own(truth(s, d), K), exact.without_own(rough(s, d), K)).select(F.round("stable", 6).alias("stable"))
 
 
 @query("SELECT round(min(v) / max(v), 6) AS balance FROM (SELECT floor((dim - 1) / 8) AS sub, sum(var) AS v FROM (SELECT dim, var_pop(x) AS var FROM dims GROUP BY dim) GROUP BY 1)")
@@ -932,7 +942,7 @@ def variance_balance(s, d):
 
 @query("low AS (SELECT qid, id, list_inner_product(q[1:8] , q[1:8]) + list_inner_product(v[1:8], v[1:8]) - 2 * list_inner_product(q[1:8], v[1:8]) AS score FROM queries, corpus) " + _OUT + "(" + _top("low", 30) + ")")
 def projected_shortlist(s, d):
-    return out(serving.projected_shortlist(asked(s, d), corpus(s, d), 30, 480, np.eye(64)[:8]).rows)
+    return out(serving.projected_shortlist(asked(s, d), corpus(s, d), 30, size(s, d), np.eye(64)[:8]).rows)
 
 
 _ROWS3 = "m AS (SELECT * FROM (VALUES ('a', 'g', 0.3), ('a', 'h', 0.75), ('b', 'g', 0.7)) t(i, c, r))"
@@ -944,7 +954,7 @@ def report_means(s, d):
     return evaluate.Report(rows).means().select("index", "corpus", F.round("recall", 6).alias("recall"))
 
 
-@query("SELECT sum(CASE WHEN over THEN 0 ELSE 1 END)::BIGINT AS completed, sum(CASE WHEN over THEN 1 ELSE 0 END)::BIGINT AS truncated, round(avg(CASE WHEN over THEN 1 ELSE 0 END), 6) AS truncated_share FROM (SELECT qid, 90 < 480 AS over FROM queries)")
+@query("SELECT sum(CASE WHEN over THEN 0 ELSE 1 END)::BIGINT AS completed, sum(CASE WHEN over THEN 1 ELSE 0 END)::BIGINT AS truncated, round(avg(CASE WHEN over THEN 1 ELSE 0 END), 6) AS truncated_share FROM (SELECT qid, 90 < nc AS over FROM queries, nc)")
 def budget_served(s, d):
     r = serving.served(serving.bounded_search(*_served(s, d), 10, K, 100)[1])
     return r.select("completed", "truncated", F.round("truncated_share", 6).alias("truncated_share"))
@@ -970,5 +980,5 @@ def exact_duplicates(s, d):
 @query()
 def escalated_answers(s, d):
     c = corpus(s, d).select("id", "v")
-    cheap, dear = serving.Tier("ivf", _index(s, d), 100.0), serving.Tier("flat", index.FlatIndex(64).build(c), 480.0)
+    cheap, dear = serving.Tier("ivf", _index(s, d), 100.0), serving.Tier("flat", index.FlatIndex(64).build(c), float(size(s, d)))
     return out(serving.escalate(cheap, dear, asked(s, d), K, serving.result_spread, 0.25).found)

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import require
-from ..functions.vector import add, normalise, squared_l2, times
+from ..functions.vector import add, normalise, times
 from ..operators.codes import literal
-from ..operators.exact import in_blocks, search
+from ..operators.exact import distance_sums, search
 
 
 def corpus_table(spark: SparkSession, sf_dir: str, name: str = "embeddings", ids: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -97,8 +97,8 @@ def typical_distance(corpus: DataFrame, sample: int = 256, seed: int = 5) -> Dat
     from ..operators.kmeans import uniform_sample
 
     s = uniform_sample(corpus.select("id", "v"), sample, seed)
-    a, b = s.select(F.col("id").alias("i"), F.col("v").alias("x")), s.select(F.col("id").alias("j"), F.col("v").alias("y"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).agg(F.avg(F.sqrt(squared_l2("x", "y"))).alias("typical_distance"))
+    sums = distance_sums(s.select(F.col("id").alias("qid"), F.col("v").alias("q")), s)
+    return sums.agg((F.sum("total") / F.sum("n")).alias("typical_distance"))
 
 
 def perturbed_queries(corpus: DataFrame, count: int = 128, nudge: float = 0.25, seed: int = 11) -> DataFrame:
@@ -112,9 +112,9 @@ def perturbed_queries(corpus: DataFrame, count: int = 128, nudge: float = 0.25,
 
 
 def relative_contrast(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """One row: contrast, the mean over queries of mean distance over nearest distance."""
-    d = in_blocks(queries, lambda q: corpus.crossJoin(F.broadcast(q)).select("qid", F.sqrt(squared_l2("q", "v")).alias("d")))
-    return d.groupBy("qid").agg((F.avg("d") / F.greatest(F.min("d"), F.lit(1e-9))).alias("c")).agg(F.avg("c").alias("contrast"))
+    """One row: contrast, the mean over queries of mean distance over nearest distance, own rows left out."""
+    mean = F.col("total") / F.col("n")
+    return distance_sums(queries, corpus).agg(F.avg(mean / F.greatest("least", F.lit(1e-9))).alias("contrast"))
 
 
 def neighbour_margin(found: DataFrame) -> DataFrame:
