@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .errors import ConfigError, VectorSearchError
 from .operators import codes, hashing, index, ivf, sharded
 from .operators.exact import search
-from .operators.index import evaluate_on
+from .operators.index import evaluate_on, evaluate_result
 from .plans import evaluate, serving, storage, verify
 from .plans.lineage import materialise
 from .sources import datasets, drift
@@ -27,19 +27,26 @@ def build_corpus(spark: SparkSession, name: str, count: int, dimension: int):
     return materialise(CORPORA[name](spark, count, dimension))
 
 
-def build_index(name: str, dimension: int, partitions: int = 16, probe: int = 4, ef: int = 32, depth: int = 100):
+#: The knob of each index that a sweep turns at query time.
+KNOBS = {"ivf": "probe", "spill": "probe", "composite": "probe", "graph": "ef", "hnsw": "ef", "forest": "trees", "binary": "rerank", "residual": "rerank"}
+
+
+def build_index(
+    name: str, dimension: int, partitions: int = 16, probe: int = 4, ef: int = 32, rerank: int = 100, degree: int = 16,
+    trees: int = 8, leaf: int = 16, bits: int = 12, tables: int = 8, stages: int = 2, entries: int = 64,
+):
     kinds = {
         "flat": lambda: index.FlatIndex(dimension),
         "ivf": lambda: ivf.IVFIndex(dimension, partitions, "l2", probe),
         "spill": lambda: ivf.SpillIndex(dimension, partitions, probe),
-        "tree": lambda: sharded.TreeIndex(dimension),
-        "forest": lambda: sharded.ForestIndex(dimension),
-        "graph": lambda: sharded.GraphIndex(dimension, ef=ef),
-        "hnsw": lambda: sharded.HNSWIndex(dimension, ef=ef),
-        "lsh": lambda: hashing.LSHIndex(dimension),
-        "residual": lambda: codes.ResidualIndex(dimension, entries=64),
-        "binary": lambda: codes.BinaryIndex(dimension, depth),
-        "composite": lambda: codes.CompositeIndex(dimension, partitions, 8 if dimension % 8 == 0 else 1, 64, probe, depth),
+        "tree": lambda: sharded.TreeIndex(dimension, leaf),
+        "forest": lambda: sharded.ForestIndex(dimension, trees, 4 * leaf),
+        "graph": lambda: sharded.GraphIndex(dimension, degree, 2 * degree, ef),
+        "hnsw": lambda: sharded.HNSWIndex(dimension, degree, ef),
+        "lsh": lambda: hashing.LSHIndex(dimension, bits, tables),
+        "residual": lambda: codes.ResidualIndex(dimension, stages, entries, rerank),
+        "binary": lambda: codes.BinaryIndex(dimension, rerank),
+        "composite": lambda: codes.CompositeIndex(dimension, partitions, 8 if dimension % 8 == 0 else 1, entries, probe, rerank),
     }
     if name not in kinds:
         raise ConfigError(f"unknown index {name!r}")
@@ -79,32 +86,55 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--partitions", type=int, default=16)
         c.add_argument("--probe", type=int, default=4)
         c.add_argument("--ef", type=int, default=32)
+        c.add_argument("--rerank", type=int, default=100)
+        c.add_argument("--degree", type=int, default=16)
+        c.add_argument("--trees", type=int, default=8)
+        c.add_argument("--leaf", type=int, default=16)
+        c.add_argument("--bits", type=int, default=12)
+        c.add_argument("--tables", type=int, default=8)
+        c.add_argument("--stages", type=int, default=2)
+        c.add_argument("--entries", type=int, default=64)
         c.add_argument("--target", type=float, default=0.9)
         c.add_argument("--path", default="")
         c.add_argument("--values", type=int, nargs="*", default=[1, 2, 4, 8])
     return p
 
 
+def report(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
+    """A row for each corpus and each structure that fits its size."""
+    out = []
+    for label, corpus in verify.standard_corpora(spark, a.count, a.dimension).items():
+        corpus = materialise(corpus)
+        rest, asked = datasets.held_out(corpus, a.queries)
+        truth = materialise(search(asked, rest, a.k))
+        for (name, setting), make in verify.every_structure(a.dimension).items():
+            i = make().build(rest)
+            found = evaluate_result(name, rest, asked, i.search(asked, a.k), a.k, truth=truth)
+            out.append({"corpus": label, "setting": setting, "memory_bytes": i.memory_bytes()} | found.as_dict())
+    return out
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> tuple[int, object]:
-    make = lambda name=None, **k: build_index(name or a.index, a.dimension, **{"partitions": a.partitions, "probe": a.probe, "ef": a.ef, **k})
+    own = {k: getattr(a, k) for k in ("partitions", "probe", "ef", "rerank", "degree", "trees", "leaf", "bits", "tables", "stages", "entries")}
+    make = lambda: build_index(a.index, a.dimension, **own)
     if a.command == "inspect":
         return 0, storage.peek(spark, a.path).as_dict()
     if a.command == "verify":
         rows = verify.by_rule(verify.sweep(spark, (a.index,) if a.index != "all" else None)).collect()
         return int(any(r.violations for r in rows)), {r.rule: r.violations for r in rows}
+    if a.command == "report":
+        return 0, report(spark, a)
     corpus = build_corpus(spark, a.corpus, a.count, a.dimension)
     if a.command == "measure":
         i = make()
         return 0, evaluate_on(i, corpus, a.k, a.queries).as_dict() | {"memory_bytes": i.memory_bytes()}
-    if a.command == "report":
-        return 0, [evaluate_on(make(n), corpus, a.k, a.queries).as_dict() for n in ("flat", "ivf", "spill", "tree", "forest", "graph", "lsh", "binary")]
     if a.command == "build":
         return 0, storage.save(make().build(corpus), a.path).as_dict()
     rest, asked = datasets.held_out(corpus, a.queries)
     truth = materialise(search(asked, rest, a.k))
     if a.command == "sweep":
         i = make().build(rest)
-        knob = {"ivf": "probe", "spill": "probe", "composite": "probe", "graph": "ef", "hnsw": "ef"}.get(a.index)
+        knob = KNOBS.get(a.index)
         if knob is None:
             raise ConfigError(f"{a.index} has no knob")
         rows = evaluate.sweep_setting(lambda v: i.search(asked, a.k, **{knob: v}), truth, a.values, a.k)

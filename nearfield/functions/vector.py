@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -105,6 +106,23 @@ def best(metric: str, by: Column | str = "score") -> Column:
     return _c(by).asc() if metric_named(metric).smaller_is_closer else _c(by).desc()
 
 
+def hashed(seed: int, *key: Column | str) -> Column:
+    """A number from 0 below 2^52 hashed from the key: the same in any engine that has md5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[_c(k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def uniform(seed: int, *key: Column | str) -> Column:
+    """hashed, between 0 and 1 and neither of them."""
+    return (hashed(seed, *key) + 0.5) / F.lit(float(1 << 52))
+
+
+def normals(dimension: int, seed: int, key: Column | str = "id") -> Column:
+    """An array of standard normal numbers, each hashed from seed, key and place: a retried task draws the same."""
+    one = lambda i: F.sqrt(-2 * F.log(uniform(seed, key, i, F.lit("r")))) * F.cos(uniform(seed, key, i, F.lit("a")) * (2 * math.pi))
+    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), one)
+
+
 def sound_unions(spark: SparkSession) -> None:
     """Has unions dealt anew where they are grouped, for the session.
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, require
-from ..functions.vector import dot, doubles, score, squared_l2, subtract, top, total
-from .exact import BLOCK_NUMBERS, RESULT, in_blocks, matrix, pair_scores, query_blocks, scan_top, search, top_up
+from ..functions.vector import dot, doubles, squared_l2, subtract, top, total
+from ..plans.lineage import materialise
+from .exact import BLOCK_NUMBERS, RESULT, matrix, pair_scores, query_blocks, scan_top, search, top_up
 from .index import Found, Index, stats_row
 from .kmeans import _sample, local_lloyd, mean_vector
 
@@ -31,6 +32,9 @@ def rerank(queries: DataFrame, corpus: DataFrame, shortlist: DataFrame, k: int,
     return top(pair_scores(shortlist.select("qid", "id"), queries, corpus, metric), k, metric)
 
 
+reranked = rerank
+
+
 def code_column(rows: DataFrame, shared, encode) -> DataFrame:
     """(id, codes) of rows (id, v): ``encode(shared.value, matrix)`` gives a row of ints each."""
 
@@ -308,6 +312,23 @@ class ResidualBooks:
         """(id, v): the sum of the chosen entries."""
         return decoded_column(codes, self._shared(codes), lambda books, c: sum(book[c[:, s]] for s, book in enumerate(books[: c.shape[1]])))
 
+    def search(self, queries: DataFrame, codes: DataFrame, k: int = 10) -> DataFrame:
+        """Top k by squared distance to the decoded rows: tables of products of queries and entries, and the rows' lengths."""
+
+        def scores(asked: tuple[np.ndarray, np.ndarray], column: pa.Array) -> np.ndarray:
+            q, books = asked
+            c = matrix(column).astype(np.int64)
+            rows = sum(book[c[:, s]] for s, book in enumerate(books))
+            dots = sum((q @ book.T)[:, c[:, s]] for s, book in enumerate(books))
+            return np.round(np.maximum((q * q).sum(1)[:, None] + (rows * rows).sum(1)[None] - 2 * dots, 0.0), 9)
+
+        found, spark = None, codes.sparkSession
+        for qids, q in query_blocks(queries):
+            shared = spark.sparkContext.broadcast((qids, (q, self.books)))
+            part = scan_top(codes.select(F.col("id").cast("long"), "codes"), shared, k, scores)
+            found = part if found is None else found.unionAll(part)
+        return top(found if found is not None else spark.createDataFrame([], RESULT), k)
+
     def bytes_per_vector(self) -> float:
         return len(self.books) * np.ceil(np.log2(max(2, self.books.shape[1]))) / 8
 
@@ -433,14 +454,15 @@ class _CodeIndex(Index):
     def live_codes(self) -> DataFrame:
         return self.codes if self.dead is None else self.codes.join(self.dead, "id", "left_anti")
 
-    def search(self, queries: DataFrame, k: int = 10) -> Found:
+    def search(self, queries: DataFrame, k: int = 10, rerank: int | None = None) -> Found:
         n = self.check_queries(queries, k)
-        if self.rerank and self.rerank < k:
-            raise ConfigError(f"rerank {self.rerank} is below k {k}")
-        found = self._scan(queries, max(k, self.rerank))
-        if self.rerank:
-            found = top_up(rerank(queries, self.rows, found, k), queries, self.live(), k)
-        spent = n * (self.capacity * self.weight + self.rerank)
+        depth = self.rerank if rerank is None else rerank
+        if depth and depth < k:
+            raise ConfigError(f"rerank {depth} is below k {k}")
+        found = self._scan(queries, max(k, depth))
+        if depth:
+            found = top_up(reranked(queries, self.rows, found, k), queries, self.live(), k)
+        spent = n * (self.capacity * self.weight + depth)
         return Found(found, stats_row(queries.sparkSession, spent, self.capacity * n, 0, n))
 
 
@@ -452,19 +474,19 @@ class ResidualIndex(_CodeIndex):
         super().__init__(dimension, rerank)
         self.stages, self.entries, self.seed = stages, entries, seed
 
-    def build(self, vectors: DataFrame) -> ResidualIndex:
+    def build(self, vectors: DataFrame, books: ResidualBooks | None = None) -> ResidualIndex:
         self._count = self.check_vectors(vectors)
         self.rows, self.dead = vectors.select(F.col("id").cast("long").alias("id"), "v"), None
-        self.books = residual_fit(vectors, self.stages, self.entries, seed=self.seed)
-        self.codes = self.books.encode(self.rows)
+        self.books = residual_fit(vectors, self.stages, self.entries, seed=self.seed) if books is None else books
+        self.codes = materialise(self.books.encode(self.rows))
         return self
 
     def _append(self, vectors: DataFrame) -> None:
         super()._append(vectors)
-        self.codes = self.codes.unionByName(self.books.encode(vectors))
+        self.codes = self.codes.unionByName(materialise(self.books.encode(vectors)))
 
     def _scan(self, queries: DataFrame, k: int) -> DataFrame:
-        return search(queries, self.books.decode(self.live_codes()), k)
+        return self.books.search(queries, self.live_codes(), k)
 
 
 class BinaryIndex(_CodeIndex):
@@ -479,12 +501,12 @@ class BinaryIndex(_CodeIndex):
         self._count = self.check_vectors(vectors)
         self.rows, self.dead = vectors.select(F.col("id").cast("long").alias("id"), "v"), None
         self.signs = sign_fit(vectors, self.centre, self.rotate, self.seed)
-        self.codes = self.signs.encode(self.rows)
+        self.codes = materialise(self.signs.encode(self.rows))
         return self
 
     def _append(self, vectors: DataFrame) -> None:
         super()._append(vectors)
-        self.codes = self.codes.unionByName(self.signs.encode(vectors))
+        self.codes = self.codes.unionByName(materialise(self.signs.encode(vectors)))
 
     def _scan(self, queries: DataFrame, k: int) -> DataFrame:
         return self.signs.search(queries, self.live_codes(), k)
@@ -505,13 +527,12 @@ class CompositeIndex(Index):
         self.partitions, self.subspaces, self.centroids = partitions, subspaces, centroids
         self.probe, self.shortlist, self.residual, self.seed = probe, shortlist, residual, seed
 
-    def build(self, vectors: DataFrame) -> CompositeIndex:
-        from ..plans.lineage import materialise
+    def build(self, vectors: DataFrame, centres: np.ndarray | None = None) -> CompositeIndex:
         from .kmeans import fit_on_sample
 
         self._count = self.check_vectors(vectors)
         self.rows, self.dead = vectors.select(F.col("id").cast("long").alias("id"), "v"), None
-        self.centres = fit_on_sample(vectors, self.partitions, seed=self.seed).centres
+        self.centres = fit_on_sample(vectors, self.partitions, seed=self.seed).centres if centres is None else centres
         filed = self._residuals(self.rows)
         self.books = product_train(filed, self.subspaces, min(self.centroids, self._count), seed=self.seed)
         self.lists = materialise(self._coded(filed))
@@ -531,7 +552,7 @@ class CompositeIndex(Index):
 
     def _append(self, vectors: DataFrame) -> None:
         super()._append(vectors)
-        self.lists = self.lists.unionByName(self._coded(self._residuals(vectors)))
+        self.lists = self.lists.unionByName(materialise(self._coded(self._residuals(vectors))))
 
     def search(self, queries: DataFrame, k: int = 10, probe: int | None = None) -> Found:
         from .ivf import probes
@@ -556,8 +577,3 @@ class CompositeIndex(Index):
 
     def structure_bytes(self) -> int:
         return self.capacity * (self.subspaces + 8) + 4 * self.dimension * (self.partitions + self.centroids)
-
-
-def mean_code_score(queries: DataFrame, decoded: DataFrame, metric: str = "l2") -> DataFrame:
-    """All pair scores of a small decoded table: (qid, id, score)."""
-    return in_blocks(queries, lambda q: decoded.crossJoin(F.broadcast(q)).select("qid", "id", score("q", "v", metric).alias("score")))

@@ -25,6 +25,12 @@ def stats_row(spark, distances: float = 0.0, candidates: int = 0, hops: int = 0,
     return spark.createDataFrame([(float(distances), int(candidates), int(hops), int(queries))], STATS)
 
 
+def charge(stats: DataFrame, count: int, weight: float = 1.0) -> DataFrame:
+    """Costs with ``count`` more candidates scored at ``weight`` of a distance each."""
+    require(count >= 0 and weight >= 0, "a charge can't be negative")
+    return stats.withColumn("distances", F.col("distances") + count * weight).withColumn("candidates", F.col("candidates") + F.lit(count).cast("long"))
+
+
 def merge_stats(*stats: DataFrame) -> DataFrame:
     """Field-wise sums."""
     out = stats[0]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BuildError, ConfigError, DataError, require
-from ..functions.vector import checked
+from ..functions.vector import checked, hashed, uniform
 from .exact import matrix, score_matrix
 
 
@@ -136,11 +136,11 @@ def near_hashes(rows: DataFrame, count: int, seed: int, ids: str = "id") -> tupl
     A limit after a sort takes ``count`` rows from every task; here a threshold on the hash
     leaves little more than ``count`` rows in all, which is checked by a count.
     """
-    h = F.xxhash64(F.lit(seed), F.col(ids))
+    h = hashed(seed, ids)
     n = rows.count()
     share = (count + 6 * count**0.5 + 10) / max(n, 1)
     if share < 0.5:
-        few = rows.filter(h <= F.lit(-(2**63) + int(share * 2**64)))
+        few = rows.filter(h <= F.lit(int(share * 2**52)))
         if few.count() >= count:
             return few, h
     return rows, h
@@ -242,7 +242,7 @@ def dense_sample(vectors: DataFrame, count: int, sharpness: float = 1.0, seed: i
     from ..functions.vector import squared_l2
 
     centre = [float(x) for x in mean_vector(vectors)]
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    u = uniform(seed, "id")
     distance = F.sqrt(squared_l2("v", F.array(*map(F.lit, centre))))
     return vectors.orderBy(-F.log(u) * F.exp(F.lit(sharpness) * distance), "id").limit(count)
 

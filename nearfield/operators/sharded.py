@@ -1,13 +1,14 @@
 """Indexes of in-memory structures, one a shard: tree, forest, graph, layered graph.
 
-Building groups a table by shard (a hash of the id, or a column of the caller's) and keeps
-each structure as one binary row; a shard holds at most ``shard_rows`` rows, so no task holds
-more.  A search broadcasts a block of queries, walks each shard and merges the shards' k best.
+Building groups a table by shard, a hash of the id, and keeps each structure's arrays as one
+binary row (shard, n, ids, payload).  Shards are dealt so that one holds about ``shard_rows``
+rows, and no more than some 128 MB of vectors, so no task holds much more.  Inserted rows join
+the rows of shards that are less than a quarter full in new shards, so many small inserts leave
+few shards.  A search broadcasts a block of queries, walks each shard and merges their k best.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,25 +22,26 @@ from ..functions.vector import top
 from ..plans.lineage import materialise
 from .exact import query_blocks, top_up
 from .index import Found, Index
-from .structures import BeamGraph, Forest, Hnsw, KdTree
+from .structures import BeamGraph, Forest, Hnsw, KdTree, packed, unpacked
 
-#: Rows of a shard at most, unless the caller says otherwise.
-SHARD_ROWS = 100_000
+#: Rows of a shard, unless the caller says otherwise, and bytes of its vectors in single precision.
+SHARD_ROWS, SHARD_BYTES = 100_000, 128 << 20
 
 
 class ShardedIndex(Index):
     fills = True
+    kind: type
 
     def __init__(self, dimension: int, metric: str = "l2", shards: int | None = None, shard_rows: int = SHARD_ROWS):
         super().__init__(dimension, metric)
         if not self.metric.is_a_metric:
             raise ConfigError(f"{self.name} needs l2, not {self.metric.name}")
         require(shard_rows >= 1 and (shards is None or shards >= 1), "shards and rows must be at least 1")
-        self.shards, self.shard_rows = shards, shard_rows
+        self.shards, self.shard_rows = shards, max(1, min(shard_rows, SHARD_BYTES // (4 * dimension)))
         self.structures: DataFrame | None = None
 
     def _make(self):
-        """A picklable function from a matrix to a structure."""
+        """A function from a matrix to a structure, sent to the tasks."""
         raise NotImplementedError
 
     def build(self, vectors: DataFrame) -> ShardedIndex:
@@ -54,14 +56,18 @@ class ShardedIndex(Index):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id")
             made = make(np.stack(pdf["v"].to_numpy()).astype(np.float64))
-            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "payload": [pickle.dumps((pdf["id"].to_numpy(), made))]})
+            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [len(pdf)], "ids": [pdf["id"].to_numpy()], "payload": [packed(made.arrays())]})
 
-        return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, "shard int, payload binary")
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+        return dealt.groupBy("shard").applyInPandas(one, "shard int, n long, ids array<long>, payload binary")
 
     def _append(self, vectors: DataFrame) -> None:
-        """New rows form shards of their own; what is built stays."""
+        """New rows form shards with those of shards that are less than a quarter full; full ones stay."""
         super()._append(vectors)
-        self.structures = materialise(self.structures.unionByName(self._built(vectors.select("id", "v"), vectors.count())))
+        small = F.col("n") < self.shard_rows / 4
+        few = self.structures.filter(small).select(F.explode("ids").alias("id"))
+        fresh = materialise(self.rows.join(few, "id", "left_semi").unionByName(vectors.select(F.col("id").cast("long").alias("id"), "v")))
+        self.structures = materialise(self.structures.filter(~small).unionByName(self._built(fresh, fresh.count())))
 
     def walk(self, queries: DataFrame, k: int, **how) -> DataFrame:
         """(qid, id, score, cost): each shard's answers; the first row of a walk bears its cost.
@@ -70,13 +76,13 @@ class ShardedIndex(Index):
         spark, out = queries.sparkSession, None
         gone = None if self.dead is None else self.dead.select(F.col("id").cast("long")).toPandas()["id"].to_numpy()
         for qids, q in query_blocks(queries):
-            shared = spark.sparkContext.broadcast((qids, q, gone))
+            shared, kind = spark.sparkContext.broadcast((qids, q, gone)), self.kind
 
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
                 qids, q, gone = shared.value
                 for b in batches:
-                    for payload in b.column(0).to_pylist():
-                        ids, made = pickle.loads(payload)
+                    for ids, payload in zip(b.column(0), b.column(1), strict=True):
+                        ids, made = ids.values.to_numpy(), kind.restored(unpacked(payload.as_py()))
                         dead = None if gone is None else np.isin(ids, gone)
                         for i in range(len(q)):
                             rows, scores, cost = made.search(q[i], k, dead=dead, **how)
@@ -86,7 +92,7 @@ class ShardedIndex(Index):
                                 [pa.array(np.full(len(rows), qids[i])), pa.array(ids[rows]), pa.array(scores), pa.array(costs)], names=["qid", "id", "score", "cost"]
                             )
 
-            part = self.structures.select("payload").mapInArrow(run, "qid long, id long, score double, cost double")
+            part = self.structures.select("ids", "payload").mapInArrow(run, "qid long, id long, score double, cost double")
             out = part if out is None else out.unionAll(part)
         return out
 
@@ -110,6 +116,7 @@ class TreeIndex(ShardedIndex):
     """Exact kd-tree."""
 
     name = "tree"
+    kind = KdTree
 
     def __init__(self, dimension: int, leaf_size: int = 16, metric: str = "l2", **shards):
         super().__init__(dimension, metric, **shards)
@@ -123,6 +130,7 @@ class TreeIndex(ShardedIndex):
 
 class ForestIndex(ShardedIndex):
     name = "forest"
+    kind = Forest
     fills = False
 
     def __init__(self, dimension: int, trees: int = 8, leaf_size: int = 64, split_on: str = "median", seed: int = 0, **shards):
@@ -138,6 +146,7 @@ class ForestIndex(ShardedIndex):
 
 class GraphIndex(ShardedIndex):
     name = "graph"
+    kind = BeamGraph
 
     def __init__(self, dimension: int, degree: int = 16, build_degree: int = 32, ef: int = 32, alpha: float = 1.0, entry: str = "medoid", **shards):
         super().__init__(dimension, "l2", **shards)
@@ -159,19 +168,20 @@ class GraphIndex(ShardedIndex):
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    for payload in b.column(0).to_pylist():
-                        ids, made = pickle.loads(payload)
+                    for ids, payload in zip(b.column(0), b.column(1), strict=True):
+                        ids, made = ids.values.to_numpy(), BeamGraph.restored(unpacked(payload.as_py()))
                         for qid, x in zip(*shared.value, strict=True):
                             rows = made.visited(x, ef)
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(ids[rows])], names=["qid", "id"])
 
-            part = self.structures.select("payload").mapInArrow(run, "qid long, id long")
+            part = self.structures.select("ids", "payload").mapInArrow(run, "qid long, id long")
             out = part if out is None else out.unionAll(part)
         return out
 
 
 class HNSWIndex(ShardedIndex):
     name = "hnsw"
+    kind = Hnsw
     fills = False
 
     def __init__(self, dimension: int, degree: int = 16, ef: int = 32, ef_construction: int = 64, multiplier: float = 16.0, seed: int = 0, **shards):

@@ -8,17 +8,58 @@ scores, cost) with squared L2 scores; rows flagged in ``dead`` are walked and ch
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 
 
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """Named arrays as bytes; nothing but numbers can be read back from them."""
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def unpacked(payload: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(payload), allow_pickle=False) as z:
+        return {k: z[k] for k in z.files}
+
+
+def _runs(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers end to end, and where each starts."""
+    lists = [np.asarray(x, dtype=np.int32) for x in lists]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int64)
+    return (np.concatenate(lists) if lists else np.empty(0, dtype=np.int32)), ends
+
+
+def _lists(flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """Single precision where it loses nothing."""
+    small = v.astype(np.float32)
+    return small if np.array_equal(small, v) else v
+
+
+class Structure:
+    """What a shard holds; ``arrays`` and ``restored`` carry it over the wire."""
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        raise NotImplementedError
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> Structure:
+        raise NotImplementedError
+
+
 def _nearest(v: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     d = ((v[rows] - q) ** 2).sum(1)
     order = np.lexsort((rows, d))[:k]
     return rows[order], d[order]
 
 
-class KdTree:
+class KdTree(Structure):
     """Splits the widest axis at its lower median; prunes by distances to the leaves' boxes."""
 
     def __init__(self, v: np.ndarray, leaf_size: int = 16):
@@ -36,8 +77,22 @@ class KdTree:
             if left.all():
                 left = v[rows, axis] < line
             stack += [rows[~left], rows[left]]
-        self.low = np.stack([v[r].min(0) for r in self.leaves])
-        self.high = np.stack([v[r].max(0) for r in self.leaves])
+        self._bounds()
+
+    def _bounds(self) -> None:
+        self.low = np.stack([self.v[r].min(0) for r in self.leaves])
+        self.high = np.stack([self.v[r].max(0) for r in self.leaves])
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        flat, ends = _runs(self.leaves)
+        return {"v": _narrow(self.v), "leaves": flat, "leaf_ends": ends}
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> KdTree:
+        out = cls.__new__(cls)
+        out.v, out.leaves = a["v"].astype(np.float64), _lists(a["leaves"].astype(np.int64), a["leaf_ends"])
+        out._bounds()
+        return out
 
     def search(self, q: np.ndarray, k: int, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0.0)
@@ -88,8 +143,29 @@ class ProjectionTree:
     def leaf_sizes(self) -> list[int]:
         return [len(n["rows"]) for n in self.nodes if n["rows"] is not None]
 
-
-class Forest:
+    def arrays(self) -> dict[str, np.ndarray]:
+        flat, ends = _runs([[] if n["rows"] is None else n["rows"] for n in self.nodes])
+        inner = [n for n in self.nodes if n["rows"] is None]
+        return {
+            "rows": flat, "ends": ends, "inner": np.array([n["rows"] is None for n in self.nodes]), "depth": np.array([self.depth]),
+            "directions": np.array([n["direction"] for n in inner]), "lines": np.array([n["line"] for n in inner], dtype=np.float64),
+            "left": np.array([n["left"] for n in inner], dtype=np.int64), "right": np.array([n["right"] for n in inner], dtype=np.int64),
+        }
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> ProjectionTree:
+        out = cls.__new__(cls)
+        out.depth, out.nodes, at = int(a["depth"][0]), [], 0
+        for inner, rows in zip(a["inner"], _lists(a["rows"].astype(np.int64), a["ends"]), strict=True):
+            if inner:
+                out.nodes.append({"rows": None, "direction": a["directions"][at], "line": a["lines"][at], "left": int(a["left"][at]), "right": int(a["right"][at])})
+                at += 1
+            else:
+                out.nodes.append({"rows": rows})
+        return out
+
+
+class Forest(Structure):
     def __init__(self, v: np.ndarray, trees: int = 8, leaf_size: int = 64, split_on: str = "median", seed: int = 0):
         self.v = v
         self.trees = [ProjectionTree(v, leaf_size, seed + t, split_on) for t in range(trees)]
@@ -97,8 +173,18 @@ class Forest:
     def candidates(self, q: np.ndarray, trees: int | None = None) -> np.ndarray:
         return np.unique(np.concatenate([t.descend(q) for t in self.trees[:trees]]))
 
-    def search(self, q: np.ndarray, k: int, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        rows = self.candidates(q)
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"v": _narrow(self.v)} | {f"{t}/{k}": x for t, tree in enumerate(self.trees) for k, x in tree.arrays().items()}
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> Forest:
+        out = cls.__new__(cls)
+        out.v, trees = a["v"].astype(np.float64), sorted({int(k.split("/")[0]) for k in a if "/" in k})
+        out.trees = [ProjectionTree.restored({k.split("/")[1]: x for k, x in a.items() if k.startswith(f"{t}/")}) for t in trees]
+        return out
+
+    def search(self, q: np.ndarray, k: int, trees: int | None = None, dead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        rows = self.candidates(q, trees)
         return *_nearest(self.v, rows if dead is None else rows[~dead[rows]], q, k), len(rows)
 
 
@@ -157,7 +243,7 @@ def touched(v: np.ndarray, links, entry: int, q: np.ndarray, width: int) -> np.n
     return np.array(sorted(seen | {entry}))
 
 
-class BeamGraph:
+class BeamGraph(Structure):
     """Symmetrised exact neighbour graph, pruned for diversity, walked from one entry."""
 
     def __init__(self, v: np.ndarray, degree: int = 16, build_degree: int = 32, ef: int = 32, alpha: float = 1.0, entry: str = "medoid", seed: int = 0):
@@ -176,6 +262,17 @@ class BeamGraph:
         self.links = [diverse(v, i, np.array(sorted(s), dtype=int), degree, alpha) if s else [] for i, s in enumerate(near)]
         self.entry = {"first": 0, "random": int(np.random.default_rng(seed).integers(n)), "medoid": int(((v - v.mean(0)) ** 2).sum(1).argmin())}[entry]
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        flat, ends = _runs(self.links)
+        return {"v": _narrow(self.v), "links": flat, "ends": ends, "entry_ef": np.array([self.entry, self.ef])}
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> BeamGraph:
+        out = cls.__new__(cls)
+        out.v, out.links = a["v"].astype(np.float64), [x.tolist() for x in _lists(a["links"], a["ends"])]
+        out.entry, out.ef = map(int, a["entry_ef"])
+        return out
+
     def visited(self, q: np.ndarray, ef: int | None = None) -> np.ndarray:
         return touched(self.v, self.links, self.entry, q, ef or self.ef)
 
@@ -184,7 +281,7 @@ class BeamGraph:
         return np.array([r for _, r in kept[:k]], dtype=int), np.array([d for d, _ in kept[:k]]), cost
 
 
-class Hnsw:
+class Hnsw(Structure):
     """Layered graph; levels are geometric, rows are linked one after another."""
 
     def __init__(self, v: np.ndarray, degree: int = 16, ef: int = 32, ef_construction: int = 64, multiplier: float = 16.0, seed: int = 0):
@@ -196,6 +293,22 @@ class Hnsw:
         for i in range(len(v)):
             self._link(i, ef_construction)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        out = {"v": _narrow(self.v), "levels": self.levels, "entry_ef_degree": np.array([self.entry, self.ef, self.degree])}
+        for n, layer in enumerate(self.layers):
+            flat, ends = _runs(layer.values())
+            out |= {f"{n}/nodes": np.array(list(layer), dtype=np.int64), f"{n}/links": flat, f"{n}/ends": ends}
+        return out
+
+    @classmethod
+    def restored(cls, a: dict[str, np.ndarray]) -> Hnsw:
+        out = cls.__new__(cls)
+        out.v, out.levels = a["v"].astype(np.float64), a["levels"]
+        out.entry, out.ef, out.degree = map(int, a["entry_ef_degree"])
+        layers = sorted({int(k.split("/")[0]) for k in a if "/" in k})
+        out.layers = [dict(zip(a[f"{n}/nodes"].tolist(), [x.tolist() for x in _lists(a[f"{n}/links"], a[f"{n}/ends"])], strict=True)) for n in layers]
+        return out
+
     def _link(self, i: int, width: int) -> None:
         level = int(self.levels[i])
         start, high = self.entry, len(self.layers)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..functions.vector import hashed, uniform
 from ..operators.exact import search
 from ..operators.index import Index, Quality, evaluate_result
 
@@ -49,7 +50,7 @@ def split_for_churn(corpus: DataFrame, built_share: float = 0.5, queries: int =
     from ..sources.datasets import held_out
 
     rest, asked = held_out(corpus, queries, seed + 11)
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 20)) < int(built_share * (1 << 20))
+    h = uniform(seed, "id") < built_share
     return rest.filter(h), rest.filter(~h), asked
 
 
@@ -62,7 +63,7 @@ def measure(index: Index, queries: DataFrame, churn: Churn, k: int = 10) -> Degr
 
 def _batches(rows: DataFrame, batches: int, seed: int) -> list[DataFrame]:
     require(batches >= 1, "batches must be at least 1")
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(batches))
+    h = F.pmod(hashed(seed, "id"), F.lit(batches))
     return [rows.filter(h == i) for i in range(batches)]
 
 
@@ -79,7 +80,7 @@ def remove_in_batches(index: Index, built: DataFrame, queries: DataFrame, batche
     require(0 < share < 1, f"share {share}")
     index.build(built)
     churn, out = Churn(built_size=index.capacity), []
-    gone = built.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 20)) < int(share * (1 << 20))).select("id")
+    gone = built.filter(uniform(seed, "id") < share).select("id")
     for part in _batches(gone, batches, seed + 1):
         churn.removed += index.remove(part)
         out.append(measure(index, queries, churn, k))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
+from ..functions.vector import hashed
 
 # -- recall ------------------------------------------------------------------------------------
 
@@ -59,7 +60,7 @@ def near_misses(wide: DataFrame, k: int = 10, offset: int = 10) -> DataFrame:
 
 def shuffled(found: DataFrame, seed: int = 0) -> DataFrame:
     """The same answers in an order drawn by hash."""
-    w = Window.partitionBy("qid").orderBy(F.xxhash64(F.lit(seed), "qid", "id"))
+    w = Window.partitionBy("qid").orderBy(hashed(seed, "qid", "id"), "id")
     return found.withColumn("rank", F.row_number().over(w))
 
 
@@ -139,27 +140,29 @@ def _pearson(a: str, b: str) -> Column:
     return F.when(c.isNull() | F.isnan(c), F.lit(0.0)).otherwise(c)
 
 
-def _average_rank(column: str) -> Column:
-    """0-based rank, ties at their mean."""
-    return F.rank().over(Window.orderBy(column)) - 1 + (F.count("*").over(Window.partitionBy(column)) - 1) / 2
+def average_ranks(values: DataFrame, column: str, name: str) -> DataFrame:
+    """values with the 0-based rank of a column, ties at their mean; sums run over all tasks."""
+    from .storage import running_total
 
+    each = running_total(values.groupBy(column).agg(F.count("*").alias("n")), "n", column)
+    ranks = each.select(F.col(column).alias("of"), (F.col("before") + (F.col("n") - 1) / 2).alias(name))
+    return values.join(ranks, F.col(column) == F.col("of")).drop("of")
 
-def correlations(values: DataFrame, signal: str) -> DataFrame:
-    """One row: correlation and rank_correlation of a signal with recall, 0 where one is constant.
 
-    Ranks are of a table of measured queries, which is small by its nature.
-    """
-    ranked = values.select(signal, "recall", _average_rank(signal).alias("a"), _average_rank("recall").alias("b"))
+def correlations(values: DataFrame, signal: str) -> DataFrame:
+    """One row: correlation and rank_correlation of a signal with recall, 0 where one is constant."""
+    ranked = average_ranks(average_ranks(values.select(signal, "recall"), signal, "a"), "recall", "b")
     return ranked.agg(_pearson(signal, "recall").alias("correlation"), _pearson("a", "b").alias("rank_correlation"))
 
 
 def flag_the_worst(values: DataFrame, signal: str, share: float = 0.2, bad_below: float = 0.5, largest_is_worse: bool = True) -> DataFrame:
     """One row: flagged, caught, missed, false_alarms, precision, sensitivity."""
     require(0 < share <= 1, f"share {share}")
-    m = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy()) * share))
-    order = F.col(signal).desc() if largest_is_worse else F.col(signal).asc()
-    rows = values.select(F.row_number().over(Window.orderBy(order, "qid")).alias("r"), m.alias("m"), (F.col("recall") < bad_below).alias("bad"))
-    f = F.col("r") <= F.col("m")
+    from .storage import numbered
+
+    order = -F.col(signal) if largest_is_worse else F.col(signal)
+    rows = numbered(values.select("qid", order.alias("o"), (F.col("recall") < bad_below).alias("bad")), "o", "qid")
+    f = F.col("number") < max(1, round(rows.count() * share))
     out = rows.agg(F.count_if(f).alias("flagged"), F.count_if(f & F.col("bad")).alias("caught"), F.count_if(~f & F.col("bad")).alias("missed"), F.count_if(f & ~F.col("bad")).alias("false_alarms"))
     return out.select(
         "*", F.coalesce(F.try_divide("caught", "flagged"), F.lit(0.0)).alias("precision"),

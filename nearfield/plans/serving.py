@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
-from ..functions.vector import dot, score, squared_l2, top
+from ..functions.vector import dot, hashed, score, squared_l2, top
 from ..operators.codes import SignCodes, literal, rerank
-from ..operators.exact import search
+from ..operators.exact import search, top_up
 from ..operators.ivf import ivf_search
 
 # -- budgets -----------------------------------------------------------------------------------
@@ -50,11 +50,17 @@ def _opened(queries: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFra
     return ordered.join(F.broadcast(sizes), "part", "left").fillna(0, ["n"])
 
 
-def _scan(allowed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Top k over the first ``take`` rows, in id order, of each opened list."""
-    placed = lists.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("id")))
-    rows = allowed.filter("take > 0").join(placed, "part").filter(F.col("place") <= F.col("take"))
-    return top(rows.select("qid", "id", score("q", "v").alias("score")), k)
+def _scan(queries: DataFrame, allowed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """Top k over the first ``take`` rows, in id order, of each opened list; short results are filled.
+
+    Lists that bear ``place`` (see storage.placed) are not numbered again.
+    """
+    from .storage import placed
+
+    lists = lists if "place" in lists.columns else placed(lists)
+    rows = allowed.filter("take > 0").join(lists, "part").filter(F.col("place") <= F.col("take"))
+    found = top(rows.select("qid", "id", score("q", "v").alias("score")), k)
+    return top_up(found, queries, lists.select("id", "v"), k)
 
 
 def allowance(opened: DataFrame, limit: Column, per: list[str], order: list[str]) -> DataFrame:
@@ -68,7 +74,7 @@ def bounded_search(queries: DataFrame, lists: DataFrame, centres: DataFrame, siz
     """Per-query budget, centre scan included; (result, (qid, spent, truncated))."""
     o = allowance(_opened(queries, centres, sizes), F.lit(max(0, limit - partitions)), ["qid"], ["nth"])
     spent = o.groupBy("qid").agg((F.sum("take") + partitions).alias("spent"), (F.sum("take") < F.sum("n")).alias("truncated"))
-    return _scan(o, lists, k), spent
+    return _scan(queries, o, lists, k), spent
 
 
 def whole_lists_search(queries: DataFrame, lists: DataFrame, centres: DataFrame, sizes: DataFrame, partitions: int, k: int, limit: int) -> DataFrame:
@@ -76,21 +82,22 @@ def whole_lists_search(queries: DataFrame, lists: DataFrame, centres: DataFrame,
     o = _opened(queries, centres, sizes)
     upto = F.sum("n").over(Window.partitionBy("qid").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
     o = o.withColumn("take", F.when(upto <= max(0, limit - partitions), F.col("n")).otherwise(F.lit(0)))
-    return _scan(o, lists, k)
+    return _scan(queries, o, lists, k)
 
 
 def shared_budget_search(queries: DataFrame, lists: DataFrame, centres: DataFrame, sizes: DataFrame, k: int, total: int, probe: int) -> tuple[DataFrame, DataFrame]:
     """One budget for a batch in query order, ``probe`` lists a query; centres are not charged.
 
-    Each query's own sum comes first, so the running sum over queries has a row a query.
+    The running sum over queries goes over all tasks.
     """
     o = _opened(queries, centres, sizes).filter(F.col("nth") <= probe)
     each = o.groupBy("qid").agg(F.sum("n").alias("wanted"))
-    before = F.coalesce(F.sum("wanted").over(Window.orderBy("qid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = each.select("qid", F.greatest(F.lit(0), F.lit(total) - before).alias("left"))
+    from .storage import running_total
+
+    left = running_total(each, "wanted", "qid").select("qid", F.greatest(F.lit(0), F.lit(total) - F.col("before")).alias("left"))
     o = allowance(o.join(left, "qid"), F.col("left"), ["qid"], ["nth"])
     spent = o.groupBy("qid").agg(F.sum("take").alias("spent"), (F.sum("take") < F.sum("n")).alias("truncated"))
-    return _scan(o, lists, k), spent
+    return _scan(queries, o, lists, k), spent
 
 
 def served(spent: DataFrame) -> DataFrame:
@@ -294,10 +301,11 @@ def margin(found: DataFrame) -> DataFrame:
 def escalated(signal: DataFrame, share: float, largest_first: bool = True) -> DataFrame:
     """(qid) of the round(n * share) queries (half to even) with the most extreme signal."""
     require(0 <= share <= 1, f"share {share}")
-    m = F.bround(F.count("*").over(Window.partitionBy()) * share)
-    order = F.col("signal").desc() if largest_first else F.col("signal").asc()
-    ranked = signal.withColumn("r", F.row_number().over(Window.orderBy(order, "qid"))).withColumn("m", m)
-    return ranked.filter("r <= m").select("qid")
+    from .storage import numbered
+
+    order = -F.col("signal") if largest_first else F.col("signal")
+    ranked = numbered(signal.select("qid", order.alias("o")), "o", "qid")
+    return ranked.filter(F.col("number") < round(ranked.count() * share)).select("qid")
 
 
 def route(cheap: DataFrame, dear: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -308,7 +316,7 @@ def route(cheap: DataFrame, dear: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def random_split(queries: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """(qid): as many queries as ``escalated`` takes, by hash."""
-    return escalated(queries.select("qid", F.xxhash64(F.lit(seed), "qid").alias("signal")), share)
+    return escalated(queries.select("qid", hashed(seed, "qid").alias("signal")), share)
 
 
 def interpolated(cheap: tuple[float, float], dear: tuple[float, float], cost: float) -> float:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
-from ..functions.vector import top
+from ..functions.vector import hashed, top
 from ..operators.exact import query_blocks, scan_keyed
 from ..operators.ivf import ivf_search
 from ..operators.kmeans import assign
@@ -35,13 +37,39 @@ def numbered(rows: DataFrame, *by: str) -> DataFrame:
     return ranged.join(F.broadcast(table), "__p").withColumn("number", F.col("__i") + F.col("__o")).drop("__p", "__i", "__o")
 
 
+def running_total(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """rows with ``before``, the sum of ``value`` over all rows before each in the order of ``by``.
+
+    Rows are range partitioned; sums of the partitions give each its offset.
+    """
+    from .lineage import materialise
+
+    ranged = materialise(rows.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()))
+    seen, offsets = 0, []
+    for p, s in sorted((r["__p"], r["s"]) for r in ranged.groupBy("__p").agg(F.sum(value).alias("s")).collect()):
+        offsets.append((p, seen))
+        seen += s
+    kind = dict(ranged.agg(F.sum(value).alias("s")).dtypes)["s"]
+    table = rows.sparkSession.createDataFrame(offsets or [(0, 0)], f"__p int, __o {kind}")
+    w = Window.partitionBy("__p").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return own.join(F.broadcast(table), "__p").withColumn("before", F.col("before") + F.col("__o")).drop("__p", "__o")
+
+
+def placed(lists: DataFrame) -> DataFrame:
+    """lists with ``place`` from 1 in id order within each part; a long list is spread over tasks."""
+    sizes = lists.groupBy("part").agg(F.count("*").alias("n"))
+    starts = running_total(sizes, "n", "part").select("part", "before")
+    return numbered(lists, "part", "id").join(F.broadcast(starts), "part").withColumn("place", F.col("number") - F.col("before") + 1).drop("number", "before")
+
+
 # -- shards ------------------------------------------------------------------------------------
 
 
 def random_shards(corpus: DataFrame, count: int = 8, seed: int = 0) -> DataFrame:
     """corpus with shard: an even deal by hash of seed and id."""
     require(count >= 1, "count must be at least 1")
-    return corpus.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(count)).cast("int"))
+    return corpus.withColumn("shard", F.pmod(hashed(seed, "id"), F.lit(count)).cast("int"))
 
 
 def clustered_shards(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -88,13 +116,10 @@ def sequential_layout(corpus: DataFrame, dimension: int, page_bytes: int = PAGE_
 
 
 def clustered_layout(lists: DataFrame, dimension: int, page_bytes: int = PAGE_BYTES) -> DataFrame:
-    """(id, page): rows by list, then id; lists' offsets come from their counts."""
+    """(id, page): rows by list, then id."""
     per = vectors_per_page(dimension, page_bytes)
-    sizes = lists.groupBy("part").agg(F.count("*").alias("n"))
-    offset = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a list
-    placed = lists.select("part", "id").withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
-    rows = placed.join(F.broadcast(offset.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part")
-    return rows.select("id", F.floor((F.col("before") + F.col("i")) / per).cast("long").alias("page"))
+    rows = numbered(lists.select("part", "id"), "part", "id")
+    return rows.select("id", F.floor(F.col("number") / per).cast("long").alias("page"))
 
 
 def page_counts(touched: DataFrame, layout: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
@@ -109,7 +134,7 @@ def disk_stats(counts: DataFrame) -> DataFrame:
 
 # -- saved indexes -----------------------------------------------------------------------------
 
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
@@ -128,12 +153,24 @@ class Header:
 
 
 def digest_of(rows: DataFrame) -> str:
-    """Order-free digest of a table of vectors: row hashes summed in two ways, and the count."""
-    h = F.xxhash64("id", F.col("v").cast("array<float>"))
+    """Order-free digest of a whole table: hashes of all columns of its rows summed in two ways, and the count."""
+    h = F.xxhash64(*sorted(rows.columns))
     r = rows.agg(F.sum(F.pmod(h, F.lit(1 << 31))).alias("a"), F.bit_xor(h).alias("b"), F.count("*").alias("n")).first()
     return f"{r.n:x}-{(r.a or 0):x}-{(r.b or 0) & (2**64 - 1):x}"
 
 
+def _tables(spark: SparkSession, path: str, detail: dict) -> dict[str, DataFrame]:
+    """Every table of a saved index, as load reads it."""
+    names = ["rows"] + ["dead"] * detail["dead"] + [detail["table"]] * bool(detail["table"])
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def _digest(tables: dict[str, DataFrame], detail: dict) -> str:
+    """Digest of all tables and of what the manifest itself holds (centres, settings)."""
+    parts = {n: digest_of(t) for n, t in sorted(tables.items())}
+    return hashlib.sha256(json.dumps([parts, detail], sort_keys=True).encode()).hexdigest()
+
+
 def _text(spark: SparkSession, path: str, text: str | None = None) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -154,22 +191,26 @@ def save(index, path: str, detail: dict | None = None) -> Header:
     index.rows.write.mode("overwrite").parquet(f"{path}/rows")
     if index.dead is not None:
         index.dead.write.mode("overwrite").parquet(f"{path}/dead")
-    own: dict = {"dead": index.dead is not None}
-    if getattr(index, "lists", None) is not None and index.name in ("ivf", "spill"):
-        index.lists.write.mode("overwrite").partitionBy("part").parquet(f"{path}/lists")
+    own: dict = {"dead": index.dead is not None, "table": None, "notes": detail or {}}
+    if index.name in ("ivf", "spill"):
+        own["table"] = "lists"
+        index.lists.select(F.col("part").cast("int").alias("part"), "id", "v").write.mode("overwrite").partitionBy("part").parquet(f"{path}/lists")
         own |= {"centres": index.centres.tolist(), "partitions": index.partitions, "probe": index.probe, "seed": index.seed, "inserted": index.inserted}
         if index.name == "spill":
             own |= {"copies": index.copies, "adaptive": index.adaptive}
     elif index.name == "binary":
+        own["table"] = "codes"
         index.codes.write.mode("overwrite").parquet(f"{path}/codes")
         s = index.signs
         own |= {"rerank": index.rerank, "centre": None if s.centre is None else s.centre.tolist(), "rotation": None if s.rotation is None else s.rotation.tolist()}
     elif hasattr(index, "structures"):
+        own["table"] = "structures"
         index.structures.write.mode("overwrite").parquet(f"{path}/structures")
         own |= {"leaf_size": getattr(index, "leaf_size", None), "how": list(getattr(index, "how", ()))}
     elif index.name != "flat":
         raise ConfigError(f"an index of kind {index.name} is rebuilt, not saved")
-    header = Header(VERSION, index.name, index.dimension, index.capacity, index.size, index.metric.name, digest_of(spark.read.parquet(f"{path}/rows")), own | {"notes": detail or {}})
+    own = json.loads(json.dumps(own))
+    header = Header(VERSION, index.name, index.dimension, index.capacity, index.size, index.metric.name, _digest(_tables(spark, path, own), own), own)
     _text(spark, f"{path}/manifest.json", json.dumps(header.as_dict()))
     return header
 
@@ -186,28 +227,33 @@ def peek(spark: SparkSession, path: str) -> Header:
 
 
 def load(spark: SparkSession, path: str):
-    """The index of a path, its digest verified."""
+    """The index of a path, once its tables and settings give the digest of the manifest."""
     from ..operators import codes, index, ivf, sharded
 
     h = peek(spark, path)
-    rows = spark.read.parquet(f"{path}/rows")
-    if digest_of(rows) != h.digest:
-        raise DataError(f"{path} differs from its manifest")
     d = h.detail
+    try:
+        tables = _tables(spark, path, d)
+        same = _digest(tables, d) == h.digest
+    except (AnalysisException, KeyError) as e:
+        raise DataError(f"{path} lacks a table of its manifest") from e
+    if not same:
+        raise DataError(f"{path} differs from its manifest")
+    rows = tables["rows"]
     if h.kind == "flat":
         out = index.FlatIndex(h.dimension, h.metric)
     elif h.kind in ("ivf", "spill"):
         out = ivf.IVFIndex(h.dimension, d["partitions"], h.metric, d["probe"], d["seed"]) if h.kind == "ivf" else ivf.SpillIndex(h.dimension, d["partitions"], d["probe"], d["copies"], d["adaptive"], d["seed"])
-        out.centres, out.lists, out.inserted = np.array(d["centres"]), spark.read.parquet(f"{path}/lists").select("part", "id", "v"), d["inserted"]
+        out.centres, out.lists, out.inserted = np.array(d["centres"]), tables["lists"].select("part", "id", "v"), d["inserted"]
     elif h.kind == "binary":
         out = codes.BinaryIndex(h.dimension, d["rerank"])
-        out.codes = spark.read.parquet(f"{path}/codes")
+        out.codes = tables["codes"]
         out.signs = codes.SignCodes(h.dimension, None if d["centre"] is None else np.array(d["centre"]), None if d["rotation"] is None else np.array(d["rotation"]))
     else:
         kinds = {c.name: c for c in (sharded.TreeIndex, sharded.ForestIndex, sharded.GraphIndex, sharded.HNSWIndex)}
         require(h.kind in kinds, f"kind {h.kind!r}")
         out = kinds[h.kind](h.dimension, *([d["leaf_size"]] if h.kind == "tree" else d["how"]))
-        out.structures = spark.read.parquet(f"{path}/structures")
+        out.structures = tables["structures"]
     out.rows, out._count = rows, h.count
-    out.dead = spark.read.parquet(f"{path}/dead") if d["dead"] else None
+    out.dead = tables.get("dead")
     return out

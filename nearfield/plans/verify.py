@@ -31,6 +31,41 @@ def violations(found: DataFrame, corpus: DataFrame, queries: DataFrame, k: int)
     return out
 
 
+def every_structure(dimension: int = 32) -> dict:
+    """(index, setting) to a new index: what a report measures."""
+    from ..operators import codes, hashing, index, ivf, sharded
+
+    slices = 8 if dimension % 8 == 0 else 1
+    return {
+        ("flat", "all"): lambda: index.FlatIndex(dimension),
+        ("ivf", "probe 4"): lambda: ivf.IVFIndex(dimension, 64, "l2", 4),
+        ("ivf", "probe 8"): lambda: ivf.IVFIndex(dimension, 64, "l2", 8),
+        ("ivf", "probe 16"): lambda: ivf.IVFIndex(dimension, 64, "l2", 16),
+        ("spill", "probe 8"): lambda: ivf.SpillIndex(dimension, 64, 8, 2),
+        ("tree", "leaf 16"): lambda: sharded.TreeIndex(dimension),
+        ("forest", "8 trees"): lambda: sharded.ForestIndex(dimension, 8),
+        ("graph", "ef 32"): lambda: sharded.GraphIndex(dimension, ef=32),
+        ("graph", "ef 64"): lambda: sharded.GraphIndex(dimension, ef=64),
+        ("hnsw", "ef 32"): lambda: sharded.HNSWIndex(dimension, ef=32),
+        ("lsh", "8 tables"): lambda: hashing.LSHIndex(dimension, 12, 8),
+        ("residual", "rerank 100"): lambda: codes.ResidualIndex(dimension, 2, 64, 100),
+        ("binary", "rerank 100"): lambda: codes.BinaryIndex(dimension, 100),
+        ("composite", "probe 8"): lambda: codes.CompositeIndex(dimension, 64, slices, 64, 8, 100),
+    }
+
+
+def standard_corpora(spark: SparkSession, count: int = 4096, dimension: int = 32) -> dict[str, DataFrame]:
+    """The corpora of a report."""
+    from ..sources import datasets
+
+    return {
+        "gaussian": datasets.gaussian(spark, count, dimension),
+        "clustered": datasets.clustered(spark, count, dimension),
+        "subspace": datasets.on_a_subspace(spark, count, dimension, min(8, dimension)),
+        "normalised": datasets.unit_vectors(spark, count, dimension),
+    }
+
+
 def every_index(dimension: int = 16) -> dict:
     """All structures at small settings."""
     from ..operators import codes, hashing, index, ivf, sharded

@@ -112,6 +112,15 @@ recalls AS (SELECT qid, count(r.id) / 10.0 AS recall FROM truth LEFT JOIN rough
 """
 _OUT = "SELECT qid, rank, id, round(score, 6) AS score FROM "
 
+def _filled(few: str) -> str:
+    """A result whose short answers take the smallest ids that they lack."""
+    return (
+        f"have AS (SELECT q.qid, count(f.id) AS n FROM queries q LEFT JOIN {few} f USING (qid) GROUP BY q.qid), "
+        f"spare AS (SELECT p.qid, p.id, p.score, row_number() OVER (PARTITION BY p.qid ORDER BY p.id) AS nth FROM pairs p ANTI JOIN {few} f ON p.qid = f.qid AND p.id = f.id) "
+        + _OUT + "(" + _top(f"(SELECT qid, id, score FROM {few} UNION ALL SELECT s.qid, s.id, s.score FROM spare s JOIN have USING (qid) WHERE nth <= 10 - n)") + ")"
+    )
+
+
 # -- exact search ------------------------------------------------------------------------------
 
 
@@ -419,12 +428,10 @@ def lsh_search(s, d):
 
 
 @query(
-    "few AS (SELECT * FROM truth WHERE rank <= qid % 4), n AS (SELECT q.qid, count(f.id) AS n FROM queries q LEFT JOIN few f USING (qid) GROUP BY q.qid), "
-    "spare AS (SELECT p.qid, p.id, p.score, row_number() OVER (PARTITION BY p.qid ORDER BY p.id) AS nth FROM pairs p ANTI JOIN few f ON p.qid = f.qid AND p.id = f.id) "
-    + _OUT + "(" + _top("(SELECT qid, id, score FROM few UNION ALL SELECT s.qid, s.id, s.score FROM spare s JOIN n USING (qid) WHERE nth <= 10 - n)") + ")"
-)
+    "few AS (SELECT * FROM truth WHERE rank <= qid // 20 % 4), " + _filled("few")
+)
 def top_up_fill(s, d):
-    few = truth(s, d).filter(F.col("rank") <= F.pmod("qid", F.lit(4)))
+    few = truth(s, d).filter(F.col("rank") <= F.pmod(F.floor(F.col("qid") / 20), F.lit(4)))
     return out(exact.top_up(few, asked(s, d), corpus(s, d).select("id", "v"), K))
 
 
@@ -608,7 +615,8 @@ _OPEN = (
 
 
 def _scan_sql(o: str) -> str:
-    return _OUT + "(" + _top(f"(SELECT p.qid, p.id, p.score FROM pairs p JOIN {o} o ON o.qid = p.qid JOIN placed l ON l.part = o.part AND l.id = p.id WHERE l.place <= o.take)") + ")"
+    got = _top(f"(SELECT p.qid, p.id, p.score FROM pairs p JOIN {o} o ON o.qid = p.qid JOIN placed l ON l.part = o.part AND l.id = p.id WHERE l.place <= o.take)")
+    return f", got AS ({got}), " + _filled("got")
 
 
 def _served(s, d) -> tuple:
@@ -616,19 +624,19 @@ def _served(s, d) -> tuple:
     return asked(s, d), ls, label_centres(s, d), ls.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query(_OPEN + ", a AS (SELECT qid, part, least(n, greatest(0, 90 - before)) AS take FROM o) " + _scan_sql("a"))
+@query(_OPEN + ", a AS (SELECT qid, part, least(n, greatest(0, 90 - before)) AS take FROM o)" + _scan_sql("a"))
 def budget_per_query(s, d):
     return out(serving.bounded_search(*_served(s, d), 10, K, 100)[0])
 
 
-@query(_OPEN + ", a AS (SELECT qid, part, CASE WHEN before + n <= 140 THEN n ELSE 0 END AS take FROM o) " + _scan_sql("a"))
+@query(_OPEN + ", a AS (SELECT qid, part, CASE WHEN before + n <= 140 THEN n ELSE 0 END AS take FROM o)" + _scan_sql("a"))
 def budget_whole(s, d):
     return out(serving.whole_lists_search(*_served(s, d), 10, K, 150))
 
 
 @query(
     _OPEN + ", e AS (SELECT qid, sum(n) AS wanted FROM o WHERE nth <= 2 GROUP BY qid), b AS (SELECT qid, greatest(0, 1000 - coalesce(sum(wanted) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM e), "
-    "a AS (SELECT o.qid, part, least(n, greatest(0, room - before)) AS take FROM o JOIN b USING (qid) WHERE nth <= 2) " + _scan_sql("a")
+    "a AS (SELECT o.qid, part, least(n, greatest(0, room - before)) AS take FROM o JOIN b USING (qid) WHERE nth <= 2)" + _scan_sql("a")
 )
 def budget_shared(s, d):
     return out(serving.shared_budget_search(*_served(s, d), K, 1000, 2)[0])
@@ -813,7 +821,7 @@ def exact_cache_hits(s, d):
 
 @query(_STREAM + ", f AS (SELECT qid, min(qid) OVER (PARTITION BY q) AS served_by FROM st) SELECT qid, served_by, qid <> served_by AS hit FROM f")
 def exact_cache_run(s, d):
-    return batches.run_cache(_stream(s, d), None, 4096).select("qid", "served_by", "hit")
+    return batches.run_cache(_stream(s, d), None, 4096, 32).select("qid", "served_by", "hit")
 
 
 @query()

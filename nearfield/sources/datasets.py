@@ -1,7 +1,7 @@
 """Corpora: tables, seeded generators, held-out queries, and diagnostics of a corpus.
 
-Generators draw each number from Spark's seeded normal generator by row, so a table is made
-where it is used and nothing passes the driver.
+Generators hash each number from seed, id and place, so a table is made where it is used,
+nothing passes the driver, and any engine with md5 makes the same.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import require
-from ..functions.vector import add, normalise, times
+from ..functions.vector import add, hashed, normalise, normals, times, uniform
 from ..operators.codes import literal
 from ..operators.exact import distance_sums, search
 
@@ -23,10 +23,6 @@ def corpus_table(spark: SparkSession, sf_dir: str, name: str = "embeddings", ids
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(ids).alias("id"), F.col(column).alias("v"))
 
 
-def _normals(dimension: int, seed: int):
-    return F.array(*[F.randn(seed * 1_000_003 + i) for i in range(dimension)])
-
-
 def _rows(spark: SparkSession, count: int) -> DataFrame:
     require(count >= 2, "a corpus has at least 2 rows")
     return spark.range(0, count, 1, max(1, min(64, count // 4096 + 1)))
@@ -34,16 +30,15 @@ def _rows(spark: SparkSession, count: int) -> DataFrame:
 
 def gaussian(spark: SparkSession, count: int = 4096, dimension: int = 32, seed: int = 0) -> DataFrame:
     require(dimension >= 1, "dimension must be at least 1")
-    return _rows(spark, count).select("id", _normals(dimension, seed).alias("v"))
+    return _rows(spark, count).select("id", normals(dimension, seed).alias("v"))
 
 
 def clustered(spark: SparkSession, count: int = 4096, dimension: int = 32, clusters: int = 16, spread: float = 0.15, seed: int = 0) -> DataFrame:
     """Rows around random centres."""
     require(1 <= clusters <= count and spread >= 0, f"{clusters} clusters, spread {spread}")
-    centres = np.random.default_rng(seed).standard_normal((clusters, dimension))
-    at = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(clusters)).cast("int")
-    rows = _rows(spark, count).select("id", F.get(F.array(*[literal(c) for c in centres]), at).alias("c"), _normals(dimension, seed + 1).alias("e"))
-    return rows.select("id", add("c", times("e", spread)).alias("v"))
+    centres = spark.range(clusters).select(F.col("id").alias("at"), normals(dimension, seed + 2).alias("c"))
+    rows = _rows(spark, count).select("id", F.pmod(hashed(seed, "id"), F.lit(clusters)).alias("at"), normals(dimension, seed + 1).alias("e"))
+    return rows.join(F.broadcast(centres), "at").select("id", add("c", times("e", spread)).alias("v"))
 
 
 def on_a_subspace(spark: SparkSession, count: int = 4096, dimension: int = 512, intrinsic: int = 8, noise: float = 0.0, seed: int = 0) -> DataFrame:
@@ -52,7 +47,7 @@ def on_a_subspace(spark: SparkSession, count: int = 4096, dimension: int = 512,
     from ..functions.vector import project
 
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, intrinsic)))[0]
-    rows = _rows(spark, count).select("id", _normals(intrinsic, seed).alias("z"), _normals(dimension if noise else 1, seed + 1).alias("e"))
+    rows = _rows(spark, count).select("id", normals(intrinsic, seed).alias("z"), normals(dimension if noise else 1, seed + 1).alias("e"))
     v = project("z", basis.tolist())
     return rows.select("id", (add(v, times("e", noise)) if noise else v).alias("v"))
 
@@ -71,7 +66,7 @@ def unit_vectors(spark: SparkSession, count: int = 512, dimension: int = 64, see
 def scaled_vectors(spark: SparkSession, count: int = 512, dimension: int = 64, spread: float = 8.0, seed: int = 0) -> DataFrame:
     """Random directions of lengths from 1 to spread."""
     require(spread >= 1, f"spread {spread}")
-    u = unit_vectors(spark, count, dimension, seed).withColumn("s", 1 + (spread - 1) * F.rand(seed + 7))
+    u = unit_vectors(spark, count, dimension, seed).withColumn("s", 1 + (spread - 1) * uniform(seed + 7, "id"))
     return u.select("id", times("v", F.col("s")).alias("v"))
 
 
@@ -107,7 +102,7 @@ def perturbed_queries(corpus: DataFrame, count: int = 128, nudge: float = 0.25,
 
     d = len(corpus.select("v").first().v)
     step = float(nudge * typical_distance(corpus, seed=seed).first()[0])
-    rows = uniform_sample(corpus.select("id", "v"), count, seed).withColumn("e", normalise(_normals(d, seed + 3)))
+    rows = uniform_sample(corpus.select("id", "v"), count, seed).withColumn("e", normalise(normals(d, seed + 3)))
     return rows.select(F.col("id").alias("qid"), add("v", times("e", step)).alias("q"))
 
 
@@ -125,14 +120,14 @@ def neighbour_margin(found: DataFrame) -> DataFrame:
 
 def intrinsic_dimension(corpus: DataFrame, sample: int = 1024, seed: int = 13) -> DataFrame:
     """One row: dimension by two nearest neighbours: slope of -ln(1 - F) on ln(r2 / r1), F < 0.9."""
-    from pyspark.sql import Window
-
     from ..operators.kmeans import uniform_sample
+    from ..plans.storage import numbered
 
     s = uniform_sample(corpus.select("id", "v"), sample, seed)
     near = search(s.select(F.col("id").alias("qid"), F.col("v").alias("q")), corpus, 3).filter("qid != id")
     two = near.groupBy("qid").agg(F.min("score").alias("a"), F.min(F.when(F.col("rank") >= 3, F.col("score"))).alias("b")).filter("a > 0 and b > 0")
-    ranked = two.select(F.log(F.sqrt(F.col("b") / F.col("a"))).alias("x"), (F.row_number().over(Window.orderBy(F.col("b") / F.col("a"), "qid")) / F.count("*").over(Window.partitionBy())).alias("f"))
+    ordered = numbered(two.select("qid", F.log(F.sqrt(F.col("b") / F.col("a"))).alias("x")), "x", "qid")
+    ranked = ordered.select("x", ((F.col("number") + 1) / F.lit(float(max(1, ordered.count())))).alias("f"))
     return ranked.filter("f < 0.9").agg((F.sum(F.col("x") * -F.log(1 - F.col("f"))) / F.sum(F.col("x") * F.col("x"))).alias("dimension"))
 
 

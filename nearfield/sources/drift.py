@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, require
-from ..functions.vector import add, normalise, project, subtract, times
+from ..functions.vector import add, hashed, normalise, normals, project, subtract, times, uniform
 from ..operators.codes import covariance, literal, random_rotation
 
 # -- drift -------------------------------------------------------------------------------------
@@ -17,8 +17,8 @@ from ..operators.codes import covariance, literal, random_rotation
 
 def shift(queries: DataFrame, magnitude: float, seed: int = 0) -> DataFrame:
     """All queries moved along one random unit direction."""
-    d = np.random.default_rng(seed).standard_normal(len(queries.first().q))
-    return queries.withColumn("q", add("q", literal(magnitude * d / np.linalg.norm(d))))
+    direction = normalise(normals(len(queries.first().q), seed, F.lit("shift")))
+    return queries.withColumn("q", add("q", times(direction, magnitude)))
 
 
 def scale(queries: DataFrame, magnitude: float) -> DataFrame:
@@ -49,11 +49,11 @@ def exact_duplicates(corpus: DataFrame, share: float = 0.2, seed: int = 0) -> Da
     require(0 <= share < 1, f"share {share}")
     from ..plans.storage import numbered
 
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_000)) < share * 1_000_000
+    h = uniform(seed, "id") < share
     kept = numbered(corpus.filter(~h).select("id"), "id")
     n = kept.count()
     require(n > 0, "no row is left to copy")
-    gone = corpus.filter(h).select("id", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(n)).alias("number"))
+    gone = corpus.filter(h).select("id", F.pmod(hashed(seed + 1, "id"), F.lit(n)).alias("number"))
     source = gone.join(kept.select("number", F.col("id").alias("original")), "number").join(corpus.select(F.col("id").alias("original"), "v"), "original")
     return corpus.filter(~h).select("id", "v", F.col("id").alias("original")).unionByName(source.select("id", "v", "original"))
 
@@ -62,8 +62,7 @@ def near_duplicates(corpus: DataFrame, share: float = 0.2, nudge: float = 0.01,
     """The same, copies moved by a unit step times nudge."""
     d = len(corpus.select("v").first().v)
     rows = exact_duplicates(corpus, share, seed)
-    e = normalise(F.array(*[F.randn(seed * 7919 + i) for i in range(d)]))
-    moved = rows.withColumn("e", e)
+    moved = rows.withColumn("e", normalise(normals(d, seed + 2)))
     return moved.select("id", F.when(F.col("id") == F.col("original"), F.col("v").cast("array<double>")).otherwise(add("v", times("e", nudge))).alias("v"), "original")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..functions.vector import add, hashed, normalise, normals, times
 
 
 @dataclass
@@ -55,19 +56,38 @@ def answer_stream(stream: DataFrame, index, k: int, out: str, checkpoint: str, s
 
 
 def batched_search(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], batch: int = 32) -> tuple[DataFrame, BatchStats]:
-    """The same answers from fixed batches in arrival (qid) order; bounds what a batch holds."""
-    from ..plans.lineage import materialise
+    """(qid, rank, id, score, batch): the answers, and the batch of each query in arrival (qid) order.
+
+    A batch bounds what one reading of the corpus serves.  Batches that a broadcast can hold
+    together are answered together, so jobs grow with the queries' bytes, not with the batches.
+    """
+    from ..operators.exact import in_blocks
     from ..plans.storage import numbered
 
     require(batch >= 1, "batch must be at least 1")
-    rows = numbered(queries, "qid").withColumn("b", F.floor(F.col("number") / batch))
-    stats, out = BatchStats(), None
-    for r in rows.groupBy("b").agg(F.count("*").alias("n")).orderBy("b").collect():
-        part = materialise(answer(rows.filter(F.col("b") == r.b).select("qid", "q")))
-        stats.record(r.n, 0)
-        out = part if out is None else out.unionAll(part)
-    require(out is not None, "no queries")
-    return out, stats
+    rows = numbered(queries.select("qid", "q"), "qid").withColumn("batch", F.floor(F.col("number") / batch))
+    n = rows.count()
+    require(n > 0, "no queries")
+    out = in_blocks(rows.select("qid", "q"), answer).join(rows.select("qid", "batch"), "qid")
+    return out, BatchStats(n, -(-n // batch), 0)
+
+
+def replayed_stream(queries: DataFrame, count: int = 256, distinct: int = 32, seed: int = 0) -> DataFrame:
+    """(qid, q): ``count`` arrivals, each one of the first ``distinct`` queries, drawn by hash."""
+    from ..plans.storage import numbered
+
+    require(count >= 1 and distinct >= 1, "count and distinct")
+    few = numbered(queries.select("qid", "q"), "qid").filter(F.col("number") < distinct).select("number", "q")
+    n = few.count()
+    arrivals = queries.sparkSession.range(count).select(F.col("id").alias("qid"), F.pmod(hashed(seed, "id"), F.lit(n)).alias("number"))
+    return arrivals.join(F.broadcast(few), "number").select("qid", "q")
+
+
+def perturbed_stream(queries: DataFrame, count: int = 256, distinct: int = 32, nudge: float = 0.05, seed: int = 0) -> DataFrame:
+    """The same arrivals, each moved by ``nudge`` in a direction of its own."""
+    stream = replayed_stream(queries, count, distinct, seed)
+    step = normalise(normals(len(stream.first().q), seed + 1, "qid"))
+    return stream.select("qid", add("q", times(step, nudge)).alias("q"))
 
 
 def waiting_cost(arrival_rate: float, batch: int) -> dict[str, float]:
@@ -145,23 +165,28 @@ CACHED = "lane int, qid long, served_by long, hit boolean, lookup_distances long
 def run_cache(stream: DataFrame, radius: float | None, capacity: int = 4096, lanes: int = 1) -> DataFrame:
     """(lane, qid, served_by, hit, lookup_distances): which earlier query answers each.
 
-    Order matters to a bounded cache, so each lane (a hash of the query's own server) is one
-    sequential group; a lane's arrivals stream through it by sorted runs.
+    Order matters to a bounded cache, so each lane has a cache of its own and takes its
+    arrivals in order: equal queries share a lane of an exact cache, a near cache deals arrivals
+    in turn.  Lanes are sorted and streamed through a batch at a time, never held whole.
     """
     require(lanes >= 1, "lanes must be at least 1")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache = ExactCache(capacity) if radius is None else NearCache(radius, capacity)
-        rows = []
-        for lane, qid, q in pdf.sort_values("qid")[["lane", "qid", "q"]].itertuples(index=False):
-            found, cost = (cache.get(q), 0) if radius is None else cache.get(q)
-            if found is None:
-                cache.put(q, qid)
-            rows.append((lane, qid, qid if found is None else found, found is not None, cost))
-        return pd.DataFrame(rows, columns=["lane", "qid", "served_by", "hit", "lookup_distances"])
-
-    rows = stream.select("qid", "q", F.pmod(F.col("qid"), F.lit(lanes)).cast("int").alias("lane"))
-    return rows.groupBy("lane").applyInPandas(one, CACHED)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, own = None, None
+        for pdf in batches:
+            rows = []
+            for lane, qid, q in pdf[["lane", "qid", "q"]].itertuples(index=False):
+                if lane != own:
+                    own, cache = lane, ExactCache(capacity) if radius is None else NearCache(radius, capacity)
+                found, cost = (cache.get(q), 0) if radius is None else cache.get(q)
+                if found is None:
+                    cache.put(q, qid)
+                rows.append((lane, qid, qid if found is None else found, found is not None, cost))
+            yield pd.DataFrame(rows, columns=["lane", "qid", "served_by", "hit", "lookup_distances"])
+
+    deal = F.xxhash64(F.col("q").cast("array<float>")) if radius is None else F.col("qid")
+    rows = stream.select("qid", "q", F.pmod(deal, F.lit(lanes)).cast("int").alias("lane"))
+    return rows.repartition(lanes, "lane").sortWithinPartitions("lane", "qid").mapInPandas(run, CACHED)
 
 
 def cache_over_stream(stream: DataFrame, capacity: int = 4096) -> DataFrame:
