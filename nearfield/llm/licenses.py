@@ -54,9 +54,12 @@ TEMPLATES = [
 STOP = frozenset("a an and any are as by can except for form forms in into is it may met modify not of or or provided source subject that the this to under use with without you your 0 1 2 3 4 v work code file files".split())
 
 
-def _index() -> tuple[list[tuple[str, int, int, float]], list[str]]:
-    """Postings (word, template, position, 0) and the index words."""
-    posted = [(w, t, i) for t, (_, notice, _) in enumerate(TEMPLATES) for i, w in enumerate(notice.split()) if w not in STOP]
+Templates = list[tuple[str, str, str]]
+
+
+def _index(templates: Templates, stop: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Postings (word, template, position) and the index words."""
+    posted = [(w, t, i) for t, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split()) if w not in stop]
     return posted, sorted({w for w, _, _ in posted})
 
 
@@ -81,16 +84,19 @@ def _all(i: Column, want: list[str]) -> Column:
     return out
 
 
-def scan(docs: DataFrame, rare: int = 8, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, rare: int = 8, least: float = 0.6, templates: Templates = TEMPLATES, stop: frozenset[str] = STOP, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found.
 
     One row per row of docs, repeated rows and null ids too.  A null or empty text has no
     words: counts 0, first_word and last_word null, labels empty, score 0.  Ties of IDF go by
     word, ties of offsets to the smaller.  score is the best coverage of a template that
     holds, 1 where a base phrase stands.  found lists (label, start, coverage) of templates;
-    extra columns are not read.
+    extra columns are not read.  ``templates`` are (label, notice, key phrase) in lower-case
+    words, the key phrase a part of its notice; whole licence texts may be given as well.
     """
-    posted, vocabulary = _index()
+    posted, vocabulary = _index(templates, stop)
     spark = docs.sparkSession
     spots = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: s["w"].isin(vocabulary))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
@@ -112,18 +118,18 @@ def scan(docs: DataFrame, rare: int = 8, least: float = 0.6, id_col: str = "doc_
         for r in kept.select(F.explode(F.array_distinct("spots.w")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()
     }
     idf = {x: round(math.log((total + 1) / (df.get(x, 0) + 1)) + 1, 9) for x in vocabulary}
-    own = {(w, t) for t in range(len(TEMPLATES)) for w in rarest(t, posted, idf, rare)}
+    own = {(w, t) for t in range(len(templates)) for w in rarest(t, posted, idf, rare)}
     postings = F.broadcast(
         spark.createDataFrame([(w, t, i, idf[w]) for w, t, i in posted if (w, t) in own], "word string, template int, tpos int, idf double")
     )
     looked = kept.filter(F.size("spots") > 0).select("row", F.explode(F.filter("spots", lambda s: s["w"].isin(sorted({w for w, _ in own})))).alias("s"))
     met = looked.join(postings, F.col("s.w") == F.col("word")).select("row", "template", (F.col("s.i") - F.col("tpos")).alias("offset"), "idf")
     at = met.groupBy("row", "template", "offset").agg(F.sum("idf").alias("mass"))
-    whole = F.create_map(*[F.lit(v) for t in range(len(TEMPLATES)) for v in (t, self_mass(t, posted, idf, rare))])
+    whole = F.create_map(*[F.lit(v) for t in range(len(templates)) for v in (t, self_mass(t, posted, idf, rare))])
     hold = at.withColumn("coverage", F.least(F.lit(1.0), F.col("mass") / whole[F.col("template")])).filter(F.col("coverage") >= least)
-    phrase = F.array(*[F.array(*map(F.lit, key.split())) for _, _, key in TEMPLATES])
-    place = F.array(*[F.lit(_place(notice, key)) for _, notice, key in TEMPLATES])
-    label = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
+    phrase = F.array(*[F.array(*map(F.lit, key.split())) for _, _, key in templates])
+    place = F.array(*[F.lit(_place(notice, key)) for _, notice, key in templates])
+    label = F.array(*[F.lit(x) for x, _, _ in templates])
     want, first = F.get(phrase, F.col("template")), F.col("offset") + F.get(place, F.col("template"))
     true = (
         hold.join(kept.filter(F.size("spots") > 0).select("row", "w"), "row")
