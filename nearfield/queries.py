@@ -978,15 +978,3 @@ def centre_distances(s, d):
 def graph_pages(s, d):
     g = sharded.GraphIndex(64, shards=1).build(corpus(s, d).select("id", "v"))
     return storage.page_counts(g.visited(asked(s, d)), storage.sequential_layout(corpus(s, d), 64))
-
-
-@query()
-def exact_duplicates(s, d):
-    return drift.exact_duplicates(corpus(s, d).select("id", "v"), 0.3).select("id", "original")
-
-
-@query()
-def escalated_answers(s, d):
-    c = corpus(s, d).select("id", "v")
-    cheap, dear = serving.Tier("ivf", _index(s, d), 100.0), serving.Tier("flat", index.FlatIndex(64).build(c), float(size(s, d)))
-    return out(serving.escalate(cheap, dear, asked(s, d), K, serving.result_spread, 0.25).found)

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from nearfield import queries
+from nearfield import queries, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,11 @@ def plain(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+#: Long ones, whose parts tests/test_engine.py runs too.
+LONG = {"saved_indexes", "saved_headers", "verify_sweep", "trained_books", "fleet_agreement", "rebuilt_life", "across_seeds", "kmeans_trained", "composite_life"}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.SQL) - LONG))
 def test_query_equals_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     want = duck.sql(queries.SQL[name])
