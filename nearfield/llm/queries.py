@@ -92,8 +92,11 @@ def _q(pattern: str) -> str:
 
 
 def _plain_sql(x: str) -> str:
-    for name, char in warc.NAMED:
-        x = f"replace({x}, {_q(name)}, {_q(char)})"
+    names = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in warc.NAMED.items()) + "}"
+    number = "CASE WHEN lower(r[2]) = 'x' THEN CAST('0x' || r[3:] AS BIGINT) ELSE CAST(r[2:] AS BIGINT) END"
+    char = f"CASE WHEN r[1] = '#' THEN CASE WHEN {number} = 0 OR {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN chr(65533) ELSE chr(CAST({number} AS INTEGER)) END ELSE coalesce({names}[r], '&' || r || ';') END"
+    refs = f"list_distinct(regexp_extract_all({x}, {_q(warc.REFERENCE)}, 1))"
+    x = f"replace(list_reduce(list_prepend({x}, {refs}), lambda t, r: replace(t, '&' || r || ';', {char})), '&amp;', '&')"
     return rf"trim(regexp_replace(regexp_replace({x}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
@@ -111,7 +114,7 @@ b AS (SELECT *, 'sha256:' || sha256(html) AS source_digest,
   {_plain_sql(f"regexp_replace(regexp_replace(regexp_replace(html, {_q(warc.HIDDEN)}, '', 'g'), {_q(warc.BREAKS)}, chr(10), 'g'), {_q(warc.TAGS)}, '', 'g')")} AS text,
   trim(regexp_replace({_plain_sql(f"regexp_extract(html, {_q(warc.TITLE)}, 1)")}, '\\s+', ' ', 'g')) AS title,
   lower(regexp_extract(html, {_q(warc.LANGUAGE)}, 1)) AS lang,
-  list_transform(regexp_extract_all(html, {_q(warc.LINKS)}, 1), lambda x: 'outlink: ' || regexp_replace(replace(x, '&amp;', '&'), '\\s+', '%20', 'g') || ' L a/@href') AS links,
+  list_transform(list_zip(regexp_extract_all(html, {_q(warc.LINKS)}, 1), regexp_extract_all(html, {_q(warc.LINKS)}, 2)), lambda x: 'outlink: ' || regexp_replace(replace(coalesce(x[1], '') || coalesce(x[2], ''), '&amp;', '&'), '\\s+', '%20', 'g') || ' L a/@href') AS links,
   {_uuid_sql("'conversion|' || refers_to")} AS conversion_id, {_uuid_sql("'metadata|' || refers_to")} AS metadata_id FROM r),
 m AS (SELECT *, 'metadata' AS record_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
   array_to_string(list_concat(['source-status: HTTP/1.1 200 OK', 'source-header: Content-Type: text/html; charset=utf-8',
@@ -121,6 +124,7 @@ m AS (SELECT *, 'metadata' AS record_type, metadata_id AS record_id, 'applicatio
 d AS (SELECT page_id, record_type, record_id, refers_to, target_uri, date, source_headers, source_digest, content_type,
   CAST(octet_length(encode(block)) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM m)
 SELECT *, array_to_string(['WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: <' || record_id || '>', 'WARC-Refers-To: <' || refers_to || '>',
+  'WARC-Refers-To-Target-URI: ' || regexp_replace(target_uri, '[\r\n]+', ' ', 'g'), 'WARC-Refers-To-Date: ' || date,
   'WARC-Target-URI: ' || regexp_replace(target_uri, '[\r\n]+', ' ', 'g'), 'WARC-Date: ' || date, 'WARC-Block-Digest: ' || block_digest,
   'Content-Type: ' || content_type, 'Content-Length: ' || content_length], {_N}) || {_N} || {_N} || block AS record FROM d
 """

@@ -8,7 +8,7 @@ expressions run in the JVM, no row leaves its task, and every pattern takes line
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
@@ -18,9 +18,17 @@ BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figur
 TAGS = r"<[a-zA-Z/!?][^<>]*>"
 TITLE = r"(?is)<title[^<>]*>([^<]*)"
 LANGUAGE = r"""(?i)<html[^<>]*\blang\s*=\s*["']?([a-zA-Z-]+)"""
-LINKS = r"""(?i)<a\b[^<>]*?\bhref\s*=\s*["']([^"'<>]*)["']"""
-# Named character references, the ampersand last.
-NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
+#: A link's address, quoted (first group) or not (second).
+LINKS = r"""(?i)<a\b[^<>]*?\bhref\s*=\s*(?:["']([^"'<>]*)["']|([^\s"'<>]+))"""
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+# Named character references but amp, which is resolved last.
+NAMED = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "mdash": "—", "ndash": "–", "hellip": "…",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "sect": "§", "deg": "°", "times": "×",
+    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í",
+    "icirc": "î", "iuml": "ï", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "szlig": "ß", "uacute": "ú", "ucirc": "û", "uuml": "ü",
+    "Agrave": "À", "Auml": "Ä", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Ouml": "Ö", "Oslash": "Ø", "Uuml": "Ü",
+}
 
 
 def uuid_of(*key: Column | str) -> Column:
@@ -33,9 +41,23 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+def _resolved(text: Column) -> Column:
+    """Character references resolved, numeric ones and those of NAMED; others stay as they are."""
+    names = F.create_map(*[F.lit(x) for k, v in NAMED.items() for x in (k, v)])
+
+    def char(r: Column) -> Column:
+        digits = F.conv(F.when(F.lower(F.substring(r, 2, 1)) == "x", F.substring(r, 3, 8)).otherwise(F.conv(F.substring(r, 2, 8), 10, 16)), 16, 10).cast("int")
+        valid = (digits > 0) & ~digits.between(0xD800, 0xDFFF) & (digits <= 0x10FFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
+        return F.when(F.substring(r, 1, 1) == "#", F.when(valid, number).otherwise("\ufffd")).otherwise(F.coalesce(names[r], F.concat(F.lit("&"), r, F.lit(";"))))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), 1))
+    every = F.aggregate(found, text, lambda t, r: F.replace(t, F.concat(F.lit("&"), r, F.lit(";")), char(r)))
+    return F.replace(F.when(F.instr(text, "&") > 0, every).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+
 def _plain(text: Column) -> Column:
-    for name, char in NAMED:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = _resolved(text)
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.trim(text, F.lit(" \n"))
@@ -64,6 +86,35 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     )
 
 
+def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """record_type, record_id, target_uri, date, content_length, block, whole of the records of WARC files.
+
+    Files, plain or gzip, are split at the version line that starts each record.  whole is
+    false where the block is not as long as its header says: cut short, not in UTF-8, or
+    holding a version line itself.  Text before the first record is left out.
+    """
+    rows = spark.read.option("lineSep", version + CRLF).text(path).filter(F.instr("value", CRLF + CRLF) > 0)
+    head, rest = F.substring_index("value", CRLF + CRLF, 1), F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)")
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:([^\r\n]*)", 1)), F.lit(""))
+    made = rows.select(
+        field("WARC-Type").alias("record_type"), F.regexp_replace(field("WARC-Record-ID"), "[<>]", "").alias("record_id"), field("WARC-Target-URI").alias("target_uri"),
+        field("WARC-Date").alias("date"), field("Content-Length").try_cast("long").alias("content_length"), F.encode(rest, "UTF-8").alias("raw"),
+    ).filter(F.col("record_type").isNotNull())
+    block = F.decode(F.expr("substring(raw, 1, content_length)"), "UTF-8")
+    enough = F.octet_length("raw").between(F.col("content_length"), F.col("content_length") + 4)
+    return made.select("record_type", "record_id", "target_uri", "date", "content_length", block.alias("block"), F.coalesce(enough, F.lit(False)).alias("whole"))
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """Rows for derivatives(): the HTTP headers and payloads of response records."""
+    at = F.instr("block", CRLF + CRLF)
+    found = records.filter("record_type = 'response'")
+    return found.select(
+        "record_id", "target_uri", "date", F.when(at > 0, F.substring_index("block", CRLF + CRLF, 1)).alias("http_headers"),
+        F.when(at > 0, F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")).otherwise(F.col("block")).alias("payload"),
+    )
+
+
 def derivatives(found: DataFrame) -> DataFrame:
     """Two rows for each row of ``found`` (record_id, target_uri, date, http_headers, payload):
 
@@ -85,7 +136,7 @@ def derivatives(found: DataFrame) -> DataFrame:
         text_of(html).alias("text"),
         F.trim(F.regexp_replace(_plain(F.regexp_extract(html, TITLE, 1)), r"\s+", " ")).alias("title"),
         F.lower(F.regexp_extract(html, LANGUAGE, 1)).alias("lang"),
-        F.transform(F.regexp_extract_all(html, F.lit(LINKS), 1), lambda x: F.regexp_replace(F.replace(x, F.lit("&amp;"), F.lit("&")), r"\s+", "%20")).alias("links"),
+        F.zip_with(F.regexp_extract_all(html, F.lit(LINKS), 1), F.regexp_extract_all(html, F.lit(LINKS), 2), lambda x, y: F.regexp_replace(F.replace(F.concat(x, y), F.lit("&amp;"), F.lit("&")), r"\s+", "%20")).alias("links"),
     )
     conversion_id, metadata_id = (uuid_of(k, F.coalesce("refers_to", F.lit("null"))) for k in ("conversion", "metadata"))
     status = F.element_at(F.split("source_headers", CRLF), 1)
@@ -115,6 +166,8 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: <"), F.col("record_id"), F.lit(">")),
         F.concat(F.lit("WARC-Refers-To: <"), F.col("refers_to"), F.lit(">")),
+        F.concat(F.lit("WARC-Refers-To-Target-URI: "), one_line(F.col("target_uri"))),
+        F.concat(F.lit("WARC-Refers-To-Date: "), one_line(F.col("date"))),
         F.concat(F.lit("WARC-Target-URI: "), one_line(F.col("target_uri"))),
         F.concat(F.lit("WARC-Date: "), one_line(F.col("date"))),
         F.concat(F.lit("WARC-Block-Digest: "), F.col("block_digest")),

@@ -743,3 +743,25 @@ def test_personal_data_spans_against_the_model_run_over_all_texts(spark):
     taught = np.mean([(odds(s) >= 0) == (soft[s[4]] >= 0.5) for *_, spans in every for s in spans])
     assert taught > 0.9 and sum(r.n_added for r in got) > 0
     assert [r.spans for r in pii.personal_data(d.filter("text is null or text = ''")).collect()] == ["", ""]
+
+
+def test_references_links_and_records_read_from_files(spark, tmp_path):
+    html = "<p>caf&eacute; &#8217;x&#x27; &amp;lt; &bogus; &#0; &#x110000; a&lt;b</p><a href=/one>1</a><a class=x HREF='two words'>2</a>"
+    page = spark.createDataFrame([(1, "http://x/", html), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    out = {(r.page_id, r.record_type): r for r in warc.derivatives(warc.responses(page).withColumn("text", F.lit(1)).withColumn("m", F.lit(1))).collect()}
+    assert out[1, "conversion"].block == "café ’x' &lt; &bogus; \ufffd \ufffd a<b\n12".replace("\n12", "\n12")
+    assert "outlink: /one L a/@href" in out[1, "metadata"].block and "outlink: two%20words L" in out[1, "metadata"].block
+    assert "WARC-Refers-To-Target-URI: http://x/" in out[1, "metadata"].record and len(out) == 4
+    body = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + html
+    text = "".join(
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://y/{i}\r\nContent-Length: {n}\r\n\r\n{body}\r\n\r\n"
+        for i, (kind, n) in enumerate([("response", len(body.encode())), ("request", len(body.encode())), ("response", 10**6)])
+    )
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    records = warc.read_records(spark, str(tmp_path / "a.warc"))
+    assert [(r.record_type, r.whole) for r in records.collect()] == [("response", True), ("request", True), ("response", False)]
+    found = warc.responses_of(records.filter("whole")).collect()
+    assert [(r.record_id, r.target_uri, r.payload) for r in found] == [("urn:uuid:0", "http://y/0", html)]
+    warc.write_warc(warc.derivatives(warc.responses_of(records.filter("whole"))), str(tmp_path / "out"))
+    again = warc.read_records(spark, str(tmp_path / "out")).collect()
+    assert {r.record_type for r in again} == {"metadata", "conversion"} and all(r.whole for r in again)
