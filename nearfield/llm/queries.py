@@ -114,7 +114,7 @@ b AS (SELECT *, 'sha256:' || sha256(html) AS source_digest,
   {_plain_sql(f"regexp_replace(regexp_replace(regexp_replace(html, {_q(warc.HIDDEN)}, '', 'g'), {_q(warc.BREAKS)}, chr(10), 'g'), {_q(warc.TAGS)}, '', 'g')")} AS text,
   trim(regexp_replace({_plain_sql(f"regexp_extract(html, {_q(warc.TITLE)}, 1)")}, '\\s+', ' ', 'g')) AS title,
   lower(regexp_extract(html, {_q(warc.LANGUAGE)}, 1)) AS lang,
-  list_transform(list_zip(regexp_extract_all(html, {_q(warc.LINKS)}, 1), regexp_extract_all(html, {_q(warc.LINKS)}, 2)), lambda x: 'outlink: ' || regexp_replace(replace(coalesce(x[1], '') || coalesce(x[2], ''), '&amp;', '&'), '\\s+', '%20', 'g') || ' L a/@href') AS links,
+  list_transform(regexp_extract_all(html, {_q(warc.LINKS)}, 1), lambda x: 'outlink: ' || regexp_replace(replace(trim(x, chr(34) || chr(39)), '&amp;', '&'), '\\s+', '%20', 'g') || ' L a/@href') AS links,
   {_uuid_sql("'conversion|' || refers_to")} AS conversion_id, {_uuid_sql("'metadata|' || refers_to")} AS metadata_id FROM r),
 m AS (SELECT *, 'metadata' AS record_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
   array_to_string(list_concat(['source-status: HTTP/1.1 200 OK', 'source-header: Content-Type: text/html; charset=utf-8',

@@ -18,8 +18,8 @@ BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figur
 TAGS = r"<[a-zA-Z/!?][^<>]*>"
 TITLE = r"(?is)<title[^<>]*>([^<]*)"
 LANGUAGE = r"""(?i)<html[^<>]*\blang\s*=\s*["']?([a-zA-Z-]+)"""
-#: A link's address, quoted (first group) or not (second).
-LINKS = r"""(?i)<a\b[^<>]*?\bhref\s*=\s*(?:["']([^"'<>]*)["']|([^\s"'<>]+))"""
+#: A link's address, in its quotes or without any.
+LINKS = r"""(?i)<a\b[^<>]*?\bhref\s*=\s*(["'][^"'<>]*["']|[^\s"'<>]+)"""
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
 # Named character references but amp, which is resolved last.
 NAMED = {
@@ -63,11 +63,10 @@ def _plain(text: Column) -> Column:
     return F.trim(text, F.lit(" \n"))
 
 
-def text_of(html: Column) -> Column:
-    """Plain text of a page: tags out, a line for each block, references resolved."""
-    shown = F.regexp_replace(html, HIDDEN, "")
-    shown = F.regexp_replace(shown, BREAKS, "\n")
-    return _plain(F.regexp_replace(shown, TAGS, ""))
+def shown(html: Column) -> Column:
+    """What a page shows: tags out, a line for each block; references as they stand."""
+    text = F.regexp_replace(html, HIDDEN, "")
+    return F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -128,15 +127,22 @@ def derivatives(found: DataFrame) -> DataFrame:
     if "page_id" not in found.columns:
         found = found.withColumn("page_id", F.lit(None).cast("long"))
     html = F.coalesce(F.col("payload"), F.lit(""))
-    base = found.select(
+    # what is used more than once is a column of its own first, so it is worked out once
+    parts = found.select(
         "page_id", "target_uri", "date",
         F.col("record_id").alias("refers_to"),
         F.coalesce("http_headers", F.lit("")).alias("source_headers"),
         digest(html).alias("source_digest"),
-        text_of(html).alias("text"),
-        F.trim(F.regexp_replace(_plain(F.regexp_extract(html, TITLE, 1)), r"\s+", " ")).alias("title"),
+        shown(html).alias("shown"),
+        F.regexp_extract(html, TITLE, 1).alias("title"),
         F.lower(F.regexp_extract(html, LANGUAGE, 1)).alias("lang"),
-        F.zip_with(F.regexp_extract_all(html, F.lit(LINKS), 1), F.regexp_extract_all(html, F.lit(LINKS), 2), lambda x, y: F.regexp_replace(F.replace(F.concat(x, y), F.lit("&amp;"), F.lit("&")), r"\s+", "%20")).alias("links"),
+        F.regexp_extract_all(html, F.lit(LINKS), 1).alias("links"),
+    )
+    base = parts.select(
+        "page_id", "target_uri", "date", "refers_to", "source_headers", "source_digest", "lang",
+        _plain(F.col("shown")).alias("text"),
+        F.trim(F.regexp_replace(_plain(F.col("title")), r"\s+", " ")).alias("title"),
+        F.transform("links", lambda x: F.regexp_replace(F.replace(F.trim(x, F.lit("\"'")), F.lit("&amp;"), F.lit("&")), r"\s+", "%20")).alias("links"),
     )
     conversion_id, metadata_id = (uuid_of(k, F.coalesce("refers_to", F.lit("null"))) for k in ("conversion", "metadata"))
     status = F.element_at(F.split("source_headers", CRLF), 1)
