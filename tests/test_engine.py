@@ -371,3 +371,50 @@ def test_a_tree_stays_exact_after_a_cluster_is_removed(spark):
     made.remove(spark.createDataFrame([(i,) for i in order[:50]], "id long"))
     found = made.search(spark.createDataFrame([(0, v[0].tolist())], "qid long, q array<double>"), 5).result
     assert [r.id for r in sorted(found.collect(), key=lambda r: r["rank"])] == order[50:55]
+
+
+def test_a_saved_index_with_a_changed_table_is_refused(spark, corpus, tmp_path):
+    for name, make, table in (("tree", lambda: sharded.TreeIndex(D, shards=2), "structures"), ("ivf", lambda: ivf.IVFIndex(D, 4, "l2", 4), "lists"), ("binary", lambda: codes.BinaryIndex(D), "codes")):
+        paths = [f"{tmp_path}/{name}{i}" for i in (0, 1)]
+        for path, rows in zip(paths, (corpus, corpus.select("id", V.times("v", -3.0).cast("array<float>").alias("v"))), strict=True):
+            storage.save(make().build(rows), path)
+        storage.load(spark, paths[0])
+        other = spark.read.parquet(f"{paths[1]}/{table}")
+        (other.write.partitionBy("part") if table == "lists" else other.write).mode("overwrite").parquet(f"{paths[0]}/{table}")
+        with pytest.raises(DataError):
+            storage.load(spark, paths[0])
+    manifest = json.loads((tmp_path / "ivf1" / "manifest.json").read_text())
+    manifest["detail"]["centres"][0][0] += 1
+    (tmp_path / "ivf1" / "manifest.json").write_text(json.dumps(manifest))
+    (tmp_path / "ivf1" / ".manifest.json.crc").unlink()
+    with pytest.raises(DataError):
+        storage.load(spark, paths[1].replace("binary", "ivf"))
+
+
+def test_many_small_inserts_leave_few_shards(spark, data, corpus, asked):
+    index_ = sharded.TreeIndex(D, shard_rows=60).build(corpus.filter("id < 200"))
+    for at in range(200, N, 8):
+        index_.insert(corpus.filter(F.col("id").between(at, at + 7)))
+    assert index_.structures.count() <= 8
+    assert ids(index_.search(asked, 5).result) == brute(data, 5)
+    held = index_.structures.select(F.explode("ids").alias("id"))
+    assert held.count() == held.distinct().count() == N
+
+
+def test_structures_survive_their_arrays(data):
+    v = data.astype(np.float64)
+    for made in (structures.KdTree(v, 8), structures.Forest(v, 3, 16), structures.BeamGraph(v, 8, 16), structures.Hnsw(v, 6, 16, 16)):
+        again = type(made).restored(structures.unpacked(structures.packed(made.arrays())))
+        for q in v[:20] + 0.1:
+            a, b = made.search(q, 6), again.search(q, 6)
+            assert a[0].tolist() == b[0].tolist() and a[2] == b[2] and np.allclose(a[1], b[1])
+
+
+def test_numbers_and_totals_go_over_all_tasks(spark):
+    rows = spark.range(0, 500, 1, 7).select((F.col("id") * 7919 % 500).alias("id"), (F.col("id") % 9).alias("part"), F.lit(2).alias("n"))
+    total = {r.id: r.before for r in storage.running_total(rows, "n", "id").collect()}
+    assert total == {i: 2 * i for i in range(500)}
+    place = {}
+    for r in sorted(storage.placed(rows.select("part", "id")).collect()):
+        place.setdefault(r.part, []).append((r.id, r.place))
+    assert all([x[1] for x in sorted(p)] == list(range(1, len(p) + 1)) for p in place.values())
