@@ -17,7 +17,7 @@ from .plans import churn, evaluate, serving, storage, verify
 from .plans.lineage import checkpoint_dir, materialise
 from .queries import (
     _BOOKS, _GRAPH, _OPEN, _OUT, _PLANES, _STAGES, _SHORT, _books, _filled, _graph, _index, _planes, _scalar, _served, _stages, _stream, _STREAM,
-    _top, K, asked, centres, corpus, label_centres, lists, out, query, rough, size, truth,
+    _top, K, asked, centres, corpus, lists, out, query, rough, size, truth,
 )
 from .sources import datasets, drift
 from .streaming import batches
