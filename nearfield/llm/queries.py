@@ -94,9 +94,9 @@ def _q(pattern: str) -> str:
 def _plain_sql(x: str) -> str:
     names = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in warc.NAMED.items()) + "}"
     number = "CASE WHEN lower(r[2]) = 'x' THEN CAST('0x' || r[3:] AS BIGINT) ELSE CAST(r[2:] AS BIGINT) END"
-    char = f"CASE WHEN r[1] = '#' THEN CASE WHEN {number} = 0 OR {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN chr(65533) ELSE chr(CAST({number} AS INTEGER)) END ELSE coalesce({names}[r], '&' || r || ';') END"
-    refs = f"list_distinct(regexp_extract_all({x}, {_q(warc.REFERENCE)}, 1))"
-    x = f"replace(list_reduce(list_prepend({x}, {refs}), lambda t, r: replace(t, '&' || r || ';', {char})), '&amp;', '&')"
+    char = f"CASE WHEN r[1] = '#' THEN CASE WHEN {number} = 0 OR {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN chr(65533) ELSE chr(CAST({number} AS INTEGER)) END ELSE {names}[r] END"
+    read = f"coalesce(list_transform([regexp_extract(p, {_q(warc.REFERENCE)}, 1)], lambda r: CASE WHEN r <> '' THEN ({char}) || p[len(r) + 2:] END)[1], '&' || p)"
+    x = f"list_transform([string_split({x}, '&')], lambda parts: parts[1] || array_to_string(list_transform(parts[2:], lambda p: {read}), ''))[1]"
     return rf"trim(regexp_replace(regexp_replace({x}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
 
 

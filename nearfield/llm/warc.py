@@ -20,10 +20,11 @@ TITLE = r"(?is)<title[^<>]*>([^<]*)"
 LANGUAGE = r"""(?i)<html[^<>]*\blang\s*=\s*["']?([a-zA-Z-]+)"""
 #: A link's address, in its quotes or without any.
 LINKS = r"""(?i)<a\b[^<>]*?\bhref\s*=\s*(["'][^"'<>]*["']|[^\s"'<>]+)"""
-REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
-# Named character references but amp, which is resolved last.
+#: A reference, as it follows its "&".
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+# Named character references.
 NAMED = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "mdash": "—", "ndash": "–", "hellip": "…",
+    "amp": "&", "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "mdash": "—", "ndash": "–", "hellip": "…",
     "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "sect": "§", "deg": "°", "times": "×",
     "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í",
     "icirc": "î", "iuml": "ï", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "szlig": "ß", "uacute": "ú", "ucirc": "û", "uuml": "ü",
@@ -42,18 +43,27 @@ def digest(text: Column) -> Column:
 
 
 def _resolved(text: Column) -> Column:
-    """Character references resolved, numeric ones and those of NAMED; others stay as they are."""
+    """Character references resolved in one pass, numeric ones and those of NAMED; others stay as they are.
+
+    What a reference gives is never read as a part of another one.
+    """
     names = F.create_map(*[F.lit(x) for k, v in NAMED.items() for x in (k, v)])
 
     def char(r: Column) -> Column:
         digits = F.conv(F.when(F.lower(F.substring(r, 2, 1)) == "x", F.substring(r, 3, 8)).otherwise(F.conv(F.substring(r, 2, 8), 10, 16)), 16, 10).cast("int")
         valid = (digits > 0) & ~digits.between(0xD800, 0xDFFF) & (digits <= 0x10FFFF)
         number = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
-        return F.when(F.substring(r, 1, 1) == "#", F.when(valid, number).otherwise("\ufffd")).otherwise(F.coalesce(names[r], F.concat(F.lit("&"), r, F.lit(";"))))
+        return F.when(F.substring(r, 1, 1) == "#", F.when(valid, number).otherwise("\ufffd")).otherwise(names[r])
+
+    whole = lambda s: F.concat(F.lit("&"), s["p"])
+    read = lambda s: F.coalesce(F.concat(char(s["r"]), F.substring(s["p"], F.length(s["r"]) + 2, F.length(s["p"]))), whole(s))
+
+    def joined(parts: Column) -> Column:
+        after = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, REFERENCE, 1).alias("r")))
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(after, lambda s: F.when(s["r"] == "", whole(s)).otherwise(read(s))), ""))
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), 1))
-    every = F.aggregate(found, text, lambda t, r: F.replace(t, F.concat(F.lit("&"), r, F.lit(";")), char(r)))
-    return F.replace(F.when(F.instr(text, "&") > 0, every).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    every = F.get(F.transform(F.array(F.split(text, "&")), joined), F.lit(0))
+    return F.when(F.instr(text, "&") > 0, every).otherwise(text)
 
 
 def _plain(text: Column) -> Column:

@@ -765,3 +765,17 @@ def test_references_links_and_records_read_from_files(spark, tmp_path):
     warc.write_warc(warc.derivatives(warc.responses_of(records.filter("whole"))), str(tmp_path / "out"))
     again = warc.read_records(spark, str(tmp_path / "out")).collect()
     assert {r.record_type for r in again} == {"metadata", "conversion"} and all(r.whole for r in again)
+
+
+def test_a_reference_is_never_made_of_another_ones_result(spark):
+    """Each text is resolved in one pass, as Python's unescape does for the names that are known."""
+    import html
+
+    texts = ["&#38;lt; &lt;", "&amp;#65; &#65;", "&lt&lt;&gt;", "a & b && &copy;&copy &amp;amp;", "&", "&;", "&nbsp;x&nbsp;&Eacute;", "".join(f"&#{i};" for i in range(0x4E00, 0x4E00 + 3000)), "no reference", ""]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", warc._resolved(F.col("t")).alias("t")).collect()
+    known = {f"&{k};" for k in warc.NAMED}
+
+    def plain(t: str) -> str:
+        return re.sub(r"&(?:#[0-9]+|[A-Za-z]{2,8});", lambda m: html.unescape(m.group()) if m.group()[1] == "#" or m.group() in known else m.group(), t).replace("\xa0", " ")
+
+    assert {r.i: r.t for r in out} == {i: plain(t) for i, t in enumerate(texts)}
