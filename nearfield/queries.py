@@ -806,12 +806,12 @@ def worst_answered_attack(s, d):
 
 # -- streams -----------------------------------------------------------------------------------
 
-_STREAM = "st AS (SELECT e.event_id AS qid, v.embedding AS q FROM events e JOIN embeddings v ON v.vec_id = e.user_id % 40)"
+_STREAM = "st AS (SELECT e.event_id AS qid, v.embedding AS q FROM events e JOIN embeddings v ON v.vec_id = e.user_id % (SELECT count(*) FROM embeddings))"
 
 
 def _stream(s, d) -> DataFrame:
-    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("qid"), F.pmod("user_id", F.lit(40)).alias("id"))
-    return e.join(F.broadcast(table(s, d).filter("id < 40").select("id", F.col("v").alias("q"))), "id").select("qid", "q")
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("qid"), F.pmod("user_id", F.lit(size(s, d))).alias("id"))
+    return e.join(table(s, d).select("id", F.col("v").alias("q")), "id").select("qid", "q")
 
 
 @query(_STREAM + " SELECT count(*) AS queries, count(*) - count(DISTINCT q) AS hits, count(DISTINCT q) AS misses, round((count(*) - count(DISTINCT q)) / count(*), 6) AS hit_rate FROM st")

@@ -139,24 +139,33 @@ class NearCache:
 
     def __init__(self, radius: float, capacity: int = 4096):
         require(radius >= 0 and capacity >= 1, "radius and capacity")
-        self.radius, self.capacity, self.keys, self.found = radius, capacity, [], []
+        self.radius, self.capacity = radius, capacity
+        self.keys, self.found, self.first, self.last = np.empty((0, 0)), [], 0, 0
 
     @property
     def size(self) -> int:
-        return len(self.keys)
+        return self.last - self.first
 
     def get(self, q):
-        if not self.keys:
+        if not self.size:
             return None, 0
-        d = ((np.stack(self.keys) - np.asarray(q, dtype=np.float64)) ** 2).sum(1)
+        d = ((self.keys[self.first : self.last] - np.asarray(q, dtype=np.float64)) ** 2).sum(1)
         i = int(d.argmin())
-        return (self.found[i] if d[i] <= self.radius**2 else None), len(d)
+        return (self.found[self.first + i] if d[i] <= self.radius**2 else None), len(d)
 
     def put(self, q, found) -> None:
-        self.keys.append(np.asarray(q, dtype=np.float64))
+        q = np.asarray(q, dtype=np.float64)
+        if self.last == len(self.keys):  # the room is full: keep the live keys, in order, in room for as many more
+            live, names = self.keys[self.first : self.last], self.found[self.first : self.last]
+            self.keys = np.empty((max(16, 2 * len(live)), len(q)))
+            if names:
+                self.keys[: len(names)] = live
+            self.found, self.first, self.last = names, 0, len(names)
+        self.keys[self.last] = q
         self.found.append(found)
-        if len(self.keys) > self.capacity:
-            del self.keys[0], self.found[0]
+        self.last += 1
+        if self.size > self.capacity:
+            self.first += 1
 
 
 CACHED = "lane int, qid long, served_by long, hit boolean, lookup_distances long"

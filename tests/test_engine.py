@@ -418,3 +418,17 @@ def test_numbers_and_totals_go_over_all_tasks(spark):
     for r in sorted(storage.placed(rows.select("part", "id")).collect()):
         place.setdefault(r.part, []).append((r.id, r.place))
     assert all([x[1] for x in sorted(p)] == list(range(1, len(p) + 1)) for p in place.values())
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 64, 1000])
+@pytest.mark.parametrize("radius", [0.0, 0.4])
+def test_a_near_cache_is_a_queue_of_its_last_keys(capacity, radius):
+    cache, keys = batches.NearCache(radius, capacity), []
+    for i, q in enumerate(np.random.default_rng(0).integers(0, 4, (500, 4)) / 4):
+        d = [float(((k - q) ** 2).sum()) for k, _ in keys]
+        want = keys[int(np.argmin(d))][1] if d and min(d) <= radius**2 else None
+        assert cache.get(q) == (want, len(keys))
+        if want is None:
+            cache.put(q, i)
+            keys = [*keys, (q, i)][-capacity:]
+        assert cache.size == len(keys)
