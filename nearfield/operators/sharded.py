@@ -69,21 +69,33 @@ class ShardedIndex(Index):
         fresh = materialise(self.rows.join(few, "id", "left_semi").unionByName(vectors.select(F.col("id").cast("long").alias("id"), "v")))
         self.structures = materialise(self.structures.filter(~small).unionByName(self._built(fresh, fresh.count())))
 
-    def walk(self, queries: DataFrame, k: int, **how) -> DataFrame:
-        """(qid, id, score, cost): each shard's answers; the first row of a walk bears its cost.
+    def marked(self) -> DataFrame:
+        """ids, payload, gone: each structure with the places of its removed rows.
+
+        A structure is known by its first id.  Removed ids meet the structures by a join, so a
+        walk gets those of its own shard only and none pass through the driver.
+        """
+        if self.dead is None:
+            return self.structures.select("ids", "payload", F.lit(None).cast("array<int>").alias("gone"))
+        own = self.structures.withColumn("first", F.element_at("ids", 1))
+        places = own.select("first", F.posexplode("ids").alias("at", "id")).join(self.dead, "id")
+        gone = places.groupBy("first").agg(F.collect_list("at").alias("gone"))  # a shard's rows at most
+        return own.join(gone.hint("shuffle_hash"), "first", "left").select("ids", "payload", "gone")
 
-        Ids of removed rows go to every walk, eight bytes each."""
-        spark, out = queries.sparkSession, None
-        gone = None if self.dead is None else self.dead.select(F.col("id").cast("long")).toPandas()["id"].to_numpy()
+    def walk(self, queries: DataFrame, k: int, **how) -> DataFrame:
+        """(qid, id, score, cost): each shard's answers; the first row of a walk bears its cost."""
+        spark, out, rows = queries.sparkSession, None, self.marked()
         for qids, q in query_blocks(queries):
-            shared, kind = spark.sparkContext.broadcast((qids, q, gone)), self.kind
+            shared, kind = spark.sparkContext.broadcast((qids, q)), self.kind
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
-                qids, q, gone = shared.value
+                qids, q = shared.value
                 for b in batches:
-                    for ids, payload in zip(b.column(0), b.column(1), strict=True):
-                        ids, made = ids.values.to_numpy(), kind.restored(unpacked(payload.as_py()))
-                        dead = None if gone is None else np.isin(ids, gone)
+                    for ids, payload, gone in zip(*b.columns, strict=True):
+                        ids, made, dead = ids.values.to_numpy(), kind.restored(unpacked(payload.as_py())), None
+                        if gone.is_valid:
+                            dead = np.zeros(len(ids), dtype=bool)
+                            dead[gone.values.to_numpy()] = True
                         for i in range(len(q)):
                             rows, scores, cost = made.search(q[i], k, dead=dead, **how)
                             costs = np.zeros(len(rows))
@@ -92,7 +104,7 @@ class ShardedIndex(Index):
                                 [pa.array(np.full(len(rows), qids[i])), pa.array(ids[rows]), pa.array(scores), pa.array(costs)], names=["qid", "id", "score", "cost"]
                             )
 
-            part = self.structures.select("ids", "payload").mapInArrow(run, "qid long, id long, score double, cost double")
+            part = rows.mapInArrow(run, "qid long, id long, score double, cost double")
             out = part if out is None else out.unionAll(part)
         return out
 
