@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, mixing, order_minhash, pii, quality, tokens, warc
+from . import decontaminate, exact_dedup, language, licenses, mixing, order_minhash, pii, quality, suffix_dedup, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,7 +179,29 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN l USING
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), length=200).drop("spans")
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5_number(h[2 * i + 1:2 * i + 400]) AS m
+      FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM d)),
+hit AS (SELECT s.r, s.i FROM s JOIN (SELECT m FROM s GROUP BY m HAVING count(*) > 1) USING (m)),
+new AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS first FROM hit),
+run AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS k FROM new),
+span AS (SELECT r, k, min(i) AS a, max(i) + 200 AS z FROM run GROUP BY r, k),
+gone AS (SELECT r, k, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) AS p FROM span),
+kept AS (SELECT r, string_agg(h[2 * p + 1:2 * a], '' ORDER BY k) AS k, max(z) AS z, sum(z - a) AS n_removed, count(*) AS n_spans
+         FROM gone JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, '') || h[2 * coalesce(z, 0) + 1:])) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 QUERIES = {
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op9_license_index": op9_license_index,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_unigram_counts": op5_unigram_counts,
@@ -191,4 +213,4 @@ QUERIES = {
     "op7_order_minhash": op7_order_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op9_license_index": _op9_sql(), "op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op12_suffix_dedup": OP12_SQL, "op9_license_index": _op9_sql(), "op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
