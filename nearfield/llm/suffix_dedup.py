@@ -20,8 +20,10 @@ suffixes of a group share their Lyndon prefix.  One pass in ascending order then
 group's own order.  Nothing is renamed and no smaller problem is solved again.
 
 An anchor with more than ``most`` different pieces (a passage that very many documents share
-ends in as many ways) is not sorted in one task: the whole strings of its pieces, one row each,
-are counted by a digest of 128 bits, aggregated before they are shuffled.
+ends in as many ways) is not sorted in one task: its pieces are dealt by what each ``step``
+starts have in common, equal parts are made one before they are shuffled, and different parts
+of one common string are sorted.  Where even these are more than ``most``, whole strings are
+counted, a row each.  These steps go by digests of 128 bits.
 
 Hashes of anchors and pieces have 64 bits.  Two different pieces would be taken for equal only
 if they share an anchor's hash and their own; no other step relies on hashes of less than 128 bits.
@@ -299,11 +301,16 @@ def sort_group(backs: list[int], bodies: list[bytes], twice: list[bool], length:
     return [sorted(x) for x in hit]
 
 
-def sorted_pieces(pieces: DataFrame, length: int, step: int) -> DataFrame:
-    """key, piece, ranges of pieces that stand once; groups of one key are of bounded size."""
-    schema = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("ranges", pa.list_(pa.int32()))])
+def sorted_pieces(pieces: DataFrame, length: int, step: int, kind: str = "long") -> DataFrame:
+    """key, piece, ranges of pieces that stand once; groups of one key are of bounded size.
+
+    ``kind`` is the type of key and piece.
+    """
+    made = f"key {kind}, piece {kind}, ranges array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = pa.int64() if kind == "long" else pa.binary()
+        schema = pa.schema([("key", name), ("piece", name), ("ranges", pa.list_(pa.int32()))])
         group: list[tuple] = []
         done: list[tuple] = []
 
@@ -328,7 +335,32 @@ def sorted_pieces(pieces: DataFrame, length: int, step: int) -> DataFrame:
         close()
         yield out()
 
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, piece long, ranges array<int>")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, made)
+
+
+def stepped(pieces: DataFrame, length: int, step: int) -> DataFrame:
+    """common, same, key, piece, twice, lo, back, body: the parts of pieces by distance to the anchor, ``step`` starts each.
+
+    ``common`` digests the bytes that all starts of a part share, ``same`` the part itself; a
+    string that stands in two parts stands in parts of one ``common``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda a, x: hashlib.blake2b(x, digest_size=16, salt=a.to_bytes(8, "little")).digest()
+        names = ["common", "same", "key", "piece", "twice", "lo", "back", "body"]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
+        for b in batches:
+            rows = []
+            for key, piece, twice, back, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                last = len(body) - length
+                for a in range((back - last) // step * step, back + 1, step):
+                    lo, hi = max(0, back - a - step + 1), min(last, back - a)
+                    own = body[lo : hi + length]
+                    common = digest(a, body[back - a : back - a - step + 1 + length])
+                    rows.append((common, digest(back - lo, own), key, piece, twice, lo, back - lo, own))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=names)
+
+    return pieces.mapInArrow(run, "common binary, same binary, key long, piece long, twice boolean, lo int, back long, body binary")
 
 
 def counted_strings(pieces: DataFrame, length: int) -> DataFrame:
@@ -340,16 +372,34 @@ def counted_strings(pieces: DataFrame, length: int) -> DataFrame:
                 n = len(body) - length + 1
                 digests = [hashlib.blake2b(body[s : s + length], digest_size=16).digest() for s in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array([key] * n, pa.int64()), pa.array([piece] * n, pa.int64()), pa.array([twice] * n, pa.bool_()), pa.array(range(n), pa.int32())],
+                    [pa.array(digests, pa.binary()), pa.array([key] * n, pa.binary()), pa.array([piece] * n, pa.binary()), pa.array([twice] * n, pa.bool_()), pa.array(range(n), pa.int32())],
                     names=["string", "key", "piece", "twice", "start"],
                 )
 
-    strings = pieces.mapInArrow(run, "string binary, key long, piece long, twice boolean, start int")
+    strings = pieces.mapInArrow(run, "string binary, key binary, piece binary, twice boolean, start int")
     repeated = strings.groupBy("string").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).filter("n > 1").select("string")
     found = strings.filter("not twice").join(repeated, "string").groupBy("key", "piece").agg(F.collect_list("start").alias("starts"))  # of one piece
     return found.select("key", "piece", F.flatten(F.transform("starts", lambda s: F.array(s, s))).alias("ranges"))
 
 
+def split_pieces(pieces: DataFrame, parts: DataFrame, length: int, step: int, most: int) -> DataFrame:
+    """key, piece, ranges of pieces of keys that are too many for one task.
+
+    ``parts`` is stepped(pieces), one row for each (common, same), with whether it stands twice.
+    Equal parts repeat each other; different ones of one ``common`` are sorted where they are few
+    enough, else their strings are counted.
+    """
+    sizes = parts.groupBy("common").agg(F.count("*").alias("different"), F.count_if(~F.col("twice")).alias("single")).filter("different > 1 and single > 0")
+    open_ = parts.join(sizes, "common").select(F.col("common").alias("key"), F.col("same").alias("piece"), "twice", "back", "body", "different")
+    few, many = (open_.filter(c).drop("different") for c in (F.col("different") <= most, F.col("different") > most))
+    whole = parts.filter("twice").select(F.col("common").alias("key"), F.col("same").alias("piece"), F.array(F.lit(0), F.octet_length("body") - length).alias("ranges"))
+    marks = sorted_pieces(few, length, step, "binary").unionByName(counted_strings(many, length)).unionByName(whole)
+    every = stepped(pieces, length, step).filter("not twice").select("common", "same", "key", "piece", "lo")
+    marks = marks.select(F.col("key").alias("common"), F.col("piece").alias("same"), "ranges")
+    found = every.join(marks, ["common", "same"]).groupBy("key", "piece").agg(F.collect_list(F.transform("ranges", lambda r: r + F.col("lo"))).alias("r"))  # of one piece
+    return found.select("key", "piece", F.flatten("r").alias("ranges"))
+
+
 def digest_of(text_col: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
 
@@ -359,7 +409,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, core: int = 64, step: int
     spark, anchors = docs.sparkSession, Anchors(length, core)
     body = F.col(text_col).cast("string").cast("binary").alias("body")
     long_ones = docs.filter(F.octet_length(F.col(text_col).cast("string")) >= length)
-    paths = [scratch(spark, f"repeats-{x}") for x in ("anchors", "hits", "pieces", "marks", "starts")]
+    paths = [scratch(spark, f"repeats-{x}") for x in ("anchors", "hits", "pieces", "marks", "starts", "crowded", "parts")]
 
     def kept(df: DataFrame, path: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
@@ -378,7 +428,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, core: int = 64, step: int
     small = sorted_pieces(cut_out(reps.filter(F.col("different") <= most), texts, length), length, step)
     marks = small
     if not sizes.filter(F.col("different") > most).isEmpty():
-        marks = small.unionByName(counted_strings(cut_out(reps.filter(F.col("different") > most), texts, length), length))
+        hot = kept(cut_out(reps.filter(F.col("different") > most), texts, length), paths[5])
+        parts = stepped(hot, length, step).groupBy("common", "same").agg((F.sum(F.when(F.col("twice"), 2).otherwise(1)) > 1).alias("twice"), F.first(F.struct("back", "body")).alias("one"))
+        parts = kept(parts.select("common", "same", "twice", "one.back", "one.body"), paths[6])
+        marks = small.unionByName(split_pieces(hot, parts, length, step, most))
     marks = kept(marks, paths[3])
     lo = F.expr(_LO)
     whole = hits.join(pieces.filter("twice").select("key", "piece"), ["key", "piece"]).select("row", F.array(lo, lo + F.expr(_SPAN)).alias("starts"))
@@ -386,7 +439,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, core: int = 64, step: int
     of_row = whole.unionByName(part).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # of one text
     # equal texts have equal repeats
     found = kept(of_row.join(names, "row").groupBy("digest").agg(F.first("starts").alias("starts")), paths[4])
-    for path in paths[:4]:
+    for path in paths[:4] + paths[5:]:
         drop_path(spark, path)
     return found
 
