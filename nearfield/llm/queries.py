@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, mixing, order_minhash, pii, quality, suffix_dedup, tokens, warc
+from . import collocations, decontaminate, exact_dedup, language, lexical, licenses, mixing, order_minhash, pii, quality, suffix_dedup, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,7 +200,55 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+def op11_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = f"""
+WITH dw AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, row_number() OVER () AS i, list_distinct({_WORDS}) AS w FROM benchmark),
+g AS (SELECT count(*) AS big_n, sum(len(w)) AS big_l FROM dw WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM dw) GROUP BY r, t),
+it AS (SELECT i, unnest(w) AS t FROM iw),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY t, big_n),
+m AS (SELECT r, doc_id, 10 + CAST((90 * CAST(len(w) AS BIGINT) * big_n) // big_l AS BIGINT) AS m FROM dw, g WHERE len(w) > 0),
+s AS (SELECT i, r, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score
+      FROM it JOIN tf USING (t) JOIN df USING (t) JOIN m USING (r) GROUP BY i, r),
+k AS (SELECT i, doc_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+      FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k JOIN iw USING (i) WHERE rank <= 10
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), threshold=100)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, a, j, array_to_string(w[:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, j, l.a AS l, r.a AS r, total.n,
+        (1000 * CAST(cut.a AS HUGEINT) * CAST(total.n AS HUGEINT)) // (CAST(l.a AS HUGEINT) * CAST(r.a AS HUGEINT)) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = cut.x JOIN f r ON r.lang = cut.lang AND r.phrase = cut.y JOIN total ON total.lang = cut.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (
+    SELECT lang, k, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) o
+  ON o.lang = c.lang AND o.phrase = c.phrase AND 100 * o.a >= 100 * c.a),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low ANTI JOIN held USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best WHERE rank <= 2000
+"""
+
+
 QUERIES = {
+    "op11_dual_tree_search": op11_dual_tree_search,
+    "op13_collocations": op13_collocations,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op9_license_index": op9_license_index,
     "op4_warc_derivatives": op4_warc_derivatives,
@@ -213,4 +261,4 @@ QUERIES = {
     "op7_order_minhash": op7_order_minhash,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op12_suffix_dedup": OP12_SQL, "op9_license_index": _op9_sql(), "op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op11_dual_tree_search": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_collocations": OP13_SQL, "op9_license_index": _op9_sql(), "op4_warc_derivatives": OP4_SQL, "op2_stream_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op10_decontaminate": OP10_SQL}
