@@ -197,7 +197,7 @@ def apart(met: DataFrame, reps: DataFrame, classes: DataFrame, least: float, for
     those outside meet blocks of all.  With ``forest`` a block gives only the pairs, most alike
     first, that would join its classes if all of them held: fewer than it has members.
     """
-    own = met.filter("n > 2").join(classes, F.col("rep") == F.col("node"), "left")  # two have met as star
+    own = met.join(classes, F.col("rep") == F.col("node"), "left")
     own = own.select("rep", "band", "key", F.coalesce("class_id", "rep").alias("class"))
     sized = own.groupBy("band", "key", "class").agg(F.count("*").alias("c")).groupBy("band", "key")
     sized = sized.agg(F.count("*").alias("classes"), F.max(F.struct("c", "class")).alias("main"), F.sum("c").alias("n")).filter("classes > 1")

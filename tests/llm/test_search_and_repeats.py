@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfield.llm import collocations, lexical, suffix_dedup
+from nearfield.llm import collocations, lexical, order_minhash, suffix_dedup
 from nearfield.llm.common import words_of
 
 
@@ -203,3 +203,37 @@ def test_a_chunked_text_counts_as_a_whole_one():
 
 def test_collocations_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
+
+
+def test_two_that_share_a_bucket_beside_more_central_ones_are_joined(spark):
+    """Near copies whose common buckets hold no one else, each beside a crowd that shares a passage with it."""
+    r = random.Random(21)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    both, left, right = some(720), [some(20) for _ in range(4)], [some(20) for _ in range(4)]
+    texts = [sum(left, both), sum(right, both)]
+    for passage in left + right:
+        texts += [passage + some(2) for _ in range(14)]
+    texts = [" ".join(t) for t in texts]
+    grams = [order_minhash.shingles(t)[1] for t in texts]
+    assert order_minhash.ordered_similarity(grams[0], grams[1], 0.8)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    how = {"sketches": 256, "picked": 1}
+    made = order_minhash.sketched(frame, 5, order_minhash.OrderSketch(**how), "doc_id", "text").withColumnRenamed("doc_id", "rep")
+    met = order_minhash.buckets(made.select("rep", "sketch"))
+    assert met.filter("n > 2 and rep < 2").groupBy("band", "key").count().filter("count > 1").isEmpty()
+    assert order_minhash.star(met, 3).filter("a = 0 and b = 1").isEmpty()  # it is the blocks that find them
+    for parts in (2, 16):
+        out = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(frame.repartition(parts), **how).collect()}
+        assert out[0] == out[1] == 0
+
+
+@pytest.mark.parametrize("rate", [0.002, 0.005, 0.02])
+def test_recall_on_planted_near_copies(spark, rate):
+    r = random.Random(int(rate * 1000))
+    texts = [[f"w{r.randrange(3000)}" for _ in range(r.randint(60, 600))] for _ in range(150)]
+    copies = [[f"e{r.randrange(10**6)}" if r.random() < rate else w for w in t] for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + copies)], "doc_id long, text string")
+    out = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(docs).collect()}
+    near = [order_minhash.ordered_similarity(*(order_minhash.shingles(" ".join(t))[1] for t in pair), 0.8) > 0 for pair in zip(texts, copies, strict=True)]
+    assert [out[i] == out[150 + i] for i in range(150)] == near
+    print(f"rate {rate}: {sum(near)} of 150 copies are at 0.8 or more")
