@@ -293,8 +293,15 @@ def frequent(rows: DataFrame, lengths: range, threshold: int, *filters) -> Filte
     return Filter(parts, segment, out)
 
 
-def counted(rows: DataFrame, single, pairs, longer, longest: int) -> DataFrame:
-    """lang, phrase, n, a: counts of n-grams that pass the filters, and all words of a language with a null phrase and n = 0."""
+def counted(rows: DataFrame, single, pairs, longer, longest: int, threshold: int) -> DataFrame:
+    """lang, phrase, n, a: exact counts of frequent n-grams, and all words of a language with a null phrase and n = 0.
+
+    Tasks deal their counts to the filter's hash partitions, a row of lists for each partition
+    and language; a partition adds them up by the words themselves.
+    """
+    parts = longer.value.parts
+    top = parts.bit_length() - 1
+    lists = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}  # by language, hashes and counts
@@ -302,24 +309,19 @@ def counted(rows: DataFrame, single, pairs, longer, longest: int) -> DataFrame:
         totals: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            langs, phrases, sizes, counts = [], [], [], []
+            made: list[tuple] = [(0, lang, [None], [0], [n]) for lang, n in totals.items()]
             for lang, own in held.items():
                 known, at = np.unique(np.concatenate([h for h, _ in own]), return_inverse=True)
-                times = np.bincount(at, weights=np.concatenate([c for _, c in own]))
+                times = np.bincount(at, weights=np.concatenate([c for _, c in own])).astype(np.int64)
+                part = (known >> np.uint64(64 - top)).astype(np.int64) if top else np.zeros(len(known), dtype=np.int64)
+                edges = np.searchsorted(part, np.arange(parts + 1))
                 named = [names[lang][h] for h in known.tolist()]
-                langs += [lang] * len(known)
-                sizes += [n for n, _ in named]
-                phrases += [p for _, p in named]
-                counts += times.astype(np.int64).tolist()
-            for lang, n in totals.items():
-                langs.append(lang)
-                phrases.append(None)
-                sizes.append(0)
-                counts.append(n)
-            held.clear()
-            names.clear()
-            totals.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n", "a"])
+                for i in np.unique(part).tolist():
+                    mine = named[edges[i] : edges[i + 1]]
+                    made.append((i, lang, [p for _, p in mine], [n for n, _ in mine], times[edges[i] : edges[i + 1]].tolist()))
+            for x in (held, names, totals):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([m[j] for m in made], lists.field(j).type) for j in range(5)], schema=lists)
 
         for b in batches:
             for lang, raw, bytes_own in parts_of(b, longest + 1):
@@ -341,7 +343,28 @@ def counted(rows: DataFrame, single, pairs, longer, longest: int) -> DataFrame:
         if totals:
             yield out()
 
-    return rows.mapInArrow(run, "lang string, phrase string, n int, a long").groupBy("lang", "phrase", "n").agg(F.sum("a").alias("a"))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, {}
+
+        def close() -> pa.RecordBatch:
+            left = [(lang, phrase, n, a) for (lang, phrase, n), a in sums.items() if a >= threshold or not n]
+            sums.clear()
+            kinds = pa.string(), pa.string(), pa.int32(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in left], kinds[j]) for j in range(4)], names=["lang", "phrase", "n", "a"])
+
+        for b in batches:
+            for part, lang, phrases, sizes, counts in zip(*b.columns, strict=True):
+                if part.as_py() != at:
+                    yield close()
+                    at = part.as_py()
+                lang = lang.as_py()
+                for phrase, n, a in zip(phrases.as_py(), sizes.as_py(), counts.as_py(), strict=True):
+                    key = lang, phrase, n
+                    sums[key] = sums.get(key, 0) + a
+        yield close()
+
+    dealt = rows.mapInArrow(run, "part int, lang string, phrases array<string>, sizes array<int>, counts array<long>")
+    return dealt.repartition(min(parts, 1 << 14), "part").sortWithinPartitions("part").mapInArrow(added, "lang string, phrase string, n int, a long")
 
 
 def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, first: int = 2000, share: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -359,7 +382,7 @@ def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, first:
     for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         filters.append(spark.sparkContext.broadcast(frequent(rows, lengths, threshold, *filters)))
     path = scratch(spark, "phrases")
-    made = counted(rows, *filters, longest).filter((F.col("a") >= threshold) | (F.col("n") == 0))
+    made = counted(rows, *filters, longest, threshold)
     made.write.parquet(path)
     every = spark.read.schema(made.schema).parquet(path)
     total = every.filter("n = 0").select("lang", F.col("a").alias("n"))
