@@ -1,13 +1,20 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
 Each response gives two records that refer to it by its identifier: ``metadata``
-(application/warc-fields: status and headers of the source, its payload digest, title,
-language, links, and the identifier of its conversion) and ``conversion`` (text/plain).  All
-expressions run in the JVM, no row leaves its task, and every pattern takes linear time.
+(application/warc-fields: status and headers of the source, its digests, title,
+language, links, and the identifier of its conversion) and ``conversion`` (text/plain).  They
+are made by JVM expressions, no row leaves its task, and every pattern takes linear time.  Files
+are read as bytes, record by record (``read_records``).
 """
 
 from __future__ import annotations
 
+import codecs
+import re
+from collections.abc import Iterator
+from html.entities import name2codepoint
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +28,11 @@ LANGUAGE = r"""(?i)<html[^<>]*\blang\s*=\s*["']?([a-zA-Z-]+)"""
 #: A link's address, in its quotes or without any.
 LINKS = r"""(?i)<a\b[^<>]*?\bhref\s*=\s*(["'][^"'<>]*["']|[^\s"'<>]+)"""
 #: A reference, as it follows its "&".
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
-# Named character references.
-NAMED = {
-    "amp": "&", "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "mdash": "—", "ndash": "–", "hellip": "…",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "sect": "§", "deg": "°", "times": "×",
-    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í",
-    "icirc": "î", "iuml": "ï", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "szlig": "ß", "uacute": "ú", "ucirc": "û", "uuml": "ü",
-    "Agrave": "À", "Auml": "Ä", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Ouml": "Ö", "Oslash": "Ø", "Uuml": "Ü",
-}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+#: The named character references of HTML 4 and XML; a no-break space is shown as a space.
+NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+#: What each record starts with, but for the last digit of the version and the line's end.
+VERSION = b"WARC/1."
 
 
 def uuid_of(*key: Column | str) -> Column:
@@ -95,33 +98,155 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     )
 
 
-def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
-    """record_type, record_id, target_uri, date, content_length, block, whole of the records of WARC files.
+class Records:
+    """Records of a WARC file of which the pieces between version lines come in order.
+
+    A block is as long as its header says, whatever it holds: where it goes on beyond a version
+    line within it, the pieces are joined again.  Where no end of a piece fits the length, the
+    record ends at its own piece and is not whole.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[bytes] = []  # of a record that is longer than its first piece
+        self.head: dict[str, str] = {}
+        self.size = 0
+
+    @staticmethod
+    def parsed(piece: bytes) -> tuple[dict[str, str], bytes] | None:
+        """Header fields by lower-case name, and what follows them; None if no record starts here."""
+        at = piece.find(b"\r\n\r\n")
+        if piece[:3] not in (b"0\r\n", b"1\r\n") or at < 0:
+            return None
+        lines = re.sub(r"\r\n[ \t]+", " ", piece[3:at].decode("utf-8", "replace")).split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        return (fields, piece[at + 4 :]) if "warc-type" in fields else None
+
+    @staticmethod
+    def length(fields: dict[str, str]) -> int | None:
+        given = fields.get("content-length", "")
+        return int(given) if re.fullmatch("[0-9]{1,18}", given) else None
+
+    def made(self, fields: dict[str, str], rest: bytes) -> tuple:
+        """A row: block and whether it is whole."""
+        n = self.length(fields)
+        whole = n is not None and n <= len(rest) <= n + 4 and not rest[n:].strip(b"\r\n")
+        block = rest if n is None else rest[:n]
+        named = lambda k: fields.get(k) or None
+        return (
+            named("warc-type"), (fields.get("warc-record-id", "").strip("<>") or None), named("warc-target-uri"), named("warc-date"), n,
+            named("warc-payload-digest"), named("warc-block-digest"), block, whole,
+        )
+
+    def feed(self, piece: bytes) -> Iterator[tuple]:
+        """Rows that are complete with this piece."""
+        left = [piece]
+        while left:
+            own = left.pop()
+            if not self.held:
+                found = self.parsed(own)
+                if found is None:
+                    continue
+                n = self.length(found[0])
+                if n is None or len(found[1]) >= n:
+                    yield self.made(*found)
+                else:
+                    self.held, self.head, self.size = [own], found[0], len(found[1])
+                continue
+            self.held.append(own)
+            self.size += len(VERSION) + len(own)
+            n = self.length(self.head)
+            if self.size < n:
+                continue
+            pieces, self.held = self.held, []
+            if self.size <= n + 4:
+                yield self.made(*self.parsed(VERSION.join(pieces)))
+            else:
+                yield self.made(*self.parsed(pieces[0]))
+                left += pieces[:0:-1]
+
+    def close(self) -> Iterator[tuple]:
+        """Rows of what the end of the file leaves: cut records."""
+        while self.held:
+            pieces, self.held = self.held, []
+            yield self.made(*self.parsed(pieces[0]))
+            for piece in pieces[1:]:
+                yield from self.feed(piece)
+
+
+_RECORD = "record_type string, record_id string, target_uri string, date string, content_length long, payload_digest string, block_digest string, block binary, whole boolean"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, plain or gzip, of versions 1.0 and 1.1, as bytes.
 
-    Files, plain or gzip, are split at the version line that starts each record.  whole is
-    false where the block is not as long as its header says: cut short, not in UTF-8, or
-    holding a version line itself.  Text before the first record is left out.
+    record_type, record_id, target_uri, date, content_length, payload_digest and block_digest
+    (as the record states them), block (binary), whole.  whole is false where the block is not
+    as long as its header says, or where the header says no length.  Files are split at version
+    lines by Spark's reader, which keeps bytes as they are, and blocks that hold such a line are
+    joined again by their length.  Only where a plain file is large enough for several tasks can
+    the end of one cut such a block; that record is not whole then.  What comes before the first
+    record is left out.
     """
-    rows = spark.read.option("lineSep", version + CRLF).text(path).filter(F.instr("value", CRLF + CRLF) > 0)
-    head, rest = F.substring_index("value", CRLF + CRLF, 1), F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)")
-    field = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:([^\r\n]*)", 1)), F.lit(""))
-    made = rows.select(
-        field("WARC-Type").alias("record_type"), F.regexp_replace(field("WARC-Record-ID"), "[<>]", "").alias("record_id"), field("WARC-Target-URI").alias("target_uri"),
-        field("WARC-Date").alias("date"), field("Content-Length").try_cast("long").alias("content_length"), F.encode(rest, "UTF-8").alias("raw"),
-    ).filter(F.col("record_type").isNotNull())
-    block = F.decode(F.expr("substring(raw, 1, content_length)"), "UTF-8")
-    enough = F.octet_length("raw").between(F.col("content_length"), F.col("content_length") + 4)
-    return made.select("record_type", "record_id", "target_uri", "date", "content_length", block.alias("block"), F.coalesce(enough, F.lit(False)).alias("whole"))
+    kinds = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 2 + [pa.binary(), pa.bool_()]
+    names = [c.split()[0] for c in _RECORD.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, records, rows, size = None, Records(), [], 0
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names=names)
+            rows.clear()
+            return made
+
+        for b in batches:
+            for piece, own in zip(*b.columns, strict=True):
+                if own.as_py() != file:
+                    rows += records.close()
+                    file = own.as_py()
+                for row in records.feed(piece.as_py()):
+                    rows.append(row)
+                    size += len(row[7])
+                    if size > 16 << 20:
+                        yield out()
+                        size = 0
+        rows += records.close()
+        yield out()
+
+    pieces = spark.read.option("lineSep", VERSION.decode()).text(path)
+    return pieces.select(F.col("value").cast("binary").alias("piece"), "_metadata.file_path").mapInArrow(run, _RECORD)
+
+
+def text_of(http_headers: str, payload: bytes) -> str:
+    """A payload as text: in the charset of its HTTP header or of its first kilobyte, else UTF-8; what is none becomes U+FFFD."""
+    named = re.search(r"(?im)^content-type:[^\r\n]*?charset\s*=\s*[\"']?([\w.:-]+)", http_headers) or re.search(r"(?i)<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)", payload[:1024].decode("latin-1"))
+    try:
+        charset = codecs.lookup(named[1]).name if named else "utf-8"
+        return payload.decode(charset, "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
 
 
 def responses_of(records: DataFrame) -> DataFrame:
-    """Rows for derivatives(): the HTTP headers and payloads of response records."""
-    at = F.instr("block", CRLF + CRLF)
-    found = records.filter("record_type = 'response'")
-    return found.select(
-        "record_id", "target_uri", "date", F.when(at > 0, F.substring_index("block", CRLF + CRLF, 1)).alias("http_headers"),
-        F.when(at > 0, F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")).otherwise(F.col("block")).alias("payload"),
-    )
+    """Rows for derivatives(): HTTP headers and payloads of response records, whole or not.
+
+    record_id, target_uri, date, http_headers, payload (as text), payload_digest, block_digest
+    and whole.  A block without an empty line is all payload.
+    """
+    names = ["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest", "block_digest", "whole"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cut in range(0, b.num_rows, 50):
+                part, heads, texts = b.slice(cut, 50), [], []
+                for block in part.column(3):
+                    raw = block.as_py() or b""
+                    at = raw.find(b"\r\n\r\n")
+                    heads.append(raw[:at].decode("latin-1") if at >= 0 else None)
+                    texts.append(text_of(heads[-1] or "", raw[at + 4 :] if at >= 0 else raw))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(heads, pa.string()), pa.array(texts, pa.string()), *part.columns[4:]], names=names)
+
+    found = records.filter("record_type = 'response'").select("record_id", "target_uri", "date", "block", "payload_digest", "block_digest", "whole")
+    return found.mapInArrow(run, "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string, block_digest string, whole boolean")
 
 
 def derivatives(found: DataFrame) -> DataFrame:
@@ -129,6 +254,8 @@ def derivatives(found: DataFrame) -> DataFrame:
 
     page_id (null if there is none), record_type, record_id, refers_to, target_uri, date,
     source_headers, source_digest, content_type, content_length, block_digest, block, record.
+    Where found bears payload_digest, block_digest or whole, as read from files, the metadata
+    state the source's own digests, and that it is cut short.
     A null or empty payload gives an empty conversion; a null URI or date leaves its header
     out; line ends within header values become a space.  Repeated rows give repeated records,
     since identifiers depend on the source's alone; an empty table gives no rows.
@@ -137,8 +264,11 @@ def derivatives(found: DataFrame) -> DataFrame:
     if "page_id" not in found.columns:
         found = found.withColumn("page_id", F.lit(None).cast("long"))
     html = F.coalesce(F.col("payload"), F.lit(""))
+    stated = [F.concat(F.lit(f"source-warc-{c.replace('_', '-')}: "), one_line(F.col(c).cast("string"))) if c in found.columns else F.lit(None).cast("string") for c in ("payload_digest", "block_digest")]
+    stated.append(F.when(~F.col("whole"), F.lit("source-truncated: true")) if "whole" in found.columns else F.lit(None).cast("string"))
     # what is used more than once is a column of its own first, so it is worked out once
     parts = found.select(
+        F.array(*stated).alias("stated"),
         "page_id", "target_uri", "date",
         F.col("record_id").alias("refers_to"),
         F.coalesce("http_headers", F.lit("")).alias("source_headers"),
@@ -149,7 +279,7 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.regexp_extract_all(html, F.lit(LINKS), 1).alias("links"),
     )
     base = parts.select(
-        "page_id", "target_uri", "date", "refers_to", "source_headers", "source_digest", "lang",
+        "page_id", "target_uri", "date", "refers_to", "source_headers", "source_digest", "lang", "stated",
         _plain(F.col("shown")).alias("text"),
         F.trim(F.regexp_replace(_plain(F.col("title")), r"\s+", " ")).alias("title"),
         F.transform("links", lambda x: F.regexp_replace(F.replace(F.trim(x, F.lit("\"'")), F.lit("&amp;"), F.lit("&")), r"\s+", "%20")).alias("links"),
@@ -162,6 +292,9 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.transform(headers, lambda h: F.concat(F.lit("source-header: "), h)),
         F.array(
             F.concat(F.lit("source-payload-digest: "), F.col("source_digest")),
+        ),
+        F.col("stated"),
+        F.array(
             F.concat(F.lit("conversion: <"), conversion_id, F.lit(">")),
             F.concat(F.lit("title: "), F.col("title")),
             F.concat(F.lit("language: "), F.col("lang")),
