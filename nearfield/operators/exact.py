@@ -57,8 +57,21 @@ def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], widt
     return out
 
 
+def differences(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared L2 of the pairs (q[i], v[j]) by their differences."""
+    out, step = np.empty(len(i)), max(1, 4_000_000 // q.shape[1])
+    for at in range(0, len(i), step):
+        d = q[i[at : at + step]] - v[j[at : at + step]]
+        out[at : at + step] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
 def score_matrix(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all pairs of two small blocks."""
+    """Scores of all pairs of two small blocks.
+
+    Squared L2 comes from norms and products; what is small beside the norms loses digits that
+    way and is worked out from differences.
+    """
     if metric == "cosine":
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), EPSILON)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPSILON)
@@ -66,11 +79,30 @@ def score_matrix(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         both = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :]
         out = both - 2 * dots
-        out[out < 1e-13 * both] = 0.0  # what is left of equal vectors
+        i, j = np.nonzero(out <= 1e-3 * both)
+        out[i, j] = differences(q, v, i, j)
         return out
     return dots
 
 
+def nearest_scores(q: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Squared L2 by differences of all pairs that may be among a query's k nearest, infinity for the others.
+
+    Norms and products say which: a pair is left out only where it is farther than k others by
+    more than their rounding.
+    """
+    both = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :]
+    rough, slack = both - 2 * (q @ v.T), (q.shape[1] + 4) * 1e-15 * both
+    if len(v) > k:
+        edge = np.partition(rough + slack, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero(~(rough - slack > edge))
+    else:
+        i, j = (x.reshape(-1) for x in np.indices(rough.shape))
+    out = np.full(rough.shape, np.inf)
+    out[i, j] = differences(q, v, i, j)
+    return out
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2", keep: Column | None = None) -> DataFrame:
     """The k nearest rows of corpus to each query; fewer where the corpus is smaller.
 
@@ -86,7 +118,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "l2
     spark, found = corpus.sparkSession, None
     for ids, q in query_blocks(queries):
         shared = spark.sparkContext.broadcast((ids, q))
-        part = scan_top(corpus.select(F.col("id").cast("long"), "v"), shared, k, _vector_scores(metric), 1.0 if metric == "l2" else -1.0)
+        part = scan_top(corpus.select(F.col("id").cast("long"), "v"), shared, k, _vector_scores(metric, k), 1.0 if metric == "l2" else -1.0)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = spark.createDataFrame([], RESULT)
@@ -98,14 +130,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _vector_scores(metric: str):
-    sign = 1.0 if metric == "l2" else -1.0
+def _vector_scores(metric: str, k: int):
 
     def scores(q: np.ndarray, column: pa.Array) -> np.ndarray:
         v = matrix(column)
         if v.shape[1] != q.shape[1]:
             raise ValueError(f"queries are {q.shape[1]} wide and vectors {v.shape[1]}")
-        return sign * score_matrix(q, v, metric)
+        return nearest_scores(q, v, k) if metric == "l2" else -score_matrix(q, v, metric)
 
     return scores
 
@@ -168,7 +199,8 @@ def scan_keyed(rows: DataFrame, shared, k: int, metric: str, by_key: bool) -> Da
                 scores, held, of = best[slot]
                 for start in range(0, len(ids), step):
                     part = ids[start : start + step]
-                    new = sign * score_matrix(asked[at], matrix(own.column(2).slice(start, step)), metric)
+                    v = matrix(own.column(2).slice(start, step))
+                    new = nearest_scores(asked[at], v, k) if metric == "l2" else -score_matrix(asked[at], v, metric)
                     both = np.concatenate((scores[at], new), axis=1)
                     names = np.concatenate((held[at], np.broadcast_to(part, new.shape)), axis=1)
                     places = np.concatenate((of[at], np.full(new.shape, key)), axis=1)

@@ -129,6 +129,14 @@ def exact_l2(s, d):
     return out(truth(s, d))
 
 
+@query("far AS (SELECT id, list_transform(v, lambda x: x + 1e7) AS v FROM corpus) " + _OUT + "(" + _top("(SELECT q.id AS qid, c.id, pow(list_distance(q.v, c.v), 2) AS score FROM far q, far c WHERE q.id % 20 = 0)") + ")")
+def exact_far_from_zero(s, d):
+    """Vectors whose distances are far smaller than their norms: all are moved by 10^7."""
+    far = corpus(s, d).select("id", F.transform(V.doubles("v"), lambda x: x + 1e7).alias("v"))
+    found = exact.search(far.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q")), far, K)
+    return out(found)
+
+
 @query(_OUT + "(" + _top("(SELECT qid, id, list_inner_product(q, v) AS score FROM queries, scaled)", order="score DESC, id") + ")")
 def exact_ip_scaled(s, d):
     return out(exact.search(asked(s, d), scaled(s, d), K, "ip"))
