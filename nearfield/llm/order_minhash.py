@@ -190,6 +190,24 @@ def spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
                 chosen.append(e)
 
 
+def pairs_apart(met: DataFrame, reps: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of the two members of a bucket in different classes, once each, as ``apart`` gives them."""
+    own = met.filter("n = 2").join(classes, F.col("rep") == F.col("node"), "left").select("rep", "band", "key", F.coalesce("class_id", "rep").alias("class"))
+    two = own.groupBy("band", "key").agg(F.min(F.struct("rep", "class")).alias("x"), F.max(F.struct("rep", "class")).alias("y")).filter("x.class <> y.class")
+    pairs = two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    of = lambda x: reps.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    share = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64) for c in (2, 3))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(differ <= b.column(4).to_numpy() * share + 1e-6))
+
+    return sized.select("a", "b", "bits_a", "bits_b", (F.col("size_a") + F.col("size_b")).alias("both")).mapInArrow(run, "a long, b long")
+
+
 def apart(met: DataFrame, reps: DataFrame, classes: DataFrame, least: float, forest: bool) -> DataFrame:
     """Pairs (a, b), a < b, that share a bucket and no class, but for those that cannot be similar enough.
 
@@ -197,7 +215,7 @@ def apart(met: DataFrame, reps: DataFrame, classes: DataFrame, least: float, for
     those outside meet blocks of all.  With ``forest`` a block gives only the pairs, most alike
     first, that would join its classes if all of them held: fewer than it has members.
     """
-    own = met.join(classes, F.col("rep") == F.col("node"), "left")
+    own = met.filter("n > 2").join(classes, F.col("rep") == F.col("node"), "left")  # two are a pair: pairs_apart
     own = own.select("rep", "band", "key", F.coalesce("class_id", "rep").alias("class"))
     sized = own.groupBy("band", "key", "class").agg(F.count("*").alias("c")).groupBy("band", "key")
     sized = sized.agg(F.count("*").alias("classes"), F.max(F.struct("c", "class")).alias("main"), F.sum("c").alias("n")).filter("classes > 1")
@@ -299,7 +317,7 @@ def near_duplicates(
     links = cut(verified(docs, tried, k, least, id_col, text_col))
     classes = components(links)
     for forest in (True, False):
-        found = cut(apart(met, reps, classes, least, forest))
+        found = cut(apart(met, reps, classes, least, forest).union(pairs_apart(met, reps, classes, least)).distinct())
         if found.isEmpty():
             break
         left = cut(found.join(tried, ["a", "b"], "left_anti"))
