@@ -19,6 +19,8 @@ from ..functions.vector import EPSILON, best, metric_named, score, top
 BLOCK_NUMBERS = 8_000_000
 
 RESULT = "qid long, id long, score double"
+#: The same with the rows that a task met for a query, in rows of their own without an id.
+MET = "qid long, id long, score double, met long"
 
 
 def query_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS, kind=np.float64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,6 +41,40 @@ def query_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS, kind=np.float
         yield np.array(ids), np.array(rows, dtype=kind)
 
 
+def keyed_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(qids, matrix, keys) of queries (qid, q, keys: as many longs for each), in blocks of bounded size."""
+    ids: list[int] = []
+    rows: list[list[float]] = []
+    keys: list[list[int]] = []
+    size = 0
+    for qid, q, own in queries.select("qid", "q", "keys").toLocalIterator():
+        ids.append(qid)
+        rows.append(q)
+        keys.append(own)
+        size += len(q) + len(own)
+        if size >= numbers:
+            yield np.array(ids), np.array(rows, dtype=np.float64), np.array(keys, dtype=np.int64)
+            ids, rows, keys, size = [], [], [], 0
+    if ids:
+        yield np.array(ids), np.array(rows, dtype=np.float64), np.array(keys, dtype=np.int64)
+
+
+def with_met(qids: np.ndarray, best: np.ndarray, ids: np.ndarray, met: np.ndarray, sign: float = 1.0) -> pa.RecordBatch:
+    """Rows of MET: the finite ones of a task's best, and how many rows each query met."""
+    i, j = np.nonzero(np.isfinite(best))
+    hit = np.flatnonzero(met)
+    nothing = lambda n, kind: pa.nulls(n, kind)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((qids[i], qids[hit]))),
+            pa.concat_arrays([pa.array(ids[i, j]), nothing(len(hit), pa.int64())]),
+            pa.concat_arrays([pa.array(sign * best[i, j]), nothing(len(hit), pa.float64())]),
+            pa.concat_arrays([nothing(len(i), pa.int64()), pa.array(met[hit])]),
+        ],
+        names=["qid", "id", "score", "met"],
+    )
+
+
 def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], width: Column | None = None) -> DataFrame:
     """answer(block) of blocks of queries that are small enough to broadcast, united.
 
@@ -160,7 +196,7 @@ def scan_top(rows: DataFrame, shared, k: int, scores, sign: float = 1.0) -> Data
                 found = np.concatenate((best_scores, scores(asked, part.column(1))), axis=1)
                 every = np.concatenate((best_ids, np.broadcast_to(ids, (len(qids), len(ids)))), axis=1)
                 if every.shape[1] > k:
-                    order = np.lexsort((every, found), axis=1)[:, :k] if every.shape[1] <= 4 * k else _smallest(found, every, k)
+                    order = smallest(found, every, k)
                     found, every = np.take_along_axis(found, order, 1), np.take_along_axis(every, order, 1)
                 best_scores, best_ids = found, every
         if best_ids.shape[1]:
@@ -172,11 +208,13 @@ def scan_top(rows: DataFrame, shared, k: int, scores, sign: float = 1.0) -> Data
     return rows.mapInArrow(run, RESULT)
 
 
-def scan_keyed(rows: DataFrame, shared, k: int, metric: str, by_key: bool) -> DataFrame:
+def scan_keyed(rows: DataFrame, shared, k: int, metric: str, by_key: bool, prefix: bool = False) -> DataFrame:
     """(qid, key, id, score): each task's k best of rows (key, id, v) for a broadcast block of queries.
 
     ``shared`` holds (qids, matrix of queries, places of the queries that look into each key, or
     None where all look into all).  With ``by_key`` k rows a query and key are kept, else k rows a query.
+    With ``prefix`` rows are (key, id, v, place), a key's entry is (places of the queries, how many rows
+    each takes), and a query meets the rows of a key up to that place only.
     """
     sign = 1.0 if metric == "l2" else -1.0
 
@@ -188,6 +226,8 @@ def scan_keyed(rows: DataFrame, shared, k: int, metric: str, by_key: bool) -> Da
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for key in np.unique(keys).tolist():
                 at = every if opened is None else opened.get(key)
+                if prefix and at is not None:
+                    at, takes = at
                 if at is None or not len(at):
                     continue
                 own = b.filter(pa.array(keys == key))
@@ -200,11 +240,15 @@ def scan_keyed(rows: DataFrame, shared, k: int, metric: str, by_key: bool) -> Da
                 for start in range(0, len(ids), step):
                     part = ids[start : start + step]
                     v = matrix(own.column(2).slice(start, step))
-                    new = nearest_scores(asked[at], v, k) if metric == "l2" else -score_matrix(asked[at], v, metric)
+                    if prefix:
+                        new = sign * score_matrix(asked[at], v, metric)
+                        new[own.column(3).slice(start, step).to_numpy(zero_copy_only=False)[None] > takes[:, None]] = np.inf
+                    else:
+                        new = nearest_scores(asked[at], v, k) if metric == "l2" else -score_matrix(asked[at], v, metric)
                     both = np.concatenate((scores[at], new), axis=1)
                     names = np.concatenate((held[at], np.broadcast_to(part, new.shape)), axis=1)
                     places = np.concatenate((of[at], np.full(new.shape, key)), axis=1)
-                    order = np.lexsort((names, both), axis=1)[:, :k] if both.shape[1] <= 4 * k else _smallest(both, names, k)
+                    order = smallest(both, names, k)
                     scores[at], held[at], of[at] = (np.take_along_axis(x, order, 1) for x in (both, names, places))
         for scores, held, of in best.values():
             i, j = np.nonzero(np.isfinite(scores))
@@ -245,11 +289,13 @@ def distance_sums(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return out.groupBy("qid").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least")).filter("n > 0")
 
 
-def _smallest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def smallest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k smallest (score, id) of each row; rows with a tie at the edge are sorted whole."""
+    if scores.shape[1] <= 4 * k:
+        return np.lexsort((ids, scores), axis=1)[:, :k]
     part = np.argpartition(scores, k - 1, axis=1)[:, :k]
     edge = np.take_along_axis(scores, part, 1).max(1)
-    tied = np.flatnonzero((scores <= edge[:, None]).sum(1) > k)
+    tied = np.flatnonzero(np.isfinite(edge) & ((scores <= edge[:, None]).sum(1) > k))
     for i in tied:
         part[i] = np.lexsort((ids[i], scores[i]))[:k]
     return part

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError, require
-from ..functions.vector import squared_l2, top
+from ..functions.vector import doubles, squared_l2, top
 from ..plans.lineage import materialise
-from .exact import search
+from .exact import RESULT, matrix, nearest_scores, smallest
 
 
 def check_graph(edges: DataFrame, vertices: DataFrame | None = None) -> None:
@@ -20,13 +25,40 @@ def check_graph(edges: DataFrame, vertices: DataFrame | None = None) -> None:
         require(ends.join(vertices.select("id"), "id", "left_anti").isEmpty(), "an unknown vertex", DataError)
 
 
-def exact_graph(vectors: DataFrame, degree: int) -> DataFrame:
-    """``degree`` nearest other rows of each, nearest first: queries in blocks against all rows."""
-    require(degree >= 1, "degree must be at least 1")
-    found = search(vectors.select(F.col("id").alias("qid"), F.col("v").alias("q")), vectors, degree + 1)
-    others = found.filter("qid != id")
-    w = Window.partitionBy("qid").orderBy("rank")
-    return others.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.row_number().over(w).alias("ord"), "score").filter(F.col("ord") <= degree)
+def exact_graph(vectors: DataFrame, degree: int, block_rows: int = 4096) -> DataFrame:
+    """``degree`` nearest other rows of each, nearest first.
+
+    Rows are dealt to blocks by hash; each pair of blocks meets once on an executor, gives the
+    nearest of its rows in both directions, and these are merged.  A task holds two blocks.
+    """
+    require(degree >= 1 and block_rows >= 1, "degree and block_rows must be at least 1")
+    rows = vectors.filter(F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), "v")
+    grid = max(1, -(-rows.count() // block_rows))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(grid)).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "v")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        names, v = right["id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64)
+        ids, q = left["id"].to_numpy(), np.stack(left["v"].to_numpy()).astype(np.float64)
+        for at in range(0, len(q), 512):
+            new = nearest_scores(q[at : at + 512], v, degree + same)
+            if same:
+                new[np.arange(len(new)), np.arange(at, at + len(new))] = np.inf
+            every = np.broadcast_to(names, new.shape)
+            order = smallest(new, every, degree)
+            scores, dst = np.take_along_axis(new, order, 1), np.take_along_axis(every, order, 1)
+            i, j = np.nonzero(np.isfinite(scores))
+            yield pd.DataFrame({"qid": ids[at + i], "id": dst[i, j], "score": scores[i, j]})
+
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["block"] == key[0]], pdf[pdf["block"] == key[1]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": [], "id": [], "score": []})
+        parts = [*meet(left, right, key[0] == key[1]), *([] if key[0] == key[1] else meet(right, left, False))]
+        return pd.concat(parts)
+
+    found = top(cells.groupBy("a", "b").applyInPandas(cell, RESULT), degree)
+    return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("rank").alias("ord"), "score")
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -66,23 +98,31 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def prune(vectors: DataFrame, edges: DataFrame, degree: int, alpha: float = 1.0) -> DataFrame:
-    """(src, dst, ord): the diversity rule at each vertex; a vertex's candidates are one group."""
-    require(degree >= 1 and alpha >= 1, "degree and alpha must be at least 1")
-    import numpy as np
-    import pandas as pd
-
-    from .structures import diverse
+    """(src, dst, ord): at each vertex the nearest candidate, then each that no kept one covers.
 
-    v = vectors.select("id", "v")
-    rows = edges.select("src", "dst").join(v.select(F.col("id").alias("dst"), F.col("v").alias("theirs")), "dst").join(v.select(F.col("id").alias("src"), F.col("v").alias("own")), "src")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dst")
-        m = np.stack([*pdf["theirs"], pdf["own"].iloc[0]]).astype(np.float64)
-        kept = diverse(m, len(pdf), np.arange(len(pdf)), degree, alpha)
-        return pd.DataFrame({"src": pdf["src"].iloc[0], "dst": pdf["dst"].to_numpy()[kept], "ord": np.arange(1, len(kept) + 1)})
-
-    return rows.groupBy("src").applyInPandas(one, "src long, dst long, ord int")
+    A candidate is covered where it is no farther from a kept one than 1 / alpha of its own
+    distance.  Candidates come sorted by vertex and distance, and a task holds the vectors that
+    it keeps, ``degree`` at most: a vertex with very many candidates is never one group in memory.
+    """
+    require(degree >= 1 and alpha >= 1, "degree and alpha must be at least 1")
+    v = vectors.select("id", doubles("v").alias("v"))
+    both = edges.select("src", "dst").distinct().join(v.select(F.col("id").alias("dst"), F.col("v").alias("theirs")), "dst").join(v.select(F.col("id").alias("src"), F.col("v").alias("own")), "src")
+    rows = both.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), squared_l2("own", "theirs").alias("d"), "theirs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, kept = None, np.empty((0, 0))
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            theirs = matrix(b.column(3)) if b.num_rows else np.empty((0, 0))
+            for i, (s, t, d) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                if s != src:
+                    src, kept = s, np.empty((0, theirs.shape[1]))
+                if len(kept) < degree and (alpha * alpha * ((kept - theirs[i]) ** 2).sum(1) > d).all():
+                    kept = np.concatenate((kept, theirs[i : i + 1]))
+                    out.append((s, t, len(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["src", "dst", "ord"])
+
+    return rows.repartition("src").sortWithinPartitions("src", "d", "dst").mapInArrow(run, "src long, dst long, ord int")
 
 
 def nn_descent(vectors: DataFrame, degree: int, rounds: int = 8, sample: int | None = None, seed: int = 0) -> DataFrame:

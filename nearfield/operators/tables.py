@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import BuildError, ConfigError, require
 from ..functions.vector import doubles, dot, squared_l2, top
 from ..plans.lineage import materialise
-from .exact import BLOCK_NUMBERS, RESULT, matrix, nearest_scores, scan_keyed, top_up
+from .exact import MET, RESULT, keyed_blocks, matrix, nearest_scores, scan_keyed, top_up, with_met
 from .graphs import exact_graph, prune, symmetrise
 from .index import Found, Index, stats_row
 
@@ -193,7 +193,8 @@ class LeafForest(Index):
         for level in range(self.levels):
             met = rows.join(self.splits, "node", "left")
             right = F.get(F.col("line"), F.lit(level)) > F.col("threshold")
-            rows = met.withColumn("node", F.when(F.col("threshold").isNull(), F.col("node")).otherwise(self._child(F.col("node"), right))).drop("threshold")
+            stays = F.col("threshold").isNull() | (F.col("level") != level)
+            rows = met.withColumn("node", F.when(stays, F.col("node")).otherwise(self._child(F.col("node"), right))).drop("threshold", "level")
         return rows
 
     def build(self, vectors: DataFrame) -> LeafForest:
@@ -205,7 +206,7 @@ class LeafForest(Index):
             own = self._descended(self._projected(self.rows, "id", "v", level + 1)).select("node", F.get(F.col("line"), F.lit(level)).alias("p"))
             middle = F.percentile_approx("p", F.lit(0.5), F.lit(self.accuracy)) if self.split_on == "median" else (F.min("p") + F.max("p")) / 2
             nodes = own.groupBy("node").agg(F.count("*").alias("n"), middle.alias("threshold"), F.max("p").alias("most"))
-            made = nodes.filter((F.col("n") > self.leaf_size) & (F.col("threshold") < F.col("most"))).select("node", "threshold")
+            made = nodes.filter((F.col("n") > self.leaf_size) & (F.col("threshold") < F.col("most"))).select("node", F.lit(level).alias("level"), "threshold")
             if not _grown(self, made):
                 break
         return self
@@ -341,19 +342,9 @@ class BoxTree(Index):
                     names = np.concatenate((ids[at], np.broadcast_to(rows, (len(at), len(rows)))), axis=1)
                     order = np.lexsort((names, scores), axis=1)[:, :k]
                     best[at], ids[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
-            i, j = np.nonzero(np.isfinite(best))
-            hit = np.flatnonzero(met)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((qids[i], qids[hit]))),
-                    pa.concat_arrays([pa.array(ids[i, j]), pa.nulls(len(hit), pa.int64())]),
-                    pa.concat_arrays([pa.array(best[i, j]), pa.nulls(len(hit), pa.float64())]),
-                    pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(met[hit])]),
-                ],
-                names=["qid", "id", "score", "met"],
-            )
-
-        return self.leaves.select("leaf", "ids", "vs").mapInArrow(run, "qid long, id long, score double, met long")
+            yield with_met(qids, best, ids, met)
+
+        return self.leaves.select("leaf", "ids", "vs").mapInArrow(run, MET)
 
     def search(self, queries: DataFrame, k: int = 10) -> Found:
         n, spark = self.check_queries(queries, k), queries.sparkSession
@@ -386,21 +377,3 @@ class BoxTree(Index):
         if new:
             self._file()
         return new
-
-
-def keyed_blocks(queries: DataFrame, numbers: int = BLOCK_NUMBERS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(qids, matrix, keys) of queries (qid, q, keys: as many longs for each), in blocks of bounded size."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    keys: list[list[int]] = []
-    size = 0
-    for qid, q, own in queries.select("qid", "q", "keys").toLocalIterator():
-        ids.append(qid)
-        rows.append(q)
-        keys.append(own)
-        size += len(q) + len(own)
-        if size >= numbers:
-            yield np.array(ids), np.array(rows, dtype=np.float64), np.array(keys, dtype=np.int64)
-            ids, rows, keys, size = [], [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows, dtype=np.float64), np.array(keys, dtype=np.int64)

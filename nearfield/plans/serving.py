@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
-from ..functions.vector import dot, hashed, score, squared_l2, top
+from ..functions.vector import dot, hashed, squared_l2, top
 from ..operators.codes import SignCodes, literal, rerank
-from ..operators.exact import search, top_up
+from ..operators.exact import BLOCK_NUMBERS, RESULT, scan_keyed, search, top_up
 from ..operators.ivf import ivf_search
 
 # -- budgets -----------------------------------------------------------------------------------
@@ -53,14 +54,44 @@ def _opened(queries: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFra
 def _scan(queries: DataFrame, allowed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """Top k over the first ``take`` rows, in id order, of each opened list; short results are filled.
 
-    Lists that bear ``place`` (see storage.placed) are not numbered again.
+    What each query takes of each list is broadcast with the block of queries, and the scan
+    meets no more than that; no pair of a query and a row is shuffled.  Lists that bear
+    ``place`` (see storage.placed) are not numbered again.
     """
     from .storage import placed
 
     lists = lists if "place" in lists.columns else placed(lists)
-    rows = allowed.filter("take > 0").join(lists, "part").filter(F.col("place") <= F.col("take"))
-    found = top(rows.select("qid", "id", score("q", "v").alias("score")), k)
-    return top_up(found, queries, lists.select("id", "v"), k)
+    takes = allowed.filter("take > 0").groupBy("qid").agg(F.flatten(F.collect_list(F.array(F.col("part").cast("long"), F.col("take").cast("long")))).alias("keys"))  # a pair a list
+    asked = queries.select("qid", "q").join(takes, "qid").select("qid", "q", "keys")
+    rows = lists.select(F.col("part").cast("int").alias("part"), F.col("id").cast("long").alias("id"), "v", F.col("place").cast("long").alias("place"))
+    found = None
+    for qids, q, pairs in _taking(asked):
+        opened: dict[int, tuple[list[int], list[int]]] = {}
+        for i, own in enumerate(pairs):
+            for part, take in zip(own[::2], own[1::2], strict=True):
+                at, n = opened.setdefault(part, ([], []))
+                at.append(i)
+                n.append(take)
+        shared = queries.sparkSession.sparkContext.broadcast((qids, q, {p: (np.array(at), np.array(n)) for p, (at, n) in opened.items()}))
+        part = scan_keyed(rows.filter(F.col("part").isin(sorted(opened))), shared, k, "l2", False, prefix=True).select("qid", "id", "score")
+        found = part if found is None else found.unionAll(part)
+    found = queries.sparkSession.createDataFrame([], RESULT) if found is None else found
+    return top_up(top(found, k), queries, lists.select("id", "v"), k)
+
+
+def _taking(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[int]]]]:
+    """(qids, matrix, [list, rows, list, rows, ...] of each) in blocks of bounded size."""
+    ids, rows, pairs, size = [], [], [], 0
+    for qid, q, own in asked.toLocalIterator():
+        ids.append(qid)
+        rows.append(q)
+        pairs.append(own)
+        size += len(q) + len(own)
+        if size >= BLOCK_NUMBERS:
+            yield np.array(ids), np.array(rows, dtype=np.float64), pairs
+            ids, rows, pairs, size = [], [], [], 0
+    if ids:
+        yield np.array(ids), np.array(rows, dtype=np.float64), pairs
 
 
 def allowance(opened: DataFrame, limit: Column, per: list[str], order: list[str]) -> DataFrame:

@@ -887,11 +887,6 @@ def nn_descent(s, d):
     return graphs.nn_descent(corpus(s, d).select("id", "v"), 5, 4).select("src", "dst", "ord", F.round("score", 6).alias("score"))
 
 
-@query()
-def graph_prune(s, d):
-    return graphs.prune(corpus(s, d), _graph(s, d, 10), 5, 1.2)
-
-
 @query("SELECT unnest(['returns_k_results', 'identifiers_are_distinct', 'identifiers_are_in_range', 'scores_agree_with_identifiers', 'results_are_ordered', 'the_nearest_is_within_the_exact_kth']) AS rule, CAST(0 AS BIGINT) AS violations")
 def invariant_violations(s, d):
     return verify.violations(truth(s, d), corpus(s, d).select("id", "v"), asked(s, d), K)

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from nearfield import queries, queries_more  # noqa: F401
+from nearfield import queries, queries_more, queries_tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
