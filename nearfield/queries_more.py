@@ -17,7 +17,7 @@ from .plans import churn, evaluate, serving, storage, verify
 from .plans.lineage import checkpoint_dir, materialise
 from .queries import (
     _BOOKS, _GRAPH, _OPEN, _OUT, _PLANES, _STAGES, _SHORT, _books, _filled, _graph, _index, _planes, _scalar, _served, _stages, _stream, _STREAM,
-    _top, K, asked, centres, corpus, lists, out, query, rough, size, truth,
+    _top, K, asked, centres, corpus, fixed, lists, out, query, rough, size, truth,
 )
 from .sources import datasets, drift
 from .streaming import batches
@@ -69,49 +69,49 @@ def _sample(source: str, count: str, seed: int, columns: str = "id, v") -> str:
 
 # -- generators, drift, duplicates, transforms -------------------------------------------------
 
-_GAUSS = f"g AS (SELECT range AS id, {_normals(8, 3, 'range')} AS v FROM range(0, 300))"
+_GAUSS = f"g AS (SELECT range AS id, {_normals(8, 3, 'range')} AS v FROM range(0, (SELECT count(*) FROM corpus)))"
 
 
 @query(f"{_GAUSS} {_long('g')}")
 def gen_gaussian(s, d):
-    return long(datasets.gaussian(s, 300, 8, 3))
+    return long(datasets.gaussian(s, size(s, d), 8, 3))
 
 
 @query(
-    f"c AS (SELECT range AS c_at, {_normals(6, 4, 'range')} AS c FROM range(0, 5)), e AS (SELECT range AS id, {_h(2, 'range')} % 5 AS c_at, {_normals(6, 3, 'range')} AS e FROM range(0, 200)), "
+    f"c AS (SELECT range AS c_at, {_normals(6, 4, 'range')} AS c FROM range(0, 5)), e AS (SELECT range AS id, {_h(2, 'range')} % 5 AS c_at, {_normals(6, 3, 'range')} AS e FROM range(0, (SELECT count(*) FROM corpus))), "
     f"g AS (SELECT id, list_transform(list_zip(c, e), lambda z: z[1] + 0.15 * z[2]) AS v FROM e JOIN c USING (c_at)) {_long('g')}"
 )
 def gen_clustered(s, d):
-    return long(datasets.clustered(s, 200, 6, 5, 0.15, 2))
+    return long(datasets.clustered(s, size(s, d), 6, 5, 0.15, 2))
 
 
-@query(f"SELECT range AS id, round(list_inner_product(z, z), 6) AS length FROM (SELECT range, {_normals(4, 1, 'range')} AS z FROM range(0, 200))")
+@query(f"SELECT range AS id, round(list_inner_product(z, z), 6) AS length FROM (SELECT range, {_normals(4, 1, 'range')} AS z FROM range(0, (SELECT count(*) FROM corpus)))")
 def gen_subspace(s, d):
-    return datasets.on_a_subspace(s, 200, 24, 4, 0.0, 1).select("id", F.round(V.dot("v", "v"), 6).alias("length"))
+    return datasets.on_a_subspace(s, size(s, d), 24, 4, 0.0, 1).select("id", F.round(V.dot("v", "v"), 6).alias("length"))
 
 
 @query(f"{_GAUSS}, k AS (SELECT id, list_transform(list_zip(v, range(0, 8)), lambda z: z[1] * pow(0.9, z[2])) AS v FROM g) {_long('k')}")
 def gen_skewed(s, d):
-    return long(datasets.skewed(s, 300, 8, 0.9, 3))
+    return long(datasets.skewed(s, size(s, d), 8, 0.9, 3))
 
 
 @query(f"{_GAUSS}, k AS (SELECT id, {_unit('v')} AS v FROM g) {_long('k')}")
 def gen_unit(s, d):
-    return long(datasets.unit_vectors(s, 300, 8, 3))
+    return long(datasets.unit_vectors(s, size(s, d), 8, 3))
 
 
 @query(f"{_GAUSS}, k AS (SELECT id, list_transform({_unit('v')}, lambda x: x * (1 + 7 * {_u(10, 'id')})) AS v FROM g) {_long('k')}")
 def gen_scaled(s, d):
-    return long(datasets.scaled_vectors(s, 300, 8, 8.0, 3))
+    return long(datasets.scaled_vectors(s, size(s, d), 8, 8.0, 3))
 
 
 @query(
-    f"g AS (SELECT range AS id, {_normals(8, 3, 'range')} AS v FROM range(0, 300)), r AS (SELECT range AS qid, {_normals(8, 12, 'range')} AS q FROM range(0, 40)) "
+    f"g AS (SELECT range AS id, {_normals(8, 3, 'range')} AS v FROM range(0, (SELECT count(*) FROM corpus))), r AS (SELECT range AS qid, {_normals(8, 12, 'range')} AS q FROM range(0, 40)) "
     + _OUT + "(" + _top("(SELECT qid, id, pow(list_distance(q, v), 2) AS score FROM r, g)") + ")"
 )
 def gen_search(s, d):
     queries = datasets.gaussian(s, 40, 8, 12).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return out(exact.search(queries, datasets.gaussian(s, 300, 8, 3), K))
+    return out(exact.search(queries, datasets.gaussian(s, size(s, d), 8, 3), K))
 
 
 @query("h AS (" + _sample("corpus", "30", 11) + ") SELECT id, 'asked' AS side FROM h UNION ALL SELECT id, 'rest' FROM corpus WHERE id NOT IN (SELECT id FROM h)")
@@ -210,7 +210,7 @@ def principal_variances(s, d):
 # -- metrics, guards, costs --------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('cosine', false, false, false), ('ip', false, false, false), ('l2', true, true, true)) t(name, smaller_is_closer, is_a_metric, prunable)")
+@fixed("SELECT * FROM (VALUES ('cosine', false, false, false), ('ip', false, false, false), ('l2', true, true, true)) t(name, smaller_is_closer, is_a_metric, prunable)")
 def metric_table(s, d):
     prunable = V.which_metrics_allow_pruning()["prunable"]
     rows = [(m.name, m.smaller_is_closer, m.is_a_metric, m.name in prunable) for m in map(V.metric_named, V.METRICS)]
@@ -258,13 +258,13 @@ def guards(s, d):
     return s.createDataFrame(rows, "case_ string, raised string")
 
 
-@query("SELECT * FROM (VALUES ('BuildError', true), ('ConfigError', true), ('DataError', true), ('IndexStateError', true), ('VectorSearchError', true)) t(name, is_ours)")
+@fixed("SELECT * FROM (VALUES ('BuildError', true), ('ConfigError', true), ('DataError', true), ('IndexStateError', true), ('VectorSearchError', true)) t(name, is_ours)")
 def error_classes(s, d):
     kinds = [e for e in vars(errors).values() if isinstance(e, type) and issubclass(e, Exception)]
     return s.createDataFrame([(e.__name__, issubclass(e, errors.VectorSearchError)) for e in kinds], "name string, is_ours boolean")
 
 
-@query("SELECT 1150.0::DOUBLE AS distances, CAST(600 AS BIGINT) AS candidates, CAST(7 AS BIGINT) AS hops, CAST(10 AS BIGINT) AS queries, 115.0::DOUBLE AS distances_per_query")
+@fixed("SELECT 1150.0::DOUBLE AS distances, CAST(600 AS BIGINT) AS candidates, CAST(7 AS BIGINT) AS hops, CAST(10 AS BIGINT) AS queries, 115.0::DOUBLE AS distances_per_query")
 def cost_algebra(s, d):
     both = index.charge(index.merge_stats(index.stats_row(s, 1000, 300, 3, 4), index.stats_row(s, 100, 200, 4, 6)), 100, 0.5)
     return both.crossJoin(index.distances_per_query(both))
@@ -289,7 +289,7 @@ def evaluate_flat_on(s, d):
     return s.createDataFrame([(q.recall, round(q.gap, 6) + 0.0, q.distances_per_query, q.corpus_size)], "recall double, gap double, distances_per_query double, corpus_size long")
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'b'), (2, 'c'), (3, 'a')) t(place, index)")
+@fixed("SELECT * FROM (VALUES (CAST(1 AS INTEGER), 'b'), (2, 'c'), (3, 'a')) t(place, index)")
 def compared(s, d):
     of = index.compare([index.Quality("a", 0.2, 0, 10, 100), index.Quality("b", 0.9, 0, 50, 100), index.Quality("c", 0.5, 0, 0, 100)])
     return s.createDataFrame([(i + 1, q.index) for i, q in enumerate(of)], "place int, index string")
@@ -377,12 +377,6 @@ def flat_vector(s, d):
     return long(s.createDataFrame([(40, [float(x) for x in v])], "id long, v array<double>"))
 
 
-@query("SELECT CAST(pow(2, i) AS INTEGER) AS p, pow(2, i) + 4.0 * 4096 / pow(2, i) AS cost, pow(2, i) = 128 AS best FROM range(1, 13) t(i)")
-def cheapest_partitions(s, d):
-    r = ivf.cheapest_partition_count(4096, 4)
-    return s.createDataFrame([(p, float(c), p == r["best"]) for p, c in r["costs"].items()], "p int, cost double, best boolean")
-
-
 _SPILLED = "few AS (" + _top("(SELECT DISTINCT qid, p.id, p.score FROM pairs p JOIN probes USING (qid) JOIN filed f ON f.id = p.id AND f.part = probes.part AND f.nth <= 2 WHERE probes.nth <= 2)") + ")"
 
 
@@ -425,12 +419,6 @@ def lsh_index_cost(s, d):
     return _lsh(s, d).search(asked(s, d), K).stats
 
 
-@query("SELECT a AS angle, round(pow(1 - a / pi(), 6), 6) AS p FROM (SELECT CAST(unnest([0.1, 0.5, 1.0, 2.0]) AS DOUBLE) AS a)")
-def lsh_collisions(s, d):
-    rows = s.createDataFrame([(0.1,), (0.5,), (1.0,), (2.0,)], "angle double")
-    return rows.select("angle", F.round(hashing.collision_probability(F.col("angle"), 6), 6).alias("p"))
-
-
 @query(_OUT + "rough")
 def composite_given_centres(s, d):
     i = codes.CompositeIndex(64, 10, 8, 16, 2, 10**6).build(corpus(s, d).select("id", "v"), centres(s, d))
@@ -636,17 +624,6 @@ def unpacked_signs(s, d):
     return words.select("id", F.posexplode(codes.unpack(F.col("words"), 64)).alias("dim", "b"))
 
 
-@query("SELECT CAST(d AS INTEGER) AS dimension, CAST(ceil(d / 64) AS INTEGER) AS words FROM (SELECT unnest([1, 63, 64, 65, 128, 200]) AS d)")
-def words_needed(s, d):
-    return s.createDataFrame([(n, codes.words_needed(n)) for n in (1, 63, 64, 65, 128, 200)], "dimension int, words int")
-
-
-@query(_eye(64))
-def rotation_random(s, d):
-    r = codes.random_rotation(64, 3)
-    return ints(r @ r.T, s)
-
-
 @query(_eye(64))
 def rotation_pca(s, d):
     r = codes.pca_rotation(corpus(s, d).select("id", "v"), 8)
@@ -700,7 +677,7 @@ def filter_during_walk(s, d):
 # -- serving -----------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS INTEGER), 60.0::DOUBLE, 40.0::DOUBLE, false), (2, 40.0, 0.0, true), (3, 0.0, 0.0, true)) t(step, allowed, remaining, exhausted)")
+@fixed("SELECT * FROM (VALUES (CAST(1 AS INTEGER), 60.0::DOUBLE, 40.0::DOUBLE, false), (2, 40.0, 0.0, true), (3, 0.0, 0.0, true)) t(step, allowed, remaining, exhausted)")
 def budget_charges(s, d):
     b, rows = serving.Budget(100.0), []
     for i, x in enumerate((60.0, 70.0, 10.0)):
@@ -729,7 +706,7 @@ def shortlist_of_lists(s, d):
     return out(serving.partition_shortlist(asked(s, d), lists(s, d), centres(s, d), K, 2, 100.0).rows)
 
 
-@query(_eye(12))
+@fixed(_eye(12))
 def shortlist_projection(s, d):
     p = serving.projection(64, 12, 4)
     return ints(p @ p.T, s)
@@ -769,17 +746,6 @@ def staged_costs(s, d):
     return row.select(six("shortlist_recall"), six("final_recall"), "first_stage_cost", "rerank_cost", "total_cost")
 
 
-@query("SELECT CAST(100 AS INTEGER) AS depth")
-def smallest_depth(s, d):
-    return serving.smallest_depth(s.createDataFrame([(10, 0.4), (50, 0.85), (100, 0.9), (200, 0.97)], "depth int, recall double"), 0.9)
-
-
-@query("SELECT round(1 / 3, 6) AS escalation_rate, round(100 + 900 / 3, 6) AS distances_per_query")
-def routing_cost(s, d):
-    tiers = s.createDataFrame([(1, "cheap"), (1, "cheap"), (2, "dear"), (3, "cheap")], "qid long, tier string")
-    return serving.routing_cost(tiers, {"cheap": 100.0, "dear": 900.0}).select(six("escalation_rate"), six("distances_per_query"))
-
-
 @query("SELECT qid, round(max(score) / greatest(min(score), 1e-9), 6) AS signal FROM truth WHERE rank IN (2, 3) GROUP BY qid")
 def margin_signal(s, d):
     return serving.margin(exact.without_own(truth(s, d), 2)).select("qid", six("signal"))
@@ -803,7 +769,7 @@ def shards_clustered(s, d):
     return storage.clustered_shards(corpus(s, d), centres(s, d)).select("shard", "id")
 
 
-@query("SELECT CAST(d AS INTEGER) AS dimension, CAST(4096 // (4 * d) AS INTEGER) AS vectors FROM (SELECT unnest([8, 32, 64, 768, 1024]) AS d)")
+@fixed("SELECT CAST(d AS INTEGER) AS dimension, CAST(4096 // (4 * d) AS INTEGER) AS vectors FROM (SELECT unnest([8, 32, 64, 768, 1024]) AS d)")
 def vectors_per_page(s, d):
     return s.createDataFrame([(n, storage.vectors_per_page(n)) for n in (8, 32, 64, 768, 1024)], "dimension int, vectors int")
 
@@ -880,16 +846,11 @@ def _runs(s) -> DataFrame:
     return s.createDataFrame(_RUNS, "index string, seed int, recall double, distances double")
 
 
-@query(_RUNS_SQL + " SELECT index, count(*) AS seeds, round(avg(recall), 6) AS mean, round(stddev_samp(recall), 6) AS deviation, round(max(recall) - min(recall), 6) AS range, round(max(distances) - min(distances), 6) AS cost_range FROM r GROUP BY index")
+@fixed(_RUNS_SQL + " SELECT index, count(*) AS seeds, round(avg(recall), 6) AS mean, round(stddev_samp(recall), 6) AS deviation, round(max(recall) - min(recall), 6) AS range, round(max(distances) - min(distances), 6) AS cost_range FROM r GROUP BY index")
 def seed_spread(s, d):
     return evaluate.spread(_runs(s)).select("index", "seeds", *map(six, ("mean", "deviation", "range", "cost_range")))
 
 
-@query("SELECT CAST(4 AS INTEGER) AS value, 0.9::DOUBLE AS recall")
-def best_available(s, d):
-    return evaluate.best_available(s.createDataFrame([(1, 0.4, 100.0), (2, 0.7, 200.0), (4, 0.9, 400.0), (8, 0.9, 800.0)], "value int, recall double, distances double"))
-
-
 @query(
     "p AS (SELECT unnest([1, 2, 4, 8]) AS value), f AS (SELECT value, qid, p.id, row_number() OVER (PARTITION BY value, qid ORDER BY p.score, p.id) AS rank FROM p v(value), pairs p JOIN probes USING (qid) JOIN lists l ON l.id = p.id AND l.part = probes.part WHERE nth <= value), "
     "r AS (SELECT v.value, t.qid, count(f.id) AS hit FROM p v, truth t LEFT JOIN f ON f.value = v.value AND f.qid = t.qid AND f.id = t.id AND f.rank <= 10 GROUP BY v.value, t.qid), "
@@ -903,7 +864,7 @@ def recall_drops(s, d):
     return evaluate.drops(rows)
 
 
-@query("SELECT round(0.5 + 0.4 * (400 - 100) / (900 - 100), 6) AS recall, true AS meet, false AS apart, round(0.17 / sqrt(64), 6) AS error")
+@fixed("SELECT round(0.5 + 0.4 * (400 - 100) / (900 - 100), 6) AS recall, true AS meet, false AS apart, round(0.17 / sqrt(64), 6) AS error")
 def small_measures(s, d):
     row = (round(serving.interpolated((100.0, 0.5), (900.0, 0.9), 400.0), 6), evaluate.overlaps((0.1, 0.4), (0.3, 0.6)), evaluate.overlaps((0.1, 0.2), (0.3, 0.6)), round(evaluate.standard_error(64), 6))
     return s.createDataFrame([row], "recall double, meet boolean, apart boolean, error double")
@@ -929,7 +890,7 @@ def report_rows(s, d):
     return r.for_index("ivf").filter("corpus = 'g'").unionByName(r.for_corpus("g").filter("index = 'new'")).select("index", "setting", "recall")
 
 
-@query("SELECT * FROM (VALUES ('ivf', 0.8::DOUBLE), ('lsh', 0.3), ('flat', 0.0)) t(index, recall)")
+@fixed("SELECT * FROM (VALUES ('ivf', 0.8::DOUBLE), ('lsh', 0.3), ('flat', 0.0)) t(index, recall)")
 def compare_at_a_budget(s, d):
     return evaluate.compare_at_a_budget(_report(s), "g", 1000.0).select("index", six("recall"))
 
@@ -943,13 +904,13 @@ def far_from_entry(s, d):
 # -- streams -----------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(b AS INTEGER) AS batch, round((b - 1) / 50, 6) AS worst, round((b - 1) / 100, 6) AS mean FROM (SELECT unnest([1, 8, 32]) AS b)")
+@fixed("SELECT CAST(b AS INTEGER) AS batch, round((b - 1) / 50, 6) AS worst, round((b - 1) / 100, 6) AS mean FROM (SELECT unnest([1, 8, 32]) AS b)")
 def waiting_cost(s, d):
     rows = [(b, round(batches.waiting_cost(50.0, b)["worst"], 6), round(batches.waiting_cost(50.0, b)["mean"], 6)) for b in (1, 8, 32)]
     return s.createDataFrame(rows, "batch int, worst double, mean double")
 
 
-@query("SELECT CAST(40 AS BIGINT) AS queries, CAST(2 AS BIGINT) AS batches, 50.0::DOUBLE AS corpus_bytes_per_query, 20.0::DOUBLE AS mean_batch")
+@fixed("SELECT CAST(40 AS BIGINT) AS queries, CAST(2 AS BIGINT) AS batches, 50.0::DOUBLE AS corpus_bytes_per_query, 20.0::DOUBLE AS mean_batch")
 def batch_stats(s, d):
     b = batches.BatchStats()
     b.record(32, 1000)
@@ -1004,19 +965,19 @@ def streamed_answers(s, d):
 # -- verification and command line -------------------------------------------------------------
 
 
-@query("SELECT i AS index, r AS rule, CAST(0 AS BIGINT) AS violations FROM (SELECT unnest(['flat', 'tree']) AS i), (SELECT unnest(['returns_k_results', 'identifiers_are_distinct', 'identifiers_are_in_range', 'scores_agree_with_identifiers', 'results_are_ordered', 'the_nearest_is_within_the_exact_kth']) AS r)")
+@fixed("SELECT i AS index, r AS rule, CAST(0 AS BIGINT) AS violations FROM (SELECT unnest(['flat', 'tree']) AS i), (SELECT unnest(['returns_k_results', 'identifiers_are_distinct', 'identifiers_are_in_range', 'scores_agree_with_identifiers', 'results_are_ordered', 'the_nearest_is_within_the_exact_kth']) AS r)")
 def verify_sweep(s, d):
     return verify.sweep(s, ("flat", "tree"), 8, 96, 6).groupBy("index", "rule").agg(F.sum("violations").alias("violations"))
 
 
-@query("SELECT CAST(14 AS INTEGER) AS structures, CAST(4 AS INTEGER) AS corpora, CAST(11 AS INTEGER) AS indexes, CAST(5 AS INTEGER) AS awkward, true AS clean")
+@fixed("SELECT CAST(14 AS INTEGER) AS structures, CAST(4 AS INTEGER) AS corpora, CAST(11 AS INTEGER) AS indexes, CAST(5 AS INTEGER) AS awkward, true AS clean")
 def verify_lists(s, d):
     report = s.createDataFrame([("a", 0), ("b", 0)], "rule string, violations long")
     row = (len(verify.every_structure(32)), len(verify.standard_corpora(s)), len(verify.every_index()), len(verify.awkward_corpora(s)), verify.clean(verify.by_rule(report)))
     return s.createDataFrame([row], "structures int, corpora int, indexes int, awkward int, clean boolean")
 
 
-@query("SELECT * FROM (VALUES ('bad index', CAST(1 AS INTEGER), false), ('measure', 0, true)) t(command, code, ok)")
+@fixed("SELECT * FROM (VALUES ('bad index', CAST(1 AS INTEGER), false), ('measure', 0, true)) t(command, code, ok)")
 def command_line(s, d):
     runs = {"measure": ["measure", "--index", "flat", "--count", "200", "--dimension", "8", "--queries", "20", "--json"], "bad index": ["measure", "--index", "none", "--count", "200", "--dimension", "8"]}
     made = {n: cli.dispatch(a, s) for n, a in runs.items()}

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graphs, tables
-from .queries import _OUT, K, asked, corpus, out, query
+from .functions import vector as V
+from .operators import codes, graphs, hashing, ivf, tables
+from .plans import evaluate, serving
+from .queries import _OUT, SQL, K, _sweep, asked, corpus, out, query, size, truth
 
 _ALL = "apart AS (SELECT a.id AS src, b.id AS dst, pow(list_distance(a.v, b.v), 2) AS score FROM corpus a, corpus b), "
 
@@ -101,3 +103,62 @@ def graph_prune(s, d):
     """Diversity over given edges: a stream of candidates by vertex and distance."""
     rows = corpus(s, d).select("id", "v")
     return graphs.prune(rows, graphs.exact_graph(rows, 10), 5, 1.2)
+
+
+# -- reports fed by measured sweeps --------------------------------------------------------------
+
+#: What ivf_probe_sweep measures, as a table.
+_MEASURED = "m AS (" + SQL["ivf_probe_sweep"] + ")"
+
+
+@query(_MEASURED + " SELECT value, recall FROM m ORDER BY recall DESC, distances, value DESC LIMIT 1")
+def best_available(s, d):
+    rows = _sweep(s, d).select("value", F.round("recall", 6).alias("recall"), F.round("distances", 6).alias("distances"))
+    return evaluate.best_available(rows)
+
+
+@query(_MEASURED + " SELECT min(value) AS depth FROM m WHERE recall >= 0.5")
+def smallest_depth(s, d):
+    return serving.smallest_depth(_sweep(s, d).select(F.col("value").alias("depth"), F.round("recall", 6).alias("recall")), 0.5)
+
+
+@query(
+    _MEASURED + ", x AS (SELECT distances AS d, recall AS r, lead(distances) OVER w AS d2, lead(recall) OVER w AS r2 FROM m WINDOW w AS (ORDER BY distances)) "
+    "SELECT 'ivf' AS index, round(coalesce(max(CASE WHEN d <= 150 AND (d2 IS NULL OR d2 > 150) THEN CASE WHEN d2 IS NULL THEN r ELSE r + (r2 - r) * (150 - d) / (d2 - d) END END), 0), 6) AS recall FROM x"
+)
+def frontier_at_budget(s, d):
+    rows = _sweep(s, d).select(F.lit("ivf").alias("index"), F.round("recall", 6).alias("recall"), F.round("distances", 6).alias("distances"))
+    return evaluate.frontier(rows, 150.0).select("index", F.round("recall", 6).alias("recall"))
+
+
+@query("e AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN 'dear' ELSE 'cheap' END AS tier FROM queries) SELECT round(avg(CASE WHEN tier = 'dear' THEN 1 ELSE 0 END), 6) AS escalation_rate, round(avg(CASE WHEN tier = 'dear' THEN 1000 ELSE 100 END), 6) AS distances_per_query FROM e")
+def routing_cost(s, d):
+    tiers = asked(s, d).select("qid", F.when(F.col("qid") % 3 == 0, "dear").otherwise("cheap").alias("tier"))
+    return serving.routing_cost(tiers, {"cheap": 100.0, "dear": 900.0}).select(*[F.round(c, 6).alias(c) for c in ("escalation_rate", "distances_per_query")])
+
+
+@query("n AS (SELECT count(*) AS n FROM corpus), p AS (SELECT CAST(pow(2, i) AS INTEGER) AS p, pow(2, i) + 4.0 * n / pow(2, i) AS cost FROM n, range(1, 64) t(i) WHERE pow(2, i - 1) < n AND pow(2, i) <= pow(2, length(bin(n)) - 1)) SELECT p, cost, p = (SELECT p FROM p ORDER BY cost, p LIMIT 1) AS best FROM p")
+def cheapest_partitions(s, d):
+    r = ivf.cheapest_partition_count(size(s, d), 4)
+    return s.createDataFrame([(p, float(c), p == r["best"]) for p, c in r["costs"].items()], "p int, cost double, best boolean")
+
+
+@query("a AS (SELECT qid, id, acos(least(1.0, greatest(-1.0, list_cosine_similarity(q, v)))) AS angle FROM truth JOIN queries USING (qid) JOIN corpus USING (id)) SELECT qid, id, round(pow(1 - angle / pi(), 6), 4) AS p FROM a")
+def lsh_collisions(s, d):
+    """The chance that a query and a near row share a bucket of one table, from their angle."""
+    pairs = truth(s, d).select("qid", "id").join(corpus(s, d), "id").join(asked(s, d), "qid")
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), V.cosine("q", "v"))))
+    return pairs.select("qid", "id", F.round(hashing.collision_probability(angle, 6), 4).alias("p"))
+
+
+@query("SELECT CAST(len(v) AS INTEGER) AS dimension, CAST(ceil(len(v) / 64) AS INTEGER) AS words, count(*) AS n FROM corpus GROUP BY len(v)")
+def words_needed(s, d):
+    widths = corpus(s, d).groupBy(F.size("v").alias("dimension")).agg(F.count("*").alias("n")).collect()
+    return s.createDataFrame([(r.dimension, codes.words_needed(r.dimension), r.n) for r in widths], "dimension int, words int, n long")
+
+
+@query("SELECT id, round(list_inner_product(v, v), 6) AS length FROM corpus")
+def rotation_random(s, d):
+    """A rotation keeps lengths."""
+    turned = V.project("v", codes.random_rotation(64, 3).tolist())
+    return corpus(s, d).select("id", turned.alias("t")).select("id", F.round(V.dot("t", "t"), 6).alias("length"))

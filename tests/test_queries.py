@@ -32,10 +32,10 @@ def plain(x):
 LONG = {"saved_indexes", "saved_headers", "verify_sweep", "trained_books", "fleet_agreement", "rebuilt_life", "across_seeds", "kmeans_trained", "composite_life"}
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.SQL) - LONG))
+@pytest.mark.parametrize("name", sorted((set(queries.SQL) | set(queries.FIXED)) - LONG))
 def test_query_equals_sql(spark, duck, name):
-    got = queries.QUERIES[name](spark, SF)
-    want = duck.sql(queries.SQL[name])
+    got = (queries.QUERIES | queries.FIXED)[name](spark, SF)
+    want = duck.sql((queries.SQL | queries.FIXED_SQL)[name])
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     a = sorted(tuple(plain(r[c]) for c in columns) for r in got.collect())
