@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..errors import ConfigError, require
 from ..functions.vector import dot, doubles, squared_l2, subtract, top, total
 from ..plans.lineage import materialise
-from .exact import BLOCK_NUMBERS, RESULT, matrix, pair_scores, query_blocks, scan_top, search, top_up
+from .exact import BLOCK_NUMBERS, RESULT, matrix, pair_scores, query_blocks, scan_top, score_matrix, search, smallest, top_up
 from .index import Found, Index, stats_row
 from .kmeans import _sample, local_lloyd, mean_vector
 
@@ -340,8 +340,6 @@ def residual_fit(vectors: DataFrame, stages: int = 2, entries: int = 256, sample
     """Books by k-means on what earlier stages left, over a bounded sample."""
     left = _sample(vectors, sample, seed)
     require(stages >= 1 and entries <= len(left), f"{stages} stages of {entries} entries from {len(left)} rows")
-    from .exact import score_matrix
-
     books = []
     for s in range(stages):
         book, _ = local_lloyd(left, entries, rounds, seed + s)
@@ -527,14 +525,14 @@ class CompositeIndex(Index):
         self.partitions, self.subspaces, self.centroids = partitions, subspaces, centroids
         self.probe, self.shortlist, self.residual, self.seed = probe, shortlist, residual, seed
 
-    def build(self, vectors: DataFrame, centres: np.ndarray | None = None) -> CompositeIndex:
+    def build(self, vectors: DataFrame, centres: np.ndarray | None = None, books: ProductBooks | None = None) -> CompositeIndex:
         from .kmeans import fit_on_sample
 
         self._count = self.check_vectors(vectors)
         self.rows, self.dead = vectors.select(F.col("id").cast("long").alias("id"), "v"), None
         self.centres = fit_on_sample(vectors, self.partitions, seed=self.seed).centres if centres is None else centres
         filed = self._residuals(self.rows)
-        self.books = product_train(filed, self.subspaces, min(self.centroids, self._count), seed=self.seed)
+        self.books = product_train(filed, self.subspaces, min(self.centroids, self._count), seed=self.seed) if books is None else books
         self.lists = materialise(self._coded(filed))
         return self
 
@@ -555,25 +553,58 @@ class CompositeIndex(Index):
         self.lists = self.lists.unionByName(materialise(self._coded(self._residuals(vectors))))
 
     def search(self, queries: DataFrame, k: int = 10, probe: int | None = None) -> Found:
-        from .ivf import probes
+        """Shortlists by codes in one scan of the opened lists, then the shortlist's exact distances.
 
-        n = self.check_queries(queries, k)
-        opened = probes(queries, self.centres, probe or self.probe)
-        if self.residual:
-            centre = F.get(F.array(*[literal(c) for c in self.centres]), F.col("part"))
-            opened = opened.withColumn("q", subtract("q", centre))
-        keyed = opened.select("qid", "part", F.struct("qid", "part").alias("key"), "q")
-        tables = self.books.table(keyed.select(F.col("key").alias("qid"), "q"))
-        tables = tables.select(F.col("qid.qid").alias("qid"), F.col("qid.part").alias("part"), "t")
+        A block of queries is broadcast with the lists that each opens; a task makes the tables
+        of a list's residuals where it meets the list and keeps ``shortlist`` rows a query, so no
+        scored row is shuffled beyond these.
+        """
+        from .ivf import opened_rows, probes
+
+        n, probe = self.check_queries(queries, k), probe or self.probe
+        require(1 <= probe <= self.partitions, f"probe {probe} of {self.partitions}")
         lists = self.lists if self.dead is None else self.lists.join(self.dead, "id", "left_anti")
-        value = total(F.transform("codes", lambda c, s: F.get(F.get("t", s), c)))
-        scored = tables.join(lists, "part").select("qid", "id", value.alias("score"))
-        short = top(scored, max(k, self.shortlist))
-        cost = scored.agg(F.count("*").alias("n")).select(
+        short = self.shortlisted(queries, lists, max(k, min(self.shortlist, self.capacity)), probe)
+        met = opened_rows(probes(queries, self.centres, probe), lists)
+        cost = met.select(
             (F.col("n") * (self.subspaces / self.dimension) + float(n * (self.partitions + self.shortlist))).alias("distances"),
-            F.col("n").alias("candidates"), F.lit(n * (probe or self.probe)).cast("long").alias("hops"), F.lit(n).cast("long").alias("queries"),
+            F.col("n").alias("candidates"), F.lit(n * probe).cast("long").alias("hops"), F.lit(n).cast("long").alias("queries"),
         )
         return Found(rerank(queries, self.rows, short, k), cost)
 
+    def shortlisted(self, queries: DataFrame, lists: DataFrame, depth: int, probe: int) -> DataFrame:
+        """(qid, rank, id, score): the ``depth`` rows of smallest code distance in each query's opened lists."""
+        spark, found, residual = queries.sparkSession, None, self.residual
+        rows = lists.select(F.col("part").cast("int").alias("part"), F.col("id").cast("long").alias("id"), "codes")
+        for qids, q in query_blocks(queries):
+            near = np.argsort(score_matrix(q, self.centres, "l2"), axis=1, kind="stable")[:, :probe]
+            opened = {int(p): np.flatnonzero((near == p).any(1)) for p in np.unique(near)}
+            shared = spark.sparkContext.broadcast((qids, q, opened, self.centres, self.books.books))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                qids, q, opened, centres, books = shared.value
+                best, ids = np.full((len(qids), depth), np.inf), np.full((len(qids), depth), np.iinfo(np.int64).max)
+                for b in batches:
+                    parts = b.column(0).to_numpy()
+                    for part in np.unique(parts).tolist():
+                        own = b.filter(pa.array(parts == part))
+                        codes, names = matrix(own.column(2)).astype(np.int64), own.column(1).to_numpy()
+                        for cut in range(0, len(opened.get(part, ())), 512):  # a table holds width numbers a query
+                            at = opened[part][cut : cut + 512]
+                            tables = ProductBooks(books).tables(q[at] - centres[part] if residual else q[at])
+                            new = np.zeros((len(at), len(codes)))
+                            for s in range(tables.shape[1]):
+                                new += tables[:, s, :][:, codes[:, s]]
+                            both = np.concatenate((best[at], np.round(new, 9)), axis=1)
+                            every = np.concatenate((ids[at], np.broadcast_to(names, new.shape)), axis=1)
+                            order = smallest(both, every, depth)
+                            best[at], ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(every, order, 1)
+                i, j = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[i, j]), pa.array(best[i, j])], names=["qid", "id", "score"])
+
+            part = rows.filter(F.col("part").isin(sorted(opened))).mapInArrow(run, RESULT)
+            found = part if found is None else found.unionAll(part)
+        return top(found if found is not None else spark.createDataFrame([], RESULT), depth)
+
     def structure_bytes(self) -> int:
         return self.capacity * (self.subspaces + 8) + 4 * self.dimension * (self.partitions + self.centroids)

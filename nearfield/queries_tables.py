@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import vector as V
 from .operators import codes, graphs, hashing, ivf, tables
 from .plans import evaluate, serving
-from .queries import _OUT, SQL, K, _sweep, asked, corpus, out, query, size, truth
+from .queries import _BOOKS, _OUT, _top, SQL, K, _books, _sweep, asked, centres, corpus, out, query, size, truth
 
 _ALL = "apart AS (SELECT a.id AS src, b.id AS dst, pow(list_distance(a.v, b.v), 2) AS score FROM corpus a, corpus b), "
 
@@ -105,6 +105,22 @@ def graph_prune(s, d):
     return graphs.prune(rows, graphs.exact_graph(rows, 10), 5, 1.2)
 
 
+_LESS = "list_transform(list_zip({}, c.c), lambda z: z[1] - z[2])"
+
+
+@query(
+    _BOOKS + ", resid AS (SELECT l.id, l.part, " + _LESS.format("l.v") + " AS r FROM lists l JOIN centres c USING (part)), "
+    "renc AS (SELECT id, part, s, arg_min(code, {'d': pow(list_distance(r[s * 8 + 1 : s * 8 + 8], c), 2), 'code': code}) AS code FROM resid, books GROUP BY id, part, s), "
+    "opened AS (SELECT p.qid, p.part, " + _LESS.format("q.q") + " AS r FROM probes p JOIN queries q USING (qid) JOIN centres c USING (part) WHERE nth <= 3), "
+    "near AS (SELECT qid, id, sum(pow(list_distance(r[s * 8 + 1 : s * 8 + 8], c), 2)) AS score FROM opened JOIN renc USING (part) JOIN books USING (s, code) GROUP BY qid, id), "
+    "short AS (" + _top("near", 20, "round(score, 9), id") + ") " + _OUT + "(" + _top("(SELECT qid, id, p.score FROM pairs p JOIN short USING (qid, id))") + ")"
+)
+def composite_given_books(s, d):
+    """Residual codes by given books, three lists a query, a shortlist of twenty, exact distances of these."""
+    i = codes.CompositeIndex(64, 10, 8, 16, 3, 20).build(corpus(s, d).select("id", "v"), centres(s, d), _books(s, d))
+    return out(i.search(asked(s, d), K).result)
+
+
 # -- reports fed by measured sweeps --------------------------------------------------------------
 
 #: What ivf_probe_sweep measures, as a table.
