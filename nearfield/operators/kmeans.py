@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BuildError, ConfigError, DataError, require
-from ..functions.vector import checked, hashed, uniform
+from ..functions.vector import checked, doubles, hashed, uniform
+from ..plans.lineage import materialise
 from .exact import matrix, score_matrix
 
 
@@ -155,8 +156,14 @@ def random_init(vectors: DataFrame, k: int, seed: int = 0) -> np.ndarray:
 
 
 def plus_plus_init(vectors: DataFrame, k: int, seed: int = 0, sample: int = 20_000) -> np.ndarray:
-    """k-means++ seeds (chosen by squared distance) among a bounded sample of rows."""
-    pool = _sample(vectors, max(sample, k), seed)
+    """k-means++ seeds (chosen by squared distance) among a bounded sample of rows.
+
+    Where k is more than a tenth of the sample, which it would then nearly copy, seeds come from
+    rounds over all rows instead (``oversampled_init``).
+    """
+    if 10 * k > sample:
+        return oversampled_init(vectors, k, seed)
+    pool = _sample(vectors, sample, seed)
     require(len(pool) >= k >= 1, f"k is {k}, but there are {len(pool)} rows")
     rng = np.random.default_rng(seed)
     chosen = [pool[rng.integers(len(pool))]]
@@ -168,6 +175,67 @@ def plus_plus_init(vectors: DataFrame, k: int, seed: int = 0, sample: int = 20_0
     return np.array(chosen)
 
 
+def oversampled_init(vectors: DataFrame, k: int, seed: int = 0, rounds: int = 4, factor: float = 2.0) -> np.ndarray:
+    """k seeds by oversampling (k-means||): rounds over all rows, then a weighted choice among what they drew.
+
+    Each round draws about ``factor`` * k rows, each by its squared distance to what is drawn so
+    far, at a hash of its id; tasks hold a block of a round's rows and return rows and sums.  Each
+    row drawn weighs as many rows as are nearest to it; k of them are chosen by weight and distance.
+    """
+    rows = vectors.filter(F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), doubles("v").alias("v"))
+    spark, n = vectors.sparkSession, rows.count()
+    require(n >= k >= 1, f"k is {k}, but there are {n} rows")
+    new = np.array(rows.orderBy(hashed(seed, "id"), "id").limit(1).select("v").first().v)[None]
+    drawn, state = new, rows.withColumn("d", F.lit(float("inf"))).withColumn("at", F.lit(-1).cast("long"))
+    for r in range(rounds):
+        state = materialise(_nearer(state, spark.sparkContext.broadcast((len(drawn) - len(new), new))))
+        whole = state.agg(F.sum("d")).first()[0]
+        if not whole:
+            break
+        chance = F.least(F.lit(1.0), F.lit(factor * k / whole) * F.col("d"))
+        found = state.filter((F.col("d") > 0) & (uniform(seed + 1 + r, "id") < chance)).select("id", "v").orderBy("id").toPandas()["v"]  # some factor * k rows
+        new = np.stack(found.to_numpy()) if len(found) else np.empty((0, drawn.shape[1]))
+        drawn = np.concatenate((drawn, new))
+    if len(new):
+        state = _nearer(state, spark.sparkContext.broadcast((len(drawn) - len(new), new)))
+    weights = np.zeros(len(drawn))
+    for at, count in state.groupBy("at").agg(F.count("*")).collect():  # a row for each that was drawn
+        weights[at] = count
+    if len(drawn) < k:  # fewer different rows than seeds
+        more = rows.orderBy(hashed(seed + 99, "id"), "id").limit(k - len(drawn)).select("v").collect()
+        return np.concatenate((drawn, np.array([x.v for x in more])))
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(drawn), p=weights / weights.sum()))]
+    near = score_matrix(drawn, drawn[chosen], "l2")[:, 0]
+    while len(chosen) < k:
+        p = near * weights
+        p[chosen] = 0.0
+        left = np.setdiff1d(np.arange(len(drawn)), chosen)
+        at = int(rng.choice(len(drawn), p=p / p.sum())) if p.sum() > 0 else int(left[0])
+        chosen.append(at)
+        near = np.minimum(near, score_matrix(drawn, drawn[at][None], "l2")[:, 0])
+    return drawn[chosen]
+
+
+def _nearer(state: DataFrame, shared) -> DataFrame:
+    """state (id, v, d, at) with the distance to, and the number of, the nearest of more centres; earlier ones keep ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, centres = shared.value
+        for b in batches:
+            v, d, at = matrix(b.column(1)), b.column(2).to_numpy().copy(), b.column(3).to_numpy().copy()
+            step = max(1, 4_000_000 // max(1, len(v)))
+            for cut in range(0, len(centres), step):
+                scores = score_matrix(v, centres[cut : cut + step], "l2")
+                best = scores.argmin(1)
+                least = scores[np.arange(len(v)), best]
+                closer = least < d
+                d[closer], at[closer] = least[closer], first + cut + best[closer]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), pa.array(at)], names=["id", "v", "d", "at"])
+
+    return state.select("id", "v", "d", "at").mapInArrow(run, "id long, v array<double>, d double, at long")
+
+
 def lloyd(vectors: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-4, seed: int = 0, init: np.ndarray | None = None) -> Clustering:
     """k-means over all rows.  Ends when the inertia's relative gain is below tolerance (never
     in the first round).  An empty partition is moved to the row furthest from its centre."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.errors import BuildError, ConfigError
-from nearfield.operators import exact, graphs, structures, tables
+from nearfield.operators import exact, graphs, kmeans, structures, tables
 from nearfield.plans.lineage import materialise
 
 
@@ -241,3 +241,21 @@ def test_boxes_of_equal_rows_and_ties(spark):
     assert max(len(r.ids) for r in tree.leaves.collect()) < 80
     got = ids(tree.search(frame(spark, np.array([[0.0, 1.0], [1.0, 1.5], [9.0, 9.0]]), "qid", "q"), 3).result)
     assert got == {0: [0, 1, 2], 1: [0, 1, 2], 2: [80, 81, 82]}
+
+
+# -- seeds -----------------------------------------------------------------------------------
+
+
+def test_oversampled_seeds_are_as_good_as_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((900, 4)) * 0.1 + 5 * rng.standard_normal((40, 4))[np.arange(900) % 40]
+    rows = frame(spark, v)
+    inertia = lambda c: ((v[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    many = kmeans.plus_plus_init(rows, 40, sample=100)  # more than a tenth: rounds over all rows
+    assert many.shape == (40, 4) and len(np.unique(many, axis=0)) == 40
+    assert {tuple(x) for x in many.round(9)} <= {tuple(x) for x in v.round(9)}
+    plain = np.mean([inertia(kmeans.plus_plus_init(rows, 40, seed, sample=900)) for seed in range(3)])
+    assert inertia(many) <= 1.5 * plain
+    assert (kmeans.oversampled_init(rows.repartition(5), 40) == kmeans.oversampled_init(rows, 40)).all()
+    same = frame(spark, np.ones((30, 2)))
+    assert kmeans.oversampled_init(same, 7).shape == (7, 2)
