@@ -188,7 +188,7 @@ class ProductBooks:
 
         found, spark = None, codes.sparkSession
         numbers = max(1, BLOCK_NUMBERS // max(1, self.subspaces * self.centroids // max(1, self.dimension)))
-        for qids, q in query_blocks(queries, numbers):
+        for qids, q in query_blocks(queries, numbers, kept=k):
             shared = spark.sparkContext.broadcast((qids, self.tables(q)))
             part = scan_top(codes.select(F.col("id").cast("long"), "codes"), shared, k, scores)
             found = part if found is None else found.unionAll(part)
@@ -323,7 +323,7 @@ class ResidualBooks:
             return np.round(np.maximum((q * q).sum(1)[:, None] + (rows * rows).sum(1)[None] - 2 * dots, 0.0), 9)
 
         found, spark = None, codes.sparkSession
-        for qids, q in query_blocks(queries):
+        for qids, q in query_blocks(queries, kept=k):
             shared = spark.sparkContext.broadcast((qids, (q, self.books)))
             part = scan_top(codes.select(F.col("id").cast("long"), "codes"), shared, k, scores)
             found = part if found is None else found.unionAll(part)
@@ -421,7 +421,7 @@ class SignCodes:
 
         coded = self.encode(queries, "qid", "q").withColumnRenamed("words", "q")
         found, spark = None, codes.sparkSession
-        for qids, words in query_blocks(coded, kind=np.int64):
+        for qids, words in query_blocks(coded, kind=np.int64, kept=k):
             shared = spark.sparkContext.broadcast((qids, words))
             part = scan_top(codes.select(F.col("id").cast("long"), "words"), shared, k, scores)
             found = part if found is None else found.unionAll(part)
@@ -457,9 +457,12 @@ class _CodeIndex(Index):
         depth = self.rerank if rerank is None else rerank
         if depth and depth < k:
             raise ConfigError(f"rerank {depth} is below k {k}")
-        found = self._scan(queries, max(k, depth))
-        if depth:
-            found = top_up(reranked(queries, self.rows, found, k), queries, self.live(), k)
+        if depth >= self.size:  # a shortlist of all rows needs no codes
+            found = search(queries, self.live(), k)
+        else:
+            found = self._scan(queries, max(k, depth))
+            if depth:
+                found = top_up(reranked(queries, self.rows, found, k), queries, self.live(), k)
         spent = n * (self.capacity * self.weight + depth)
         return Found(found, stats_row(queries.sparkSession, spent, self.capacity * n, 0, n))
 

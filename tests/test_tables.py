@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.errors import BuildError, ConfigError
-from nearfield.operators import exact, graphs, kmeans, structures, tables
+from nearfield.operators import codes, exact, graphs, kmeans, structures, tables
 from nearfield.plans.lineage import materialise
 
 
@@ -259,3 +259,20 @@ def test_oversampled_seeds_are_as_good_as_one_by_one(spark):
     assert (kmeans.oversampled_init(rows.repartition(5), 40) == kmeans.oversampled_init(rows, 40)).all()
     same = frame(spark, np.ones((30, 2)))
     assert kmeans.oversampled_init(same, 7).shape == (7, 2)
+
+
+# -- shortlists of all rows ------------------------------------------------------------------
+
+
+def test_binary_shortlist_of_all_rows_is_no_table_of_pairs(spark, corpus, data, asked, monkeypatch):
+    index = codes.BinaryIndex(8, rerank=599).build(corpus)
+    shallow = ids(index.search(asked, 4).result)
+    index.remove(spark.createDataFrame([(1,)], "id long"))
+    monkeypatch.setattr(index, "_scan", lambda *a: pytest.fail("pairs of every query and row"))
+    want = {i: nearest(data, data[i] + 0.05, 4, sorted(set(range(600)) - {1})) for i in range(24)}
+    assert ids(index.search(asked, 4).result) == want and shallow[0] == nearest(data, data[0] + 0.05, 4)
+
+
+def test_blocks_of_queries_shrink_with_what_tasks_keep(asked):
+    assert len(list(exact.query_blocks(asked, 1000))) == 1
+    assert max(len(b[0]) for b in exact.query_blocks(asked, 1000, kept=100)) == 3
