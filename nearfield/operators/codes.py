@@ -560,26 +560,35 @@ class CompositeIndex(Index):
 
         A block of queries is broadcast with the lists that each opens; a task makes the tables
         of a list's residuals where it meets the list and keeps ``shortlist`` rows a query, so no
-        scored row is shuffled beyond these.
+        scored row is shuffled beyond these.  Queries whose opened lists hold no more rows than a
+        shortlist need no codes: these rows are scored exactly where they lie.
         """
-        from .ivf import opened_rows, probes
+        from .ivf import ivf_search, opened_rows, probes
+        from .kmeans import assign
 
         n, probe = self.check_queries(queries, k), probe or self.probe
         require(1 <= probe <= self.partitions, f"probe {probe} of {self.partitions}")
         lists = self.lists if self.dead is None else self.lists.join(self.dead, "id", "left_anti")
-        short = self.shortlisted(queries, lists, max(k, min(self.shortlist, self.capacity)), probe)
-        met = opened_rows(probes(queries, self.centres, probe), lists)
+        depth = max(k, min(self.shortlist, self.capacity))
+        opened = materialise(probes(queries, self.centres, probe).select("qid", "part"))
+        met, sizes = opened_rows(opened, lists), materialise(lists.groupBy("part").agg(F.count("*").alias("n")))
+        held = opened.join(F.broadcast(sizes), "part", "left").groupBy("qid").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        over = materialise(held.filter(F.col("n") > depth).select("qid"))
+        found = ivf_search(queries.join(over, "qid", "left_anti"), assign(self.live(), self.centres).select("part", "id", "v"), self.centres, k, probe)
+        if not over.isEmpty():
+            asked = queries.join(over, "qid", "left_semi")
+            found = found.unionAll(rerank(asked, self.rows, self.shortlisted(asked, lists, depth, probe), k))
         cost = met.select(
             (F.col("n") * (self.subspaces / self.dimension) + float(n * (self.partitions + self.shortlist))).alias("distances"),
             F.col("n").alias("candidates"), F.lit(n * probe).cast("long").alias("hops"), F.lit(n).cast("long").alias("queries"),
         )
-        return Found(rerank(queries, self.rows, short, k), cost)
+        return Found(found, cost)
 
     def shortlisted(self, queries: DataFrame, lists: DataFrame, depth: int, probe: int) -> DataFrame:
         """(qid, rank, id, score): the ``depth`` rows of smallest code distance in each query's opened lists."""
         spark, found, residual = queries.sparkSession, None, self.residual
         rows = lists.select(F.col("part").cast("int").alias("part"), F.col("id").cast("long").alias("id"), "codes")
-        for qids, q in query_blocks(queries):
+        for qids, q in query_blocks(queries, kept=depth):
             near = np.argsort(score_matrix(q, self.centres, "l2"), axis=1, kind="stable")[:, :probe]
             opened = {int(p): np.flatnonzero((near == p).any(1)) for p in np.unique(near)}
             shared = spark.sparkContext.broadcast((qids, q, opened, self.centres, self.books.books))

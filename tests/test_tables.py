@@ -273,6 +273,20 @@ def test_binary_shortlist_of_all_rows_is_no_table_of_pairs(spark, corpus, data,
     assert ids(index.search(asked, 4).result) == want and shallow[0] == nearest(data, data[0] + 0.05, 4)
 
 
+def test_composite_takes_codes_only_where_lists_outgrow_the_shortlist(spark, corpus, data, asked, monkeypatch):
+    centres = np.array([data[i::12].mean(0) for i in range(12)])
+    rows = {p: [i for i in range(600) if ((data[i] - centres) ** 2).sum(1).argmin() == p] for p in range(12)}
+    whole = codes.CompositeIndex(8, 12, 4, 16, 2, 10**6).build(corpus, centres)
+    near = {i: np.argsort(((data[i] + 0.05 - centres) ** 2).sum(1))[:2] for i in range(24)}
+    want = {i: nearest(data, data[i] + 0.05, 5, sorted(rows[near[i][0]] + rows[near[i][1]])) for i in range(24)}
+    seen, plain = [], codes.CompositeIndex.shortlisted
+    monkeypatch.setattr(codes.CompositeIndex, "shortlisted", lambda self, q, *a: seen.append(q.count()) or plain(self, q, *a))
+    assert ids(whole.search(asked, 5).result) == want and not seen
+    held = sorted(len(rows[near[i][0]]) + len(rows[near[i][1]]) for i in range(24))
+    whole.shortlist = held[12]
+    assert set(ids(whole.search(asked, 5).result)) == set(range(24)) and seen == ([sum(n > held[12] for n in held)] if held[-1] > held[12] else [])
+
+
 def test_blocks_of_queries_shrink_with_what_tasks_keep(asked):
     assert len(list(exact.query_blocks(asked, 1000))) == 1
     assert max(len(b[0]) for b in exact.query_blocks(asked, 1000, kept=100)) == 3
