@@ -152,11 +152,44 @@ def _grown(index, made: DataFrame) -> bool:
     return True
 
 
+def _medians(own: DataFrame, accuracy: int) -> DataFrame:
+    """(node, n, threshold, most) of rows (node, p): the exact lower median and the largest p of each node.
+
+    A sketch brackets the median; what lies in the bracket, a few of ``accuracy`` parts of a node, is
+    counted by value.  Merged sketches are exact while twice their error stays below a row, so only
+    nodes of up to ``accuracy`` / 4 rows are left to them.
+    """
+    exact = accuracy // 4
+    edges = F.percentile_approx("p", F.array(F.lit(max(0.0, 0.5 - 4 / accuracy)), F.lit(0.5), F.lit(min(1.0, 0.5 + 4 / accuracy))), F.lit(accuracy))
+    nodes = materialise(own.groupBy("node").agg(F.count("*").alias("n"), edges.alias("e"), F.max("p").alias("most")))
+    wide = nodes.filter(F.col("n") > exact).select("node", "n", F.col("e")[0].alias("low"), F.col("e")[2].alias("high"), "most")
+    sketched = nodes.filter(F.col("n") <= exact).select("node", "n", F.col("e")[1].alias("threshold"), "most")
+    if wide.isEmpty():
+        return sketched
+
+    def counted(wide: DataFrame) -> DataFrame:
+        met = own.join(F.broadcast(wide) if wide.count() <= NODES else wide, "node").filter(F.col("p") <= F.col("high"))
+        value = F.when(F.col("p") >= F.col("low"), F.col("p"))  # null: below the bracket
+        by = met.groupBy("node", value.alias("x")).agg(F.count("*").alias("c"))
+        w = Window.partitionBy("node").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        placed = by.withColumn("upto", F.sum("c").over(w)).join(wide, "node")
+        target = F.ceil(F.col("n") / 2)
+        hit = placed.filter((F.col("upto") >= target) & (F.col("upto") - F.col("c") < target) & F.col("x").isNotNull())
+        return hit.select("node", "n", F.col("x").alias("threshold"), "most")
+
+    found = materialise(counted(wide))
+    missed = materialise(wide.join(found, "node", "left_anti"))
+    if not missed.isEmpty():  # a sketch that was farther off than it says
+        every = missed.withColumn("low", F.lit(float("-inf"))).withColumn("high", F.lit(float("inf")))
+        found = found.unionByName(counted(every))
+    return sketched.unionByName(found)
+
+
 class LeafForest(Index):
     """Random projections, level by level for all trees at once; a row's leaf is a key.
 
     Each level of a tree has one direction.  Nodes of more than ``leaf_size`` rows are split at
-    the median of their rows' projections (a sketch of ``accuracy``: exact up to as many rows) or at
+    the exact median of their rows' projections (bracketed by a sketch of ``accuracy``) or at
     the middle of their range.  What stays is (key, threshold, level) for each split; the key of a
     leaf is 1 and a bit a level, and bears the tree in its upper bits.  A query's leaves are found
     the same way, and rows that share one of them are scored in the scan, each once a query.
@@ -204,8 +237,10 @@ class LeafForest(Index):
         self.rows, self.dead, self.splits, self.levels = vectors.select(F.col("id").cast("long").alias("id"), "v"), None, None, 0
         for level in range(self.directions.shape[1]):
             own = self._descended(self._projected(self.rows, "id", "v", level + 1)).select("node", F.get(F.col("line"), F.lit(level)).alias("p"))
-            middle = F.percentile_approx("p", F.lit(0.5), F.lit(self.accuracy)) if self.split_on == "median" else (F.min("p") + F.max("p")) / 2
-            nodes = own.groupBy("node").agg(F.count("*").alias("n"), middle.alias("threshold"), F.max("p").alias("most"))
+            if self.split_on == "median":
+                nodes = _medians(own, self.accuracy)
+            else:
+                nodes = own.groupBy("node").agg(F.count("*").alias("n"), ((F.min("p") + F.max("p")) / 2).alias("threshold"), F.max("p").alias("most"))
             made = nodes.filter((F.col("n") > self.leaf_size) & (F.col("threshold") < F.col("most"))).select("node", F.lit(level).alias("level"), "threshold")
             if not _grown(self, made):
                 break

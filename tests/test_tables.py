@@ -290,3 +290,15 @@ def test_composite_takes_codes_only_where_lists_outgrow_the_shortlist(spark, cor
 def test_blocks_of_queries_shrink_with_what_tasks_keep(asked):
     assert len(list(exact.query_blocks(asked, 1000))) == 1
     assert max(len(b[0]) for b in exact.query_blocks(asked, 1000, kept=100)) == 3
+
+
+def test_leaves_are_split_at_exact_medians_beyond_the_sketch(spark):
+    rng = np.random.default_rng(8)
+    p = {0: rng.standard_normal(4001), 1: rng.integers(0, 3, 3000).astype(float), 2: np.zeros(900), 3: rng.standard_normal(7)}
+    rows = spark.createDataFrame([(n, float(x)) for n, v in p.items() for x in v], "node long, p double").repartition(7)
+    got = {r.node: (r.n, r.threshold, r.most) for r in tables._medians(rows, 50).collect()}
+    assert got == {n: (len(v), np.sort(v)[-(-len(v) // 2) - 1], v.max()) for n, v in p.items()}
+    v = rng.standard_normal((3000, 8))
+    forest = tables.LeafForest(8, trees=1, leaf_size=800, seed=2, accuracy=20).build(frame(spark, v))
+    got = {r.id: r.leaf for r in forest.leaves().collect()}
+    assert [got[i] for i in range(3000)] == grown(v, forest.directions[0], 800, "median").tolist()
