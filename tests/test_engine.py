@@ -432,3 +432,42 @@ def test_a_near_cache_is_a_queue_of_its_last_keys(capacity, radius):
             cache.put(q, i)
             keys = [*keys, (q, i)][-capacity:]
         assert cache.size == len(keys)
+
+
+def test_graphs_are_pruned_together_as_one_by_one():
+    rng = np.random.default_rng(6)
+    v = np.concatenate((rng.standard_normal((400, 6)), np.ones((5, 6))))
+    made = structures.BeamGraph(v, 6, 12, alpha=1.1)
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = [set() for _ in v]
+    for i in range(len(v)):
+        for j in np.lexsort((np.arange(len(v)), d[i]))[:12]:
+            near[i].add(int(j))
+            near[int(j)].add(i)
+    src = np.repeat(np.arange(len(v)), [len(s) for s in near])
+    want = [structures.diverse(v, i, np.array(sorted(s)), 6, 1.1) for i, s in enumerate(near)]
+    assert structures.pruned(v, src, np.concatenate([sorted(s) for s in near]), 6, 1.1) == want
+    assert all(x[: len(w)] == w for x, w in zip(made.links, want, strict=True))
+
+
+def test_graphs_lead_to_every_row():
+    rng = np.random.default_rng(9)
+    v = np.concatenate((rng.standard_normal((500, 16)), rng.standard_normal((40, 16)) + 30, np.zeros((30, 16))))
+    for made in (structures.BeamGraph(v, 3, 4), structures.Hnsw(v, 2, 8, 8, multiplier=4.0)):
+        for x in (v[0], v[520], v[560]):
+            rows, _, _ = made.search(x, len(v), ef=10**6)
+            assert sorted(rows.tolist()) == list(range(len(v)))
+
+
+def test_a_beam_of_all_rows_is_one_scan_of_what_its_start_leads_to(monkeypatch):
+    rng = np.random.default_rng(7)
+    v = np.concatenate((rng.standard_normal((300, 4)), rng.standard_normal((60, 4)) + 50, np.zeros((9, 4))))
+    q, dead = np.concatenate((rng.standard_normal((20, 4)), np.full((3, 4), 50.0))), np.zeros(len(v), dtype=bool)
+    dead[[1, 2, 301, 365]] = True
+    made = [structures.BeamGraph(v, 4, 8), structures.Hnsw(v, 4, 16, 16, multiplier=4.0)]
+    want = [[m.search(x, 7, ef=10**6, dead=dead) for x in q] for m in made]
+    monkeypatch.setattr(structures, "beam", lambda *a, **k: pytest.fail("a walk a query"))
+    for m, w in zip(made, want, strict=True):
+        for (rows, scores, cost), (r, s, c) in zip(m.answers(q, 7, dead, ef=10**6), w, strict=True):
+            assert rows.tolist() == r.tolist() and np.allclose(scores, s) and cost == c
