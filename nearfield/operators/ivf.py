@@ -46,9 +46,12 @@ def ivf_search(queries: DataFrame, lists: DataFrame, centres: np.ndarray, k: int
 
 def opened_rows(opened: DataFrame, lists: DataFrame, copies: int = 1) -> DataFrame:
     """One row: n, the rows in the lists that each query opens, a row in several of them once; no vector is read."""
-    if copies > 1:
-        pairs = opened.select("qid", "part").join(lists.select("part", "id"), "part").select("qid", "id").distinct()
-        return pairs.agg(F.count("*").alias("n"))
+    if copies > 1:  # rows by the set of lists they stand in meet queries by the set that they open
+        rows = lists.groupBy("id").agg(F.sort_array(F.collect_set("part")).alias("held")).groupBy("held").agg(F.count("*").alias("size"))
+        asks = opened.groupBy("qid").agg(F.sort_array(F.collect_set("part")).alias("opens")).groupBy("opens").agg(F.count("*").alias("asked"))
+        met = asks.withColumn("part", F.explode("opens")).join(rows.withColumn("part", F.explode("held")), "part")
+        both = met.select("opens", "held", "asked", "size").distinct()
+        return both.agg(F.coalesce(F.sum(F.col("asked") * F.col("size")), F.lit(0)).alias("n"))
     asked = opened.groupBy("part").agg(F.count("*").alias("asked"))
     sizes = lists.groupBy("part").agg(F.count("*").alias("size"))
     return asked.join(sizes, "part").agg(F.coalesce(F.sum(F.col("asked") * F.col("size")), F.lit(0)).alias("n"))

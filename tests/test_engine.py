@@ -471,3 +471,15 @@ def test_a_beam_of_all_rows_is_one_scan_of_what_its_start_leads_to(monkeypatch):
     for m, w in zip(made, want, strict=True):
         for (rows, scores, cost), (r, s, c) in zip(m.answers(q, 7, dead, ef=10**6), w, strict=True):
             assert rows.tolist() == r.tolist() and np.allclose(scores, s) and cost == c
+
+
+def test_rows_of_spilled_lists_are_counted_by_sets_of_lists(spark):
+    rng = np.random.default_rng(11)
+    held = [sorted(set(rng.integers(0, 5, 2).tolist())) for _ in range(400)]
+    opens = [sorted(set(rng.integers(0, 5, 2).tolist())) for _ in range(90)]
+    lists = spark.createDataFrame([(p, i) for i, ps in enumerate(held) for p in ps], "part int, id long")
+    opened = spark.createDataFrame([(i, p) for i, ps in enumerate(opens) for p in ps], "qid long, part int")
+    counted = ivf.opened_rows(opened, lists, 2)
+    assert counted.first().n == sum(bool(set(a) & set(b)) for a in held for b in opens)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "qid" not in plan.split("Join")[0]  # queries and rows never meet one by one
