@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BuildError, ConfigError, require
 from ..functions.vector import doubles, dot, squared_l2, top
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, rewritten
 from .exact import MET, RESULT, keyed_blocks, matrix, nearest_scores, scan_keyed, top_up, with_met
 from .graphs import exact_graph, prune, symmetrise
 from .index import Found, Index, stats_row
@@ -106,7 +106,7 @@ class EdgeGraph(Index):
             reached = front.join(links, ["src", "salt"] if crowded else ["src"]).select("qid", "q", F.explode(F.array_except("near", "known")).alias("id"))
             fresh = met(reached.dropDuplicates(["qid", "id"])).groupBy("qid").agg(F.collect_list("x").alias("fresh"))  # of one query's vertices
             both = state.join(fresh, "qid", "left").select("qid", "q", F.when(F.col("fresh").isNull(), F.col("seen")).otherwise(F.concat("seen", "fresh")).alias("seen"))
-            state = materialise(self._taken(both, width))
+            state = rewritten(self._taken(both, width))
         return state.select("qid", F.explode("seen").alias("x")).select("qid", "x.id", "x.score", "x.opened", "x.dead")
 
     def visited(self, queries: DataFrame, ef: int | None = None) -> DataFrame:
@@ -143,10 +143,10 @@ def _grown(index, made: DataFrame) -> bool:
 
     Few splits are broadcast, once for all levels of a job; more are joined by shuffle.
     """
-    made = materialise(made)
+    made = rewritten(made)
     if made.isEmpty():
         return False
-    every = made if index.splits is None else materialise(index.splits.unionByName(made))
+    every = made if index.splits is None else rewritten(index.splits.unionByName(made))
     index.splits = F.broadcast(every) if every.count() <= NODES else every
     index.levels += 1
     return True

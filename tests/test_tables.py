@@ -302,3 +302,18 @@ def test_leaves_are_split_at_exact_medians_beyond_the_sketch(spark):
     forest = tables.LeafForest(8, trees=1, leaf_size=800, seed=2, accuracy=20).build(frame(spark, v))
     got = {r.id: r.leaf for r in forest.leaves().collect()}
     assert [got[i] for i in range(3000)] == grown(v, forest.directions[0], 800, "median").tolist()
+
+
+# -- rounds ----------------------------------------------------------------------------------
+
+
+def guessed(df):
+    """Digits of the size that Spark takes a frame for."""
+    return len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_guessed_sizes_do_not_grow_with_rounds(spark, corpus, data, monkeypatch):
+    chain = graphs.components(spark.range(64), spark.range(63).selectExpr("id AS src", "id + 1 AS dst"))
+    assert guessed(chain) < 16 and {r.component for r in chain.collect()} == {0}
+    tree = tables.BoxTree(8, leaf_size=80).build(corpus)
+    assert tree.levels >= 3 and guessed(tree.splits) < 16
