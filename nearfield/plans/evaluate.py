@@ -330,13 +330,30 @@ def compare_at_a_budget(report: Report, corpus: str, budget: float = 1000.0) ->
 # -- attacks -----------------------------------------------------------------------------------
 
 
-def from_sparse_regions(corpus: DataFrame, sample: DataFrame, count: int = 100, k: int = 10) -> DataFrame:
-    """(qid, q): sampled rows with the largest distance to their k-th other neighbour."""
-    from ..operators.exact import search
+def from_sparse_regions(corpus: DataFrame, sample: DataFrame, count: int = 100, k: int = 10, first_rows: int = 4096) -> DataFrame:
+    """(qid, q): sampled rows with the largest distance to their k-th other neighbour.
+
+    The distance to the k-th neighbour among part of the corpus is no smaller than that among all.  Growing
+    parts bound it for each row, the widest of these are measured among all, and rows whose bound is below the
+    ``count`` largest of what was measured are left out: none of them can be an answer.
+    """
+    from ..operators.exact import search, spread
+    from .lineage import materialise
 
-    asked = sample.select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    far = search(asked, corpus, k + 1).filter(F.col("rank") == k + 1)
-    return asked.join(far.orderBy(F.col("score").desc(), "qid").limit(count).select("qid"), "qid", "left_semi")
+    rows, asked = spread(corpus.select("id", "v")), sample.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    kth = lambda q, among: search(q, among, k + 1).filter(F.col("rank") == k + 1).select("qid", "score")
+    share, left = max(1, corpus.count() // first_rows), asked
+    while share > 1:
+        part = rows.filter(F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(share)) == 0)
+        bound = materialise(left.select("qid").join(kth(left, part), "qid", "left"))  # none where the part holds too few rows
+        widest = bound.orderBy(F.col("score").desc_nulls_first(), "qid").limit(2 * count)
+        edge = kth(left.join(widest, "qid", "left_semi"), rows).orderBy(F.col("score").desc()).limit(count).agg(F.count("*").alias("n"), F.min("score").alias("edge")).first()
+        if edge.n == count:
+            near = bound.filter(F.col("score") < edge.edge).select("qid")
+            left = materialise(left.join(near, "qid", "left_anti"))
+        share //= 8
+    far = kth(left, rows).orderBy(F.col("score").desc(), "qid").limit(count)
+    return asked.join(far.select("qid"), "qid", "left_semi")
 
 
 def between_partitions(centres: DataFrame, count: int = 100) -> DataFrame:
