@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions.vector import add, hashed, normalise, normals, times, uniform
 from ..operators.codes import literal
-from ..operators.exact import distance_sums, search
+from ..operators.exact import distance_sums, pair_distance_sum, search, spread
 
 
 def corpus_table(spark: SparkSession, sf_dir: str, name: str = "embeddings", ids: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -87,13 +87,17 @@ def held_out(corpus: DataFrame, count: int = 128, seed: int = 11) -> tuple[DataF
     return corpus.filter(h > edge.h), corpus.filter(h <= edge.h).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
-def typical_distance(corpus: DataFrame, sample: int = 256, seed: int = 5) -> DataFrame:
-    """One row: typical_distance, the mean distance of pairs of sampled rows."""
+def _sampled(corpus: DataFrame, sample: int, seed: int) -> DataFrame:
+    """(id, v) of ``sample`` rows; where there are no more than these, of all, which then need no order and no one task."""
     from ..operators.kmeans import uniform_sample
 
-    s = uniform_sample(corpus.select("id", "v"), sample, seed)
-    sums = distance_sums(s.select(F.col("id").alias("qid"), F.col("v").alias("q")), s)
-    return sums.agg((F.sum("total") / F.sum("n")).alias("typical_distance"))
+    rows = corpus.select("id", "v")
+    return rows if rows.count() <= sample else uniform_sample(rows, sample, seed)
+
+
+def typical_distance(corpus: DataFrame, sample: int = 256, seed: int = 5) -> DataFrame:
+    """One row: typical_distance, the mean distance of pairs of sampled rows."""
+    return pair_distance_sum(_sampled(corpus, sample, seed)).select(F.try_divide("total", "n").alias("typical_distance"))
 
 
 def perturbed_queries(corpus: DataFrame, count: int = 128, nudge: float = 0.25, seed: int = 11) -> DataFrame:
@@ -120,11 +124,10 @@ def neighbour_margin(found: DataFrame) -> DataFrame:
 
 def intrinsic_dimension(corpus: DataFrame, sample: int = 1024, seed: int = 13) -> DataFrame:
     """One row: dimension by two nearest neighbours: slope of -ln(1 - F) on ln(r2 / r1), F < 0.9."""
-    from ..operators.kmeans import uniform_sample
     from ..plans.storage import numbered
 
-    s = uniform_sample(corpus.select("id", "v"), sample, seed)
-    near = search(s.select(F.col("id").alias("qid"), F.col("v").alias("q")), corpus, 3).filter("qid != id")
+    s = _sampled(corpus, sample, seed)
+    near = search(s.select(F.col("id").alias("qid"), F.col("v").alias("q")), spread(corpus.select("id", "v")), 3).filter("qid != id")
     two = near.groupBy("qid").agg(F.min("score").alias("a"), F.min(F.when(F.col("rank") >= 3, F.col("score"))).alias("b")).filter("a > 0 and b > 0")
     ordered = numbered(two.select("qid", F.log(F.sqrt(F.col("b") / F.col("a"))).alias("x")), "x", "qid")
     ranked = ordered.select("x", ((F.col("number") + 1) / F.lit(float(max(1, ordered.count())))).alias("f"))

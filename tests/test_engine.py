@@ -483,3 +483,38 @@ def test_rows_of_spilled_lists_are_counted_by_sets_of_lists(spark):
     assert counted.first().n == sum(bool(set(a) & set(b)) for a in held for b in opens)
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "qid" not in plan.split("Join")[0]  # queries and rows never meet one by one
+
+
+def test_nearest_meets_rows_in_tiles_and_stays_exact():
+    r = np.random.default_rng(3)
+    for offset in (0.0, 1e7, 1e25):
+        v = r.standard_normal((2500, 6)).astype(np.float32).astype(float) + offset
+        v[900:1400] = v[7]  # ties beyond a tile's k
+        q, ids = v[::3], r.permutation(len(v)) - 50
+        near = exact.Nearest(q, 5)
+        for at in range(0, len(v), 1100):
+            near.meet(v[at : at + 1100], ids[at : at + 1100])
+        d = ((q[:, None] - v[None]) ** 2).sum(2)
+        want = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :5]
+        assert (near.found()[1].reshape(-1, 5) == ids[want]).all()
+        assert (near.found()[2].reshape(-1, 5) == np.take_along_axis(d, want, 1)).all() or np.allclose(near.found()[2].reshape(-1, 5), np.take_along_axis(d, want, 1), rtol=1e-12)
+    few = exact.Nearest(v[:2], 5)
+    few.meet(v[:3], np.arange(3), own=np.arange(2))
+    assert few.many.tolist() == [2, 2]
+
+
+def test_pair_distances_count_each_pair_once_over_blocks_and_tasks(spark, corpus, data):
+    v = data.astype(float)
+    want = [float(np.sqrt(((v[i] - v[i + 1 :]) ** 2).sum(1)).sum()) for i in range(len(v))]
+    for block_rows in (70, 10_000):
+        got = exact.pair_distance_sum(corpus, block_rows).first()
+        assert got.n == len(data) * (len(data) - 1) // 2 and got.total == pytest.approx(sum(want), rel=1e-12)
+    whole = datasets._sampled(corpus, len(data), 5)
+    assert "TakeOrdered" not in whole._jdf.queryExecution().toString()  # all rows are not put in order by one task
+
+
+def test_sparse_regions_leave_out_rows_by_bounds_only(spark, corpus, data):
+    d = np.sort(((data[:, None] - data[None]) ** 2).sum(2), axis=1)[:, 4]
+    want = set(np.lexsort((np.arange(len(d)), -d))[:6].tolist())
+    for first_rows in (8, 40, 10**6):
+        assert {r.qid for r in evaluate.from_sparse_regions(corpus, corpus, 6, 4, first_rows).collect()} == want
