@@ -518,3 +518,30 @@ def test_sparse_regions_leave_out_rows_by_bounds_only(spark, corpus, data):
     want = set(np.lexsort((np.arange(len(d)), -d))[:6].tolist())
     for first_rows in (8, 40, 10**6):
         assert {r.qid for r in evaluate.from_sparse_regions(corpus, corpus, 6, 4, first_rows).collect()} == want
+
+
+def test_blocks_of_queries_get_what_single_walks_of_trees_get():
+    r = np.random.default_rng(8)
+    v = r.standard_normal((3000, 5)).round(1)  # with ties
+    dead = r.random(len(v)) < 0.3
+    q = r.standard_normal((700, 5))
+    for made in (structures.KdTree(v, 8), structures.Forest(v, 3, 40), structures.Forest(v, 3, 10**6)):
+        for gone in (None, dead):
+            for x, (rows, scores, cost) in zip(q[::50], list(made.answers(q, 6, dead=gone))[::50], strict=True):
+                want = made.search(x, 6, dead=gone)
+                assert rows.tolist() == want[0].tolist() and np.allclose(scores, want[1], rtol=1e-12) and 0 < cost <= max(len(v), want[2])
+    few = structures.KdTree(v[:4], 2)
+    assert [rows.tolist() for rows, _, _ in few.answers(v[:2], 9)] == [few.search(x, 9)[0].tolist() for x in v[:2]]
+
+
+def test_asking_for_few_shards_never_overfills_them(spark, corpus, asked, data):
+    made = sharded.TreeIndex(D, shards=1, shard_rows=100).build(corpus)
+    assert made.structures.count() >= 3 or made.structures.agg(F.max("n")).first()[0] <= 100
+    assert sharded.GraphIndex(D, shards=1).shard_rows <= 16_384 and sharded.HNSWIndex(D, shards=1).shard_rows <= 16_384
+    got = {}
+    for r in made.search(asked, 5).result.collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.id))
+    v = data.astype(float)
+    for r in asked.collect():
+        order = np.lexsort((np.arange(N), ((v - np.array(r.q)) ** 2).sum(1)))[:5]
+        assert [x for _, x in sorted(got[r.qid])] == order.tolist()
