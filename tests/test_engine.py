@@ -545,3 +545,13 @@ def test_asking_for_few_shards_never_overfills_them(spark, corpus, asked, data):
     for r in asked.collect():
         order = np.lexsort((np.arange(N), ((v - np.array(r.q)) ** 2).sum(1)))[:5]
         assert [x for _, x in sorted(got[r.qid])] == order.tolist()
+
+
+def test_pages_of_lists_are_counted_without_pairs_of_queries_and_rows(spark, corpus, asked):
+    lists = kmeans.assign(corpus, kmeans.random_init(corpus, 5, 1)).select("part", "id", "v")
+    opened = spark.createDataFrame([(q, p) for q in range(12) for p in {q % 5, q % 3}], "qid long, part int")
+    for layout in (storage.clustered_layout(lists, 64), storage.sequential_layout(corpus, 64)):
+        want = storage.page_counts(opened.join(lists.select("part", "id"), "part").select("qid", "id"), layout)
+        got = storage.list_page_counts(opened, lists, layout)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert "opens" in got._jdf.queryExecution().optimizedPlan().toString()
