@@ -574,3 +574,11 @@ def test_bucket_mates_are_tested_in_a_scan_and_meet_once(spark, corpus, asked, d
     for qid, d in scores.items():
         own = sorted((d[i], i) for a, i in want if a == qid)[:4]
         assert [i for _, i in sorted(best.get(qid, []))] == [i for _, i in own]
+
+
+def test_neighbours_of_neighbours_are_scored_where_they_meet(spark, corpus, data):
+    near = spark.createDataFrame([(0, 1), (1, 2), (1, 0), (2, 3), (5, 1)], "src long, dst long")
+    v = data.astype(float)
+    got = {(r.src, r.dst): r.score for r in graphs._tried(corpus, near).collect()}
+    assert set(got) == {(0, 2), (1, 3), (5, 2), (5, 0)}
+    assert all(s == pytest.approx(((v[a] - v[b]) ** 2).sum(), rel=1e-12) for (a, b), s in got.items())
