@@ -582,3 +582,20 @@ def test_neighbours_of_neighbours_are_scored_where_they_meet(spark, corpus, data
     got = {(r.src, r.dst): r.score for r in graphs._tried(corpus, near).collect()}
     assert set(got) == {(0, 2), (1, 3), (5, 2), (5, 0)}
     assert all(s == pytest.approx(((v[a] - v[b]) ** 2).sum(), rel=1e-12) for (a, b), s in got.items())
+
+
+def test_a_layered_graph_links_rows_with_the_nearest_before_them_without_a_walk(monkeypatch):
+    monkeypatch.setattr(structures, "beam", lambda *a, **k: pytest.fail("a walk a row"))
+    r = np.random.default_rng(13)
+    v = np.concatenate(((4 * r.standard_normal((900, 6))).round() / 4, np.zeros((30, 6))))  # with ties, over two tiles of queries
+    made, links = structures.Hnsw(v, 3, 8, 5, multiplier=4.0), structures.linked(v, 5, 6)
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    want = [set() for _ in v]
+    for i in range(len(v)):
+        for j in np.lexsort((np.arange(i), d[i, :i]))[:5].tolist():
+            want[i].add(j)
+            want[j].add(i)
+    want = [sorted(s, key=lambda j, i=i: (d[i, j], j))[:6] for i, s in enumerate(want)]
+    assert [x.tolist() for x in links] == want
+    assert all(made.layers[0][i][: len(w)] == w for i, w in enumerate(want))
+    assert made.entry == int(made.levels.argmax()) and [len(x) for x in made.layers] == [int((made.levels >= n).sum()) for n in range(len(made.layers))]
