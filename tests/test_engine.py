@@ -599,3 +599,16 @@ def test_a_layered_graph_links_rows_with_the_nearest_before_them_without_a_walk(
     assert [x.tolist() for x in links] == want
     assert all(made.layers[0][i][: len(w)] == w for i, w in enumerate(want))
     assert made.entry == int(made.levels.argmax()) and [len(x) for x in made.layers] == [int((made.levels >= n).sum()) for n in range(len(made.layers))]
+
+
+def test_descent_finds_most_neighbours_where_vectors_have_no_structure(spark):
+    r = np.random.default_rng(17).standard_normal((1500, 64))
+    v = materialise(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r)], "id long, v array<double>"))
+    found = graphs.nn_descent(v, 5, 4, 10)
+    assert found.groupBy("src").agg(F.count("*").alias("n"), F.max("ord").alias("last")).filter("n <> 5 or last <> 5").isEmpty()
+    assert graphs.recall_against_exact(found, graphs.exact_graph(v, 5)).first()[0] >= 0.6
+    edge = spark.createDataFrame([(0, 120.0)], "src long, edge double")
+    near = spark.createDataFrame([(0, 1), (3, 1), (1, 2), (1, 4), (1, 5), (1, 6)], "src long, dst long")
+    d = ((r[[0, 3]][:, None] - r[[2, 4, 5, 6]][None]) ** 2).sum(2)
+    want = {(0, j) for j, x in zip((2, 4, 5, 6), d[0], strict=True) if x <= 120.0} | {(3, j) for j in (2, 4, 5, 6)}
+    assert {(x.src, x.dst) for x in graphs._tried(v, near, edge).collect()} == want
