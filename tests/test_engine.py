@@ -4,10 +4,11 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield import cli
+from nearfield import cli, queries, queries_more  # noqa: F401
 from nearfield.errors import ConfigError, DataError, IndexStateError
 from nearfield.functions import vector as V
 from nearfield.operators import codes, exact, graphs, hashing, index, ivf, kmeans, sharded, structures
@@ -503,6 +504,30 @@ def test_nearest_meets_rows_in_tiles_and_stays_exact():
     assert few.many.tolist() == [2, 2]
 
 
+def test_a_scan_of_lists_keeps_to_tiles():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    r = np.random.default_rng(4)
+    q, v, parts = r.standard_normal((2000, 16)), r.standard_normal((10_000, 16)), r.integers(0, 2, 10_000).astype(np.int32)
+    here = SimpleNamespace(mapInArrow=lambda run, schema: run)  # the task's function itself
+    opened = {0: np.arange(2000), 1: np.arange(0, 2000, 2)}
+    run = exact.scan_keyed(here, SimpleNamespace(value=(np.arange(2000), q, opened)), 5, "l2", False)
+    batch = pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.arange(10_000)), pa.array(v.tolist())], names=["part", "id", "v"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 5 * 2000
+    assert most < 64_000_000  # all 2,000 x 10,000 scores alone would be 160 MB
+
+
+def test_lists_are_kept_before_they_are_scanned(spark):
+    sf = "/root/testdata/sf0.001"
+    plans = [f(spark, sf)._jdf.queryExecution().optimizedPlan().toString() for f in (queries.rough, queries.QUERIES["shortlist_of_lists"], queries.QUERIES["filter_in_lists"])]
+    assert [p.count("MapInArrow") for p in plans] == [1, 1, 1]  # one Python process a task, not one that feeds another
+
+
 def test_pair_distances_count_each_pair_once_over_blocks_and_tasks(spark, corpus, data):
     v = data.astype(float)
     want = [float(np.sqrt(((v[i] - v[i + 1 :]) ** 2).sum(1)).sum()) for i in range(len(v))]
