@@ -317,3 +317,12 @@ def test_guessed_sizes_do_not_grow_with_rounds(spark, corpus, data, monkeypatch)
     assert guessed(chain) < 16 and {r.component for r in chain.collect()} == {0}
     tree = tables.BoxTree(8, leaf_size=80).build(corpus)
     assert tree.levels >= 3 and guessed(tree.splits) < 16
+
+
+def test_blocks_of_queries_take_what_is_kept_by_name(spark, asked):
+    kept = exact.query_blocks.__defaults__
+    try:
+        exact.query_blocks.__defaults__ = (1000, np.float64)  # as a test sets them that knows no third
+        assert sum(len(b[0]) for b in exact.query_blocks(asked)) == asked.count()
+    finally:
+        exact.query_blocks.__defaults__ = kept
