@@ -326,3 +326,53 @@ def test_blocks_of_queries_take_what_is_kept_by_name(spark, asked):
         assert sum(len(b[0]) for b in exact.query_blocks(asked)) == asked.count()
     finally:
         exact.query_blocks.__defaults__ = kept
+
+
+def brute_graph(v, ids, k):
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    return {(int(ids[i]), int(ids[j]), o + 1) for i in range(len(v)) for o, j in enumerate(sorted((j for j in range(len(v)) if j != i), key=lambda j, i=i: (d[i, j], ids[j]))[:k])}
+
+
+def test_blocks_meet_each_other_and_ties_go_to_smaller_ids(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v = np.concatenate((((3 * r.standard_normal((260, 4))).round() / 2), np.zeros((20, 4))))
+    ids = r.permutation(len(v)) - 40
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<float>")
+    monkeypatch.setattr(exact, "MUTUAL", 32, raising=False)
+    for block_rows in (None, 50, 1000):
+        got = graphs.exact_graph(rows, 6, **({} if block_rows is None else {"block_rows": block_rows}))
+        assert {(x.src, x.dst, x.ord) for x in got.collect()} == brute_graph(v, ids, 6)
+    a, b = exact.Nearest(v[:90], 5, v.mean(0)), exact.Nearest(v[90:], 5, v.mean(0))
+    exact.meet_each_other(a, ids[:90], b, ids[90:])
+    for near, own, far, names in ((a, v[:90], v[90:], ids[90:]), (b, v[90:], v[:90], ids[:90])):
+        d = ((own[:, None] - far[None]) ** 2).sum(2)
+        assert near.ids.tolist() == [[int(names[j]) for j in np.lexsort((names, x))[:5]] for x in d]
+
+
+def test_copies_of_rows_grow_with_bounded_blocks():
+    # in blocks of 4096 rows each row went to 151 tasks at 615,384 rows
+    assert [graphs.blocks_of(n, 12) for n in (0, 1, 5000, 102_564, 615_384)] == [1, 1, 3, 10, 10]
+    assert graphs.blocks_of(10_000_000, 12) == -(-10_000_000 // graphs.BLOCK_ROWS)
+
+
+def test_descent_starts_from_cells(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "CELL_ROWS", 400, raising=False)
+    monkeypatch.setattr(graphs, "VIAS", 700, raising=False)
+    r = np.random.default_rng(23).standard_normal((2400, 24))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r)], "id long, v array<float>").localCheckpoint()
+    exact_ones = graphs.exact_graph(v, 8).localCheckpoint()
+    first, later = (graphs.nn_descent(v, 8, rounds, 8).localCheckpoint() for rounds in (1, 4))
+    assert first.select("src", "dst").distinct().count() == first.count() == 8 * len(r) and first.filter("src = dst").isEmpty()
+    one, four = (graphs.recall_against_exact(g, exact_ones).first()[0] for g in (first, later))
+    assert 0.8 <= one <= four
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1500)], "id long, v array<float>")  # cells that cannot be split are dealt
+    assert graphs.nn_descent(same, 3, 2, 3).groupBy("src").count().filter("count <> 3").isEmpty()
+
+
+def test_neighbours_of_a_vertex_try_each_other(spark):
+    x = np.array([[0.0], [1.0], [3.0], [7.0], [20.0]])
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "id long, v array<double>")
+    near = spark.createDataFrame([(0, 1, False), (0, 2, True), (0, 3, False), (4, 1, False), (4, 2, False)], "src long, dst long, new boolean")
+    edge = spark.createDataFrame([(1, 30.0), (2, 100.0), (3, 16.0)], "src long, edge double")
+    got = {(r.src, r.dst, r.score) for r in graphs._tried(v, near, edge, among=True).collect()}
+    assert got == {(1, 2, 4.0), (2, 1, 4.0), (2, 3, 16.0), (3, 2, 16.0)}
