@@ -376,3 +376,25 @@ def test_neighbours_of_a_vertex_try_each_other(spark):
     edge = spark.createDataFrame([(1, 30.0), (2, 100.0), (3, 16.0)], "src long, edge double")
     got = {(r.src, r.dst, r.score) for r in graphs._tried(v, near, edge, among=True).collect()}
     assert got == {(1, 2, 4.0), (2, 1, 4.0), (2, 3, 16.0), (3, 2, 16.0)}
+
+
+def test_pruning_takes_the_distances_of_its_edges(spark):
+    r = np.random.default_rng(3)
+    v = r.standard_normal((400, 6))
+    rows = frame(spark, v)
+    edges = materialise(graphs.exact_graph(rows, 30))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # vertices go on from batch to batch
+    try:
+        got = [{(x.src, x.dst, x.ord) for x in graphs.prune(rows, e, 7, 1.1).collect()} for e in (edges, edges.select("src", "dst"))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    d, want = ((v[:, None] - v[None]) ** 2).sum(2), set()
+    for i in range(len(v)):
+        kept = []
+        for j in [j for j in np.argsort(d[i]).tolist() if j != i][:30]:
+            if len(kept) < 7 and all(1.1 * 1.1 * d[k, j] > d[i, j] for k in kept):
+                kept.append(j)
+        want |= {(i, j, o + 1) for o, j in enumerate(kept)}
+    assert got[0] == got[1] == want
+    joins = lambda e: graphs.prune(rows, e, 7)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert (joins(edges), joins(edges.select("src", "dst"))) == (1, 2)  # a row's own vector is not shuffled to each of its edges
