@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import BuildError, ConfigError, require
 from ..functions.vector import doubles, dot, squared_l2, top
 from ..plans.lineage import materialise, rewritten
-from .exact import MET, RESULT, keyed_blocks, matrix, nearest_scores, scan_keyed, top_up, with_met
+from .exact import MET, RESULT, TILE_QUERIES, TILE_ROWS, Nearest, keyed_blocks, matrix, scan_keyed, top_up, with_met
 from .graphs import exact_graph, prune, symmetrise
 from .index import Found, Index, stats_row
 
@@ -25,6 +25,8 @@ from .index import Found, Index, stats_row
 BLOCK, CROWD = 64, 10_000
 #: Nodes of one level that are broadcast at most; more are joined by shuffle.
 NODES = 100_000
+#: Rows of a node of boxes whose splits are found in one task.
+SUBTREE = 16_384
 
 
 class EdgeGraph(Index):
@@ -285,11 +287,12 @@ class LeafForest(Index):
 
 
 class BoxTree(Index):
-    """An exact kd-tree as a table of leaves: (leaf, low, high, ids, vectors).
+    """An exact kd-tree as a table of leaves: (leaf, ids, vs), neighbours side by side.
 
-    Nodes are split level by level at the median of their widest axis.  A search takes each
-    query's home leaf first, which gives a k-th distance, and then scans the table once: only the
-    queries for which a leaf's box is no farther than that meet its rows.
+    Nodes are split level by level at the median of their widest axis, and those of ``SUBTREE`` rows or
+    fewer down to their leaves in one task.  A search takes each query's home leaf first, which gives a k-th
+    distance, and then scans the table once: leaves meet queries in tiles, of the queries for which the box of
+    a tile, or of a leaf, is no farther than that.
     """
 
     name = "boxes"
@@ -307,7 +310,7 @@ class BoxTree(Index):
         rows = rows.withColumn("node", F.lit(1).cast("long"))
         for _ in range(self.levels):
             met = rows.join(self.splits, "node", "left")
-            right = F.get(doubles(column), F.col("axis")) > F.col("threshold")
+            right = F.get(F.col(column), F.col("axis")).cast("double") > F.col("threshold")
             rows = met.withColumn("node", F.when(F.col("threshold").isNull(), F.col("node")).otherwise(F.shiftleft("node", 1) + right.cast("long"))).drop("axis", "threshold")
         return rows
 
@@ -335,49 +338,123 @@ class BoxTree(Index):
         if self._count < 2:
             raise BuildError(f"{self._count} rows are no tree")
         self.rows, self.dead, self.splits, self.levels = vectors.select(F.col("id").cast("long").alias("id"), "v"), None, None, 0
-        for _ in range(62):
+        while self._count > SUBTREE and self.levels < 62:
             own = self._descended(self.rows, "v")
-            full = own.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > self.leaf_size).select("node")
-            # the widest axis of each full node; there are fewer of them than rows / leaf_size
-            widest = self._boxes(own).join(full, "node").groupBy("node").agg(F.max_by("dim", F.struct(F.col("high") - F.col("low"), -F.col("dim"))).alias("axis"))
-            met = own.join(widest, "node").select("node", "axis", F.get(doubles("v"), F.col("axis")).alias("x"))
+            full = own.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > max(self.leaf_size, SUBTREE)).select("node")
+            # the widest axis of each full node; there are fewer of them than rows / SUBTREE
+            widest = self._boxes(own.join(F.broadcast(full), "node", "left_semi")).groupBy("node").agg(F.max_by("dim", F.struct(F.col("high") - F.col("low"), -F.col("dim"))).alias("axis"))
+            met = own.join(widest, "node").select("node", "axis", F.get(F.col("v"), F.col("axis")).cast("double").alias("x"))
             middles = met.groupBy("node", "axis").agg(F.percentile_approx("x", F.lit(0.5), F.lit(self.accuracy)).alias("threshold"), F.max("x").alias("most"))
             if not _grown(self, middles.filter("threshold < most").select("node", "axis", "threshold")):
                 break
+        self._finish()
         self._file()
         return self
 
+    def _finish(self) -> None:
+        """Nodes that a task can hold are split down to their leaves; larger ones are left where no split was found."""
+        own, leaf_size = self._descended(self.rows, "v"), self.leaf_size
+        whole = own.groupBy("node").agg(F.count("*").alias("n")).filter((F.col("n") > leaf_size) & (F.col("n") <= SUBTREE)).select("node")
+
+        def splits(node: int, v: np.ndarray) -> Iterator[tuple[int, int, float]]:
+            waiting = [(node, np.arange(len(v)))]
+            while waiting:
+                node, at = waiting.pop()
+                if len(at) <= leaf_size or node.bit_length() > 62:
+                    continue
+                axis = int((v[at].max(0) - v[at].min(0)).argmax())
+                x = v[at, axis]
+                line = float(np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2])
+                if line < x.max():
+                    yield node, axis, line
+                    waiting += [(2 * node, at[x <= line]), (2 * node + 1, at[x > line])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, held = None, []
+
+            def done() -> pa.RecordBatch:
+                made = list(splits(last, np.concatenate(held))) if held else []
+                return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.float64()))], names=["node", "axis", "threshold"])
+
+            for b in batches:
+                node = b.column(0).to_numpy(zero_copy_only=False)
+                for key in np.unique(node).tolist():  # sorted
+                    if key != last:
+                        yield done()
+                        last, held = key, []
+                    held.append(matrix(b.column(1).filter(pa.array(node == key))))
+            yield done()
+
+        rows = own.join(F.broadcast(whole), "node", "left_semi").select("node", "v")
+        nodes, cores = whole.count(), rows.sparkSession.sparkContext.defaultParallelism
+        made = rows.repartition(max(1, min(nodes, 4 * cores)), "node").sortWithinPartitions("node").mapInArrow(run, "node long, axis int, threshold double")
+        if _grown(self, made):
+            self.levels = int(self.splits.agg(F.max("node")).first()[0]).bit_length()
+
     def _file(self) -> None:
-        """A row for each leaf, its box and its rows; leaves that could not be split take several rows."""
-        own = self._descended(self.live(), "v")
+        """A row for each leaf with its rows, in the order of the tree; leaves that could not be split take several rows."""
+        own, cores = self._descended(self.live(), "v"), self.rows.sparkSession.sparkContext.defaultParallelism
         sizes = own.groupBy("node").agg(F.ceil(F.count("*") / (4 * self.leaf_size)).cast("int").alias("rows"))
         dealt = own.join(sizes, "node").withColumn("row", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"))
-        packed = dealt.groupBy("node", "row").agg(F.collect_list(F.struct("id", doubles("v").alias("v"))).alias("held"))
-        self.leaves = materialise(packed.select(F.col("node").alias("leaf"), F.col("held.id").alias("ids"), F.flatten("held.v").alias("vs")))
+        packed = dealt.groupBy("node", "row").agg(F.collect_list(F.struct("id", "v")).alias("held"))
+        packed = packed.select(F.col("node").alias("leaf"), F.col("held.id").alias("ids"), F.flatten("held.v").alias("vs"))
+        place = F.expr("shiftleft(leaf, 63 - length(bin(leaf)))")  # where its rows lie among all leaves
+        self.leaves = materialise(packed.repartitionByRange(2 * cores, place).sortWithinPartitions(place))
 
     def _scan(self, shared, k: int, width: int, home: bool) -> DataFrame:
         """(qid, id, score, met): k rows a query and task; a row with a null id bears the rows met."""
 
+        def boxes(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.minimum.reduceat(v, starts, axis=0), np.maximum.reduceat(v, starts, axis=0)
+
+        def gaps(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            """Squared distances of queries to a box, a little too small rather than too large."""
+            gap = np.maximum(np.maximum(low - q, q - high), 0.0)
+            return np.einsum("ij,ij->i", gap, gap) * (1 - 1e-12)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q, homes, least = shared.value
-            best, ids = np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max)
-            met = np.zeros(len(qids), dtype=np.int64)
+            near, met = Nearest(q, k), np.zeros(len(qids), dtype=np.int64)
+            by_home = np.argsort(homes, kind="stable")
             for b in batches:
-                for leaf, own, flat in zip(*b.columns, strict=True):
-                    rows, v = own.values.to_numpy(), flat.values.to_numpy().reshape(-1, width)
+                leaves, many = b.column(0).to_numpy(zero_copy_only=False), b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                every, ends = b.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(many)
+                flat, first = b.column(2).flatten().to_numpy(zero_copy_only=False), 0
+                while first < len(leaves):  # leaves of a tile of rows, or one larger leaf
+                    start = ends[first] - many[first]
+                    last = max(first + 1, int(np.searchsorted(ends, start + TILE_ROWS, "right")))
+                    ids, v = every[start : ends[last - 1]], flat[start * width : ends[last - 1] * width].astype(np.float64).reshape(-1, width)
+                    sizes, starts = many[first:last], ends[first:last] - many[first:last] - start
                     if home:
-                        at = np.flatnonzero(homes == leaf.as_py())
-                    else:
-                        gap = np.maximum(np.maximum(v.min(0) - q, q - v.max(0)), 0.0)
-                        at = np.flatnonzero((np.einsum("ij,ij->i", gap, gap) <= np.minimum(least, best[:, -1])) & (homes != leaf.as_py()))
+                        for leaf, a, n in zip(leaves[first:last], starts, sizes, strict=True):
+                            at = by_home[slice(*np.searchsorted(homes, (leaf, leaf + 1), sorter=by_home))]
+                            if len(at):
+                                near.meet(v[a : a + n], ids[a : a + n], at)
+                        first = last
+                        continue
+                    first = last
+                    edge = np.minimum(least, near.scores[:, -1])
+                    at = np.flatnonzero(gaps(q, v.min(0), v.max(0)) <= edge)
                     if not len(at):
                         continue
-                    met[at] += len(rows)
-                    scores = np.concatenate((best[at], nearest_scores(q[at], v, k)), axis=1)
-                    names = np.concatenate((ids[at], np.broadcast_to(rows, (len(at), len(rows)))), axis=1)
-                    order = np.lexsort((names, scores), axis=1)[:, :k]
-                    best[at], ids[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
-            yield with_met(qids, best, ids, met)
+                    low, high = boxes(v, starts)
+                    some = at[:: max(1, len(at) // 64)]
+                    opened = lambda of: np.stack([gaps(q[of], x, y) for x, y in zip(low, high, strict=True)], axis=1) <= edge[of, None]
+                    if len(at) > 64 and opened(some).mean() > 0.8:  # boxes tell little here
+                        met[at] += len(ids)
+                        near.meet(v, ids, at)
+                        continue
+                    for tile in range(0, len(at), TILE_QUERIES):
+                        own = at[tile : tile + TILE_QUERIES]
+                        open_ = opened(own)
+                        met[own] += open_ @ sizes
+                        within = np.flatnonzero(open_.any(1))
+                        leaf_of = np.repeat(np.arange(len(sizes)), sizes)
+                        kept = np.flatnonzero(open_.any(0)[leaf_of])
+                        if len(within):
+                            mask = open_[within][:, leaf_of[kept]]
+                            near.meet(v[kept], ids[kept], own[within], None, lambda places, rows, mask=mask: mask[:, rows])
+            yield with_met(qids, near.scores, near.ids, met)
 
         return self.leaves.select("leaf", "ids", "vs").mapInArrow(run, MET)
 
@@ -392,9 +469,8 @@ class BoxTree(Index):
             place = {x: i for i, x in enumerate(qids.tolist())}
             for r in top(first.filter("id is not null").select("qid", "id", "score"), k).filter(F.col("rank") == k).collect():  # a row a query of the block
                 least[place[r.qid]] = r.score
-            rest = materialise(self._scan(spark.sparkContext.broadcast((qids, q, homes, least)), k, self.dimension, False))
-            both = first.unionAll(rest)
-            out = both if out is None else out.unionAll(both)
+            rest = materialise(self._scan(spark.sparkContext.broadcast((qids, q, homes, least)), k, self.dimension, False))  # home leaves too
+            out = rest if out is None else out.unionAll(rest)
         if out is None:
             return Found(spark.createDataFrame([], "qid long, rank int, id long, score double"), stats_row(spark))
         cost = out.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("candidates")).select(

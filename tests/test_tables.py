@@ -398,3 +398,19 @@ def test_pruning_takes_the_distances_of_its_edges(spark):
     assert got[0] == got[1] == want
     joins = lambda e: graphs.prune(rows, e, 7)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert (joins(edges), joins(edges.select("src", "dst"))) == (1, 2)  # a row's own vector is not shuffled to each of its edges
+
+
+def test_boxes_split_small_nodes_in_one_task_and_meet_queries_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SUBTREE", 200, raising=False)
+    calls, grown = [], tables._grown
+    monkeypatch.setattr(tables, "_grown", lambda index, made: calls.append(1) or grown(index, made))
+    r = np.random.default_rng(11)
+    for v, wide in ((r.standard_normal((900, 24)), 24), (np.concatenate([c + 0.1 * r.standard_normal((150, 3)) for c in 9 * r.standard_normal((6, 3))]), 3)):
+        calls.clear()
+        tree = tables.BoxTree(wide, leaf_size=8).build(frame(spark, v))
+        assert len(calls) <= 5  # 900 rows: three levels of seven as jobs, and one that finds none, the rest at once
+        q = v[:: 2] + 0.01
+        found = tree.search(frame(spark, q, "qid", "q"), 5)
+        assert ids(found.result) == {i: nearest(v, x, 5) for i, x in enumerate(q)}
+        assert found.stats.first().distances <= len(q) * len(v) * (1 if wide == 24 else 0.4)
+        assert sorted(x for r in tree.leaves.collect() for x in r.ids) == list(range(900)) and max(len(r.ids) for r in tree.leaves.collect()) <= 8
