@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from ..errors import BuildError, ConfigError, require
 from ..functions.vector import doubles, dot, squared_l2, top
 from ..plans.lineage import materialise, rewritten
-from .exact import MET, RESULT, TILE_QUERIES, TILE_ROWS, Nearest, keyed_blocks, matrix, scan_keyed, top_up, with_met
+from .exact import MET, RESULT, TILE_QUERIES, TILE_ROWS, Nearest, in_blocks, keyed_blocks, matrix, scan_keyed, top_up, with_met
 from .graphs import exact_graph, prune, symmetrise
 from .index import Found, Index, stats_row
 
-#: Neighbours in a row of an edge table, and queries at a vertex in a round before they are salted.
+#: Neighbours in a row of an edge table, and queries at a vertex in a round before its edges are broadcast.
 BLOCK, CROWD = 64, 10_000
 #: Nodes of one level that are broadcast at most; more are joined by shuffle.
 NODES = 100_000
+#: What each query has seen on its walk, and the vertices that it opens next.
+STATE = "qid long, ids array<long>, scores array<double>, opened array<boolean>, dead array<boolean>, taken array<long>"
 #: Rows of a node of boxes whose splits are found in one task.
 SUBTREE = 16_384
 
@@ -36,7 +38,7 @@ class EdgeGraph(Index):
     scores what the query has not seen, and closes queries whose best open vertex is worse than
     the worst of the ``ef`` best.  With at_once = 1 that is the walk of a single query with two
     heaps; more needs fewer rounds and some more distances.  Vertices with very many neighbours
-    take several rows, and vertices that very many queries open in a round are salted.
+    take several rows, and edges of vertices that very many queries open in a round are broadcast.
     """
 
     name = "edges"
@@ -78,38 +80,80 @@ class EdgeGraph(Index):
         self.require_built()
         return self.edges.select("src", F.explode("near").alias("dst")).distinct()
 
-    def _taken(self, state: DataFrame, width: int) -> DataFrame:
-        """state (qid, q, seen) with ``taken``, the vertices that each query opens next, marked as opened in ``seen``."""
-        state = state.withColumn("seen", F.array_sort("seen"))  # by score and id
-        worst = F.get(F.filter("seen", lambda x: ~x["dead"]), F.lit(width - 1))["score"]
-        open_ = lambda x: ~x["opened"] & (F.col("worst").isNull() | (x["score"] <= F.col("worst")))
-        state = state.withColumn("worst", worst).withColumn("taken", F.slice(F.transform(F.filter("seen", open_), lambda x: x["id"]), 1, self.at_once))
-        mark = lambda x: F.struct(x["score"].alias("score"), x["id"].alias("id"), (x["opened"] | F.array_contains("taken", x["id"])).alias("opened"), x["dead"].alias("dead"))
-        return state.select("qid", "q", F.transform("seen", mark).alias("seen"), "taken")
+    def _taken(self, state: DataFrame, fresh: DataFrame, width: int) -> DataFrame:
+        """STATE with the fresh (qid, x: id, score, dead) that it has not seen, and ``taken``, the vertices that each query opens next, marked as opened.
+
+        What a query has seen is kept by score and id; each is sorted for itself.
+        """
+        own = fresh.groupBy("qid").agg(F.collect_list("x").alias("x"))  # of one query's vertices
+        rows = state.join(own, "qid", "left").select("qid", "ids", "scores", "opened", "dead", F.col("x.id").alias("a"), F.col("x.score").alias("b"), F.col("x.dead").alias("c"))
+        at_once = self.at_once
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[1:]]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                for row in range(batch.num_rows):
+                    ids, scores, opened, dead, new, far, gone = (x[o[row] : o[row + 1]] for o, x in lists)
+                    some = ~np.isin(new, ids)
+                    ids, scores = np.concatenate((ids, new[some])), np.concatenate((scores, far[some]))
+                    order = np.lexsort((ids, scores))
+                    ids, scores = ids[order], scores[order]
+                    opened = np.concatenate((opened, np.zeros(some.sum(), dtype=bool)))[order].astype(bool)
+                    dead = np.concatenate((dead, gone[some]))[order].astype(bool)
+                    living = scores[~dead]
+                    open_ = ~opened if len(living) < width else ~opened & (scores <= living[width - 1])
+                    take = np.flatnonzero(open_)[:at_once]
+                    opened[take] = True
+                    for held, x in zip(out, (ids, scores, opened, dead, ids[take]), strict=True):
+                        held.append(x)
+                kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64())
+                made = [
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held) if held else np.empty(0), kind))
+                    for held, kind in zip(out, kinds, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["qid", "ids", "scores", "opened", "dead", "taken"])
+
+        return rows.mapInArrow(run, STATE)
 
     def walk(self, queries: DataFrame, width: int) -> DataFrame:
         """(qid, id, score, opened, dead): every vertex that each query's walk scores."""
         self.require_built()
+        return in_blocks(queries.select("qid", "q"), lambda block: self._walked(block, width))
+
+    def _walked(self, queries: DataFrame, width: int) -> DataFrame:
+        """The same for queries that can be broadcast.
+
+        A round moves pairs of ids, and vectors only to be scored where the queries are; a query whose walk is
+        over stays in the files of its last round.
+        """
         points = self.rows.withColumn("dead", F.lit(False))
         if self.dead is not None:
-            points = materialise(self.rows.join(self.dead.select("id", F.lit(True).alias("dead")), "id", "left").fillna(False, ["dead"]))
-        met = lambda rows: rows.join(points, "id").select("qid", "q", F.struct(squared_l2("q", "v").alias("score"), "id", F.lit(False).alias("opened"), "dead").alias("x"))
-        asked = queries.select("qid", "q")
-        start = met(asked.withColumn("id", F.lit(self.entry).cast("long"))).select("qid", "q", F.array("x").alias("seen"))
-        state = materialise(self._taken(start, width))
-        crowded = asked.count() * self.at_once > CROWD
-        while not state.filter(F.size("taken") > 0).isEmpty():
-            front = state.select("qid", "q", F.transform("seen", lambda x: x["id"]).alias("known"), F.explode("taken").alias("src"))
-            links = self.edges.select("src", "near")
-            if crowded:  # a vertex that very many open is dealt to several tasks; there are at most (rows of front / CROWD) of them
-                crowd = F.broadcast(front.groupBy("src").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("salts")).filter("salts > 1"))
-                front = front.join(crowd, "src", "left").withColumn("salt", F.pmod(F.xxhash64("qid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-                links = links.join(crowd, "src", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-            reached = front.join(links, ["src", "salt"] if crowded else ["src"]).select("qid", "q", F.explode(F.array_except("near", "known")).alias("id"))
-            fresh = met(reached.dropDuplicates(["qid", "id"])).groupBy("qid").agg(F.collect_list("x").alias("fresh"))  # of one query's vertices
-            both = state.join(fresh, "qid", "left").select("qid", "q", F.when(F.col("fresh").isNull(), F.col("seen")).otherwise(F.concat("seen", "fresh")).alias("seen"))
-            state = rewritten(self._taken(both, width))
-        return state.select("qid", F.explode("seen").alias("x")).select("qid", "x.id", "x.score", "x.opened", "x.dead")
+            points = self.rows.join(self.dead.select("id", F.lit(True).alias("dead")), "id", "left").fillna(False, ["dead"])
+            points = materialise(points)
+        links = self.edges.select("src", "near")
+        asked = F.broadcast(queries)
+        met = lambda pairs: pairs.join(points, "id").join(asked, "qid").select("qid", F.struct("id", squared_l2("q", "v").alias("score"), "dead").alias("x"))
+        nothing = (F.array().cast(f"array<{kind}>").alias(name) for name, kind in (("ids", "long"), ("scores", "double"), ("opened", "boolean"), ("dead", "boolean")))
+        start = met(queries.select("qid", F.lit(self.entry).cast("long").alias("id")))
+        state, over = rewritten(self._taken(queries.select("qid", *nothing), start, width)), None
+        crowded = queries.count() * self.at_once > CROWD
+        while True:
+            ended, state = state.filter(F.size("taken") == 0), state.filter(F.size("taken") > 0)
+            over = ended if over is None else over.unionAll(ended)
+            if state.isEmpty():
+                break
+            front = state.select("qid", F.explode("taken").alias("src"))
+            if crowded:  # edges of the vertices that very many open, (rows of front / CROWD) at most, go to the queries
+                crowd = F.broadcast(front.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("src"))
+                hops = front.join(crowd, "src", "left_anti").join(links, "src").unionByName(front.join(F.broadcast(links.join(crowd, "src")), "src"))
+            else:
+                hops = front.join(links, "src")
+            reached = hops.select("qid", F.explode("near").alias("id")).dropDuplicates(["qid", "id"])
+            state = rewritten(self._taken(state, met(reached), width))
+        return over.select("qid", F.explode(F.arrays_zip("ids", "scores", "opened", "dead")).alias("x")).select(
+            "qid", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"), "x.opened", "x.dead"
+        )
 
     def visited(self, queries: DataFrame, ef: int | None = None) -> DataFrame:
         """(qid, id) of every vertex that a walk touches."""

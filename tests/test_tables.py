@@ -414,3 +414,13 @@ def test_boxes_split_small_nodes_in_one_task_and_meet_queries_in_tiles(spark, mo
         assert ids(found.result) == {i: nearest(v, x, 5) for i, x in enumerate(q)}
         assert found.stats.first().distances <= len(q) * len(v) * (1 if wide == 24 else 0.4)
         assert sorted(x for r in tree.leaves.collect() for x in r.ids) == list(range(900)) and max(len(r.ids) for r in tree.leaves.collect()) <= 8
+
+
+def test_walks_that_are_over_are_not_written_again(spark, corpus, asked, monkeypatch):
+    rows, kept = [], tables.rewritten
+    monkeypatch.setattr(tables, "rewritten", lambda df: (lambda x: rows.append(x.count()) or x)(kept(df)))
+    graph = tables.EdgeGraph(8, ef=12, entry="first", at_once=4).build(corpus, graphs.symmetrise(graphs.exact_graph(corpus, 5)))
+    walked = graph.walk(asked, 12)
+    assert rows[0] == 24 and 0 < rows[-1] < 24 and rows == sorted(rows, reverse=True)
+    seen = walked.collect()
+    assert len({(r.qid, r.id) for r in seen}) == len(seen) and {r.qid for r in seen} == set(range(24))
